@@ -8,4 +8,29 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d
     """,
+    "op8_benchmark_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        s AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS t FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM s)),
+        pos AS (SELECT r, k, i, array_to_string(w[i : i + k - 1], ' ') AS t FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+        hits AS (SELECT r, pos.k, i, item_id FROM pos JOIN windows ON pos.t = windows.t AND pos.k = windows.k),
+        covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r),
+        items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+    """,
+    # CRC-32 step by step over the bytes: in DuckDB there is no function for it.
+    "op6_stratified_interleave": """
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, md5('42|' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+        bits AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+        u AS (SELECT t, encode(t) AS raw FROM (SELECT DISTINCT t FROM d)),
+        h AS (SELECT t, octet_length(raw) AS n, list_transform(range(0, 2 * octet_length(raw), 2), lambda i: (strpos('0123456789ABCDEF', substr(hex(raw), i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(raw), i + 2, 1)) - 1) AS b FROM u),
+        c AS (SELECT t, n, xor(list_reduce(list_prepend(4294967295, b), lambda x, y: xor(x >> 8, tab[xor(x & 255, y) + 1])), 4294967295) AS crc FROM h, bits),
+        f AS (SELECT d.*, n + 16 AS size, crc AS text_crc32, (2 * row_number() OVER (PARTITION BY source ORDER BY key, doc_id, crc, n) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source)) AS share FROM d JOIN c USING (t)),
+        o AS (SELECT *, row_number() OVER (ORDER BY share, source NULLS FIRST, key, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM f),
+        q AS (SELECT *, n // 40 AS q, n % 40 AS r FROM o)
+        SELECT doc_id, size, text_crc32, 'rows' AS law, (CASE WHEN pos < r * (q + 1) THEN pos // (q + 1) ELSE r + (pos - r * (q + 1)) // greatest(q, 1) END)::INTEGER AS shard,
+               (CASE WHEN pos < r * (q + 1) THEN pos % (q + 1) ELSE (pos - r * (q + 1)) % greatest(q, 1) END)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM q
+    """,
 }
