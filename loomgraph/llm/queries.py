@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, interleave, simhash
-from .common import table
+from . import bpe, decontaminate, exact_dedup, interleave, secrets, simhash, warc
+from .common import shared_dir, table
+
+
+def op1_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file")
 
 
 def op3_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +23,10 @@ def op3_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return interleave.interleave(docs, shards=40).drop("source")
@@ -26,6 +39,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
 
 
+def op9_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.sha2(secrets.written_out("base").cast("binary"), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secrets.written_out("spans").alias("spans"))
+
+
 def op10_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.simhash_components(docs)
@@ -33,8 +52,11 @@ def op10_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_writer": op1_warc_writer,
     "op3_patricia_exact_dedup": op3_patricia_exact_dedup,
+    "op5_segment_tree_bpe": op5_segment_tree_bpe,
     "op6_stratified_interleave": op6_stratified_interleave,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_credential_linking": op9_credential_linking,
     "op10_simhash_bk_tree": op10_simhash_bk_tree,
 }
