@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, interleave, secrets, simhash, warc
+from . import bpe, decontaminate, exact_dedup, interleave, secrets, simhash, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -23,6 +23,12 @@ def op3_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,6 +60,7 @@ def op10_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_writer": op1_warc_writer,
     "op3_patricia_exact_dedup": op3_patricia_exact_dedup,
+    "op4_weak_supervision_toxicity": op4_weak_supervision_toxicity,
     "op5_segment_tree_bpe": op5_segment_tree_bpe,
     "op6_stratified_interleave": op6_stratified_interleave,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
