@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, interleave, secrets, simhash, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, interleave, repeats, secrets, simhash, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -38,6 +38,12 @@ def op6_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave.interleave(docs, shards=40).drop("source")
 
 
+def op7_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -63,6 +69,7 @@ QUERIES = {
     "op4_weak_supervision_toxicity": op4_weak_supervision_toxicity,
     "op5_segment_tree_bpe": op5_segment_tree_bpe,
     "op6_stratified_interleave": op6_stratified_interleave,
+    "op7_run_length_index": op7_run_length_index,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_credential_linking": op9_credential_linking,
     "op10_simhash_bk_tree": op10_simhash_bk_tree,
