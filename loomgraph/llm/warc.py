@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, written
 
 #: Raw payload bytes in a shard, about; compressed bytes after which a file ends.
 SHARD_BYTES, ROLL_BYTES = 48 << 20, 32 << 20
@@ -80,36 +80,39 @@ def records(stream, size: int = 1 << 20):
         data = stream.read(size)
 
 
-def sharded(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """pages with a shard column: ranges of page_id of about so many bytes, from exact counts."""
-    n = F.octet_length(F.coalesce("html", F.lit(""))).cast("long") + 512
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(n)).first()
-    ranges = max(64, 16 * ((total or 0) // shard_bytes + 1))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
+def ranges(small: DataFrame, shard_bytes: int) -> tuple[F.Column, DataFrame, int]:
+    """Of rows (page_id, n): the expression of a range of identifiers, the table from ranges to shards of about so many bytes, and the number of shards; from exact counts."""
+    low, high, total = small.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
+    cuts = max(64, 16 * ((total or 0) // shard_bytes + 1))
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // cuts))
     at = F.coalesce(F.expr(f"(page_id - {low or 0}L) div {width}L"), F.lit(0).cast("long"))
-    counts = pages.groupBy(at.alias("range")).agg(F.sum(n).alias("n")).orderBy("range").collect()  # as many rows as ranges
+    counts = small.groupBy(at.alias("range")).agg(F.sum("n").alias("n")).orderBy("range").collect()  # as many rows as ranges
     shard, held, of = 0, 0, []
     for r in counts:
         if held and held + r["n"] > shard_bytes:
             shard, held = shard + 1, 0
         held += r["n"]
         of.append((r["range"], shard))
-    names = pages.sparkSession.createDataFrame(of, "range long, shard int")
-    return pages.withColumn("range", at).join(F.broadcast(names), "range").drop("range"), shard + 1
+    return at, F.broadcast(small.sparkSession.createDataFrame(of, "range long, shard int")), shard + 1
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) as an archive in folder, a URI; returns the manifest. Payloads under `least` bytes are never revisits."""
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("key"))
-    owners = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("key")).groupBy("key").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies"))
-    dealt, n = sharded(rows.join(owners, "key"), shard_bytes)
-    dealt = dealt.select("shard", "page_id", "url", "html", "key", "owner", "copies").repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id", "key", "url")
+    small = written(rows.select("page_id", "key", (F.octet_length("html").cast("long") + 512).alias("n")), "payloads")
+    owners = small.groupBy("key").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies"))
+    at, shards, n = ranges(small, shard_bytes)
+    # Payloads are shuffled once: who owns a payload comes to its shard as a row of its own, sorted before the pages that it is about.
+    who = small.select("page_id", "key").distinct().join(owners, "key").select("page_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "owner", "copies")
+    both = who.unionByName(rows.withColumns({"kind": F.lit(1), "owner": F.lit(None).cast("long"), "copies": F.lit(None).cast("long")}))
+    dealt = both.withColumn("range", at).join(shards, "range").select("shard", "page_id", "key", "kind", "url", "html", "owner", "copies")
+    dealt = dealt.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id", "key", "kind", "url")
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(f"{root}/_temporary", recursive=True)
-        at, out, last = None, None, None
+        at, out, last, owner, copies = None, None, None, None, 1
         state = {"shard": -1, "seq": 0}
 
         def begin(shard):
@@ -133,8 +136,11 @@ def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = SHAR
 
         nth = 0
         for b in batches:
-            for shard, page, url, payload, key, owner, copies in zip(*(b.column(i) for i in range(7)), strict=True):
-                shard, page, url, payload, key, owner, copies = (x.as_py() for x in (shard, page, url, payload, key, owner, copies))
+            for cells in zip(*(b.column(i) for i in range(8)), strict=True):
+                shard, page, key, kind, url, payload, new, n_new = (x.as_py() for x in cells)
+                if kind == 0:
+                    owner, copies = new, n_new
+                    continue
                 if out and (shard != at or state["bytes"] >= roll_bytes):
                     yield end()
                     out = None
