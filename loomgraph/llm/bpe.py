@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 from .common import map_arrow
 
 #: Pre-tokens whose ids a worker remembers, and their length in characters at most.
-CACHE, CACHE_CHARS = 200_000, 48
+CACHE, CACHE_CHARS = 800_000, 48
 #: The byte-level pre-tokenizer's pattern, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-NONE = 1 << 60
+NONE = 1 << 62
 
 
 def byte_chars() -> list[str]:
@@ -37,47 +37,56 @@ def byte_chars() -> list[str]:
 
 
 def merge(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """ids after all merges; ranks: pair to (rank, merged id)."""
+    """ids after all merges; ranks: pair to (rank, merged id). A leaf is its pair's rank and place in one number, so the root names the leftmost pair of the lowest rank."""
     n = len(ids)
     if n < 2:
         return ids
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
-    none = (NONE, 0)
+    width = n.bit_length()
+    here, get = (1 << width) - 1, ranks.get
+    size = 1 << (n - 2).bit_length()
     tree = [NONE] * (2 * size)
-    tree[size : size + n - 1] = [ranks.get(p, none)[0] for p in zip(ids, ids[1:], strict=False)]
+    i = size
+    for pair in zip(ids, ids[1:], strict=False):
+        if (found := get(pair)) is not None:
+            tree[i] = found[0] << width | (i - size)
+        i += 1
     for i in range(size - 1, 0, -1):
-        tree[i] = min(tree[2 * i], tree[2 * i + 1])
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
+    if tree[1] == NONE:
+        return ids
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = bytearray(b"\1") * n
-
-    def put(i, rank):
-        i += size
-        tree[i] = rank
-        i >>= 1
-        while i:
-            low = tree[2 * i] if tree[2 * i] <= tree[2 * i + 1] else tree[2 * i + 1]
-            if tree[i] == low:
-                break
-            tree[i] = low
-            i >>= 1
-
     while (low := tree[1]) != NONE:
-        i = 1
-        while i < size:
-            i = 2 * i if tree[2 * i] == low else 2 * i + 1
-        i -= size
+        i = low & here
         j = after[i]
-        ids[i] = ranks[ids[i], ids[j]][1]
-        alive[j] = 0
+        ids[i] = now = get((ids[i], ids[j]))[1]
+        ids[j] = -1
         k = after[i] = after[j]
-        if j < n - 1:
-            put(j, NONE)
+        new = NONE
         if k < n:
             before[k] = i
-        put(i, ranks.get((ids[i], ids[k]), none)[0] if k < n else NONE)
+            if (found := get((now, ids[k]))) is not None:
+                new = found[0] << width | i
+            changed = ((j, NONE), (i, new))
+        else:
+            changed = ((i, new),)
         if (h := before[i]) >= 0:
-            put(h, ranks.get((ids[h], ids[i]), none)[0])
-    return [x for x, a in zip(ids, alive, strict=True) if a]
+            found = get((ids[h], now))
+            changed = (*changed, (h, NONE if found is None else found[0] << width | h))
+        for leaf, key in changed:
+            leaf += size
+            if tree[leaf] == key:
+                continue
+            tree[leaf] = key
+            while leaf > 1:
+                other = tree[leaf ^ 1]
+                if other < key:
+                    key = other
+                leaf >>= 1
+                if tree[leaf] == key:
+                    break
+                tree[leaf] = key
+    return [x for x in ids if x >= 0]
 
 
 class ByteLevelBPE:
@@ -97,27 +106,28 @@ class ByteLevelBPE:
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)} | {i: t.encode() for t, i in self.special.items()}
         self.strings = {i: str(i) for i in self.bytes_of}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
-        self.words, self.cache = regex.compile(PATTERN).findall, {}
+        self.words, self.cache, self.older = regex.compile(PATTERN).findall, {}, {}
 
     def word(self, w: str) -> list[int]:
-        found = self.cache.get(w)
+        """Not in the younger half of the cache: from the older half, or merged. When the younger half is full it becomes the older."""
+        found = self.older.get(w)
         if found is None:
             found = merge([self.bytes_ids[b] for b in w.encode()], self.ranks)
-            if len(w) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[w] = found
+        if len(w) <= CACHE_CHARS:
+            self.cache[w] = found
+            if len(self.cache) >= CACHE // 2:
+                self.older, self.cache = self.cache, {}
         return found
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        cache, word, extend = self.cache, self.word, ids.extend
+        word, extend = self.word, ids.extend
         for part in self.split(text):
             if part in self.special:
                 ids.append(self.special[part])
                 continue
             for w in self.words(part):
-                found = cache.get(w)
+                found = self.cache.get(w)
                 extend(word(w) if found is None else found)
         return ids
 
