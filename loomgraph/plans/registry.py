@@ -1,6 +1,217 @@
-"""All queries of the reference-like operators, by name, and the SQL that DuckDB compares them with."""
+"""All queries of the graph and coordinate operators, by name, and the SQL that DuckDB compares them with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions import algebra as A
+from loomgraph.operators import graph as G
+
+_D = A.DIMENSIONS
+_CASE = "CASE event_type WHEN 'view' THEN 'structural' WHEN 'error' THEN 'causal' WHEN 'purchase' THEN 'intentional' WHEN 'click' THEN 'temporal' ELSE 'relational' END"
+SALT = "round"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", F.expr(_CASE).alias("dim"))
+
+
+def _counts(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy("user_id").agg(*A.contributions(F.col("dim")))
+
+
+def _millionths(cols):
+    return [A.to_fixed(F.col(d)).alias(d) for d in cols]
+
+
+def _embeds(spark, sf_dir):
+    n, c, o = (_t(spark, sf_dir, x) for x in ("nation", "customer", "orders"))
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    return (
+        n.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child"))
+        .union(c.select(name("n", "c_nationkey"), name("c", "c_custkey")))
+        .union(o.select(name("c", "o_custkey"), name("o", "o_orderkey")))
+    )
+
+
+def dim_compose_table(spark, sf_dir):
+    d = spark.createDataFrame([(x,) for x in _D], "a string")
+    return d.crossJoin(d.withColumnRenamed("a", "b")).select("a", "b", A.compose(F.col("a"), F.col("b")).alias("result"))  # 25 rows
+
+
+def dim_left_fold(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy("user_id").agg(A.left_fold(F.struct("ts", "event_id"), F.col("dim")).alias("dimension"))
+
+
+def dim_compose_weights(spark, sf_dir):
+    w = (F.col("event_id") % 10 + 90) / F.lit(100.0)
+    return _events(spark, sf_dir).groupBy("user_id").agg(A.product_in_order(F.col("event_id"), w).alias("weight"))
+
+
+def coords_position(spark, sf_dir):
+    return _counts(spark, sf_dir).select("user_id", A.dominant().alias("dominant"), A.basis().alias("basis"), *A.shares()).select("user_id", "dominant", "basis", *_millionths(_D))
+
+
+def coords_point(spark, sf_dir):
+    return _counts(spark, sf_dir).select("user_id", *A.point(64.0)).select("user_id", *_millionths(_D))
+
+
+def coords_cosine(spark, sf_dir):
+    c = _counts(spark, sf_dir)
+    p, q = c.alias("p"), c.select((F.col("user_id") - 1).alias("user_id"), *_D).alias("q")
+    both = p.join(q, F.col("p.user_id") == F.col("q.user_id"))
+    return both.select(F.col("p.user_id").alias("user_id"), F.round(A.cosine([F.col(f"p.{d}").cast("double") for d in _D], [F.col(f"q.{d}").cast("double") for d in _D]) * 1e4).cast("long").alias("cosine"))
+
+
+def coords_with_embeds(spark, sf_dir):
+    e = _embeds(spark, sf_dir)
+    return e.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("structural"))
+
+
+def fixed_point(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem")
+    x = A.to_fixed(F.col("l_extendedprice").cast("double") * F.when(F.col("l_orderkey") % 2 == 0, 1.0).otherwise(-1.0))
+    s = l.groupBy("l_suppkey").agg(F.sum(x).alias("total"), F.count("*").alias("n"))
+    return s.select("l_suppkey", "total", A.fixed_mean(F.col("total"), F.col("n")).alias("mean"))
+
+
+def match_combine_scores(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount").cast("double") * 10).alias("t"), (F.col("l_tax").cast("double") * 10).alias("s"))
+    return l.select("l_orderkey", "l_linenumber", F.round(A.combine_scores(F.least("t", F.lit(1.0)), F.least("s", F.lit(1.0))) * 1e4).cast("long").alias("score"))
+
+
+def _members(spark, sf_dir):
+    c = _counts(spark, sf_dir).select("user_id", *A.point(64.0))
+    return c.withColumn("container", F.col("user_id") % 37)
+
+
+def coords_container_position(spark, sf_dir):
+    return G.container_position(_members(spark, sf_dir), "container")
+
+
+def container_trimmed_top_k(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("container"), F.col("o_orderkey").alias("claim"), F.floor(F.col("o_totalprice") / 1000).alias("weight"))
+    return G.trimmed_top_k(o, "container", "claim", "weight", 5, 3, SALT).select("container", "claim", F.col("rank").cast("long").alias("rank"))
+
+
+def container_member_digest(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.col("o_orderkey").cast("string"))).alias("m"))
+    text = F.concat(F.lit('{"members":["'), F.array_join("m", '","'), F.lit('"],"version":1}'))
+    return o.select("o_custkey", F.sha2(text.cast("binary"), 256).alias("digest"))
+
+
+def dag_reverse_index(spark, sf_dir):
+    return G.reverse_index(_embeds(spark, sf_dir)).select("node", F.array_join("parents", ",").alias("parents"))
+
+
+def dag_reachable(spark, sf_dir):
+    regions = _t(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start"))
+    return G.reachable(_embeds(spark, sf_dir), regions).groupBy("start", "hops").agg(F.count("*").alias("nodes"))
+
+
+def depth_link_signal(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    return G.within_hops(l, 2)
+
+
+def depth_conceptual(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem")
+    s = l.groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("links"), F.countDistinct("l_returnflag").alias("anchors"))
+    d = A.depth_blend(F.col("links").cast("double"), F.col("anchors").cast("double"), F.lit(0.5))
+    return s.select("l_partkey", F.round(d * 1e4).cast("long").alias("depth"))
+
+
+def depth_quantiles(spark, sf_dir):
+    from pyspark.sql import Window
+
+    c = _t(spark, sf_dir, "customer")
+    q = F.percent_rank().over(Window.partitionBy("c_nationkey").orderBy("c_acctbal"))
+    return c.select("c_custkey", F.round(q * 1e4).cast("long").alias("quantile"))
+
+
+def path_typed_search(spark, sf_dir):
+    d = F.element_at(F.array(*map(F.lit, _D)), (F.col("k") % 5 + 1).cast("int"))
+    n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"))
+    edges = n.select(F.col("k").cast("string").alias("source"), F.explode(F.array(((F.col("k") * 2 + 1) % 25).cast("string"), ((F.col("k") + 7) % 25).cast("string"))).alias("target"), d.alias("dimension"), F.lit(0.5).alias("weight"))
+    return G.typed_path_search(edges, "0", 0.01)
+
+
+def statement_raw_contributions(spark, sf_dir):
+    e = _events(spark, sf_dir).select(F.explode(F.array_distinct(F.array(F.col("user_id"), F.col("event_id") % 50))).alias("entry"), "dim")
+    return e.groupBy("entry").agg(*A.contributions(F.col("dim")))
+
+
+def views_position_digest(spark, sf_dir):
+    e = _events(spark, sf_dir).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("event_id").cast("string"))), '","').alias("c"))
+    text = F.concat(F.lit('{"claims":["'), F.col("c"), F.lit('"],"embeds":[],"profile_digest":"p"}'))
+    return e.select("user_id", F.sha2(text.cast("binary"), 256).alias("digest"))
+
+
+def views_stale_ancestors(spark, sf_dir):
+    changed = _t(spark, sf_dir, "orders").where("o_orderkey % 1000 < 3").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    return G.stale_ancestors(_embeds(spark, sf_dir), changed).select("node", F.col("level").cast("long").alias("level"))
+
+
+def views_debounce(spark, sf_dir):
+    e = _events(spark, sf_dir).groupBy("user_id").agg(F.collect_list((F.unix_timestamp(F.col("ts").cast("timestamp"))).cast("double")).alias("t"))
+    return e.select("user_id", A.debounce(F.col("t"), 86400.0, 5).cast("long").alias("flushes"))
+
+
+def relation_key(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    return p.select("p_partkey", A.relation_key(F.concat_ws("_", F.lit(" Is"), "p_name", F.lit("Of-"))).alias("key"))
+
+
+def relational_effective(spark, sf_dir):
+    return _counts(spark, sf_dir).select("user_id", F.round(A.relational_effective(F.col("relational").cast("double"), (F.col("structural") + F.col("causal") + F.col("intentional") + F.col("temporal")).cast("double")) * 1e4).cast("long").alias("effective"))
+
+
+_EV = f"SELECT event_id, user_id, ts, value, {_CASE} AS dim FROM events"
+_CO = f"SELECT user_id, {', '.join(f"count(*) FILTER (dim = '{d}') AS {d}" for d in _D)} FROM ({_EV}) GROUP BY user_id"
+_EMB = "SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders"
+_SUM = " + ".join(_D)
+_DIMS = "(VALUES " + ", ".join(f"('{d}')" for d in _D) + ")"
+_COMPOSE = "CASE WHEN {b} = 'relational' THEN {a} WHEN {a} = 'causal' AND {b} = 'structural' THEN 'causal' ELSE {b} END"
+_PT = ", ".join(f"round_even(least({d} / 64.0::DOUBLE, 1.0), 6) AS {d}" for d in _D)
+
+
+def _fx(d):
+    return f"CASE WHEN {d} * 1e6::DOUBLE >= 0 THEN trunc({d} * 1e6::DOUBLE + 0.5)::BIGINT ELSE -trunc(-({d} * 1e6::DOUBLE) + 0.5)::BIGINT END"
+
+
+ORACLES = {
+    "dim_compose_table": f"SELECT a, b, {_COMPOSE.format(a='a', b='b')} AS result FROM {_DIMS} x(a), {_DIMS} y(b)",
+    "dim_left_fold": f"SELECT user_id, list_reduce(list_prepend('relational', list(dim ORDER BY ts, event_id)), lambda a, b: {_COMPOSE.format(a='a', b='b')}) AS dimension FROM ({_EV}) GROUP BY user_id",
+    "dim_compose_weights": f"SELECT user_id, list_reduce(list_prepend(1.0::DOUBLE, list((event_id % 10 + 90) / 100.0::DOUBLE ORDER BY event_id)), lambda a, b: a * b) AS weight FROM ({_EV}) GROUP BY user_id",
+    "coords_position": f"SELECT user_id, CASE WHEN greatest({', '.join(_D)}) <= 0 THEN 'relational' {' '.join(f"WHEN {d} = greatest({', '.join(_D)}) THEN '{d}'" for d in _D)} END AS dominant, CASE WHEN greatest({', '.join(_D)}) > 0 THEN 'planes' ELSE 'default' END AS basis, {', '.join(f'{_fx(f"(CASE WHEN {_SUM} = 0 THEN 0 ELSE round_even({d} / ({_SUM})::DOUBLE, 6) END)")} AS {d}' for d in _D)} FROM ({_CO})",
+    "coords_point": f"SELECT user_id, {', '.join(f'{_fx(d)} AS {d}' for d in _D)} FROM (SELECT user_id, {_PT} FROM ({_CO}))",
+    "coords_cosine": f"WITH c AS ({_CO}) SELECT p.user_id, round(CASE WHEN sqrt({' + '.join(f'p.{d} * p.{d}' for d in _D)}) * sqrt({' + '.join(f'q.{d} * q.{d}' for d in _D)}) = 0 THEN 0 ELSE round_even(({' + '.join(f'p.{d} * q.{d}' for d in _D)}) / (sqrt({' + '.join(f'p.{d} * p.{d}' for d in _D)}) * sqrt({' + '.join(f'q.{d} * q.{d}' for d in _D)})), 6) END * 1e4)::BIGINT AS cosine FROM c p JOIN c q ON q.user_id = p.user_id + 1",
+    "coords_with_embeds": f"SELECT parent AS node, count(*) AS structural FROM ({_EMB}) GROUP BY parent",
+    "fixed_point": f"SELECT l_suppkey, t::BIGINT AS total, (CASE WHEN t >= 0 THEN (t + n // 2) // n ELSE -((-t + n // 2) // n) END)::BIGINT AS mean FROM (SELECT l_suppkey, sum({_fx('(l_extendedprice::DOUBLE * CASE WHEN l_orderkey % 2 = 0 THEN 1.0 ELSE -1.0 END)')})::BIGINT AS t, count(*) AS n FROM lineitem GROUP BY l_suppkey)",
+    "match_combine_scores": "SELECT l_orderkey, l_linenumber, round(round_even((least(l_discount::DOUBLE * 10, 1.0) * 0.7::DOUBLE + least(l_tax::DOUBLE * 10, 1.0) * 0.3::DOUBLE) / 1.0, 6) * 1e4)::BIGINT AS score FROM lineitem",
+    "coords_container_position": f"SELECT container, {', '.join(f'((t_{d} + n // 2) // n)::BIGINT AS {d}' for d in _D)} FROM (SELECT user_id % 37 AS container, count(*) AS n, {', '.join(f'sum({_fx(d)})::BIGINT AS t_{d}' for d in _D)} FROM (SELECT user_id, {_PT} FROM ({_CO})) GROUP BY 1)",
+    "container_trimmed_top_k": f"SELECT container, claim, rank FROM (SELECT o_custkey AS container, o_orderkey AS claim, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice / 1000) DESC, sha256('{SALT}|' || o_orderkey)) AS rank, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n < 3 OR rank <= 5",
+    "container_member_digest": """SELECT o_custkey, sha256('{"members":["' || array_to_string(list_sort(list_distinct(list(o_orderkey::VARCHAR))), '","') || '"],"version":1}') AS digest FROM orders GROUP BY o_custkey""",
+    "dag_reverse_index": f"WITH e AS ({_EMB}) SELECT node, coalesce(parents, '') AS parents FROM (SELECT parent AS node FROM e UNION SELECT child FROM e) LEFT JOIN (SELECT child AS node, string_agg(DISTINCT parent, ',' ORDER BY parent) AS parents FROM e GROUP BY child) USING (node)",
+    "dag_reachable": f"WITH RECURSIVE e AS ({_EMB}), r(start, node, hops) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region UNION SELECT start, child, hops + 1 FROM r JOIN e ON r.node = e.parent) SELECT start, hops::INTEGER AS hops, count(*) AS nodes FROM r GROUP BY start, hops",
+    "depth_link_signal": "SELECT 'p' || l_partkey AS node, count(DISTINCT l_suppkey) AS signal FROM lineitem GROUP BY l_partkey",
+    "depth_conceptual": "SELECT l_partkey, round(round_even(least(greatest((0.5::DOUBLE * (k / (k + 5.0::DOUBLE)) * (1 - a / (a + 2.0::DOUBLE)) + 0.5::DOUBLE * 0.5) / 1.0, 0.0), 1.0), 6) * 1e4)::BIGINT AS depth FROM (SELECT l_partkey, count(DISTINCT l_suppkey)::DOUBLE AS k, count(DISTINCT l_returnflag)::DOUBLE AS a FROM lineitem GROUP BY l_partkey)",
+    "depth_quantiles": "SELECT c_custkey, round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) * 1e4)::BIGINT AS quantile FROM customer",
+    "path_typed_search": f"""WITH RECURSIVE e AS (SELECT n_nationkey::VARCHAR AS source, unnest([(n_nationkey * 2 + 1) % 25, (n_nationkey + 7) % 25])::VARCHAR AS target, [{', '.join(f"'{d}'" for d in _D)}][(n_nationkey % 5 + 1)::BIGINT] AS dimension FROM nation),
+        p(node, dimension, weight, hops) AS (SELECT '0', 'relational', 1.0::DOUBLE, 0 UNION SELECT e.target, {_COMPOSE.format(a='p.dimension', b='e.dimension')}, p.weight * 0.5::DOUBLE, p.hops + 1 FROM p JOIN e ON p.node = e.source WHERE p.weight * 0.5 >= 0.01)
+        SELECT node, dimension, max(weight) AS weight, min(hops)::INTEGER AS hops FROM p GROUP BY node, dimension""",
+    "statement_raw_contributions": f"SELECT entry, {', '.join(f"count(*) FILTER (dim = '{d}') AS {d}" for d in _D)} FROM (SELECT unnest(list_distinct([user_id, event_id % 50])) AS entry, dim FROM ({_EV})) GROUP BY entry",
+    "views_position_digest": """SELECT user_id, sha256('{"claims":["' || string_agg(event_id::VARCHAR, '","' ORDER BY event_id::VARCHAR) || '"],"embeds":[],"profile_digest":"p"}') AS digest FROM events GROUP BY user_id""",
+    "views_stale_ancestors": f"WITH RECURSIVE e AS ({_EMB}), r(node, level) AS (SELECT 'o' || o_orderkey, 0 FROM orders WHERE o_orderkey % 1000 < 3 UNION SELECT parent, level + 1 FROM r JOIN e ON r.node = e.child) SELECT node, max(level)::BIGINT AS level FROM r WHERE level > 0 GROUP BY node",
+    "views_debounce": f"""WITH s AS (SELECT user_id, list(floor(epoch(ts))::DOUBLE ORDER BY floor(epoch(ts))) AS t FROM events GROUP BY user_id),
+        f AS (SELECT user_id, list_reduce(list_prepend({{'at': 0.0::DOUBLE, 'n': 0, 'out': 0}}, list_transform(t, lambda x: {{'at': x, 'n': 0, 'out': 0}})), lambda s, x: CASE WHEN s.n > 0 AND x.at - s.at <= 86400 THEN (CASE WHEN s.n + 1 >= 5 THEN {{'at': s.at, 'n': 0, 'out': s.out + 1}} ELSE {{'at': s.at, 'n': s.n + 1, 'out': s.out}} END) ELSE {{'at': x.at, 'n': 1, 'out': s.out + CASE WHEN s.n > 0 THEN 1 ELSE 0 END}} END) AS z FROM s)
+        SELECT user_id, (z.out + CASE WHEN z.n > 0 THEN 1 ELSE 0 END)::BIGINT AS flushes FROM f""",
+    "relation_key": r"SELECT p_partkey, regexp_replace(lower(' Is_' || p_name || '_Of-'), '[\s_-]+', '', 'g') AS key FROM part",
+    "relational_effective": f"SELECT user_id, round(round_even(relational::DOUBLE / (1.0::DOUBLE + structural + causal + intentional + temporal), 6) * 1e4)::BIGINT AS effective FROM ({_CO})",
+}
+QUERIES = {name: globals()[name] for name in ORACLES}
