@@ -32,7 +32,7 @@ from .common import map_arrow, written
 
 N, K = 100, 16
 #: Contexts that a map task holds before it passes them on, and bytes in one index.
-HELD, INDEX_BYTES = 1_000_000, 2 << 20
+HELD, INDEX_BYTES = 1_000_000, 64 << 10
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LAST = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -73,21 +73,32 @@ class RunIndex:
         symbols = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + m
         symbols[self.ends] = np.arange(m)  # marks, in order, below all bytes
         total = len(symbols)
-        # Suffixes are sorted by doubling; their classes at n bytes come from the ranks at powers of two below it.
-        rank, width, at_n = symbols, 1, None
-        order = np.argsort(rank, kind="stable")
+        # Suffixes are sorted by prefixes of 4 symbols, then of three (or, in a large index, two) times as many from their ranks, packed into one number.
+        base, places = total + m + 256, np.arange(total)
+        parts = 3 if base < 1 << 21 else 2
+        rank, width, at_n, key = symbols, 1, None, None
+
+        def packed(shifts):
+            found = rank.copy()
+            for x in shifts:
+                found *= base
+                found += rank[np.minimum(places + x, total - 1)]
+            return found
+
         while True:
-            if at_n is None and 2 * width > n:
-                shift = np.minimum(np.arange(total) + (n - width), total - 1)
-                at_n = rank * (total + m + 256) + rank[shift]
-            ahead = np.minimum(np.arange(total) + width, total - 1)
-            key = rank * (total + m + 256) + rank[ahead]
-            order = np.argsort(key, kind="stable")
+            if at_n is None and width <= n <= parts * width:
+                at_n = packed([(n - width) // 2, n - width] if parts == 3 else [n - width])
+            if width == 1 and (m + 256) < 1 << 15:
+                key = ((symbols * (m + 256) + symbols[np.minimum(places + 1, total - 1)]) * (m + 256) + symbols[np.minimum(places + 2, total - 1)]) * (m + 256) + symbols[np.minimum(places + 3, total - 1)]
+                width = 4
+            else:
+                key = packed([width * k for k in range(1, parts)])
+                width *= parts
+            order = np.argsort(key)
             sorted_key = key[order]
             step = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
             rank = np.empty(total, np.int64)
             rank[order] = step
-            width *= 2
             if step[-1] == total - 1 or width > lengths.max():
                 break
         if at_n is None:
