@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Code points between two parts of one credential at most.
 SCOPE = 200
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -65,7 +67,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base (array of kind, start, end), spans (the same, weak ones too) for every row."""
     t = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", t.alias("t"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), t).cast("binary")).alias("key"))
-    spans = linked(parts(keyed.select("key", "t")))
+    spans = linked(written(parts(keyed.select("key", "t")), "parts"))  # three readers, one scan
     by_doc = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "k", "end"))).alias("s"))
     names = F.array(*(F.lit(n) for n, _, _ in KINDS))
     rows = keyed.select("doc_id", "key").join(by_doc, "key", "left").withColumn("s", F.coalesce("s", F.expr("cast(array() as array<struct<start:bigint,k:int,end:bigint>>)")))
