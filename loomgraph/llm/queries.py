@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, interleave, repeats, secrets, simhash, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, interleave, perspectives, repeats, secrets, simhash, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -18,6 +18,14 @@ def op1_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file")
 
 
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = perspectives.perspectives(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    trained = F.size(F.filter("messages", lambda x: x["train"])).cast("long")
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    return found.select("conv_id", "perspective", "part", "n_rows", F.size("messages").cast("long").alias("n_messages"), trained.alias("n_trained"), F.length("text").cast("long").alias("n_chars"), digest.alias("text_sha256"), mask.alias("mask"))
+
+
 def op3_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -65,6 +73,7 @@ def op10_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_writer": op1_warc_writer,
+    "op2_perspective_rotation": op2_perspective_rotation,
     "op3_patricia_exact_dedup": op3_patricia_exact_dedup,
     "op4_weak_supervision_toxicity": op4_weak_supervision_toxicity,
     "op5_segment_tree_bpe": op5_segment_tree_bpe,

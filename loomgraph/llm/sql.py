@@ -3,6 +3,18 @@
 from __future__ import annotations
 
 ORACLES = {
+    # Blocks of 512 turns; what exceeds 1024 rows or 16 MiB in a block is divided further by the operator, and tested against brute force.
+    "op2_perspective_rotation": r"""
+        WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, count(*) AS copies, coalesce(floor(turn / 512.0)::BIGINT::VARCHAR, 'none') AS part, coalesce(role = 'system', false) AS aside FROM conversations GROUP BY ALL),
+        p AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE NOT aside),
+        v AS (SELECT m.*, perspective, NOT aside AND role IS NOT DISTINCT FROM perspective AS own, row_number() OVER (PARTITION BY m.conv_id, perspective, part ORDER BY turn, md5(t), role NULLS FIRST) AS i FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+        h AS (SELECT *, '<|im_start|>' || CASE WHEN aside THEN role WHEN own THEN 'assistant' ELSE 'user' || coalesce(' name=' || regexp_replace(role, '[\x00-\x1F\x7F]', ' ', 'g'), '') END || chr(10) AS head FROM v),
+        c AS (SELECT *, head || t || '<|im_end|>' || chr(10) AS piece FROM h),
+        s AS (SELECT *, (sum(length(piece)) OVER (PARTITION BY conv_id, perspective, part ORDER BY i))::BIGINT - 1 AS stop FROM c)
+        SELECT conv_id, perspective, part, sum(copies)::BIGINT AS n_rows, count(*) AS n_messages, count(*) FILTER (own) AS n_trained, sum(length(piece))::BIGINT AS n_chars, sha256(string_agg(piece, '' ORDER BY i)) AS text_sha256,
+               coalesce(string_agg((stop - length(t) - 10) || ':' || stop, ',' ORDER BY i) FILTER (own), '') AS mask
+        FROM s GROUP BY conv_id, perspective, part
+    """,
     "op3_patricia_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
