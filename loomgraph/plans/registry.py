@@ -153,7 +153,7 @@ def views_position_digest(spark, sf_dir):
 
 
 def views_stale_ancestors(spark, sf_dir):
-    changed = _t(spark, sf_dir, "orders").where("o_orderkey % 1000 < 3").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    changed = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
     return G.stale_ancestors(_embeds(spark, sf_dir), changed).select("node", F.col("level").cast("long").alias("level"))
 
 
@@ -207,7 +207,7 @@ ORACLES = {
         SELECT node, dimension, max(weight) AS weight, min(hops)::INTEGER AS hops FROM p GROUP BY node, dimension""",
     "statement_raw_contributions": f"SELECT entry, {', '.join(f"count(*) FILTER (dim = '{d}') AS {d}" for d in _D)} FROM (SELECT unnest(list_distinct([user_id, event_id % 50])) AS entry, dim FROM ({_EV})) GROUP BY entry",
     "views_position_digest": """SELECT user_id, sha256('{"claims":["' || string_agg(event_id::VARCHAR, '","' ORDER BY event_id::VARCHAR) || '"],"embeds":[],"profile_digest":"p"}') AS digest FROM events GROUP BY user_id""",
-    "views_stale_ancestors": f"WITH RECURSIVE e AS ({_EMB}), r(node, level) AS (SELECT 'o' || o_orderkey, 0 FROM orders WHERE o_orderkey % 1000 < 3 UNION SELECT parent, level + 1 FROM r JOIN e ON r.node = e.child) SELECT node, max(level)::BIGINT AS level FROM r WHERE level > 0 GROUP BY node",
+    "views_stale_ancestors": f"WITH RECURSIVE e AS ({_EMB}), r(node, level) AS (SELECT 'o' || o_orderkey, 0 FROM orders WHERE o_orderstatus = 'P' UNION SELECT parent, level + 1 FROM r JOIN e ON r.node = e.child) SELECT node, max(level)::BIGINT AS level FROM r WHERE level > 0 GROUP BY node",
     "views_debounce": f"""WITH s AS (SELECT user_id, list(floor(epoch(ts))::DOUBLE ORDER BY floor(epoch(ts))) AS t FROM events GROUP BY user_id),
         f AS (SELECT user_id, list_reduce(list_prepend({{'at': 0.0::DOUBLE, 'n': 0, 'out': 0}}, list_transform(t, lambda x: {{'at': x, 'n': 0, 'out': 0}})), lambda s, x: CASE WHEN s.n > 0 AND x.at - s.at <= 86400 THEN (CASE WHEN s.n + 1 >= 5 THEN {{'at': s.at, 'n': 0, 'out': s.out + 1}} ELSE {{'at': s.at, 'n': s.n + 1, 'out': s.out}} END) ELSE {{'at': x.at, 'n': 1, 'out': s.out + CASE WHEN s.n > 0 THEN 1 ELSE 0 END}} END) AS z FROM s)
         SELECT user_id, (z.out + CASE WHEN z.n > 0 THEN 1 ELSE 0 END)::BIGINT AS flushes FROM f""",

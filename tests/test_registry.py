@@ -5,10 +5,12 @@ import pytest
 
 from loomgraph.functions import algebra as A
 from loomgraph.operators import graph as G
-from loomgraph.plans import registry
+from loomgraph.plans import registry, texts
 
 D = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
+
+QUERIES, ORACLES = registry.QUERIES | texts.QUERIES, registry.ORACLES | texts.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -20,12 +22,12 @@ def oracle():
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="no tables")
-@pytest.mark.parametrize("name", registry.QUERIES)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, oracle, name):
-    df = registry.QUERIES[name](spark, D)
+    df = QUERIES[name](spark, D)
     cols = sorted(df.columns)
     ours = sorted(map(repr, (tuple(r[c] for c in cols) for r in df.collect())))
-    rel = oracle.sql(registry.ORACLES[name])
+    rel = oracle.sql(ORACLES[name])
     assert sorted(rel.columns) == cols
     at = [rel.columns.index(c) for c in cols]
     assert ours == sorted(map(repr, (tuple(r[i] for i in at) for r in rel.fetchall())))
