@@ -5,12 +5,12 @@ import pytest
 
 from loomgraph.functions import algebra as A
 from loomgraph.operators import graph as G
-from loomgraph.plans import registry, texts
+from loomgraph.plans import registry, rules, texts
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
-QUERIES, ORACLES = registry.QUERIES | texts.QUERIES, registry.ORACLES | texts.ORACLES
+QUERIES, ORACLES = registry.QUERIES | texts.QUERIES | rules.QUERIES, registry.ORACLES | texts.ORACLES | rules.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +54,13 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_edges_that_close_a_cycle_are_rejected(spark):
+    from loomgraph.operators.rules import CycleError, add_edges
+
+    of = lambda *x: spark.createDataFrame(list(x), "parent string, child string")
+    assert {tuple(r) for r in add_edges(of(("a", "b")), of(("b", "c"), ("a", "b"))).collect()} == {("a", "b"), ("b", "c")}
+    for bad in (("c", "a"), ("b", "b")):
+        with pytest.raises(CycleError):
+            add_edges(of(("a", "b"), ("b", "c")), of(bad))
