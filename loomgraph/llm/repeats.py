@@ -161,10 +161,13 @@ _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()
 
 
 def _sorted_out(anchor, context, d, h, s, n):
-    """Places in order of (anchor, context, occurrence), and which of them follow an equal context."""
+    """The columns in order of (anchor, context, occurrence), each occurrence once (a repeated row is no copy of itself), and which of them follow an equal context."""
     o = np.lexsort((s, h, d, context, anchor))
-    same = (anchor[o][1:] == anchor[o][:-1]) & (context[o][1:] == context[o][:-1])
-    return o, np.concatenate(([False], same))
+    cols = [c[o] for c in (anchor, context, d, h, s, n)]
+    itself = np.concatenate(([False], np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:5]])))
+    cols = [c[~itself] for c in cols]
+    same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+    return cols, np.concatenate(([False], same))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -176,11 +179,10 @@ def find(docs: DataFrame) -> DataFrame:
         def flush():
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            o, later = _sorted_out(*cols)
-            cols = [c[o] for c in cols]
+            cols, later = _sorted_out(*cols)
             # A copy's row needs no company any more: it goes to any partition.
             cols[0] = np.where(later, cols[2] * 31 + cols[4], cols[0])
-            for at in range(0, len(o), 100_000):
+            for at in range(0, len(later), 100_000):
                 yield _table([c[at : at + 100_000] for c in [*cols, later]], _NAMES, _KINDS)
 
         for b in batches:
@@ -235,7 +237,7 @@ def told_apart(spelled: DataFrame) -> DataFrame:
 
     def run(batches):
         rows: list[tuple] = []
-        held, anchor = 0, None
+        held, anchor, before = 0, None, None
 
         def index():
             rows.sort(key=lambda r: r[:3])
@@ -251,12 +253,15 @@ def told_apart(spelled: DataFrame) -> DataFrame:
                     yield from index()
                     held = 0
                 anchor = a
+                if before == (d, h, s):
+                    continue  # spelled by a repeated row too
+                before = d, h, s
                 rows.append((d, h, s, raw))
                 held += len(raw)
         if rows:
             yield from index()
 
-    dealt = spelled.repartition("anchor").sortWithinPartitions("anchor")
+    dealt = spelled.repartition("anchor").sortWithinPartitions("anchor", "d", "h", "s")
     return map_arrow(dealt, run, "d long, h int, a int, z int")
 
 

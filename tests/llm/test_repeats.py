@@ -55,6 +55,22 @@ def test_repeated_rows_and_empty(spark):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_repeated_rows_lose_nothing_to_each_other(spark, parts):
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    first, alone, none = text(600), text(400), text(300)
+    near = first[:250] + "X" + first[251:]  # its contexts differ from those of first under the same anchors
+    rows = [(1, first), (2, near), (3, alone), (4, alone[:250] + text(90)), (None, none)]
+    df = spark.createDataFrame([x for x in rows for _ in range(3)], "doc_id long, text string")
+    df = df.coalesce(1) if parts == 1 else df.repartition(parts)
+    found, want = repeats.remove_repeats(df).collect(), brute(rows)
+    assert len(found) == 3 * len(rows)
+    for x in found:
+        assert (x.n_bytes, sum(z.end - z.start for z in x.spans), len(x.spans), bytes(x.kept)) == want[x.doc_id]
+    assert [want[i][1] for i in (1, 3, None)] == [0, 0, 0] and want[2][1] and want[4][1]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_run_index_spells_and_orders(seed):
     r = random.Random(seed)
