@@ -48,16 +48,16 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return sum(1 << i for i in np.flatnonzero(counts * 2 > n).tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long), node (the same, mixed) for every row."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long), node (the same, mixed) and the columns to carry for every row."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(x.as_buffer().to_pybytes(), shingle, seed) for x in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array((fps * np.uint64(MIX)).view(np.int64))], ["doc_id", "fp", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array((fps * np.uint64(MIX)).view(np.int64)), *b.columns[2:]], ["doc_id", "fp", "node", *carry])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return map_arrow(rows, run, "doc_id long, fp long, node long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *carry)
+    return map_arrow(rows, run, ", ".join(["doc_id long, fp long, node long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 class BKTree:
@@ -178,11 +178,16 @@ def blocks_for(n: int, radius: int) -> int:
     return m
 
 
-def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that links reach) for every row."""
-    prints = written(fingerprints(docs, shingle, seed), "fingerprints")
+def clusters(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """Written prints (doc_id, fp, node) to fp, label (one for each component) and component_id for every distinct fingerprint."""
     nodes = written(prints.groupBy("fp", "node").agg(F.min("doc_id").alias("first")), "nodes")
     labels = connected_components(links(nodes.select("fp"), radius, blocks_for(nodes.count(), radius)))
     named = nodes.join(labels, "node", "left").select("fp", "first", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return prints.select("doc_id", "fp").join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return named.join(least, "label").select("fp", "label", "component_id")
+
+
+def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id that links reach) for every row."""
+    prints = written(fingerprints(docs, shingle, seed), "fingerprints")
+    return prints.select("doc_id", "fp").join(clusters(prints, radius).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -160,6 +160,19 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert len(want) > 150
 
 
+def test_near_dedup_keeps_one_row_of_a_component(spark):
+    r = random.Random(12)
+    a, b, c, d, e = (prose(r, 60) for _ in range(5))
+    wide = lambda t: t.replace(" ", "  ")  # noqa: E731  equal fingerprints, different texts
+    rows = [(None, a), (None, wide(a)), (1, b), (None, wide(b)), (3, c), (5, wide(c)), (5, d), (7, e), (7, e), (7, wide(e)), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
+    for parts in (1, 5):
+        found = corpus_pipeline.drop_near_copies(spark, docs.repartition(parts), "").collect()
+        got = sorted((x.doc_id or 0, " ".join((x.text or "").split())) for x in found)
+        plain = lambda t: " ".join(t.split())
+        assert got == sorted([(0, plain(a)), (1, plain(b)), (3, plain(c)), (5, plain(d)), (7, plain(e)), (0, "")])
+
+
 def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     rows, toxic = corpus(60, 11)
     d = folder(spark, tmp_path, rows, labelled(rows, toxic), [(1, ITEM)])
