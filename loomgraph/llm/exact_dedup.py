@@ -3,9 +3,9 @@
 Texts are equal when identical after lower-casing A-Z. Each map task first inserts its texts into a compressed radix trie
 of its own (bounded in bytes, emitted whole and begun anew when full), so that a text held by a third of all rows leaves a task
 once and not once per row. The surviving strings go to partitions by length and content hash, sorted by both: the top of the
-final trie branches on (length, hash), so each of its subtrees arrives in one piece, is built, read out and dropped. What does
-not fit in memory is spilled by Spark's external sort in that same order, that is by subtree, and no task keeps more than one
-subtree of distinct strings. A terminal node stores the owner (smallest or largest identifier, as asked) and the count.
+final trie branches on (length, hash), and the strings of a stretch of that order are one subtree, a trie bounded in bytes, which is
+read out and dropped when full, between two hashes, so that no copy of its strings comes later. What has yet to be inserted is
+spilled by Spark's external sort in that same order. A terminal node stores the owner (smallest or largest identifier, as asked) and the count.
 Decisions return to the rows by an equi-join on the SHA-256 of the normalised text, whose large partitions AQE can split.
 
 Defined cases: a null text counts as empty, and empty texts are one class; a null doc_id never owns a class with other ids
@@ -103,6 +103,19 @@ def _cut(items, size: int = 8 << 20):
         yield _rows(part)
 
 
+def tries(rows, keep: str = "min", limit: int = TRIE_BYTES):
+    """rows (n_bytes, sha, key, owner, n) in order of n_bytes and sha to tries of many strings each: a full one is given out before the next (n_bytes, sha), when no copy of its strings is left to come."""
+    at, trie = None, PatriciaTrie(keep)
+    for n, sha, key, o, c in rows:
+        if (n, sha) != at and trie.size > limit:
+            yield trie
+            trie = PatriciaTrie(keep)
+        at = n, sha
+        trie.insert(key, o, c)
+    if trie.n:
+        yield trie
+
+
 def owners(docs: DataFrame, keep: str = "min", parts: int | None = None) -> DataFrame:
     """One row per distinct normalised text: sha (SHA-256, hex), n_bytes, owner, n."""
 
@@ -117,27 +130,19 @@ def owners(docs: DataFrame, keep: str = "min", parts: int | None = None) -> Data
         yield from _cut(trie.items())
 
     def decide(batches):
-        at, trie, out = None, None, []
-
-        def flush():
-            out.extend((*at, o, c) for _, o, c in trie.items())
+        out = []
 
         def batch():
             n, sha, o, c = zip(*out, strict=True)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(o, pa.int64()), pa.array(c, pa.int64())], ["n_bytes", "sha", "owner", "n"])
 
-        for b in batches:
-            for n, sha, key, o, c in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if (n, sha) != at:
-                    if at is not None:
-                        flush()
-                    at, trie = (n, sha), PatriciaTrie(keep)
-                trie.insert(key, o, c)
-            if len(out) > 10_000:
-                yield batch()
-        if at is not None:
-            flush()
+        rows = (x for b in batches for x in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True))
+        for trie in tries(rows, keep):
+            for key, o, c in trie.items():
+                out.append((len(key), hashlib.sha256(key).hexdigest(), o, c))
+                if len(out) > 10_000:
+                    yield batch()
         if out:
             yield batch()
 

@@ -162,3 +162,12 @@ def test_interleave(spark, n):
     for s in ("hot", "b"):
         share = sum(1 for _, _, y in rows if y == s) / max(n, 1)
         assert all(abs(sum(1 for x in found if x.shard == k and x.source == s) - share * sizes[k]) < 2.01 for k in range(40))
+
+
+def test_owner_tries_hold_many_strings():
+    keys = [b"abc", b"abd", b"ab", b"xyz" * 50, b"", b"abc"]
+    rows = sorted((len(k), hashlib.sha256(k).hexdigest(), k, i, 1) for i, k in enumerate(keys))
+    for limit, least, most in ((1 << 20, 1, 1), (2, 2, 4)):
+        found = list(exact_dedup.tries(rows, "max", limit))
+        assert least <= len(found) <= most
+        assert sorted(x for t in found for x in t.items()) == sorted([(b"", 4, 1), (b"ab", 2, 1), (b"abc", 5, 2), (b"abd", 1, 1), (b"xyz" * 50, 3, 1)])
