@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import algebra as A
 from loomgraph.functions import cues as C
 from loomgraph.functions import text as T
+from loomgraph.llm.common import arrow_limits
 from loomgraph.operators import retrieval as R
 from loomgraph.plans.registry import _CASE, _events, _t
 
@@ -52,6 +53,11 @@ def text_cue_contributions(spark, sf_dir):
     return C.cue_counts(p, "t").select("p_partkey", *C.contributions()).select("p_partkey", *(A.to_fixed(F.col(d)).alias(d) for d in _D))
 
 
+def text_cue_documents(spark, sf_dir):
+    arrow_limits(spark)
+    return C.cue_counts(_docs(spark, sf_dir), "text").select("doc_id", *C.contributions()).select("doc_id", *(A.to_fixed(F.col(d)).alias(d) for d in _D))
+
+
 def term_document_frequency(spark, sf_dir):
     return R.document_frequency(_docs(spark, sf_dir))
 
@@ -194,3 +200,5 @@ ORACLES = {
     "views_ingest_window": "SELECT user_id, (SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts)) AS age, (SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts)) <= 3600000000 AS servable FROM events GROUP BY user_id",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
+#: SQL can't merge overlapping matches: tested against brute force.
+WITHOUT_SQL = {"text_cue_documents": text_cue_documents}

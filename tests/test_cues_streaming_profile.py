@@ -1,4 +1,6 @@
 import datetime
+import random
+import re
 
 import pytest
 
@@ -16,6 +18,34 @@ def test_cues(spark):
     assert first.asDict() == {"structural": 1.0, "causal": 1.0, "intentional": 0.0, "temporal": 3.0, "relational": 0.0}
 
 
+def test_cues_of_whole_documents(spark, tmp_path):
+    import __spark_entry__
+
+    r = random.Random(3)
+    words = "if where leads to risk within 3 days after the period before purpose of in order to ensure referred to in paragraph 2 Chapter IV means any controller right to between gear stall".split()
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, text(r.randrange(1, 80))) for i in range(30)] + [(40, text(3000)), (41, None), (42, ""), (43, text(50))] + [(43, "due to")] * 2 + [(None, "IF if")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+
+    def count(t, d):  # stretches of overlapping matches, joined pair by pair
+        found = []
+        for a, z in {m.span() for p in cues.CUES[d] for m in re.finditer(p, t or "", re.IGNORECASE)}:
+            touched = [s for s in found if s[0] < z and a < s[1]]
+            found = [s for s in found if s not in touched] + [(min([a, *(s[0] for s in touched)]), max([z, *(s[1] for s in touched)]))]
+        return len(found)
+
+    want = []
+    for i, t in rows:
+        n = {d: count(t, d) for d in A.DIMENSIONS}
+        others = sum(n.values()) - n["relational"]
+        want.append((i, *(int(n[d] * 1e6 / (1 + others if d == "relational" else 1) + 0.5) for d in A.DIMENSIONS)))
+    found = [tuple(x[c] for c in ("doc_id", *A.DIMENSIONS)) for x in __spark_entry__.queries()["text_cue_documents"](spark, f"file://{tmp_path}").collect()]
+    near = lambda x, y: x[0] == y[0] and all(abs(p - q) <= 1 for p, q in zip(x[1:], y[1:], strict=True))
+    order = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    assert len(found) == len(want) and all(near(x, y) for x, y in zip(sorted(found, key=order), sorted(want, key=order), strict=True))
+    assert max(x[4] for x in found) > 100_000_000
+
+
 def _run(spark, df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     try:
