@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from loomgraph.functions import algebra as A
 from loomgraph.functions import cues as C
 from loomgraph.functions import text as T
-from loomgraph.llm.common import arrow_limits
 from loomgraph.operators import retrieval as R
 from loomgraph.plans.registry import _CASE, _events, _t
 
@@ -54,7 +53,7 @@ def text_cue_contributions(spark, sf_dir):
 
 
 def text_cue_documents(spark, sf_dir):
-    arrow_limits(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # texts may be of any length
     return C.cue_counts(_docs(spark, sf_dir), "text").select("doc_id", *C.contributions()).select("doc_id", *(A.to_fixed(F.col(d)).alias(d) for d in _D))
 
 
