@@ -4,25 +4,25 @@ A byte goes if some string of N bytes that covers it also starts earlier (in a s
 strings being shuffled: each string of N bytes is named by its anchor, the place of the least hash among its K-byte grams (the leftmost on ties), so
 equal strings have equal anchors. The strings with one anchor are consecutive; together they are the anchor's context, of N to 2N - K bytes. Contexts are the unit of work:
 
-1. A map over the documents finds contexts. Of equal contexts in a task only the first goes on; every later one is a copy of it and is removed there and then.
-2. By anchor: of equal contexts the first stays, later ones are removed whole. What remains are different contexts of one anchor; if there is only one it is kept whole.
-3. The bytes of the different contexts are fetched from the documents and come together by anchor. For blocks of whole anchor groups, in order of occurrence, the run-compressed BWT is
+1. A map over the documents finds contexts. Of equal contexts in a task only the first goes on; later ones are copies of it and removed there and then, as merged ranges.
+2. By anchor: of equal contexts the first stays, later ones are removed whole. Different contexts of one anchor can share a string of N bytes only if they agree in SIDE bytes to the left of the
+   anchor or in SIDE bytes to the right of it, since the N - K bytes around it lie at least half on one side. Contexts that agree with no other in either are done. The contexts of an anchor that has over
+   HOT different ones are paired by these sides in a shuffle of their own, so no task holds them all.
+3. The bytes of the contexts that agree with another on a side are fetched from the documents and come together by that side. For blocks of whole groups, in order of occurrence, the run-compressed BWT is
    built: run heads, run starts, the LF image of each run's start, and text positions sampled at the ends of runs and of classes (stretches of suffixes that share N bytes), of which
    the smallest is the class's first occurrence. The suffix array is dropped. The contexts are then streamed from right to left through the LF mapping of the runs, all in step, which gives
    for each place the stretch of the index that matches N bytes and so its earliest occurrence; places that are not their own earliest occurrence are marked.
 4. Marked ranges come together by document, are merged, and cut out.
 
 Only hashes and places are shuffled for all of the text; bytes only for contexts that an index must tell apart, and once to cut. A common passage is reduced in each task
-before it is shuffled.
+before it is shuffled. Contexts count as equal when 160 bits of hashes are (64 of all their bytes, 64 of the two sides, 32 of the anchor); bytes aren't compared for that.
 
-Defined cases: a null text counts as empty; texts shorter than N lose nothing; repeated rows (same doc_id and text) are one document and get the same result; rows of one doc_id with different
-texts are ordered by a hash of the text; a null doc_id comes before all others; an empty table gives an empty one; further columns are ignored.
+Defined cases: a null text counts as empty; texts shorter than N lose nothing; texts of any length are read in pieces, so a task's memory does not grow with them but for the text itself; repeated rows (same doc_id and
+text) are one document and get the same result; rows of one doc_id with different texts are ordered by a hash of the text; a null doc_id comes before all others; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,37 +31,83 @@ from pyspark.sql import functions as F
 from .common import map_arrow, written
 
 N, K = 100, 16
-#: Contexts that a map task holds before it passes them on, and bytes in one index.
-HELD, INDEX_BYTES = 1_000_000, 64 << 10
+#: Bytes beside an anchor that two contexts must share on one side to share a string.
+SIDE = (N - K + 1) // 2
+#: Contexts that a map task holds before it passes them on, bytes that it hashes at once, bytes in one index, and different contexts of an anchor that one task compares.
+HELD, PIECE, INDEX_BYTES, HOT = 400_000, 1 << 18, 64 << 10, 500_000
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LAST = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, start, number of strings) of each context of a text; strings start at start, start + 1 and so on."""
-    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    if len(b) < N:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    h, size = b + np.uint64(1), 1
-    for m in _MULT:  # grams of 2, 4, 8 and 16 bytes
-        h = h[:-size] * m + h[size:]
-        h ^= h >> np.uint64(29)
-        size *= 2
-    h *= _LAST
-    h ^= h >> np.uint64(32)
-    least, at, width = h, np.arange(len(h)), 1
-    while width < N - K + 1:
-        s = min(width, N - K + 1 - width)
-        left = least[:-s] <= least[s:]
-        at = np.where(left, at[:-s], at[s:])
-        least = np.where(left, least[:-s], least[s:])
-        width += s
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return h[at[first]], first, np.diff(np.concatenate((first, [len(at)])))
-
-
-def _digest(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+def _fold(hashes: list[np.ndarray], start: np.ndarray) -> np.ndarray:
+    acc = start
+    for h in hashes:
+        acc = (acc ^ h) * _MULT[0]
+        acc = acc ^ (acc >> np.uint64(29))
+    return acc * _LAST
+
+
+def _pieces(texts: list[bytes], size: int):
+    """Lists of (text, start, bytes) of about `size` bytes; a long text is cut so that each string lies in one piece."""
+    part, held = [], 0
+    for i, raw in enumerate(texts):
+        for at in range(0, len(raw) - N + 1, size):
+            piece = raw[at : at + size + N - 1] if len(raw) > size else raw
+            part.append((i, at, piece))
+            held += len(piece)
+            if held >= size:
+                yield part
+                part, held = [], 0
+    if part:
+        yield part
+
+
+def contexts(texts: list[bytes], piece: int = PIECE):
+    """Batches of contexts: text (index), anchor, context (hash of its bytes), lr (hashes of the left and right side, 32 bits each, zero for one that is too short), start and number of strings;
+    strings start at start, start + 1 and so on."""
+    for part in _pieces(texts, piece):
+        b = np.frombuffer(b"".join(x for _, _, x in part), np.uint8).astype(np.uint64)
+        lengths = np.array([len(x) for _, _, x in part])
+        offset = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        h, size = b + np.uint64(1), 1
+        for m in _MULT:  # grams of 2, 4, 8 and 16 bytes
+            h = h[:-size] * m + h[size:]
+            h ^= h >> np.uint64(29)
+            size *= 2
+        h *= _LAST
+        h ^= h >> np.uint64(32)
+        least, at, width = h, np.arange(len(h)), 1
+        while width < N - K + 1:
+            s = min(width, N - K + 1 - width)
+            left = least[:-s] <= least[s:]
+            at = np.where(left, at[:-s], at[s:])
+            least = np.where(left, least[:-s], least[s:])
+            width += s
+        # Strings that lie in one text; a context ends where the anchor or the text changes.
+        valid = np.zeros(len(at) + 1, np.int8)
+        valid[offset] = 1
+        last = offset + lengths - N + 1
+        valid[last] -= 1
+        inside = np.cumsum(valid[:-1]) > 0
+        fresh = np.concatenate(([True], at[1:] != at[:-1]))
+        fresh[offset] = True
+        stop = np.concatenate((fresh[1:] | ~inside[1:], [True]))
+        first, end = np.flatnonzero(fresh & inside), np.flatnonzero(stop & inside) + N
+        anchor, n = at[first], end - first - N + 1
+        digest = _fold([h[first]], n.astype(np.uint64))
+        for k in range(1, -(-(2 * N) // K)):
+            more = np.flatnonzero(first + K * (k - 1) < end - K)
+            if not len(more):
+                break
+            digest[more] = _fold([h[np.minimum(first[more] + K * k, end[more] - K)]], digest[more])
+        has_left, has_right = anchor - first >= SIDE, end - anchor >= SIDE + K
+        a, z = np.where(has_left, anchor, SIDE), np.where(has_right, anchor, 0)
+        left = _fold([h[a], h[a - SIDE], h[a - SIDE + K], h[a - K + 6]], np.full(len(a), 1, np.uint64)) >> np.uint64(32)
+        right = _fold([h[z], h[np.minimum(z + K - 2, len(h) - 1)], h[np.minimum(z + 2 * K - 4, len(h) - 1)], h[np.minimum(z + SIDE, len(h) - 1)]], np.full(len(z), 2, np.uint64)) >> np.uint64(32)
+        left, right = np.where(has_left, left | np.uint64(1), np.uint64(0)), np.where(has_right, right | np.uint64(1), np.uint64(0))
+        which = np.searchsorted(offset, first, side="right") - 1
+        text, base = np.array([i for i, _, _ in part]), np.array([x for _, x, _ in part])
+        yield text[which], (h[anchor] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), digest.view(np.int64), ((left << np.uint64(32)) | right).view(np.int64), first - offset[which] + base[which], n
 
 
 class RunIndex:
@@ -149,98 +195,174 @@ def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 _LOW = -(1 << 63)
-FOUND = "anchor long, context long, d long, h int, s int, n int, gone boolean"
+CONTEXTS = "anchor int, context long, lr long, d long, h int, p long"
+FOUND = "kind int, g long, lr long, d long, h int, s int, n int"
+#: Kinds of found rows: a range that goes (n: its bytes), a context for an index (n: its strings), one of an anchor with over HOT contexts.
+GONE, TELL, OPEN = 0, 1, 2
 
 
 def _table(cols, names, kinds):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-_NAMES = ["anchor", "context", "d", "h", "s", "n", "gone"]
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+def _context_rows(*cols):
+    return _table(cols, ["anchor", "context", "lr", "d", "h", "p"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()])
+
+
+def _found_rows(*cols):
+    return _table(cols, ["kind", "g", "lr", "d", "h", "s", "n"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()])
+
+
+def _equal(x):
+    return np.concatenate(([False], x[1:] == x[:-1]))
+
 
+def _merged(d, h, a, z):
+    """Ranges of bytes, overlapping or adjacent ones of a document joined. The ranges of one document must not lie in one another."""
+    o = np.lexsort((a, h, d))
+    d, h, a, z = d[o], h[o], a[o], z[o]
+    joins = _equal(d) & _equal(h)
+    joins[1:] &= a[1:] <= z[:-1]
+    first = np.flatnonzero(~joins)
+    return d[first], h[first], a[first], np.maximum.reduceat(z, first) if len(first) else z
 
-def _sorted_out(anchor, context, d, h, s, n):
-    """The columns in order of (anchor, context, occurrence), each occurrence once (a repeated row is no copy of itself), and which of them follow an equal context."""
-    o = np.lexsort((s, h, d, context, anchor))
-    cols = [c[o] for c in (anchor, context, d, h, s, n)]
-    itself = np.concatenate(([False], np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:5]])))
-    cols = [c[~itself] for c in cols]
-    same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
-    return cols, np.concatenate(([False], same))
 
+def _sides(anchor, lr):
+    """A name for the left and the right side of each context; zero where it is too short."""
+    u, a = lr.view(np.uint64), anchor.astype(np.int64).view(np.uint64)
+    names = []
+    for k, side in enumerate((u >> np.uint64(32), u & np.uint64(0xFFFFFFFF))):
+        names.append(np.where(side > 0, _fold([side], a * np.uint64(2) + np.uint64(k)) | np.uint64(1), np.uint64(0)).view(np.int64))
+    return names
 
-def find(docs: DataFrame) -> DataFrame:
-    """docs (d, h, t) to contexts: gone (a later copy of an equal context) or to be told apart from others of its anchor. Contexts without any like them are left out."""
+
+def _shared(x):
+    """Which names, but for zero, are there more than once."""
+    o = np.argsort(x, kind="stable")
+    same = _equal(x[o])
+    found = np.zeros(len(x), bool)
+    found[o] = same | np.concatenate((same[1:], [False]))
+    return found & (x != 0)
+
+
+def find(docs: DataFrame, most: int = HELD, hot_from: int = HOT, piece: int = PIECE) -> DataFrame:
+    """docs (d, h, t) to ranges that go and contexts for the indexes. Contexts without any like them are left out."""
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
+        held: list[tuple] = []
 
         def flush():
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            anchor, context, lr, d, h, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            cols, later = _sorted_out(*cols)
-            # A copy's row needs no company any more: it goes to any partition.
-            cols[0] = np.where(later, cols[2] * 31 + cols[4], cols[0])
-            for at in range(0, len(later), 100_000):
-                yield _table([c[at : at + 100_000] for c in [*cols, later]], _NAMES, _KINDS)
+            o = np.lexsort((s, h, d, context))
+            anchor, context, lr, d, h, s, n = (x[o] for x in (anchor, context, lr, d, h, s, n))
+            later = _equal(context) & _equal(lr) & _equal(anchor)
+            itself = later & _equal(d) & _equal(h) & _equal(s)  # a repeated row is no copy of itself
+            later &= ~itself
+            if later.any():
+                gd, gh, a, z = _merged(d[later], h[later], s[later], (s + n + N - 1)[later])
+                yield _context_rows((gd * 31 + a).astype(np.int32), a, z, gd, gh, np.full(len(a), -1))
+            stays = ~later & ~itself
+            anchor, context, lr, d, h, p = (x[stays] for x in (anchor, context, lr, d, h, s << 7 | n))
+            for at in range(0, len(anchor), 100_000):
+                yield _context_rows(*(x[at : at + 100_000] for x in (anchor, context, lr, d, h, p)))
 
         for b in batches:
-            for d, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                raw = t.as_buffer().to_pybytes()
-                anchor, s, n = contexts(raw)
-                if len(s):
-                    digests = np.array([_digest(raw[a:z]) for a, z in zip(s.tolist(), (s + n + N - 1).tolist(), strict=True)], np.int64)
-                    held.append([anchor.view(np.int64), digests, np.full(len(s), d, np.int64), np.full(len(s), h, np.int32), s.astype(np.int32), n.astype(np.int32)])
-            if sum(len(x[0]) for x in held) >= HELD:
-                yield from flush()
+            ds, hs = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for which, anchor, context, lr, s, n in contexts([t.as_buffer().to_pybytes() for t in b.column(2)], piece):
+                held.append((anchor, context, lr, ds[which], hs[which], s, n))
+                if sum(len(x[0]) for x in held) >= most:
+                    yield from flush()
         if held:
             yield from flush()
 
     def meet(batches):
-        rest = None
+        """Rows in order of anchor, context and occurrence: later ones go at once, the first of each context waits for the others of its anchor."""
+        last, kept, count = None, [], 0
 
         def settle(cols):
-            anchor, context, d, h, s, n, gone = cols
-            new_anchor = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-            later = ~new_anchor & np.concatenate(([False], context[1:] == context[:-1]))
-            group = np.cumsum(new_anchor) - 1
-            different = np.bincount(group, weights=~later)[group] > 1
-            # The same occurrence twice (a repeated row) is no copy of itself.
-            itself = later & np.concatenate(([False], (d[1:] == d[:-1]) & (h[1:] == h[:-1]) & (s[1:] == s[:-1])))
-            keep = (later | different) & ~itself
-            return _table([c[keep] for c in (anchor, context, d, h, s, n, later)], _NAMES, _KINDS)
-
+            """The first of each context, whole anchors."""
+            anchor, lr, d, h, p = cols
+            left, right = _sides(anchor, lr)
+            for name in (left, right):
+                tell = _shared(name)
+                if tell.any():
+                    yield _found_rows(np.full(tell.sum(), TELL), name[tell], lr[tell], d[tell], h[tell], p[tell] >> 7, p[tell] & 127)
+
+        def opened(cols):
+            anchor, lr, d, h, p = cols
+            return _found_rows(np.full(len(d), OPEN), anchor, lr, d, h, p >> 7, p & 127)
+
+        hot = None
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            gone = cols[6].astype(bool)
+            cols = [b.column(i).to_numpy() for i in range(6)]
+            away = cols[5] < 0
+            if away.any():
+                a, z = cols[1][away], cols[2][away]
+                yield _found_rows(np.full(len(a), GONE), np.zeros(len(a)), np.zeros(len(a)), cols[3][away], cols[4][away], a, z - a)
+                cols = [c[~away] for c in cols]
+            if not len(cols[0]):
+                continue
+            whole = cols if last is None else [np.concatenate((x, y)) for x, y in zip(last, cols, strict=True)]
+            later = _equal(whole[0]) & _equal(whole[1]) & _equal(whole[2])
+            itself = later & _equal(whole[3]) & _equal(whole[4]) & _equal(whole[5])
+            gone = later & ~itself
             if gone.any():
-                yield _table([c[gone] for c in cols], _NAMES, _KINDS)
-                cols = [c[~gone] for c in cols]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            if len(cols[0]):
-                last = int(np.searchsorted(cols[0], cols[0][-1]))
-                if last:
-                    yield settle([c[:last] for c in cols])
-                rest = [c[last:] for c in cols]
-        if rest is not None and len(rest[0]):
-            yield settle(rest)
-
-    found = map_arrow(docs.select("d", "h", F.col("t").cast("binary")), run, FOUND)
-    dealt = found.repartition("anchor").sortWithinPartitions("gone", "anchor", "context", "d", "h", "s")
+                s, n = whole[5][gone] >> 7, whole[5][gone] & 127
+                d, h, a, z = _merged(whole[3][gone], whole[4][gone], s, s + n + N - 1)
+                yield _found_rows(np.full(len(a), GONE), np.zeros(len(a)), np.zeros(len(a)), d, h, a, z - a)
+            first = ~later
+            first[: 0 if last is None else 1] = False
+            last = [c[-1:] for c in whole]
+            new = [whole[i][first] for i in (0, 2, 3, 4, 5)]
+            if not len(new[0]):
+                continue
+            cut = int(np.searchsorted(new[0], new[0][-1]))  # rows of anchors that are complete
+            if hot is not None and (ends := int(np.searchsorted(new[0], hot, side="right"))):
+                yield opened([c[:ends] for c in new])
+                new, cut = [c[ends:] for c in new], max(0, cut - ends)
+                if not len(new[0]):
+                    continue
+            kept.append([c[:cut] for c in new])
+            if cut:
+                yield from settle([np.concatenate(x) for x in zip(*kept, strict=True)])
+                kept, count = [], 0
+            kept.append([c[cut:] for c in new])
+            count += len(kept[-1][0])
+            if count > hot_from:
+                held = [np.concatenate(x) for x in zip(*kept, strict=True)]
+                begin = int(np.searchsorted(held[0], held[0][-1]))
+                yield from settle([c[:begin] for c in held])
+                yield opened([c[begin:] for c in held])
+                kept, count, hot = [], 0, held[0][-1]
+        if kept:
+            yield from settle([np.concatenate(x) for x in zip(*kept, strict=True)])
+
+    found = map_arrow(docs.select("d", "h", F.col("t").cast("binary")), run, CONTEXTS)
+    dealt = found.repartition("anchor").sortWithinPartitions("anchor", "context", "lr", "d", "h", "p")
     return map_arrow(dealt, meet, FOUND)
 
 
+def to_tell(found: DataFrame) -> DataFrame:
+    """The contexts that go to the indexes, by the name of the side that they share (g): those of usual anchors are known, those of hot ones are counted by side."""
+    left, right = F.shiftrightunsigned("lr", 32), F.col("lr").bitwiseAND(F.lit(0xFFFFFFFF))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("k"), left.alias("x")), F.struct(F.lit(1).alias("k"), right.alias("x"))))
+    hot = found.where(F.col("kind") == OPEN).select(F.col("g").alias("anchor"), "d", "h", "s", "n", sides.alias("side")).where("side.x <> 0")
+    hot = hot.select(F.xxhash64("anchor", "side.k", "side.x").alias("g"), "d", "h", "s", "n")
+    many = hot.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
+    return found.where(F.col("kind") == TELL).select("g", "d", "h", "s", "n").unionByName(hot.join(many, "g", "left_semi"))
+
+
 def told_apart(spelled: DataFrame) -> DataFrame:
-    """spelled (anchor, d, h, s, raw) to ranges (d, h, a, z) of bytes that go."""
+    """spelled (g, d, h, s, raw) to ranges (d, h, a, z) of bytes that go."""
 
     def run(batches):
         rows: list[tuple] = []
-        held, anchor, before = 0, None, None
+        held, group = 0, None
 
         def index():
-            rows.sort(key=lambda r: r[:3])
+            found = {r[:3]: r for r in rows}  # a context may be there under both of its sides
+            rows[:] = [found[k] for k in sorted(found)]
             texts = [r[3] for r in rows]
             out = [(d, h, s + a, s + z - 1 + N) for (d, h, s, _), mask in zip(rows, RunIndex(texts).stream(texts), strict=True) for a, z in _ranges(mask)]
             rows.clear()
@@ -248,45 +370,41 @@ def told_apart(spelled: DataFrame) -> DataFrame:
                 yield _table(list(zip(*out, strict=True)), ["d", "h", "a", "z"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()])
 
         for b in batches:
-            for a, d, h, s, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if a != anchor and held >= INDEX_BYTES:
+            for g, d, h, s, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if g != group and held >= INDEX_BYTES:
                     yield from index()
                     held = 0
-                anchor = a
-                if before == (d, h, s):
-                    continue  # spelled by a repeated row too
-                before = d, h, s
+                group = g
                 rows.append((d, h, s, raw))
                 held += len(raw)
         if rows:
             yield from index()
 
-    dealt = spelled.repartition("anchor").sortWithinPartitions("anchor", "d", "h", "s")
+    dealt = spelled.repartition("g").sortWithinPartitions("g", "d", "h", "s")
     return map_arrow(dealt, run, "d long, h int, a int, z int")
 
 
 def spell(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of wanted contexts (anchor, d, h, s, n), with one fetch of each document that has any."""
-    by_doc = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("anchor", "s", "n")).alias("w"))
+    """The bytes of wanted contexts (g, d, h, s, n), with one fetch of each document that has any."""
+    by_doc = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("g", "s", "n")).alias("w"))
 
     def run(batches):
         for b in batches:
             for d, h, t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 raw = t.as_buffer().to_pybytes()
-                yield _table([[x["anchor"] for x in w], [d] * len(w), [h] * len(w), [x["s"] for x in w], [raw[x["s"] : x["s"] + x["n"] + N - 1] for x in w]], ["anchor", "d", "h", "s", "raw"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])
+                yield _table([[x["g"] for x in w], [d] * len(w), [h] * len(w), [x["s"] for x in w], [raw[x["s"] : x["s"] + x["n"] + N - 1] for x in w]], ["g", "d", "h", "s", "raw"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])
 
     joined = docs.join(by_doc, ["d", "h"]).select("d", "h", F.col("t").cast("binary").alias("t"), "w")
-    return map_arrow(joined, run, "anchor long, d long, h int, s int, raw binary")
+    return map_arrow(joined, run, "g long, d long, h int, s int, raw binary")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, most: int = HELD, hot_from: int = HOT, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end: the maximal runs of bytes that go) and kept (the remaining bytes) for every row."""
     t = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("d"), F.hash(t).alias("h"), t.alias("t"))
-    found = written(find(keyed), "contexts")
-    wanted = found.where(~F.col("gone"))
-    gone = found.where("gone").select("d", "h", F.col("s").alias("a"), (F.col("s") + F.col("n") + N - 1).alias("z"))
-    told = told_apart(spell(keyed.select("d", "h", "t"), wanted))
+    found = written(find(keyed, most, hot_from, piece), "contexts")
+    gone = found.where(F.col("kind") == GONE).select("d", "h", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("z"))
+    told = told_apart(spell(keyed.select("d", "h", "t"), to_tell(found)))
     ranges = written(gone.unionByName(told).groupBy("d", "h").agg(F.collect_list(F.struct("a", "z")).alias("r")), "ranges")
 
     def cut(batches):

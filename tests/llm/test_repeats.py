@@ -81,3 +81,24 @@ def test_run_index_spells_and_orders(seed):
         for k in range(len(t) - 7):
             assert bool(m[k]) == (t[k : k + 8] in seen)
             seen.add(t[k : k + 8])
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_small_bounds_change_nothing(spark, parts):
+    """Anchors of many contexts, texts in many pieces, and flushes after few contexts take other ways to the same result."""
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    found = {r.doc_id: (r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.remove_repeats(df, most=60, hot_from=2, piece=130).collect()}
+    want = brute(rows)
+    assert {k: (found[k][:3], want[k][:3]) for k in want if found[k] != want[k]} == {} and len(found) == len(want)
+
+
+def test_very_long_runs_and_a_hot_passage(spark):
+    r = random.Random(9)
+    line = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = line(150)
+    rows = [(1, "a" * 2_000_000), (2, "b" * 99 + "a" * 300_000)] + [(i, line(40) + passage[: 120 + i % 30] + line(40)) for i in range(3, 1500)]
+    found = {x.doc_id: sum(s.end - s.start for s in x.spans) for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert found[1] == 1_999_999 and found[2] == 300_000  # all but the first letter: the string at 1 is the string at 0
+    want = brute(rows[2:])
+    assert {i: n for i, n in found.items() if i > 2} == {i: w[1] for i, w in want.items()}
