@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a segment tree over adjacent pair ranks.
 
-Over the parts of a pre-token lies a segment tree whose leaves are the ranks of adjacent pairs; the root is the lowest rank, and going down to the left on ties finds its leftmost
-pair. A merge changes three leaves, each in logarithmic time, until the root holds no rank. So a run of any length without white space costs n log n. Pre-tokens come
-from the tokenizer file's pattern, special tokens are split out first, as the tokenizers library does. The file is a parameter and is read on the executors.
+Over the parts of a pre-token lies a segment tree whose leaves are the ranks of adjacent pairs and whose nodes have up to FAN children; the root is the lowest rank, and going down to
+the leftmost child that holds it finds its leftmost pair. A merge changes three leaves, each in logarithmic time, until the root holds no rank. So a run of any length without white space costs n log n.
+Pre-tokens come from the tokenizer file's pattern, special tokens are split out first, as the tokenizers library does. The file is a parameter and is read on the executors.
 
 Defined cases: a null text counts as empty and has no tokens; the digest of no ids is that of the empty string; texts of any length are encoded whole; repeated rows each get their result;
 an empty table gives an empty one; further columns are kept (encode) or ignored (digests).
@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -23,9 +25,12 @@ from pyspark.sql import types as T
 from .common import map_arrow
 
 #: Pre-tokens whose ids a worker remembers, and their length in characters at most.
-CACHE, CACHE_CHARS = 800_000, 48
+CACHE, CACHE_CHARS = 600_000, 48
 #: The byte-level pre-tokenizer's pattern, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
+#: Children of a node of the tree.
+FAN = 32
 NONE = 1 << 62
 
 
@@ -36,56 +41,52 @@ def byte_chars() -> list[str]:
     return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
-def merge(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """ids after all merges; ranks: pair to (rank, merged id). A leaf is its pair's rank and place in one number, so the root names the leftmost pair of the lowest rank."""
-    n = len(ids)
-    if n < 2:
-        return ids
-    width = n.bit_length()
-    here, get = (1 << width) - 1, ranks.get
-    size = 1 << (n - 2).bit_length()
-    tree = [NONE] * (2 * size)
-    i = size
-    for pair in zip(ids, ids[1:], strict=False):
-        if (found := get(pair)) is not None:
-            tree[i] = found[0] << width | (i - size)
-        i += 1
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
-    if tree[1] == NONE:
+def merge(ids: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
+    """ids after all merges; ranks: a pair, as one number, to its rank; merged: the id that the pair of each rank becomes. A leaf is the rank of the pair that begins at its place; a
+    node is the least of its FAN children. A pre-token of few parts is a tree of one node, which is read anew after each merge; its dead leaves are taken out."""
+    get = ranks.get
+    if len(ids) <= FAN:
+        leaves = [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while leaves and (low := min(leaves)) != NONE:
+            i = leaves.index(low)
+            ids[i] = now = merged[low]
+            del ids[i + 1], leaves[i]
+            if i < len(leaves):
+                leaves[i] = get(now << 32 | ids[i + 1], NONE)
+            if i:
+                leaves[i - 1] = get(ids[i - 1] << 32 | now, NONE)
         return ids
+    n = len(ids)
+    levels = [[get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (low := tree[1]) != NONE:
-        i = low & here
+    while (low := levels[-1][0]) != NONE:
+        i = 0
+        for level in reversed(levels[:-1]):  # down to the leftmost child that holds the root's rank
+            i = level.index(low, i * FAN)
         j = after[i]
-        ids[i] = now = get((ids[i], ids[j]))[1]
+        ids[i] = now = merged[low]
         ids[j] = -1
         k = after[i] = after[j]
-        new = NONE
+        changed = [(j, NONE)] if j < n - 1 else []
         if k < n:
             before[k] = i
-            if (found := get((now, ids[k]))) is not None:
-                new = found[0] << width | i
-            changed = ((j, NONE), (i, new))
+            changed.append((i, get(now << 32 | ids[k], NONE)))
         else:
-            changed = ((i, new),)
+            changed.append((i, NONE))
         if (h := before[i]) >= 0:
-            found = get((ids[h], now))
-            changed = (*changed, (h, NONE if found is None else found[0] << width | h))
-        for leaf, key in changed:
-            leaf += size
-            if tree[leaf] == key:
-                continue
-            tree[leaf] = key
-            while leaf > 1:
-                other = tree[leaf ^ 1]
-                if other < key:
-                    key = other
-                leaf >>= 1
-                if tree[leaf] == key:
+            changed.append((h, get(ids[h] << 32 | now, NONE)))
+        for at, key in changed:
+            for level, above in zip(levels, levels[1:], strict=False):
+                if level[at] == key:
                     break
-                tree[leaf] = key
+                level[at] = key
+                at //= FAN
+                key = min(level[at * FAN : at * FAN + FAN])
+            else:
+                levels[-1][0] = key
     return [x for x in ids if x >= 0]
 
 
@@ -95,41 +96,57 @@ class ByteLevelBPE:
             spec = json.load(f)
         model, chars = spec["model"], byte_chars()
         pre = spec["pre_tokenizer"] or {}
-        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("ignore_merges") or model.get("dropout"):
+        plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        plain = plain and not (spec.get("normalizer") or model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+        if not plain or any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
             raise ValueError(f"{path} isn't a plain byte-level BPE")
         vocab = model["vocab"]
         self.bytes_ids = [vocab[c] for c in chars]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in reversed(list(enumerate(pairs)))}
+        self.ranks = {vocab[a] << 32 | vocab[b]: r for r, (a, b) in reversed(list(enumerate(pairs)))}
+        self.merged = [vocab[a + b] for a, b in pairs]
         back = {c: b for b, c in enumerate(chars)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)} | {i: t.encode() for t, i in self.special.items()}
-        self.strings = {i: str(i) for i in self.bytes_of}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
-        self.words, self.cache, self.older = regex.compile(PATTERN).findall, {}, {}
+        self.any_word, self.cache, self.older = regex.compile(PATTERN).findall, {}, {}
+        self.known = {t: self.piece([i]) for t, i in self.special.items()}
+
+    def piece(self, ids: list[int]) -> tuple[list[int], str, bytes]:
+        """ids, the same in decimals, and the bytes that they decode to."""
+        return ids, ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def word(self, w: str) -> list[int]:
+    def word(self, w: str) -> tuple[list[int], str, bytes]:
         """Not in the younger half of the cache: from the older half, or merged. When the younger half is full it becomes the older."""
         found = self.older.get(w)
         if found is None:
-            found = merge([self.bytes_ids[b] for b in w.encode()], self.ranks)
+            found = self.piece(merge(list(map(self.bytes_ids.__getitem__, w.encode())), self.ranks, self.merged))
         if len(w) <= CACHE_CHARS:
             self.cache[w] = found
             if len(self.cache) >= CACHE // 2:
                 self.older, self.cache = self.cache, {}
         return found
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        word, extend = self.word, ids.extend
-        for part in self.split(text):
-            if part in self.special:
-                ids.append(self.special[part])
+    def words(self, text: str) -> list[str]:
+        """Pre-tokens. In ASCII the pattern's classes are spelled out for the faster engine; its white space is the same there."""
+        return _ASCII_WORDS(text) if text.isascii() else self.any_word(text)
+
+    def pieces(self, text: str) -> list[tuple[list[int], str, bytes]]:
+        """The pieces of a text: one for each pre-token and special token."""
+        out = []
+        for part in self.split(text) if self.special else [text]:
+            if part in self.known:
+                out.append(self.known[part])
                 continue
-            for w in self.words(part):
-                found = self.cache.get(w)
-                extend(word(w) if found is None else found)
-        return ids
+            words = self.words(part)
+            found = list(map(self.cache.get, words))
+            if None in found:
+                found = [x or self.cache.get(w) or self.word(w) for w, x in zip(words, found, strict=True)]
+            out += found
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(x[0] for x in self.pieces(text)))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -160,14 +177,14 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = tokenizer(path)
-        strings = bpe.strings.__getitem__
         for b in batches:
             n, sha, back = [], [], []
             for x in b.column(1):
-                ids = bpe.encode(x.as_py() or "")
-                n.append(len(ids))
-                sha.append(hashlib.sha256(",".join(map(strings, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                found = bpe.pieces(x.as_py() or "")
+                n.append(sum([len(p[0]) for p in found]))
+                sha.append(hashlib.sha256(",".join([p[1] for p in found]).encode()).hexdigest())
+                # What the ids of each piece decode to, joined; broken sequences are replaced in the whole, as decoding all ids does.
+                back.append(hashlib.sha256(b"".join([p[2] for p in found]).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

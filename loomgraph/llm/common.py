@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: An Arrow batch holds at most so many bytes, whatever the length of the texts.
 BATCH_BYTES = 16 << 20
+_WRITTEN: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,9 +38,24 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0, but: int | None = None) -> None:
+    """Deletes what written() has left since its since-th table, the last `but` ones excepted. For callers that have written their result elsewhere; tables still read must not go."""
+    gone = _WRITTEN[since : len(_WRITTEN) - (but or 0)]
+    del _WRITTEN[since : since + len(gone)]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def left() -> int:
+    """Tables that written() has left and release() has not deleted."""
+    return len(_WRITTEN)
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Bounds the Arrow batches of the session by bytes, since texts may be of any length."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -1,9 +1,9 @@
 """Exact deduplication by Patricia-trie owners.
 
 Texts are equal when identical after lower-casing A-Z. Each map task first inserts its texts into a compressed radix trie
-of its own (bounded in bytes, emitted whole and begun anew when full), so that a text held by a third of all rows leaves a task
+of its own (bounded in memory, emitted whole and begun anew when full), so that a text held by a third of all rows leaves a task
 once and not once per row. The surviving strings go to partitions by length and content hash, sorted by both: the top of the
-final trie branches on (length, hash), and the strings of a stretch of that order are one subtree, a trie bounded in bytes, which is
+final trie branches on (length, hash), and the strings of a stretch of that order are one subtree, a trie bounded in memory (labels and nodes), which is
 read out and dropped when full, between two hashes, so that no copy of its strings comes later. What has yet to be inserted is
 spilled by Spark's external sort in that same order. A terminal node stores the owner (smallest or largest identifier, as asked) and the count.
 Decisions return to the rows by an equi-join on the SHA-256 of the normalised text, whose large partitions AQE can split.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, map_arrow
 
-#: Bytes of distinct strings in a map task's trie before it is emitted.
-TRIE_BYTES = 48 << 20
+#: Memory of a trie, about, before it is emitted: bytes of labels and NODE_BYTES for each node.
+TRIE_BYTES, NODE_BYTES = 96 << 20, 450
 
 
 class _Node:
@@ -59,12 +59,13 @@ class PatriciaTrie:
             child = node.below.get(key[at])
             if child is None:
                 node.below[key[at]] = _Node(key[at:], (owner, count))
-                self.size, self.n = self.size + len(key) - at, self.n + 1
+                self.size, self.n = self.size + len(key) - at + NODE_BYTES, self.n + 1
                 return
             if key.startswith(child.label, at):
                 node, at = child, at + len(child.label)
                 continue
             shared = len(commonprefix([child.label, key[at : at + len(child.label)]]))
+            self.size += NODE_BYTES
             split = _Node(child.label[:shared])
             child.label = child.label[shared:]
             split.below = {child.label[0]: child}

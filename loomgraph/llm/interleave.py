@@ -5,7 +5,7 @@ any run of the order holds every source in its share; the order is cut into shar
 source, or the whole table, in one task: rows fall into buckets by the leading hexadecimal digits of their hash (and then by fractional rank), buckets are counted with
 partial sums, the counts are accumulated over buckets, and rows are numbered inside their bucket alone. The number of buckets follows the number of rows.
 
-Defined cases: a null text has no bytes, CRC-32 zero and size 16; a null source is a source; a null doc_id is hashed as the empty string; repeated rows
+Defined cases: a null text has no bytes, CRC-32 zero and size 16; a null source is a source; a null doc_id is hashed as the empty string, beside the text's CRC-32; texts of any length are read where they lie and never shuffled; repeated rows
 take adjacent places; fewer rows than shards leave shards empty; an empty table gives an empty one; further columns are ignored.
 """
 
@@ -16,19 +16,19 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Rows of a bucket, about.
-BUCKET_ROWS = 1_000
+#: Rows of a bucket, about, up to MOST_BUCKETS (a source's counts by bucket are accumulated in one task); the result does not depend on either.
+BUCKET_ROWS, MOST_BUCKETS = 1_000, 1 << 20
 
 
 def interleave(docs: DataFrame, shards: int = 40, seed: int = 42) -> DataFrame:
     """doc_id, source, size, text_crc32, law, shard, slot, grown_shard for every row."""
     text = F.coalesce("text", F.lit(""))
-    # The key is a hash of seed and doc_id; its first eight digits as a number name the bucket.
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    # The key is a hash of seed, doc_id and the text's CRC-32 (so rows without doc_id do not share one); its first eight digits as a number name the bucket.
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.crc32(text.cast("binary")).cast("string")).cast("binary"))
     rows = docs.select("doc_id", "source", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"))
     rows = written(rows.withColumn("lead", F.conv(F.substring("key", 1, 8), 16, 10).cast("long")), "shuffled")
     total = rows.count()
-    buckets = max(1, min(1 << 20, total // BUCKET_ROWS))
+    buckets = max(1, min(MOST_BUCKETS, total // BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.floor(F.col("lead") * buckets / F.lit(float(1 << 32))).cast("int"))
 
     # Ranks within each source: rows in earlier buckets, then the place in the own one.

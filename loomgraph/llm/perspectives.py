@@ -10,7 +10,9 @@ Texts are shuffled once, to their part: the pairs of part and speaker come from
 
 Messages are ordered by turn, MD5 of the text, and speaker (null first). Defined cases: a null text is empty; a null speaker is a participant of its own, rendered
 without a name; a null turn forms a part of its own, named "none"; a null conv_id is a conversation; repeated rows (same conversation, turn, speaker and text) are one message, and counted in
-n_rows; a conversation that has context alone has no participants and so no rows; an empty table gives an empty one; further columns are ignored.
+n_rows; a conversation that has context alone has no participants and so no rows; texts are kept
+as they are, even where they hold the marks <|im_start|> or <|im_end|>, and the mask is counted from lengths, so it is right then too (neutralise them before tokenizing, if the tokenizer reads them as marks); the result has a
+row for each participant and part, and so grows with messages times participants, which is what is asked for; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations

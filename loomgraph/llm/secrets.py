@@ -39,8 +39,8 @@ def parts(keyed: DataFrame) -> DataFrame:
     kinds = hits.select("key", F.explode(F.array(*of)).alias("x")).where("size(x.hits) > 0")
     rows = kinds.select("key", "x.k", F.posexplode(F.arrays_zip("x.hits", "x.gaps")).alias("i", "y"))
     rows = rows.select("key", "k", "i", F.col("y.hits").alias("hit"), F.length("y.gaps").cast("long").alias("gap")).where("hit IS NOT NULL")
-    # Repeated rows give the same matches again: one partitioning serves their removal and the running sums.
-    rows = rows.repartition("key", "k").dropDuplicates(["key", "k", "i"])
+    # Repeated rows give the same matches again: they go within each task before any is shuffled, then by match, so no task holds all copies of a row.
+    rows = rows.dropDuplicates(["key", "k", "i"])
     before = Window.partitionBy("key", "k").orderBy("i")
     n = F.length("hit").cast("long")
     rows = rows.select("key", "k", "hit", (F.sum(F.col("gap") + n).over(before)).alias("end"), n.alias("n"))

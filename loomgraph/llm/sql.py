@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 ORACLES = {
-    # Blocks of 512 turns; what exceeds 1024 rows or 16 MiB in a block is divided further by the operator, and tested against brute force.
+    # Blocks of 512 turns; those of over 1024 rows or 16 MiB by turn, and each turn by ranges of the hash that orders its messages.
     "op2_perspective_rotation": r"""
-        WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, count(*) AS copies, coalesce(floor(turn / 512.0)::BIGINT::VARCHAR, 'none') AS part, coalesce(role = 'system', false) AS aside FROM conversations GROUP BY ALL),
+        WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, coalesce(floor(turn / 512.0)::BIGINT::VARCHAR, 'none') AS block FROM conversations),
+        cells AS (SELECT conv_id, block, count(*) > 1024 OR sum(octet_length(encode(t))) > 16777216 AS crowded FROM r GROUP BY ALL),
+        u AS (SELECT r.*, crowded, count(*) AS copies FROM r JOIN cells ON r.block = cells.block AND r.conv_id IS NOT DISTINCT FROM cells.conv_id GROUP BY ALL),
+        n AS (SELECT *, greatest(ceil(count(*) OVER w * 2 / 1024.0), ceil(sum(octet_length(encode(t))) OVER w * 2 / 16777216.0), 1) AS ranges FROM u WINDOW w AS (PARTITION BY conv_id, block, turn)),
+        m AS (SELECT conv_id, turn, role, t, copies, coalesce(role = 'system', false) AS aside, CASE WHEN crowded THEN concat_ws('.', block, coalesce(turn::VARCHAR, 'none'), floor(('0x' || substr(md5(t), 1, 8))::BIGINT * ranges / 4294967296.0)::BIGINT) ELSE block END AS part FROM n),
         p AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE NOT aside),
         v AS (SELECT m.*, perspective, NOT aside AND role IS NOT DISTINCT FROM perspective AS own, row_number() OVER (PARTITION BY m.conv_id, perspective, part ORDER BY turn, md5(t), role NULLS FIRST) AS i FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
         h AS (SELECT *, '<|im_start|>' || CASE WHEN aside THEN role WHEN own THEN 'assistant' ELSE 'user' || coalesce(' name=' || regexp_replace(role, '[\x00-\x1F\x7F]', ' ', 'g'), '') END || chr(10) AS head FROM v),
@@ -34,13 +38,14 @@ ORACLES = {
     """,
     # CRC-32 step by step over the bytes: in DuckDB there is no function for it.
     "op6_stratified_interleave": """
-        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, md5('42|' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
         bits AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
         u AS (SELECT t, encode(t) AS raw FROM (SELECT DISTINCT t FROM d)),
         h AS (SELECT t, octet_length(raw) AS n, list_transform(range(0, 2 * octet_length(raw), 2), lambda i: (strpos('0123456789ABCDEF', substr(hex(raw), i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(raw), i + 2, 1)) - 1) AS b FROM u),
         c AS (SELECT t, n, xor(list_reduce(list_prepend(4294967295, b), lambda x, y: xor(x >> 8, tab[xor(x & 255, y) + 1])), 4294967295) AS crc FROM h, bits),
-        f AS (SELECT d.*, n + 16 AS size, crc AS text_crc32, (2 * row_number() OVER (PARTITION BY source ORDER BY key, doc_id, crc, n) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source)) AS share FROM d JOIN c USING (t)),
-        o AS (SELECT *, row_number() OVER (ORDER BY share, source NULLS FIRST, key, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM f),
+        k AS (SELECT d.*, n, crc, md5('42|' || coalesce(doc_id::VARCHAR, '') || '|' || crc::BIGINT) AS key FROM d JOIN c USING (t)),
+        f AS (SELECT *, n + 16 AS size, crc AS text_crc32, (2 * row_number() OVER (PARTITION BY source ORDER BY key, doc_id, crc, n) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source)) AS share FROM k),
+        o AS (SELECT * EXCLUDE (n), row_number() OVER (ORDER BY share, source NULLS FIRST, key, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM f),
         q AS (SELECT *, n // 40 AS q, n % 40 AS r FROM o)
         SELECT doc_id, size, text_crc32, 'rows' AS law, (CASE WHEN pos < r * (q + 1) THEN pos // (q + 1) ELSE r + (pos - r * (q + 1)) // greatest(q, 1) END)::INTEGER AS shard,
                (CASE WHEN pos < r * (q + 1) THEN pos % (q + 1) ELSE (pos - r * (q + 1)) % greatest(q, 1) END)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM q

@@ -6,7 +6,7 @@ estimates each voter's accuracies, discounts voters by the correlation of their
 one more voter. A linear (logistic) classifier is trained on the posterior labels and scores every whole text. Without labels the fixed voters alone
 supervise. Only counts, chosen terms and the sample's vote lists reach the driver; the scan of all documents is one map without shuffle.
 
-Defined cases: a null or empty text has no features and gets the classifier's base score; repeated rows get equal scores; conflicting labels of one doc_id are averaged; null labels and labels
+Defined cases: a null or empty text has no features and gets the classifier's base score; texts and words of any length are read whole; repeated rows get equal scores; columns named score or predicted are replaced; conflicting labels of one doc_id are averaged; null labels and labels
 without a document count for nothing; an empty table gives an empty one; other columns (labels, lang, source, doc_id) are no input of the score and are kept.
 """
 
@@ -39,8 +39,7 @@ def terms(text: str) -> set[str]:
     found = set()
     for w in set(_WORDS(text.lower())):
         found.update(f"b:{w[:k]}" for k in BEGINNINGS if len(w) > k)
-        if len(w) <= 24:
-            found.add(f"w:{w}")
+        found.add(f"w:{w}")
         if w in LEXICON:
             found.add("f:lexicon")
     found.update(f"f:{name}" for name, p in PATTERNS.items() if p.search(text))
@@ -68,11 +67,12 @@ class Model:
         for w in set(_WORDS(text.lower())):
             found = known.get(w)
             if found is None:
-                own = [f"b:{w[:k]}" for k in BEGINNINGS if len(w) > k] + [f"w:{w}"] * (len(w) <= 24) + ["f:lexicon"] * (w in LEXICON)
+                own = [f"b:{w[:k]}" for k in BEGINNINGS if len(w) > k] + [f"w:{w}"] + ["f:lexicon"] * (w in LEXICON)
                 found = tuple(at[t] for t in own if t in at)
                 if len(known) >= 300_000:
                     known.clear()
-                known[w] = found
+                if len(w) <= 64:
+                    known[w] = found
             if found:
                 out.update(found)
         out.update(at[f"f:{name}"] for name, p in PATTERNS.items() if f"f:{name}" in at and p.search(text))

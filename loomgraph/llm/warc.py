@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and its reader.
 
-Pages are range-sorted by page_id into shards whose bounds come from exact byte counts over identifier ranges (and not from samples), so the same table gives the same
-files, byte for byte, however it was partitioned. A task writes each of its shards in order, one gzip member per record, and begins a new file when the compressed
+Pages are range-sorted by page_id and payload hash into shards whose bounds come from exact sums of bytes in that order (and not from samples), so the same table gives the same
+files, byte for byte, however it was partitioned, and neither far-off identifiers nor one that many pages share make a shard larger than others (repeated rows alone stay together, and are streamed). A task writes each of its shards in order, one gzip member per record, and begins a new file when the compressed
 size reaches the roll size. Headers and digests are made anew: block and payload SHA-1 in base32, record identifiers from content. Of equal payloads the page with the largest
 page_id is a response and the others revisit it. Files are written under temporary names; the rows of those tasks that succeeded form the manifest, files that it
 lists are renamed, and the manifest, written last, commits the archive. Files of lost or repeated attempts are not listed, so no reader sees them.
@@ -16,16 +16,19 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, written
 
-#: Raw payload bytes in a shard, about; compressed bytes after which a file ends.
+#: Raw payload bytes in a shard, at least and about; compressed bytes after which a file ends.
 SHARD_BYTES, ROLL_BYTES = 48 << 20, 32 << 20
+#: Shards at most, so that the list of where they begin stays small: of more data each shard has more, and rolls more files.
+MOST_SHARDS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, seq int, temp string, name string, n_records long, n_bytes long, sha256 string"
@@ -80,20 +83,20 @@ def records(stream, size: int = 1 << 20):
         data = stream.read(size)
 
 
-def ranges(small: DataFrame, shard_bytes: int) -> tuple[F.Column, DataFrame, int]:
-    """Of rows (page_id, n): the expression of a range of identifiers, the table from ranges to shards of about so many bytes, and the number of shards; from exact counts."""
-    low, high, total = small.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    cuts = max(64, 16 * ((total or 0) // shard_bytes + 1))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // cuts))
-    at = F.coalesce(F.expr(f"(page_id - {low or 0}L) div {width}L"), F.lit(0).cast("long"))
-    counts = small.groupBy(at.alias("range")).agg(F.sum("n").alias("n")).orderBy("range").collect()  # as many rows as ranges
-    shard, held, of = 0, 0, []
-    for r in counts:
-        if held and held + r["n"] > shard_bytes:
-            shard, held = shard + 1, 0
-        held += r["n"]
-        of.append((r["range"], shard))
-    return at, F.broadcast(small.sparkSession.createDataFrame(of, "range long, shard int")), shard + 1
+def bounds(small: DataFrame, shard_bytes: int) -> list[tuple]:
+    """Of rows (page_id, key, n): where each shard begins, as (page_id, key), in order; from exact sums of n in that order, however rows lie. A shard has shard_bytes, about, or as many as make MOST_SHARDS."""
+    units = small.groupBy("page_id", "key").agg(F.sum("n").alias("n"))
+    units = written(units.repartitionByRange("page_id", "key").withColumn("part", F.spark_partition_id()), "units")
+    parts = units.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each partition
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
+    here = F.sum("n").over(Window.partitionBy("part").orderBy("page_id", "key")) - F.col("n")
+    size = F.greatest(F.lit(shard_bytes), F.ceil(F.col("total") / MOST_SHARDS))
+    at = units.withColumn("here", here).join(F.broadcast(before), "part").withColumn("shard", F.floor((F.col("before") + F.col("here")) / size))
+    return sorted((_place(r[0], r[1]) for r in at.groupBy("shard").agg(F.min(F.struct("page_id", "key")).alias("first")).select("first.page_id", "first.key").collect()))
+
+
+def _place(page_id, key) -> tuple:
+    return page_id is not None, page_id or 0, key
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -102,12 +105,17 @@ def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = SHAR
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("key"))
     small = written(rows.select("page_id", "key", (F.octet_length("html").cast("long") + 512).alias("n")), "payloads")
     owners = small.groupBy("key").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies"))
-    at, shards, n = ranges(small, shard_bytes)
+    begins = bounds(small, shard_bytes)
+
+    @F.arrow_udf("int")
+    def shard_of(page_id: pa.Array, key: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(begins, _place(i, k)) - 1 for i, k in zip(page_id.to_pylist(), key.to_pylist(), strict=True)], pa.int32())
+
     # Payloads are shuffled once: who owns a payload comes to its shard as a row of its own, sorted before the pages that it is about.
     who = small.select("page_id", "key").distinct().join(owners, "key").select("page_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "owner", "copies")
     both = who.unionByName(rows.withColumns({"kind": F.lit(1), "owner": F.lit(None).cast("long"), "copies": F.lit(None).cast("long")}))
-    dealt = both.withColumn("range", at).join(shards, "range").select("shard", "page_id", "key", "kind", "url", "html", "owner", "copies")
-    dealt = dealt.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id", "key", "kind", "url")
+    dealt = both.select(shard_of("page_id", "key").alias("shard"), "page_id", "key", "kind", "url", "html", "owner", "copies")
+    dealt = dealt.repartitionById(max(1, len(begins)), F.col("shard")).sortWithinPartitions("shard", "page_id", "key", "kind", "url")
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
