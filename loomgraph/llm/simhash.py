@@ -2,8 +2,8 @@
 
 A fingerprint has 64 bits, each set where over half of a text's shingle hashes have it set. Two fingerprints within radius r that
 are cut into m > r blocks agree in some m - r blocks, so each is sent to one shard for each choice of m - r blocks, named by
-the bits of those blocks: pairs within the radius always meet. A shard holds distinct fingerprints that differ in r of m blocks only, at most
-2 to the power of those blocks' bits. In a shard a BK-tree is grown (children keyed by integer Hamming distance to the parent) and each fingerprint follows
+the bits of those blocks: pairs within the radius always meet. A shard holds distinct fingerprints that differ in r of m blocks only; one of over HOT
+fingerprints is dealt on by the bits of those blocks, which are cut and chosen in the same way. In a shard a BK-tree is grown (children keyed by integer Hamming distance to the parent) and each fingerprint follows
 only edges within the radius before it is inserted; a subtree known to lie in the component that the fingerprint has joined already is skipped, so that a
 dense cluster does not cost its square. A shard returns a spanning forest of its links and not its pairs, and the forests
 meet in a distributed contraction.
@@ -28,6 +28,8 @@ from .components import connected_components
 
 #: Odd multiplier that mixes fingerprints into node identifiers (a bijection on 64 bits).
 MIX = 0x9E3779B97F4A7C15
+#: Fingerprints in a shard, above which it is dealt on.
+HOT = 200_000
 _MASK = (1 << 64) - 1
 
 
@@ -108,6 +110,17 @@ class BKTree:
                 whole[i] = -1
             i = below[i].setdefault((values[i] ^ x).bit_count(), me)
 
+    def insert(self, x: int) -> None:
+        """A new value, without links."""
+        me, values, below = len(self.values), self.values, self.below
+        self.parent.append(me)
+        values.append(x)
+        below.append({})
+        self.whole.append(-1)
+        i = 0
+        while i != me:
+            i = below[i].setdefault((values[i] ^ x).bit_count(), me)
+
 
 def forest(fps: np.ndarray, radius: int):
     """Spanning links (node, node) of one shard's distinct fingerprints: each member with its component's least node."""
@@ -133,7 +146,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
+def _split(free: int, radius: int) -> list[int]:
+    """Masks over the bits of `free`, cut into radius + 3 blocks: each choice of three of them."""
+    bits = [b for b in range(64) if free >> b & 1]
+    m = radius + 3
+    block = [sum(1 << b for b in bits[len(bits) * i // m : len(bits) * (i + 1) // m]) for i in range(m)]
+    return [sum(c) for c in combinations(block, m - radius)]
+
+
+def links(nodes: DataFrame, radius: int, blocks: int, hot: int = HOT) -> DataFrame:
     """nodes (fp, distinct) to spanning links (a, b) between nodes."""
 
     def run(batches):
@@ -165,8 +186,18 @@ def links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
         if out:
             yield batch()
 
-    shards = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks(radius, blocks)))))
+    first = masks(radius, blocks)
+    shards = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(first))))
     dealt = nodes.select(shards.alias("s"), "fp").select("s.c", "s.k", "fp")
+    # A crowded shard is dealt on by the bits that its name leaves open, in the same way: those within the radius agree in some of these blocks too.
+    crowded = written(dealt.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("c", "k"), "crowded")
+    if not crowded.isEmpty():
+        inner = [_split(((1 << 64) - 1) ^ m, radius) for m in first]
+        inside = dealt.join(crowded, ["c", "k"], "left_semi")
+        names = F.array(*(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(x))) for x in of)) for of in inner))
+        second = inside.select("c", "k", "fp", F.posexplode(F.element_at(names, F.col("c") + 1)).alias("i", "more"))
+        second = second.select((F.lit(len(first)) + F.col("c") * 1000 + F.col("i")).alias("c"), F.xxhash64("k", "more").alias("k"), "fp")
+        dealt = dealt.join(crowded, ["c", "k"], "left_anti").unionByName(second)
     return map_arrow(dealt.repartition("c", "k").sortWithinPartitions("c", "k", "fp"), run, "a long, b long")
 
 

@@ -171,3 +171,57 @@ def test_owner_tries_hold_many_strings():
         found = list(exact_dedup.tries(rows, "max", limit))
         assert least <= len(found) <= most
         assert sorted(x for t in found for x in t.items()) == sorted([(b"", 4, 1), (b"ab", 2, 1), (b"abc", 5, 2), (b"abd", 1, 1), (b"xyz" * 50, 3, 1)])
+
+
+def test_crowded_simhash_shards_are_dealt_on(spark):
+    r = random.Random(31)
+    centre = r.getrandbits(64)
+    values = sorted({centre ^ sum(1 << b for b in r.sample(range(64), r.randrange(7))) for _ in range(300)} | {r.getrandbits(64) for _ in range(40)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+
+    def groups(pairs):
+        up = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[top(a)] = top(b)
+        out = {}
+        for x in list(up):
+            out.setdefault(top(x), set()).add(x)
+        return sorted(map(sorted, out.values()))
+
+    mixed = {v: ((v * simhash.MIX) & (2**64 - 1)) for v in values}
+    mixed = {v: m - (1 << 64) if m >> 63 else m for v, m in mixed.items()}
+    want = groups((mixed[a], mixed[b]) for a, b in combinations(values, 2) if (a ^ b).bit_count() <= 4)
+    for hot in (200_000, 5):
+        assert groups(tuple(x) for x in simhash.links(nodes, 4, 6, hot).collect()) == want
+
+
+def test_long_items_are_cut_and_blocks_are_scanned_in_turn(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 80)))) for i in range(12)] + [(20, "solo")]
+    texts = [" ".join([*r.choices(words, k=5), *t.split()[a : a + r.randrange(8, 30)], *r.choices(words, k=3)]) for _, t in items for a in (0, 3, 11)] + ["w1 " * 30_000 + items[3][1], ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for i, t in enumerate(texts):
+        w, hit, found = t.split(), set(), set()
+        for k, item in items:
+            v = item.split()
+            n = min(10, len(v))
+            grams = {tuple(v[j : j + n]) for j in range(len(v) - n + 1)}
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in grams:
+                    hit.update(range(j, j + n))
+                    found.add(str(k))
+        want.append((i, len(w), len(hit), sorted(found)))
+    for size in (192 << 20, 6000):
+        got = decontaminate.decontaminate(d, spark.createDataFrame(items, "item_id long, text string"), block_bytes=size)
+        assert sorted((x.doc_id, x.n_words, x.n_hit, x["items"]) for x in got.collect()) == want
+    assert decontaminate.decontaminate(d.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0

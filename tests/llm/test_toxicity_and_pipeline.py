@@ -4,6 +4,7 @@ import re
 import zlib
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from test_dedup_and_shards import brute_print
 
 import corpus_pipeline
-from loomgraph.llm import toxicity
+from loomgraph.llm import near_duplicates, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 VOCABULARY = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ru", "te") for b in ("ban", "dor", "fel", "gim", "hut", "jas") for c in ("a", "el", "ir", "os", "um", "yn")]
@@ -93,6 +94,30 @@ def lowered(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
+def jaccard(a, b):
+    of = lambda t: {tuple(w[i : i + 5]) for w in [lowered(t).split()] for i in range(max(1, len(w) - 4))} if (t or "").split() else set()
+    x, y = of(a), of(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def wide(rows):
+    """One row of each component of texts with a 5-word Jaccard similarity of 0.8 or more: that with the least doc_id."""
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+            up[top(i)] = top(j)
+    first = {}
+    for i, r in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0)):
+        first.setdefault(top(i), i)
+    return [r for i, r in enumerate(rows) if first[top(i)] == i]
+
+
 def brute(rows, model, items):
     """The five stages over a list of rows."""
     at = lambda r: -1 if r[0] is None else r[0]
@@ -116,6 +141,7 @@ def brute(rows, model, items):
         if r[0] is not None:
             least[top(i)] = min(r[0], least.get(top(i), r[0]))
     rows = [r for i, r in enumerate(rows) if r[0] == least.get(top(i))]
+    rows = wide(rows)
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
     windows = {tuple(w[i : i + 10]) for t in items if (w := words(t)) for i in range(max(1, len(w) - 9))}
     sizes = {len(w) for w in windows}
@@ -183,3 +209,65 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
 
 def test_pipeline_of_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder(spark, tmp_path, [], [], [])).count() == 0
+
+
+def edited(r, text, n):
+    words = text.split()
+    for _ in range(n):
+        words[r.randrange(len(words))] = "other" + str(r.randrange(1000))
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("hot", [4000, 3])
+def test_near_duplicates_equal_all_pairs(spark, hot):
+    r = random.Random(21)
+    passage = prose(r, 40)
+    texts = [prose(r, r.randrange(1, 150)) for _ in range(40)] + [f"{passage} {prose(r, r.randrange(5, 30))}" for _ in range(30)]
+    texts += [edited(r, t, r.randrange(1, 4)) for t in texts for _ in range(2)] + [None, "", " \n", texts[0].upper(), texts[0]]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3), hot=hot).collect()
+    up = list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    pairs = [(i, j) for i, j in combinations(range(len(texts)), 2) if jaccard(texts[i], texts[j]) >= 0.8]
+    for i, j in pairs:
+        up[top(i)] = top(j)
+    label = {x.row: x.label for x in found}
+    assert len(label) == len(found) == len(texts)
+    assert all((label[i] == label[j]) == (top(i) == top(j)) for i, j in combinations(range(len(texts)), 2))
+    assert len(pairs) > 40
+    assert near_duplicates.near_duplicates(spark.createDataFrame([], "row long, text string")).count() == 0
+
+
+def test_label_model_finds_accuracies_and_linear_follows():
+    """Against the model that drew the votes: voters of known accuracy, two of them copies of one."""
+    r = np.random.default_rng(3)
+    y = (r.random(4000) < 0.2).astype(float)
+    good, bad = [0.9, 0.7, 0.6, 0.5], [0.02, 0.05, 0.05, 0.3]
+    votes = np.stack([np.where(y == 1, r.random(4000) < a, r.random(4000) < b) for a, b in zip(good, bad, strict=True)], axis=1).astype(np.float32)
+    votes = np.hstack([votes, votes[:, 3:], votes[:, 3:]])  # two copies of the poorest voter
+    post = toxicity.label_model(votes, np.full(4000, np.nan), np.array([20.0, 10, 10, 2, 2, 2]))
+    exact = np.log(0.2 / 0.8) + sum(np.where(votes[:, k] == 1, np.log(good[k] / bad[k]), np.log((1 - good[k]) / (1 - bad[k]))) for k in range(4))
+    assert ((post > 0.5) == (exact > 0)).mean() > 0.95 and ((post > 0.5) == y).mean() > 0.93
+    w, base = toxicity.linear(votes, post)
+    p = 1 / (1 + np.exp(-(votes @ w + base)))
+    assert ((p > 0.5) == (post > 0.5)).mean() > 0.98 and w[0] > w[3]
+
+
+def test_very_long_words_and_texts_are_read_whole():
+    model = toxicity.Model({"w:" + "x" * 5000: 3.0, "f:shout": 1.0}, -1.0)
+    assert model.hits("x" * 5000) == [0] and model.hits("a " * 300_000 + "x" * 5000 + "!!!") == [0, 1]
+    assert "w:" + "x" * 5000 in toxicity.terms("x" * 5000)
+
+
+def test_pipeline_stages_keep_further_columns(spark, tmp_path):
+    rows, toxic = corpus(60, 11)
+    d = folder(spark, tmp_path, rows, labelled(rows, toxic), [(1, ITEM)])
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "doc_id + 1 AS score", "'k' AS kept", "2 AS row", "'x' AS text_sha256", "3 AS n_hit", "4 AS fp", "5 AS label")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, d)
+        assert found.columns == docs.columns
+        assert found.where("score = doc_id + 1 AND kept = 'k' AND row = 2 AND text_sha256 = 'x' AND n_hit = 3 AND fp = 4 AND label = 5").count() == found.count() > 0

@@ -126,3 +126,49 @@ def test_weak_parts_need_company(spark):
 
 def test_secrets_empty(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_warc_far_off_and_shared_identifiers(spark, tmp_path):
+    """One far-off identifier, the least one there is, and many rows without any: shards stay near their size."""
+    rows = [(i, None, "p" * 1000) for i in range(300)] + [(10**18, None, "far"), (-(2**63), None, "least")] + [(None, None, f"{i} " * 200) for i in range(300)]
+    pages = spark.createDataFrame([(*p, "s", "k", 1) for p in rows], "page_id long, url string, html string, shard string, key string, kind int")
+    found = warc.write(pages, folder(tmp_path, "a"), shard_bytes=30_000, roll_bytes=1 << 30).collect()
+    assert sum(x.n_records for x in found) == len(rows) and max(x.n_records for x in found) < 60
+    back = warc.read(spark, folder(tmp_path, "a")).collect()
+    assert sorted(x.page_id or 0 for x in back) == sorted(i or 0 for i, _, _ in rows)
+
+
+def test_long_payload(spark, tmp_path):
+    html = "é<p>" * 700_000
+    warc.write(spark.createDataFrame([(1, "u", html), (2, "u", html)], "page_id long, url string, html string"), folder(tmp_path, "a"))
+    found = {x.page_id: x for x in warc.read(spark, folder(tmp_path, "a")).collect()}
+    assert bytes(found[2].payload) == html.encode() and found[1].refers_to == 2 and found[1].payload_bytes == len(html.encode())
+
+
+def test_bpe_of_an_empty_table_and_other_tokenizers(spark, tmp_path):
+    import json
+
+    assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+    spec = json.load(open(PATH))
+    spec["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.ByteLevelBPE(str(tmp_path / "t.json"))
+
+
+def test_weak_parts_against_brute_force(spark):
+    """Every weak candidate against every complementary part of the same text."""
+    r = random.Random(16)
+    blob = lambda: "".join(r.choice("aZ3b9Q") for _ in range(42))
+    bits = [lambda: f"user: bob{r.randrange(99)}", blob, lambda: "https://h.example/x", lambda: f"token={'k' * 14}", lambda: "AKIA" + "Q7" * 8, lambda: "pad " * r.randrange(1, 70), lambda: "0123456789abcdef"]
+    rows = [(i, " ".join(r.choice(bits)() for _ in range(r.randrange(12)))) for i in range(150)] + [(900, "x" * 300_000 + " user: alice77 " + "token=abcdefghijklmn")]
+    found = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans] for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    classes = dict(zip(("assign", "access", "hex", "ident", "blob", "endpoint"), ("secret", "identifier", "secret", "identifier", "secret", "endpoint"), strict=True))
+    for i, t in rows:
+        every = [(s, ("assign", "access", "hex")[k], e) for s, k, e in brute_base(t)]
+        every += [(m.start(), "ident", m.end()) for m in re.finditer(r"(?i)(user|username|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@_.-]{4,})", t)]
+        every += [(m.start(), "blob", m.end()) for m in re.finditer(r"[A-Za-z0-9+/]{40,}", t) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+        every += [(m.start(), "endpoint", m.end()) for m in re.finditer(r"""(https?|ftps?|ssh|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s"'<>]+""", t)]
+        near = lambda x, y: y[0] <= x[2] + secrets.SCOPE and y[2] >= x[0] - secrets.SCOPE
+        want = [x for x in every if x[1] in ("assign", "access", "hex") or any(near(x, y) and (classes[x[1]] == "secret") != (classes[y[1]] == "secret") for y in every)]
+        assert sorted(found[i]) == sorted((k, s, e) for s, k, e in want), t
