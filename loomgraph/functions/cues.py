@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,19 +41,19 @@ CUES = {
 }
 
 
+COMPILED = {d: [re.compile(p, re.IGNORECASE) for p in found] for d, found in CUES.items()}
+
+
 def runs(text: str, patterns: list[re.Pattern]) -> int:
-    """Separate stretches of text that the matches of all patterns cover together."""
-    reach, n = -1, 0
-    for start, end in sorted(m.span() for p in patterns for m in p.finditer(text)):
-        n += start >= reach
-        reach = max(reach, end)
-    return n
+    """Separate stretches of text that the matches of all patterns cover together: those spans that begin where no earlier one still reaches."""
+    spans = sorted(m.span() for p in patterns for m in p.finditer(text))
+    reach = [-1, *accumulate((end for _, end in spans), max)]
+    return sum(start >= r for (start, _), r in zip(spans, reach, strict=False))
 
 
 @F.pandas_udf(StructType([StructField(d, LongType()) for d in A.DIMENSIONS]))
 def cue_hits(texts: pd.Series) -> pd.DataFrame:
-    compiled = {d: [re.compile(p, re.IGNORECASE) for p in CUES[d]] for d in A.DIMENSIONS}
-    return pd.DataFrame([{d: runs(t, p) for d, p in compiled.items()} for t in texts.fillna("")], columns=A.DIMENSIONS)
+    return pd.DataFrame([{d: runs(t, COMPILED[d]) for d in A.DIMENSIONS} for t in texts.fillna("")], columns=A.DIMENSIONS)
 
 
 def cue_counts(texts: DataFrame, text: str) -> DataFrame:

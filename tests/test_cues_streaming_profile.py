@@ -77,7 +77,9 @@ def test_windowed_contributions(spark, tmp_path):
 
 
 def test_profiles():
-    assert profile.profile_violations({}) == [] and profile.profile_violations([]) == ["a profile is a mapping"]
-    assert profile.profile_digest({}) == profile.profile_digest({"k": 5.0, "d_blend_weights": {"links": 0.5}}) != profile.profile_digest({"k": 6})
-    bad = profile.profile_violations({"k": True, "r": -1, "x": 1, "d_blend_weights": {"links": 0, "nesting": 0}, "confidence_floor": 2, "point_saturation": 0, "tiebreak_salt": ""})
-    assert len(bad) == 7
+    assert profile.profile_violations({"profile_id": "p"}) == [] and profile.profile_violations([]) == ["a profile is a mapping"]
+    assert profile.profile_violations({}) == ["profile_id must be a text"]
+    assert profile.profile_digest({"profile_id": "p"}) == profile.profile_digest({"profile_id": "p", "k": 5.0, "xref_resolver": "article-v1"}) != profile.profile_digest({"profile_id": "p", "k": 6})
+    bad = profile.profile_violations({"profile_id": "p", "k": True, "r": 0, "x": 1, "d_blend_weights": {"links": 0, "nesting": 0}, "match_blend_weights": {"term": 1}, "confidence_floor": 2, "point_saturation": 2.5, "tiebreak_salt": "", "xref_resolver": "v3"})
+    assert len(bad) == 9
+    assert profile.profile_violations({"profile_id": "p", "d_blend_weights": {"links": 1e308, "nesting": 1e308}})
