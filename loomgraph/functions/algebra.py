@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomgraph.profile import resolve_profile
+
 #: The dimensions in canonical order.
 DIMENSIONS = ["structural", "causal", "intentional", "temporal", "relational"]
 
@@ -30,9 +32,27 @@ def left_fold(order: Column, dim: Column) -> Column:
     return F.when(last.isNull(), "relational").when(last != "structural", last).when(before == "causal", "causal").otherwise("structural")
 
 
-def product_in_order(order: Column, weight: Column) -> Column:
-    """Aggregate: the product of weights, multiplied in order so that it is the same however rows are dealt."""
-    return F.aggregate(F.array_sort(F.collect_list(F.struct(order.alias("o"), weight.alias("w")))), F.lit(1.0), lambda a, x: a * x["w"])
+def product(weight: Column) -> Column:
+    """Aggregate: the product of weights at six decimals, from partial products, so no group is held in one place."""
+    return round6(F.product(F.coalesce(weight, F.lit(1.0))))
+
+
+def zero_contributions() -> list[Column]:
+    return [F.lit(0).cast("long").alias(d) for d in DIMENSIONS]
+
+
+def with_embeds(count: Column) -> list[Column]:
+    """Contributions with what a node contains added to the structural one; an error for a negative count."""
+    held = F.coalesce(count, F.lit(0)).cast("long")
+    held = F.when(held < 0, F.raise_error(F.lit("a count of embeds is negative"))).otherwise(held)
+    return [(F.coalesce(F.col(d), F.lit(0)) + (held if d == "structural" else F.lit(0))).alias(d) for d in DIMENSIONS]
+
+
+def guarded(c: Column, what: str, low: float = 0.0, high: float | None = None) -> Column:
+    """c, or an error where it is not a finite number from low to high."""
+    wrong = c.isNull() | F.isnan(c.cast("double")) | (c < low) | (F.abs(c.cast("double")) == float("inf"))
+    wrong = wrong if high is None else wrong | (c > high)
+    return F.when(wrong, F.raise_error(F.concat(F.lit(f"{what} is out of range: "), F.coalesce(c.cast("string"), F.lit("null"))))).otherwise(c)
 
 
 def contributions(dim: Column) -> list[Column]:
@@ -46,7 +66,8 @@ def round6(c: Column) -> Column:
 
 
 def shares() -> list[Column]:
-    total = reduce(lambda a, b: a + b, (F.col(d) for d in DIMENSIONS))
+    """An error for a negative contribution."""
+    total = reduce(lambda a, b: a + b, (guarded(F.col(d), "a contribution") for d in DIMENSIONS))
     return [F.when(total == 0, 0.0).otherwise(round6(F.col(d) / total)).alias(d) for d in DIMENSIONS]
 
 
@@ -60,8 +81,16 @@ def basis() -> Column:
     return F.when(F.greatest(*DIMENSIONS) > 0, "planes").otherwise("default")
 
 
-def point(saturation: float = 5.0) -> list[Column]:
-    return [round6(F.least(F.col(d) / F.lit(float(saturation)), F.lit(1.0))).alias(d) for d in DIMENSIONS]
+def point(saturation: float | dict[str, float] = 5.0) -> list[Column]:
+    """saturation: one for all dimensions, or by dimension (5 where none is named)."""
+    sat = {d: float(saturation.get(d, 5.0) if isinstance(saturation, dict) else saturation) for d in DIMENSIONS}
+    if min(sat.values()) <= 0 or isinstance(saturation, dict) and set(saturation) - set(DIMENSIONS):
+        raise ValueError(f"saturations are positive and by known dimensions: {saturation!r}")
+    return [round6(F.least(guarded(F.col(d), "a contribution") / F.lit(sat[d]), F.lit(1.0))).alias(d) for d in DIMENSIONS]
+
+
+def point_from_profile(profile: dict) -> list[Column]:
+    return point(resolve_profile(profile)["point_saturation"])
 
 
 def cosine(p: list[Column], q: list[Column]) -> Column:
@@ -95,9 +124,18 @@ def tiebreak_key(identifier: Column, salt: str) -> Column:
 
 
 def combine_scores(term: Column, structural: Column, term_weight: float = 0.7, structural_weight: float = 0.3) -> Column:
+    """An error for a score outside 0 and 1."""
+    if not (min(term_weight, structural_weight) >= 0 and 0 < term_weight + structural_weight < float("inf")):
+        raise ValueError("weights are 0 or more and have a positive sum")
+    term, structural = guarded(term, "a score", 0.0, 1.0), guarded(structural, "a score", 0.0, 1.0)
     return round6((term * term_weight + structural * structural_weight) / (term_weight + structural_weight))
 
 
+def combine_scores_from_profile(term: Column, structural: Column, profile: dict) -> Column:
+    w = resolve_profile(profile)["match_blend_weights"]
+    return combine_scores(term, structural, w["term"], w["structural"])
+
+
 def relational_effective(relational: Column, others: Column, scale: float = 1.0) -> Column:
     return round6(relational * scale / (scale + others))
 
@@ -113,6 +151,11 @@ def depth_blend(links: Column, anchors: Column, nesting: Column, link_scale: flo
     return round6(F.least(F.greatest(blend, F.lit(0.0)), F.lit(1.0)))
 
 
+def depth_blend_from_profile(links: Column, anchors: Column, nesting: Column, profile: dict) -> Column:
+    p = resolve_profile(profile)
+    return depth_blend(links, anchors, nesting, p["link_saturation"], p["anchor_saturation"], p["d_blend_weights"]["links"], p["d_blend_weights"]["nesting"])
+
+
 def debounce(times: Column, window: float, threshold: int) -> Column:
     """Flushes of sorted times: a window is anchored at its first event, closes at `threshold` events, and is flushed partly by a gap or the end."""
     state = F.struct(F.lit(None).cast("double").alias("at"), F.lit(0).alias("n"), F.lit(0).alias("out"))

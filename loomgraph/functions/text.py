@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomgraph.functions import algebra as A
 
@@ -85,9 +89,15 @@ def text_hash(c: Column) -> Column:
     return F.substring(F.sha2(c.cast("binary"), 256), 1, 16)
 
 
+@F.arrow_udf(StringType())
+def composed(text: pa.Array) -> pa.Array:
+    """In composed form (NFC). There is no such function in the JVM's catalogue."""
+    return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
+
+
 def statement_id(uri: Column, date: Column, text: Column) -> Column:
     """uri#date#hash of the text with white space collapsed; NULL where a part holds a #."""
-    bare = F.trim(F.regexp_replace(text, r"[\u00A0 \t\n\r\f\x0B]+", " "))
+    bare = F.trim(F.regexp_replace(composed(text), r"[\u00A0 \t\n\r\f\x0B]+", " "))
     return F.when(~F.contains(uri, F.lit("#")) & ~F.contains(date, F.lit("#")), F.concat_ws("#", uri, date, text_hash(bare)))
 
 

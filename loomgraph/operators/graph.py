@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 import uuid
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import algebra as A
+from loomgraph.profile import resolve_profile
+
+
+class CycleError(ValueError):
+    """An edge closes a cycle."""
 
 
 def settled(df: DataFrame) -> DataFrame:
     """Cuts lineage in the shared checkpoint folder, or by a temporary one where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomgraph-')}/{uuid.uuid4().hex}")
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and (not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='loomgraph-')}/{uuid.uuid4().hex}")
     return df.checkpoint()
 
 
@@ -27,10 +36,41 @@ def container_position(members: DataFrame, by: str) -> DataFrame:
 
 
 def trimmed_top_k(members: DataFrame, by: str, claim: str, weight: str, k: int = 5, n_min: int = 3, salt: str = "") -> DataFrame:
-    """The members that count in each container: all when fewer than n_min, else the k heaviest; ties by salted hash."""
+    """The members that count in each container: all when fewer than n_min, else the k heaviest; ties by salted hash. Only the best max(k, n_min - 1) of a container in each task are shuffled."""
     order = Window.partitionBy(by).orderBy(F.desc(weight), A.tiebreak_key(F.col(claim).cast("string"), salt))
-    ranked = members.withColumns({"rank": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy(by))})
-    return ranked.where((F.col("n") < n_min) | (F.col("rank") <= k)).drop("n")
+    best = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, n_min - 1))
+    if k >= n_min - 1:
+        return best
+    sizes = members.groupBy(by).agg(F.count("*").alias("n"))
+    return best.join(sizes, by).where((F.col("n") < n_min) | (F.col("rank") <= k)).drop("n")
+
+
+def trimmed_match(members: DataFrame, by: str, claim: str, weight: str, k: int = 5, n_min: int = 3, salt: str = "") -> DataFrame:
+    """By container: the fixed-point mean of the points of the members that count, and their claims by rank."""
+    chosen = trimmed_top_k(members, by, claim, weight, k, n_min, salt)
+    sums = chosen.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", claim))).alias("c"), *(F.sum(A.to_fixed(F.col(d))).alias(d) for d in A.DIMENSIONS))
+    return sums.select(by, F.transform("c", lambda x: x[claim]).alias("claims"), *(A.fixed_mean(F.col(d), F.col("n")).alias(d) for d in A.DIMENSIONS))
+
+
+def trimmed_match_from_profile(members: DataFrame, by: str, claim: str, weight: str, profile: dict) -> DataFrame:
+    p = resolve_profile(profile)
+    return trimmed_match(members, by, claim, weight, p["k"], p["n_min"], p["tiebreak_salt"])
+
+
+def quantiles(members: DataFrame, by: str, value: str, buckets: int = 1024) -> DataFrame:
+    """members with quantile: the share of the other members of their container that are below them, 0 for a single one. Equal values are counted first; a container's values are accumulated
+    by ranges of its span, so neither a hot container nor a hot value lies in one task."""
+    counts = members.groupBy(by, value).agg(F.count("*").alias("c"))
+    span = counts.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("c").alias("n"))
+    v = F.col(value).cast("double")
+    bucket = F.when(F.col("high") == F.col("low"), 0).otherwise(F.floor((v - F.col("low")) / (F.col("high") - F.col("low")) * buckets))
+    placed = counts.join(span, by).withColumn("bucket", bucket.cast("long"))
+    sums = placed.groupBy(by, "bucket").agg(F.sum("c").alias("s"))
+    sums = sums.select(by, "bucket", (F.sum("s").over(Window.partitionBy(by).orderBy("bucket")) - F.col("s")).alias("above"))
+    inside = F.sum("c").over(Window.partitionBy(by, "bucket").orderBy(value)) - F.col("c")
+    below = placed.withColumn("inside", inside).join(sums, [by, "bucket"]).withColumn("below", F.col("above") + F.col("inside"))
+    share = F.when(F.col("n") > 1, F.col("below") / (F.col("n") - 1)).otherwise(0.0)
+    return members.join(below.select(by, value, share.alias("quantile")), [by, value])
 
 
 def reverse_index(edges: DataFrame) -> DataFrame:
@@ -63,10 +103,30 @@ def within_hops(links: DataFrame, r: int) -> DataFrame:
     return found.where("node <> near").groupBy("node").agg(F.count("*").alias("signal"))
 
 
+def link_signal(links: DataFrame, kind: str, r: int = 2) -> DataFrame:
+    """links (src, dst, kind) to (node, signal): distinct predecessors within r hops over links of one kind (concept or anchor)."""
+    return within_hops(links.where(F.col("kind") == kind).select("src", "dst"), r)
+
+
+def product_graph_states(nodes: DataFrame) -> DataFrame:
+    """How many states a typed search over nodes has: one for each node and dimension."""
+    return nodes.agg((F.count("*") * len(A.DIMENSIONS)).alias("states"))
+
+
+def would_cycle(edges: DataFrame, parent: str, child: str) -> bool:
+    """Whether an edge from parent to child closes a cycle: the parent is the child, or below it."""
+    if parent == child:
+        return True
+    start = edges.sparkSession.createDataFrame([(child,)], "start string")
+    return not reachable(edges, start).where(F.col("node") == parent).isEmpty()
+
+
 def typed_path_search(edges: DataFrame, start: str, floor: float | None = None) -> DataFrame:
-    """edges (source, target, dimension, weight) to the best product of weights for each (node, composed dimension) from start, with the least hops among equals. Rounds of
+    """A weight outside 0 and 1 is an error, since a cycle of larger ones would never settle. edges (source, target, dimension, weight) to the best product of weights for each (node, composed dimension) from start, with the least hops among equals. Rounds of
     relaxation: one join, one partial maximum; ends when nothing improves."""
     spark = edges.sparkSession
+    if not edges.where("weight IS NULL OR NOT (weight >= 0 AND weight <= 1)").isEmpty():
+        raise ValueError("weights are within 0 and 1")
     best = settled(spark.createDataFrame([(start, "relational", 1.0, 0)], "node string, dimension string, weight double, hops int"))
     front = best
     while True:
@@ -84,12 +144,54 @@ def typed_path_search(edges: DataFrame, start: str, floor: float | None = None)
 
 
 def stale_ancestors(edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """edges (parent, child), changed (node) to (node, level): every container above a changed node once, with its longest distance from one. Nodes of a level do not depend on each other."""
-    level = settled(changed.select("node", F.lit(0).alias("level")).distinct())
+    """edges (parent, child), changed (node) to (node, level): the changed nodes and every container above one, each once, with its longest distance from a changed node. Nodes of a level don't depend on each
+    other, and all that a node depends on is at lower levels. A cycle above a changed node is a CycleError."""
+    starts = changed.select("node").distinct()
+    up = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    affected = settled(_closure(up, starts))
+    bound, level = affected.count(), settled(starts.withColumn("level", F.lit(0)))
     front, k = level, 0
     while True:
         k += 1
         front = settled(front.join(edges, front.node == edges.child).select(F.col("parent").alias("node")).distinct().withColumn("level", F.lit(k)))
         if front.isEmpty():
-            return level.groupBy("node").agg(F.max("level").alias("level")).where("level > 0")
+            return level.groupBy("node").agg(F.max("level").alias("level"))
+        if k >= bound:
+            raise CycleError("the containers of a changed node form a cycle")
         level = settled(level.unionByName(front).groupBy("node").agg(F.max("level").alias("level")))
+
+
+def _closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """The nodes that edges (parent, child) lead to from starts (node), these included; ends on cycles too."""
+    seen = front = settled(starts.select("node").distinct())
+    while True:
+        step = front.join(edges, front.node == edges.parent).select(F.col("child").alias("node")).distinct()
+        front = settled(step.join(seen, "node", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = settled(seen.unionByName(front))
+
+
+def propagation_order(parents: Mapping[str, Iterable[str]], changed: Iterable[str]) -> list[str]:
+    """The one order in which changed nodes and their containers are derived again: each after all that it depends on, the least name first. For a graph that fits one process;
+    stale_ancestors gives its levels at any size. Nodes on a cycle are not derived."""
+    affected, stack = set(), list(changed)
+    while stack:
+        node = stack.pop()
+        if node not in affected:
+            affected.add(node)
+            stack += parents.get(node, ())
+    waits = dict.fromkeys(affected, 0)
+    for child in affected:
+        for p in set(parents.get(child, ())):
+            waits[p] += 1
+    ready = [n for n, w in waits.items() if w == 0]
+    heapq.heapify(ready)
+    out = []
+    while ready:
+        out.append(heapq.heappop(ready))
+        for p in set(parents.get(out[-1], ())):
+            waits[p] -= 1
+            if waits[p] == 0:
+                heapq.heappush(ready, p)
+    return out

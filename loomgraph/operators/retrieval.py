@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_EVEN, Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import algebra as A
 from loomgraph.functions import text as T
+from loomgraph.operators.graph import settled
 
 K1, B = 1.5, 0.75
 #: Parts that the rows of one frequent term are dealt to where they meet its document frequency.
@@ -18,14 +21,21 @@ def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(F.array_distinct(T.terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term, f (occurrences), dl (terms of the document)."""
+    words = docs.select(key, T.terms(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
+    return words.groupBy(key, "term").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
+
+
 def bm25(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, weight: one row per document and term of a positive weight. Only two totals reach the driver."""
-    n, mean = docs.select(F.size(T.terms(F.col(text))).alias("n")).agg(F.count("*"), F.coalesce(A.round6(F.avg("n")), F.lit(0.0))).first()
-    df = document_frequency(docs, text)
+    """key, term, weight: one row per document and term of a positive weight. Documents are read once for their terms; frequencies and lengths follow from the counts. Only two totals reach the driver."""
+    tf = settled(term_counts(docs, key, text))
+    n, words = docs.count(), tf.agg(F.sum("f")).first()[0] or 0
+    mean = float(Decimal(words / n if n else 0).quantize(Decimal("0.000001"), ROUND_HALF_EVEN))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(0.0), F.ln((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
     idf = df.select("term", idf.alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    words = docs.select(key, T.terms(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    tf = words.groupBy(key, "term").agg(F.count("*").alias("f"), F.first("dl").alias("dl")).withColumn("salt", F.pmod(F.hash(key), F.lit(SALTS)))
+    tf = tf.withColumn("salt", F.pmod(F.hash(key), F.lit(SALTS)))
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean or 1.0))
     weight = A.round6(F.col("idf") * F.col("f") * F.lit(K1 + 1) / (F.col("f") + norm))
     return tf.join(idf, ["term", "salt"]).select(key, "term", weight.alias("weight")).where("weight > 0")
@@ -39,6 +49,7 @@ def term_claims(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def sparse_cosine(vectors: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     """pairs (a, b) to (a, b, cosine), zero where no term is shared. Joins are by document and term."""
+    vectors = settled(vectors)  # three readers
     norms = vectors.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     left = pairs.join(vectors.select(F.col(key).alias("a"), "term", F.col("weight").alias("x")), "a")
     dots = left.join(vectors.select(F.col(key).alias("b"), "term", F.col("weight").alias("y")), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
@@ -81,7 +92,14 @@ def enclosing(rows: DataFrame, by: str, at: str, heading: str) -> DataFrame:
 
 
 def resolve_references(refs: DataFrame, entries: DataFrame) -> DataFrame:
-    """refs (ref_id, ref: canonical or NULL), entries (ref, text) to (ref_id, ref, status, text): ok, unknown or malformed; nothing is dropped."""
-    known = entries.select("ref", "text", F.lit(True).alias("known"))
-    status = F.when(F.col("ref").isNull(), "malformed").when(F.col("known"), "ok").otherwise("unknown")
+    """refs (ref_id, ref: canonical or NULL, and if known source_text, the text of the whole source, and expected_digest), entries (ref, text, and if known digest) to (ref_id, ref, status, text): ok, unknown,
+    malformed, or span_mismatch where the text of the entry has not the length of its span, is not what the source has there, or has not the expected digest. Nothing is dropped."""
+    known = entries.select("ref", "text", *["digest"] * ("digest" in entries.columns), F.lit(True).alias("known"))
+    start, end = (F.regexp_extract("ref", r"#(\d+)-(\d+)$", i).cast("long") for i in (1, 2))
+    wrong = F.length("text") != end - start
+    if "source_text" in refs.columns:
+        wrong = wrong | F.coalesce(F.substr(F.col("source_text"), (start + 1).cast("int"), (end - start).cast("int")) != F.col("text"), F.lit(False))
+    if "expected_digest" in refs.columns and "digest" in entries.columns:
+        wrong = wrong | F.coalesce(F.col("expected_digest") != F.col("digest"), F.lit(False))
+    status = F.when(F.col("ref").isNull(), "malformed").when(F.col("known").isNull(), "unknown").when(F.coalesce(wrong, F.lit(True)), "span_mismatch").otherwise("ok")
     return refs.join(known, "ref", "left").select("ref_id", "ref", status.alias("status"), "text")

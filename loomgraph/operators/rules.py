@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import algebra as A
 from loomgraph.operators import graph as G
+from loomgraph.operators.graph import CycleError
 
-
-class CycleError(ValueError):
-    """An edge would close a cycle."""
+#: Rules that may pair with every entity at most.
+MOST_RULES = 10_000
 
 
 def concept_states(tags: DataFrame, entity: str) -> DataFrame:
@@ -21,6 +21,9 @@ def concept_states(tags: DataFrame, entity: str) -> DataFrame:
 def check_requirements(entities: DataFrame, entity: str, states: DataFrame, rules: DataFrame) -> DataFrame:
     """Every entity with every rule (obligation_id, trigger_concepts, required_concepts): triggered, trigger_uncertain, present, uncertain, missing, all_present (NULL unless
     triggered), needs_review. Rules are a small document and pair with each row; an entity's concepts come from a closed vocabulary, so their map is small."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules: check them in parts")
+    rules = F.broadcast(rules)
     held = states.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct("concept", "state"))).alias("of"))
     rows = entities.select(entity).join(held, entity, "left").withColumn("of", F.coalesce("of", F.expr("cast(map() as map<string,string>)")))
 
@@ -68,15 +71,39 @@ def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return together
 
 
+def dual_split_violations(pairs: DataFrame) -> DataFrame:
+    """pairs with the two statements under c_ and i_ (dimension, subj, obj, start, end) and `violations` (array of messages)."""
+    differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    checks = [
+        (~F.col("c_dimension").eqNullSafe(F.lit("causal")), "the first is not causal"), (~F.col("i_dimension").eqNullSafe(F.lit("intentional")), "the second is not intentional"), (differ("c_obj", "i_subj"), "no shared middle"),
+        (F.coalesce((F.col("c_end") < F.col("i_start")) | (F.col("i_end") < F.col("c_start")), F.lit(False)), "the spans are apart"),
+    ]
+    return pairs.withColumn("violations", F.array_compact(F.array(*(F.when(wrong, said) for wrong, said in checks))))
+
+
+def sorted_statements(statements: DataFrame) -> DataFrame:
+    """In canonical order: dimension, subject, predicate, object, span; what is missing counts as empty or 0. A range sort."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return statements.orderBy(text("dimension"), text("subj"), text("predicate"), text("obj"), F.coalesce("start", F.lit(0)), F.coalesce("end", F.lit(0)))
+
+
 def statement_violations(s: dict) -> Column:
-    """What is wrong with a statement, from its columns subj, obj, predicate, dimension, layer, weight, start and end."""
+    """What is wrong with a statement, from its columns subj, obj, predicate, dimension, layer, weight (1 where missing), start and end, and of id, edge_confidence and negation those that are given."""
     from loomgraph.functions import text as T
 
     empty = lambda c: F.coalesce(c == "", F.lit(True))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    share = lambda c: c.between(0, 1) & ~F.isnan(c.cast("double"))
     of = T.predicate_dimension(s["predicate"])
-    checks = [
-        (empty(s["subj"]), "subj is empty"), (empty(s["obj"]), "obj is empty"), (of.isNull(), "unknown predicate"), (~A.is_dimension(s["dimension"]), "unknown dimension"),
-        (of.isNotNull() & A.is_dimension(s["dimension"]) & (of != s["dimension"]), "not the predicate's dimension"), (~F.coalesce(s["layer"].isin(T.LAYERS), F.lit(False)), "unknown layer"),
-        (~F.coalesce(s["weight"].between(0, 1), F.lit(False)), "weight out of range"), (~F.coalesce((s["start"] >= 0) & (s["end"] >= s["start"]), F.lit(False)), "no span"),
+    checks = [(empty(s["id"]), "id is empty"), (~empty(s["id"]) & no(s["id"].rlike("^[^#]+#[^#]+#[0-9a-f]{16}$")), "the id is not uri#date#hash")] if "id" in s else []
+    checks += [
+        (empty(s["subj"]), "subj is empty"), (empty(s["obj"]), "obj is empty"), (empty(s["predicate"]), "predicate is empty"), (~empty(s["predicate"]) & of.isNull(), "unknown predicate"), (empty(s["dimension"]), "no dimension"),
+        (~empty(s["dimension"]) & ~A.is_dimension(s["dimension"]), "unknown dimension"), (of.isNotNull() & A.is_dimension(s["dimension"]) & (of != s["dimension"]), "not the predicate's dimension"),
+        (no(s["layer"].isin(T.LAYERS)), "unknown layer"), (no(share(F.coalesce(s["weight"].cast("double"), F.lit(1.0)))), "weight out of range"),
     ]
+    if "edge_confidence" in s:
+        checks.append((no(share(s["edge_confidence"])), "no edge_confidence within 0 and 1"))
+    checks += [(no(s["start"] >= 0), "no start of 0 or more"), (s["end"].isNull(), "no end"), (F.coalesce((s["start"] >= 0) & (s["end"] <= s["start"]), F.lit(False)), "the span is empty")]
+    if "negation" in s:
+        checks.append((no(s["negation"].isin("present", "uncertain", "absent")), "unknown negation"))
     return F.array_compact(F.array(*(F.when(wrong, said) for wrong, said in checks)))
