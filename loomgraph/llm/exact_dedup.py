@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, map_arrow
 
 #: Memory of a trie, about, before it is emitted: bytes of labels and NODE_BYTES for each node.
-TRIE_BYTES, NODE_BYTES = 96 << 20, 450
+TRIE_BYTES, NODE_BYTES = 64 << 20, 450
 
 
 class _Node:
