@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import algebra as A
 from loomgraph.operators import graph as G
+from loomgraph.operators import rules as R
 
 _D = A.DIMENSIONS
 _CASE = "CASE event_type WHEN 'view' THEN 'structural' WHEN 'error' THEN 'causal' WHEN 'purchase' THEN 'intentional' WHEN 'click' THEN 'temporal' ELSE 'relational' END"
@@ -50,7 +51,7 @@ def dim_left_fold(spark, sf_dir):
 
 def dim_compose_weights(spark, sf_dir):
     w = (F.col("event_id") % 10 + 90) / F.lit(100.0)
-    return _events(spark, sf_dir).groupBy("user_id").agg(A.product_in_order(F.col("event_id"), w).alias("weight"))
+    return _events(spark, sf_dir).groupBy("user_id").agg(A.product(w).alias("weight"))
 
 
 def coords_position(spark, sf_dir):
@@ -69,8 +70,8 @@ def coords_cosine(spark, sf_dir):
 
 
 def coords_with_embeds(spark, sf_dir):
-    e = _embeds(spark, sf_dir)
-    return e.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("structural"))
+    held = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("held"))
+    return _counts(spark, sf_dir).join(held, "user_id", "full").select("user_id", *A.with_embeds(F.col("held")))
 
 
 def fixed_point(spark, sf_dir):
@@ -115,30 +116,44 @@ def dag_reachable(spark, sf_dir):
 
 
 def depth_link_signal(spark, sf_dir):
-    l = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
-    return G.within_hops(l, 2)
+    return G.link_signal(_links(spark, sf_dir), "concept", 2)
+
+
+def _links(spark, sf_dir):
+    """Customers link to others by their orders, and to the months of these as anchors."""
+    n = _t(spark, sf_dir, "customer").agg(F.count("*").alias("n"))  # one row
+    o = _t(spark, sf_dir, "orders").crossJoin(F.broadcast(n))
+    c = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    concept = o.select(c.alias("src"), F.concat(F.lit("c"), (F.col("o_orderkey") % F.col("n")).cast("string")).alias("dst"), F.lit("concept").alias("kind"))
+    return concept.union(o.select(F.concat(F.lit("m"), F.month("o_orderdate").cast("string")), c, F.lit("anchor")))
 
 
 def depth_conceptual(spark, sf_dir):
-    l = _t(spark, sf_dir, "lineitem")
-    s = l.groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("links"), F.countDistinct("l_returnflag").alias("anchors"))
-    d = A.depth_blend(F.col("links").cast("double"), F.col("anchors").cast("double"), F.lit(0.5))
-    return s.select("l_partkey", F.round(d * 1e4).cast("long").alias("depth"))
+    l = _links(spark, sf_dir)
+    links, anchors = (G.link_signal(l, k, 2).withColumnRenamed("signal", k) for k in ("concept", "anchor"))
+    nesting = R.nesting_position(_embeds(spark, sf_dir)).where("node LIKE 'c%'")
+    every = _t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    s = every.join(links, "node", "left").join(anchors, "node", "left").join(nesting, "node", "left").na.fill(0)
+    d = A.depth_blend(F.col("concept").cast("double"), F.col("anchor").cast("double"), F.col("position"))
+    return s.select("node", F.round(d * 1e4).cast("long").alias("depth"))
 
 
 def depth_quantiles(spark, sf_dir):
-    from pyspark.sql import Window
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return G.quantiles(c, "c_nationkey", "c_acctbal").select("c_custkey", F.round(F.col("quantile") * 1e4).cast("long").alias("quantile"))
+
 
-    c = _t(spark, sf_dir, "customer")
-    q = F.percent_rank().over(Window.partitionBy("c_nationkey").orderBy("c_acctbal"))
-    return c.select("c_custkey", F.round(q * 1e4).cast("long").alias("quantile"))
+def container_trimmed_match(spark, sf_dir):
+    m = _members(spark, sf_dir).join(_t(spark, sf_dir, "events").groupBy("user_id").agg(F.floor(F.sum("value") / 100).alias("weight")), "user_id")
+    found = G.trimmed_match(m, "container", "user_id", "weight", 4, 3, SALT)
+    return found.withColumn("claims", F.array_join(F.transform("claims", lambda x: x.cast("string")), ","))
 
 
 def path_typed_search(spark, sf_dir):
     d = F.element_at(F.array(*map(F.lit, _D)), (F.col("k") % 5 + 1).cast("int"))
     n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"))
-    edges = n.select(F.col("k").cast("string").alias("source"), F.explode(F.array(((F.col("k") * 2 + 1) % 25).cast("string"), ((F.col("k") + 7) % 25).cast("string"))).alias("target"), d.alias("dimension"), F.lit(0.5).alias("weight"))
-    return G.typed_path_search(edges, "0", 0.01)
+    edges = n.select(F.col("k").cast("string").alias("source"), F.explode(F.array(((F.col("k") * 2 + 1) % 25).cast("string"), ((F.col("k") + 7) % 25).cast("string"))).alias("target"), d.alias("dimension"), ((F.col("k") % 4 + 5) / F.lit(10.0)).alias("weight"))
+    return G.typed_path_search(edges, "0", 0.02)
 
 
 def statement_raw_contributions(spark, sf_dir):
@@ -174,6 +189,8 @@ def relational_effective(spark, sf_dir):
 _EV = f"SELECT event_id, user_id, ts, value, {_CASE} AS dim FROM events"
 _CO = f"SELECT user_id, {', '.join(f"count(*) FILTER (dim = '{d}') AS {d}" for d in _D)} FROM ({_EV}) GROUP BY user_id"
 _EMB = "SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders"
+_LNK = "SELECT DISTINCT 'c' || o_custkey AS src, 'c' || (o_orderkey % (SELECT count(*) FROM customer)) AS dst FROM orders"
+_TWO = f"l AS ({_LNK}), two AS (SELECT src, dst FROM l UNION SELECT x.src, y.dst FROM l x JOIN l y ON x.dst = y.src)"
 _SUM = " + ".join(_D)
 _DIMS = "(VALUES " + ", ".join(f"('{d}')" for d in _D) + ")"
 _COMPOSE = "CASE WHEN {b} = 'relational' THEN {a} WHEN {a} = 'causal' AND {b} = 'structural' THEN 'causal' ELSE {b} END"
@@ -187,11 +204,11 @@ def _fx(d):
 ORACLES = {
     "dim_compose_table": f"SELECT a, b, {_COMPOSE.format(a='a', b='b')} AS result FROM {_DIMS} x(a), {_DIMS} y(b)",
     "dim_left_fold": f"SELECT user_id, list_reduce(list_prepend('relational', list(dim ORDER BY ts, event_id)), lambda a, b: {_COMPOSE.format(a='a', b='b')}) AS dimension FROM ({_EV}) GROUP BY user_id",
-    "dim_compose_weights": f"SELECT user_id, list_reduce(list_prepend(1.0::DOUBLE, list((event_id % 10 + 90) / 100.0::DOUBLE ORDER BY event_id)), lambda a, b: a * b) AS weight FROM ({_EV}) GROUP BY user_id",
+    "dim_compose_weights": "SELECT user_id, round_even(product((event_id % 10 + 90) / 100.0::DOUBLE), 6) AS weight FROM events GROUP BY user_id",
     "coords_position": f"SELECT user_id, CASE WHEN greatest({', '.join(_D)}) <= 0 THEN 'relational' {' '.join(f"WHEN {d} = greatest({', '.join(_D)}) THEN '{d}'" for d in _D)} END AS dominant, CASE WHEN greatest({', '.join(_D)}) > 0 THEN 'planes' ELSE 'default' END AS basis, {', '.join(f'{_fx(f"(CASE WHEN {_SUM} = 0 THEN 0 ELSE round_even({d} / ({_SUM})::DOUBLE, 6) END)")} AS {d}' for d in _D)} FROM ({_CO})",
     "coords_point": f"SELECT user_id, {', '.join(f'{_fx(d)} AS {d}' for d in _D)} FROM (SELECT user_id, {_PT} FROM ({_CO}))",
     "coords_cosine": f"WITH c AS ({_CO}) SELECT p.user_id, round(CASE WHEN sqrt({' + '.join(f'p.{d} * p.{d}' for d in _D)}) * sqrt({' + '.join(f'q.{d} * q.{d}' for d in _D)}) = 0 THEN 0 ELSE round_even(({' + '.join(f'p.{d} * q.{d}' for d in _D)}) / (sqrt({' + '.join(f'p.{d} * p.{d}' for d in _D)}) * sqrt({' + '.join(f'q.{d} * q.{d}' for d in _D)})), 6) END * 1e4)::BIGINT AS cosine FROM c p JOIN c q ON q.user_id = p.user_id + 1",
-    "coords_with_embeds": f"SELECT parent AS node, count(*) AS structural FROM ({_EMB}) GROUP BY parent",
+    "coords_with_embeds": f"SELECT user_id, coalesce(structural, 0) + coalesce(held, 0) AS structural, {', '.join(f'coalesce({d}, 0) AS {d}' for d in _D[1:])} FROM ({_CO}) FULL JOIN (SELECT o_custkey AS user_id, count(*) AS held FROM orders GROUP BY 1) USING (user_id)",
     "fixed_point": f"SELECT l_suppkey, t::BIGINT AS total, (CASE WHEN t >= 0 THEN (t + n // 2) // n ELSE -((-t + n // 2) // n) END)::BIGINT AS mean FROM (SELECT l_suppkey, sum({_fx('(l_extendedprice::DOUBLE * CASE WHEN l_orderkey % 2 = 0 THEN 1.0 ELSE -1.0 END)')})::BIGINT AS t, count(*) AS n FROM lineitem GROUP BY l_suppkey)",
     "match_combine_scores": "SELECT l_orderkey, l_linenumber, round(round_even((least(l_discount::DOUBLE * 10, 1.0) * 0.7::DOUBLE + least(l_tax::DOUBLE * 10, 1.0) * 0.3::DOUBLE) / 1.0, 6) * 1e4)::BIGINT AS score FROM lineitem",
     "coords_container_position": f"SELECT container, {', '.join(f'((t_{d} + n // 2) // n)::BIGINT AS {d}' for d in _D)} FROM (SELECT user_id % 37 AS container, count(*) AS n, {', '.join(f'sum({_fx(d)})::BIGINT AS t_{d}' for d in _D)} FROM (SELECT user_id, {_PT} FROM ({_CO})) GROUP BY 1)",
@@ -199,15 +216,22 @@ ORACLES = {
     "container_member_digest": """SELECT o_custkey, sha256('{"members":["' || array_to_string(list_sort(list_distinct(list(o_orderkey::VARCHAR))), '","') || '"],"version":1}') AS digest FROM orders GROUP BY o_custkey""",
     "dag_reverse_index": f"WITH e AS ({_EMB}) SELECT node, coalesce(parents, '') AS parents FROM (SELECT parent AS node FROM e UNION SELECT child FROM e) LEFT JOIN (SELECT child AS node, string_agg(DISTINCT parent, ',' ORDER BY parent) AS parents FROM e GROUP BY child) USING (node)",
     "dag_reachable": f"WITH RECURSIVE e AS ({_EMB}), r(start, node, hops) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region UNION SELECT start, child, hops + 1 FROM r JOIN e ON r.node = e.parent) SELECT start, hops::INTEGER AS hops, count(*) AS nodes FROM r GROUP BY start, hops",
-    "depth_link_signal": "SELECT 'p' || l_partkey AS node, count(DISTINCT l_suppkey) AS signal FROM lineitem GROUP BY l_partkey",
-    "depth_conceptual": "SELECT l_partkey, round(round_even(least(greatest((0.5::DOUBLE * (k / (k + 5.0::DOUBLE)) * (1 - a / (a + 2.0::DOUBLE)) + 0.5::DOUBLE * 0.5) / 1.0, 0.0), 1.0), 6) * 1e4)::BIGINT AS depth FROM (SELECT l_partkey, count(DISTINCT l_suppkey)::DOUBLE AS k, count(DISTINCT l_returnflag)::DOUBLE AS a FROM lineitem GROUP BY l_partkey)",
+    "depth_link_signal": f"WITH {_TWO} SELECT dst AS node, count(*) AS signal FROM two WHERE src <> dst GROUP BY dst",
+    "container_trimmed_match": f"""WITH m AS (SELECT user_id, user_id % 37 AS container, {', '.join(f'{_fx(d)} AS {d}' for d in _D)} FROM (SELECT user_id, {_PT} FROM ({_CO}))),
+        w AS (SELECT user_id, floor(sum(value) / 100) AS weight FROM events GROUP BY user_id), r AS (SELECT *, row_number() OVER (PARTITION BY container ORDER BY weight DESC, sha256('{SALT}|' || user_id)) AS rank FROM m JOIN w USING (user_id))
+        SELECT container, string_agg(user_id::VARCHAR, ',' ORDER BY rank) AS claims, {', '.join(f'((sum({d}) + count(*) // 2) // count(*))::BIGINT AS {d}' for d in _D)} FROM r WHERE rank <= 4 GROUP BY container""",
+    "depth_conceptual": f"""WITH {_TWO}, k AS (SELECT dst AS node, count(*)::DOUBLE AS k FROM two WHERE src <> dst GROUP BY dst), a AS (SELECT 'c' || o_custkey AS node, count(DISTINCT month(o_orderdate))::DOUBLE AS a FROM orders GROUP BY 1),
+        e AS ({_EMB}), t AS (SELECT parent, child FROM e UNION SELECT x.parent, y.child FROM e x JOIN e y ON x.child = y.parent), u AS (SELECT child AS node, count(*)::DOUBLE AS up FROM t GROUP BY child), w AS (SELECT parent AS node, count(*)::DOUBLE AS down FROM t GROUP BY parent),
+        s AS (SELECT 'c' || c_custkey AS node, coalesce(k, 0) AS k, coalesce(a, 0) AS a, coalesce(up, 0) AS up, coalesce(down, 0) AS down FROM customer LEFT JOIN k ON k.node = 'c' || c_custkey LEFT JOIN a ON a.node = 'c' || c_custkey LEFT JOIN u ON u.node = 'c' || c_custkey LEFT JOIN w ON w.node = 'c' || c_custkey)
+        SELECT node, round(round_even(least(greatest((0.5::DOUBLE * (k / (k + 5.0::DOUBLE)) * (1 - a / (a + 2.0::DOUBLE)) + 0.5::DOUBLE * CASE WHEN up + down > 0 THEN up / (up + down) ELSE 0 END) / 1.0, 0.0), 1.0), 6) * 1e4)::BIGINT AS depth FROM s""",
     "depth_quantiles": "SELECT c_custkey, round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) * 1e4)::BIGINT AS quantile FROM customer",
-    "path_typed_search": f"""WITH RECURSIVE e AS (SELECT n_nationkey::VARCHAR AS source, unnest([(n_nationkey * 2 + 1) % 25, (n_nationkey + 7) % 25])::VARCHAR AS target, [{', '.join(f"'{d}'" for d in _D)}][(n_nationkey % 5 + 1)::BIGINT] AS dimension FROM nation),
-        p(node, dimension, weight, hops) AS (SELECT '0', 'relational', 1.0::DOUBLE, 0 UNION SELECT e.target, {_COMPOSE.format(a='p.dimension', b='e.dimension')}, p.weight * 0.5::DOUBLE, p.hops + 1 FROM p JOIN e ON p.node = e.source WHERE p.weight * 0.5 >= 0.01)
-        SELECT node, dimension, max(weight) AS weight, min(hops)::INTEGER AS hops FROM p GROUP BY node, dimension""",
+    "path_typed_search": f"""WITH RECURSIVE e AS (SELECT n_nationkey::VARCHAR AS source, unnest([(n_nationkey * 2 + 1) % 25, (n_nationkey + 7) % 25])::VARCHAR AS target, [{', '.join(f"'{d}'" for d in _D)}][(n_nationkey % 5 + 1)::BIGINT] AS dimension, (n_nationkey % 4 + 5) / 10.0::DOUBLE AS weight FROM nation),
+        p(node, dimension, weight, hops) AS (SELECT '0', 'relational', 1.0::DOUBLE, 0 UNION SELECT e.target, {_COMPOSE.format(a='p.dimension', b='e.dimension')}, p.weight * e.weight, p.hops + 1 FROM p JOIN e ON p.node = e.source WHERE p.weight * e.weight >= 0.02),
+        b AS (SELECT node, dimension, max(weight) AS weight FROM p GROUP BY node, dimension)
+        SELECT node, dimension, weight, min(hops)::INTEGER AS hops FROM b JOIN p USING (node, dimension, weight) GROUP BY node, dimension, weight""",
     "statement_raw_contributions": f"SELECT entry, {', '.join(f"count(*) FILTER (dim = '{d}') AS {d}" for d in _D)} FROM (SELECT unnest(list_distinct([user_id, event_id % 50])) AS entry, dim FROM ({_EV})) GROUP BY entry",
     "views_position_digest": """SELECT user_id, sha256('{"claims":["' || string_agg(event_id::VARCHAR, '","' ORDER BY event_id::VARCHAR) || '"],"embeds":[],"profile_digest":"p"}') AS digest FROM events GROUP BY user_id""",
-    "views_stale_ancestors": f"WITH RECURSIVE e AS ({_EMB}), r(node, level) AS (SELECT 'o' || o_orderkey, 0 FROM orders WHERE o_orderstatus = 'P' UNION SELECT parent, level + 1 FROM r JOIN e ON r.node = e.child) SELECT node, max(level)::BIGINT AS level FROM r WHERE level > 0 GROUP BY node",
+    "views_stale_ancestors": f"WITH RECURSIVE e AS ({_EMB}), r(node, level) AS (SELECT 'o' || o_orderkey, 0 FROM orders WHERE o_orderstatus = 'P' UNION SELECT parent, level + 1 FROM r JOIN e ON r.node = e.child) SELECT node, max(level)::BIGINT AS level FROM r GROUP BY node",
     "views_debounce": f"""WITH s AS (SELECT user_id, list(floor(epoch(ts))::DOUBLE ORDER BY floor(epoch(ts))) AS t FROM events GROUP BY user_id),
         f AS (SELECT user_id, list_reduce(list_prepend({{'at': 0.0::DOUBLE, 'n': 0, 'out': 0}}, list_transform(t, lambda x: {{'at': x, 'n': 0, 'out': 0}})), lambda s, x: CASE WHEN s.n > 0 AND x.at - s.at <= 86400 THEN (CASE WHEN s.n + 1 >= 5 THEN {{'at': s.at, 'n': 0, 'out': s.out + 1}} ELSE {{'at': s.at, 'n': s.n + 1, 'out': s.out}} END) ELSE {{'at': x.at, 'n': 1, 'out': s.out + CASE WHEN s.n > 0 THEN 1 ELSE 0 END}} END) AS z FROM s)
         SELECT user_id, (z.out + CASE WHEN z.n > 0 THEN 1 ELSE 0 END)::BIGINT AS flushes FROM f""",

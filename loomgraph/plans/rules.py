@@ -33,11 +33,25 @@ def depth_nesting_position(spark, sf_dir):
 
 def statement_violations(spark, sf_dir):
     e = _events(spark, sf_dir)
-    predicate = F.when(F.col("dim") == "temporal", "precedes").when(F.col("dim") == "relational", "likes").otherwise("is_a")
-    c = {"subj": F.col("user_id").cast("string"), "obj": F.lit("x"), "predicate": predicate, "dimension": F.col("dim"), "layer": F.lit("deep"), "weight": F.col("value") / 100, "start": F.lit(0), "end": F.lit(5)}
+    k = F.col("event_id") % 16
+    at = lambda i, bad, good: F.when(k == i, bad).otherwise(good)
+    c = {
+        "id": at(0, F.lit(""), at(1, F.lit("a#b"), F.lit("u#d#0123456789abcdef"))), "subj": at(2, F.lit(None).cast("string"), F.lit("s")), "obj": at(3, F.lit(""), F.lit("o")),
+        "predicate": at(4, F.lit(""), at(5, F.lit("likes"), F.lit("is_a"))), "dimension": at(6, F.lit(None).cast("string"), at(7, F.lit("spatial"), at(8, F.lit("causal"), F.lit("structural")))),
+        "layer": at(9, F.lit("high"), F.lit("deep")), "weight": at(10, F.lit(1.5), at(11, F.lit(None).cast("double"), F.lit(0.5))), "edge_confidence": at(12, F.lit(None).cast("double"), F.lit(0.5)),
+        "start": at(13, F.lit(-1), F.lit(3)), "end": at(14, F.lit(3), F.lit(5)), "negation": at(15, F.lit("no"), F.lit("absent")),
+    }
     return e.select("event_id", F.array_join(R.statement_violations(c), ";").alias("violations"))
 
 
+def statement_split_violations(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    k = F.col("event_id") % 5
+    pairs = e.select("event_id", F.when(k == 1, "temporal").otherwise("causal").alias("c_dimension"), F.when(k == 2, "temporal").otherwise("intentional").alias("i_dimension"), F.lit("m").alias("c_obj"),
+        F.when(k == 3, "x").otherwise("m").alias("i_subj"), F.lit(0).alias("c_start"), F.lit(9).alias("c_end"), F.when(k == 4, 10).otherwise(9).alias("i_start"), F.lit(20).alias("i_end"))
+    return R.dual_split_violations(pairs).select("event_id", F.array_join("violations", ";").alias("violations"))
+
+
 def _arr(xs):
     return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
@@ -56,7 +70,8 @@ ORACLES = {
     "depth_nesting_position": f"""WITH e AS ({_EMB}), two AS (SELECT parent, child FROM e UNION SELECT x.parent, y.child FROM e x JOIN e y ON x.child = y.parent),
         u AS (SELECT child AS node, count(*) AS up FROM two GROUP BY child), d AS (SELECT parent AS node, count(*) AS down FROM two GROUP BY parent)
         SELECT node, round(coalesce(up, 0)::DOUBLE / (coalesce(up, 0) + coalesce(down, 0)) * 1e4)::BIGINT AS position FROM u FULL JOIN d USING (node)""",
-    "statement_violations": f"""SELECT event_id, concat_ws(';', CASE WHEN dim = 'relational' THEN 'unknown predicate' END, CASE WHEN dim IN ('causal', 'intentional') THEN 'not the predicate''s dimension' END,
-        CASE WHEN value / 100 > 1 OR value < 0 THEN 'weight out of range' END) AS violations FROM (SELECT event_id, value, {_CASE} AS dim FROM events)""",
+    "statement_violations": """SELECT event_id, ['id is empty', 'the id is not uri#date#hash', 'subj is empty', 'obj is empty', 'predicate is empty', 'unknown predicate', 'no dimension', 'unknown dimension', 'not the predicate''s dimension',
+        'unknown layer', 'weight out of range', '', 'no edge_confidence within 0 and 1', 'no start of 0 or more', 'the span is empty', 'unknown negation'][event_id % 16 + 1] AS violations FROM events""",
+    "statement_split_violations": "SELECT event_id, ['', 'the first is not causal', 'the second is not intentional', 'no shared middle', 'the spans are apart'][event_id % 5 + 1] AS violations FROM events",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -35,8 +35,9 @@ def dim_composition_laws(spark, sf_dir):
     d = spark.createDataFrame([(x,) for x in _D], "a string")
     abc = d.crossJoin(d.withColumnRenamed("a", "b")).crossJoin(d.withColumnRenamed("a", "c"))  # 125 rows
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    left, right = A.compose(A.compose(a, b), c), A.compose(a, A.compose(b, c))
-    return abc.select("a", "b", "c", (A.compose(a, b) == A.compose(b, a)).alias("commutes"), (left == right).alias("associates"))
+    abc = abc.withColumns({"ab": A.compose(a, b), "ba": A.compose(b, a), "bc": A.compose(b, c)})
+    laws = [(F.col("ab") == F.col("ba")).alias("commutes"), (A.compose(F.col("ab"), c) == A.compose(a, F.col("bc"))).alias("associates"), (A.compose(a, F.lit("relational")) == a).alias("right_identity"), A.is_dimension(F.col("ab")).alias("closed")]
+    return abc.select("a", "b", "c", *laws)
 
 
 def dim_classify_query(spark, sf_dir):
@@ -102,10 +103,11 @@ def text_enclosing_unit(spark, sf_dir):
 def reference_resolve(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", "event_type", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("u"))
     n, i = F.col("event_id").cast("string"), (F.col("event_id") % 4 + 1).cast("int")
-    shapes = F.array(F.concat("u", F.lit("#0"), n, F.lit("-"), n), F.concat(F.lit("doc://"), "u", F.lit("#span-"), n, F.lit("-"), n), F.concat("u", F.lit("#sentence:"), n, F.lit("-"), n), F.concat("u", F.lit("#"), n))
+    end = (F.col("event_id") + F.length("event_type") + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).cast("string")  # every seventh span is longer than its text
+    shapes = F.array(F.concat("u", F.lit("#0"), n, F.lit("-"), end), F.concat(F.lit("doc://"), "u", F.lit("#span-"), n, F.lit("-"), end), F.concat("u", F.lit("#sentence:"), n, F.lit("-"), end), F.concat("u", F.lit("#"), n))
     refs = e.select(F.col("event_id").alias("ref_id"), T.reference(F.element_at(shapes, i), "doc").alias("ref"))
     known = e.where("event_type <> 'error'")
-    entries = known.select(F.concat(F.when(F.col("event_id") % 4 == 1, "doc://").otherwise(""), "u", F.lit("#"), n, F.lit("-"), n).alias("ref"), F.col("event_type").alias("text"))
+    entries = known.select(F.concat(F.when(F.col("event_id") % 4 == 1, "doc://").otherwise(""), "u", F.lit("#"), n, F.lit("-"), end).alias("ref"), F.col("event_type").alias("text"))
     return R.resolve_references(refs, entries)
 
 
@@ -116,7 +118,7 @@ def reference_content_digest(spark, sf_dir):
 
 def statement_ids(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
-    return p.select("p_partkey", T.statement_id(F.lit("urn:part"), F.lit("2026-01-01"), F.concat(F.lit(" "), F.col("p_name"), F.lit("\t \n"), F.col("p_name"))).alias("id"))
+    return p.select("p_partkey", T.statement_id(F.lit("urn:part"), F.lit("2026-01-01"), F.concat(F.lit(" "), F.col("p_name"), F.lit("\t \n e\u0301\u00a0"), F.col("p_name"))).alias("id"))
 
 
 def statement_layer_tensor(spark, sf_dir):
@@ -165,7 +167,7 @@ _AB, _BC, _BA = (_COMPOSE.format(a=x, b=y) for x, y in (("a", "b"), ("b", "c"),
 _FIX = "trunc({} * 1e6::DOUBLE + 0.5)::BIGINT"
 
 ORACLES = {
-    "dim_composition_laws": f"SELECT a, b, c, {_AB} = {_BA} AS commutes, {_COMPOSE.format(a=f'({_AB})', b='c')} = {_COMPOSE.format(a='a', b=f'({_BC})')} AS associates FROM {_DIMS} x(a), {_DIMS} y(b), {_DIMS} z(c)",
+    "dim_composition_laws": f"SELECT a, b, c, {_AB} = {_BA} AS commutes, {_COMPOSE.format(a=f'({_AB})', b='c')} = {_COMPOSE.format(a='a', b=f'({_BC})')} AS associates, true AS right_identity, true AS closed FROM {_DIMS} x(a), {_DIMS} y(b), {_DIMS} z(c)",
     "dim_classify_query": rf"SELECT p_partkey, CASE WHEN regexp_matches(q, '\bwhat\b.{{0,40}}\bfor\b\s*\??\s*$|for what purpose') THEN 'intentional' {_cues("(' ' || q || ' ')", T.QUERY_CUES)} END AS dimension FROM (SELECT p_partkey, trim(lower({_list(QUESTIONS)}[p_partkey % {len(QUESTIONS)} + 1])) AS q FROM part)",
     "dim_classify_predicate": f"SELECT p_partkey, CASE {_cues('q', T.KEYWORDS)} ELSE 'relational' END AS dimension FROM (SELECT p_partkey, translate(trim(lower({_list(NAMES)}[p_partkey % {len(NAMES)} + 1])), ' _', '--') AS q FROM part)",
     "text_cue_contributions": "SELECT p_partkey, " + ", ".join(f"{[n[i] * 1000000 if i < 4 else round(n[4] * 1e6 / (1 + sum(n[:4]))) for _, n in SENTENCES]}[p_partkey % {len(SENTENCES)} + 1]::BIGINT AS {d}" for i, d in enumerate(_D)) + " FROM part",
@@ -187,10 +189,10 @@ ORACLES = {
         SELECT m.k AS a, n.k AS b, coalesce(shared, 0) AS shared, round(round_even(coalesce(shared, 0)::DOUBLE / (m.size + n.size - coalesce(shared, 0)), 6) * 1e4)::BIGINT AS jaccard
         FROM n m JOIN n ON n.k = m.k + 1 JOIN orders p ON p.o_orderkey = m.k JOIN orders q ON q.o_orderkey = n.k LEFT JOIN c ON c.a = m.k""",
     "text_enclosing_unit": "SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN 'Article ' || event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS unit FROM events",
-    "reference_resolve": """WITH e AS (SELECT event_id, event_type, CASE event_id % 4 WHEN 1 THEN 'doc://u' || user_id ELSE 'u' || user_id END || '#' || event_id || '-' || event_id AS ref FROM events)
-        SELECT event_id AS ref_id, CASE WHEN event_id % 4 < 3 THEN ref END AS ref, CASE WHEN event_id % 4 = 3 THEN 'malformed' WHEN event_type = 'error' THEN 'unknown' ELSE 'ok' END AS status, CASE WHEN event_id % 4 < 3 AND event_type <> 'error' THEN event_type END AS text FROM e""",
+    "reference_resolve": """WITH e AS (SELECT event_id, event_type, CASE event_id % 4 WHEN 1 THEN 'doc://u' || user_id ELSE 'u' || user_id END || '#' || event_id || '-' || (event_id + length(event_type) + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) AS ref FROM events)
+        SELECT event_id AS ref_id, CASE WHEN event_id % 4 < 3 THEN ref END AS ref, CASE WHEN event_id % 4 = 3 THEN 'malformed' WHEN event_type = 'error' THEN 'unknown' WHEN event_id % 7 = 0 THEN 'span_mismatch' ELSE 'ok' END AS status, CASE WHEN event_id % 4 < 3 AND event_type <> 'error' THEN event_type END AS text FROM e""",
     "reference_content_digest": rf"SELECT p_partkey, sha256(encode('{DOMAIN}') || '\x00'::BLOB || unhex(lpad(hex(octet_length(encode('part#' || p_partkey))), 16, '0')) || encode('part#' || p_partkey) || encode(p_name)) AS digest FROM part",
-    "statement_ids": "SELECT p_partkey, 'urn:part#2026-01-01#' || substr(sha256(p_name || ' ' || p_name), 1, 16) AS id FROM part",
+    "statement_ids": "SELECT p_partkey, 'urn:part#2026-01-01#' || substr(sha256(nfc_normalize(p_name || ' e' || chr(769) || ' ' || p_name)), 1, 16) AS id FROM part",
     "statement_layer_tensor": f"""WITH e AS (SELECT user_id, {_CASE} AS dim, CASE WHEN value < 50 THEN 'surface' WHEN value < 100 THEN 'domain' ELSE 'deep' END AS l FROM events)
         SELECT user_id, layer, {', '.join(_FIX.format(f"round_even(least(count(*) FILTER (dim = '{d}' AND l = layer) / 64.0::DOUBLE, 1.0), 6)") + f' AS {d}' for d in _D)} FROM e, (VALUES ('surface'), ('domain'), ('deep')) x(layer) GROUP BY user_id, layer""",
     "triple_violations": """SELECT o_orderkey, concat_ws(';', CASE WHEN o_orderstatus = 'F' THEN 's is empty' END, CASE WHEN o_orderpriority LIKE '2%' THEN 'no dimension' END, CASE WHEN o_orderpriority LIKE '3%' THEN 'unknown dimension' END,

@@ -5,12 +5,12 @@ import pytest
 
 from loomgraph.functions import algebra as A
 from loomgraph.operators import graph as G
-from loomgraph.plans import registry, rules, texts
+from loomgraph.plans import law, registry, rules, texts
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
-QUERIES, ORACLES = registry.QUERIES | texts.QUERIES | rules.QUERIES, registry.ORACLES | texts.ORACLES | rules.ORACLES
+QUERIES, ORACLES = registry.QUERIES | texts.QUERIES | rules.QUERIES | law.QUERIES, registry.ORACLES | texts.ORACLES | rules.ORACLES | law.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +47,12 @@ def test_debounce_window_is_anchored_at_its_first_event(spark):
 def test_stale_diamond(spark):
     edges = spark.createDataFrame([("a", "leaf"), ("b", "leaf"), ("top", "a"), ("top", "b")], "parent string, child string")
     found = {(r.node, r.level) for r in G.stale_ancestors(edges, spark.createDataFrame([("leaf",)], "node string")).collect()}
-    assert found == {("a", 1), ("b", 1), ("top", 2)}
+    assert found == {("leaf", 0), ("a", 1), ("b", 1), ("top", 2)}
+    round_ = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "leaf")], "parent string, child string")
+    with pytest.raises(G.CycleError):
+        G.stale_ancestors(round_, spark.createDataFrame([("leaf",)], "node string"))
+    assert G.propagation_order({"leaf": ["b", "a"], "a": ["top"], "b": ["top"]}, ["leaf"]) == ["leaf", "a", "b", "top"]
+    assert G.would_cycle(edges, "leaf", "top") and not G.would_cycle(edges, "top", "leaf") and G.would_cycle(edges, "a", "a")
 
 
 def test_entry():
