@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph import documents as D
-from loomgraph.extract import build, outline, replay
+from loomgraph.extract import build, outline, references, replay
 from loomgraph.functions import algebra as A
 from loomgraph.functions import citations as C
 from loomgraph.functions import lowering as L
@@ -54,6 +54,9 @@ FINE = "Administrative fines up to {p} 000 000 EUR, or up to {p} % of the total
 HEADED = "CHAPTER II\n\nArticle {n}\n\ntext {e}\n\nSection {p}\n\nmore"
 
 
+REFERRED = ["Article {n}(2) of this Regulation applies.", "The Data Act {y} applies, and section 4 of that Act binds user {u}.", "Articles {p} to 12 apply.", "Pursuant to Article {n} of Regulation (EU) {y}/{n}, point (b) applies."]
+
+
 def _events(spark, sf_dir, text: str):
     return _t(spark, sf_dir, "events").select("event_id", "user_id", F.expr(text.replace("VARCHAR(20)", "STRING")).alias("text"))
 
@@ -98,6 +101,25 @@ def requirement_obligations(spark, sf_dir):
     return found.select("user_id", "triggered", *(F.array_join(c, ",").alias(c) for c in ("present", "uncertain", "missing")), "all_present", "needs_review")
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([*(T.StructField(n, T.StringType()) for n in ("kind", "instrument", "pinpoints")), T.StructField("start", T.IntegerType())])))
+def referred(text: pa.Array, unit: pa.Array) -> pa.Array:
+    out = []
+    for t, u in zip(text.to_pylist(), unit.to_pylist(), strict=True):
+        found = references.resolve(t, unit=u) if t else []
+        out.append([{"kind": r["kind"], "instrument": r["external_instrument"], "pinpoints": ", ".join(x["pinpoint"] for x in r["targets"]) or r.get("external_target"), "start": r["literal_start"]} for r in found])
+    return pa.array(out, pa.list_(pa.struct([*((n, pa.string()) for n in ("kind", "instrument", "pinpoints")), ("start", pa.int32())])))
+
+
+def reference_resolver(spark, sf_dir):
+    e = _events(spark, sf_dir, _pick("event_id % 4", REFERRED))
+    return e.select("event_id", F.explode(referred("text", F.concat(F.lit("Article "), F.col("user_id").cast("string")))).alias("x")).select("event_id", "x.*")
+
+
+def documents_references(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    return d.select("doc_id", F.explode(referred("text", F.lit(None).cast("string"))).alias("x")).select("doc_id", "x.*")
+
+
 def interplay_relations(spark, sf_dir):
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("relation", T.StringType()), T.StructField("target", T.StringType()), T.StructField("start", T.IntegerType())])))
     def found(article: pa.Array, text: pa.Array) -> pa.Array:
@@ -235,6 +257,10 @@ ORACLES = {
     "requirement_obligations": """WITH s AS (SELECT user_id, bool_or(event_id % 4 = 0) AS auto, bool_or(event_id % 4 = 1) AS maybe, bool_or(event_id % 4 = 2) AS yes FROM events GROUP BY user_id)
         SELECT user_id, auto AS triggered, CASE WHEN yes THEN 'human_intervention,right_to_contest' ELSE '' END AS present, CASE WHEN NOT yes AND maybe THEN 'human_intervention' ELSE '' END AS uncertain,
             CASE WHEN yes THEN '' WHEN maybe THEN 'right_to_contest' ELSE 'human_intervention,right_to_contest' END AS missing, CASE WHEN auto THEN yes END AS all_present, NOT yes AND maybe AS needs_review FROM s""",
+    "reference_resolver": f"""WITH {_NUMBERS} SELECT e AS event_id, 'INTERNAL' AS kind, NULL AS instrument, 'Article ' || n || '(2)' AS pinpoints, 0 AS "start" FROM d WHERE e % 4 = 0
+        UNION ALL SELECT e, 'EXTERNAL', 'The Data Act ' || y, NULL, 0 FROM d WHERE e % 4 = 1 UNION ALL SELECT e, 'EXTERNAL', 'The Data Act ' || y, 'section 4', 31 FROM d WHERE e % 4 = 1
+        UNION ALL SELECT e, 'INTERNAL', NULL, array_to_string(list_transform(range(p, 13), lambda k: 'Article ' || k), ', '), 0 FROM d WHERE e % 4 = 2
+        UNION ALL SELECT e, 'EXTERNAL', 'Regulation (EU) ' || y || '/' || n, 'Article ' || n, 12 FROM d WHERE e % 4 = 3 UNION ALL SELECT e, 'INTERNAL', NULL, 'Article ' || u || ', point (b)', 51 FROM d WHERE e % 4 = 3""",
     "interplay_relations": f"WITH {_NUMBERS} SELECT e AS event_id, 'defers_to' AS relation, 'external:regulation-eu-' || y || '-' || n AS target, (length('This rule ' || e || ' applies '))::INTEGER AS \"start\" FROM d",
     "penalty_triples": f"""WITH {_NUMBERS} SELECT DISTINCT e AS event_id, 'own:Art.' || unnest([5, 6, n]) AS s, e || ':administrative_fine' AS o, p::BIGINT * 1000000 AS euro, p::DOUBLE AS percent, 'total worldwide annual turnover' AS basis, 'ceiling' AS bound, 'whichever_is_higher' AS combination FROM d""",
     "text_enclosing_units": f"WITH {_NUMBERS} SELECT e AS event_id, 'Article ' || n AS unit, 'Chapter II' AS chapter, 'Section ' || p AS section FROM d",
@@ -255,4 +281,4 @@ ORACLES = {
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
 #: SQL can't match spans greedily or parse units: tested against plain versions.
-WITHOUT_SQL = {"evaluation_span_scores": evaluation_span_scores, "documents_statements": documents_statements, "documents_concepts": documents_concepts}
+WITHOUT_SQL = {"evaluation_span_scores": evaluation_span_scores, "documents_statements": documents_statements, "documents_concepts": documents_concepts, "documents_references": documents_references}
