@@ -149,8 +149,8 @@ def enclosing_unit(text: str, offset: int, family: str = "eu", found: list | Non
     """The name of the last heading strictly before a place; in the eu family, of the last article. found: headings(text, family), where they are at hand."""
     if not isinstance(text, str) or not isinstance(offset, int):
         raise ValueError("a place is an offset in a text")
-    names = [name for _, level, name in _before(headings(text, family) if found is None else found, offset) if family != "eu" or level == "article"]
-    return names[-1] if names else None
+    found = headings(text, family) if found is None else found
+    return next((found[k][2] for k in range(bisect_left(found, (offset,)) - 1, -1, -1) if family != "eu" or found[k][1] == "article"), None)
 
 
 def enclosing_units(text: str, offset: int, family: str = "eu", found: list | None = None) -> dict:

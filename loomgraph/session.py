@@ -7,6 +7,7 @@ of its own. Other readings of negation are registered under a version (extract.b
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
@@ -116,3 +117,9 @@ def register_plane(spark: SparkSession, descriptor: dict) -> str:
     name = descriptor["plane"].replace("-", "_").replace(".", "_") + "_claims"
     spark.udtf.register(name, F.udtf(Claims, returnType=TRIPLE))
     return name
+
+
+def timed(call: Callable, *args, **options) -> tuple:
+    """The result of a call and its seconds, apart, so that no time gets into what is hashed."""
+    began = time.perf_counter()
+    return call(*args, **options), time.perf_counter() - began

@@ -490,3 +490,46 @@ def test_citation_signals_against_pairs(spark):
     found = E.citation_signals(spark.createDataFrame(list(edges), "src int, dst int"), spark.createDataFrame(pairs, "a int, b int")).collect()
     src, dst = (lambda n: {d for s, d in edges if s == n}), (lambda n: {s for s, d in edges if d == n})
     assert {(x.a, x.b): (x.direct, x.cocitation, x.coupling) for x in found} == {(a, b): (((a, b) in edges) + ((b, a) in edges), len(dst(a) & dst(b)), len(src(a) & src(b))) for a, b in pairs}
+
+
+# Nesting, one edge at a time
+
+
+def test_nesting_against_plain_search():
+    from loomgraph.operators.nesting import Nesting
+
+    r = random.Random(13)
+    dag, edges = Nesting(), set()
+    for _ in range(600):
+        a, b = (f"n{r.randrange(40)}" for _ in range(2))
+        below, stack = set(), [b]
+        while stack:
+            n = stack.pop()
+            if n not in below:
+                below.add(n)
+                stack += [y for x, y in edges if x == n]
+        held = dag.copy()
+        assert dag.would_cycle(a, b) == (a in below)
+        if a in below:
+            with pytest.raises(G.CycleError):
+                dag.add(a, b)
+            assert (dag.place, dag.below, dag.above) == (held.place, held.below, held.above)
+        else:
+            dag.add(a, b)
+            edges.add((a, b))
+        assert all(dag.place[x] < dag.place[y] for x, y in edges) and len(set(dag.place.values())) == len(dag.place)
+    assert {(x, y) for x, ys in dag.below.items() for y in ys} == edges == {(x, y) for y, xs in dag.containers().items() for x in xs}
+
+
+@pytest.mark.parametrize("case", golden("cycle-rejection"))
+def test_golden_nesting(case):
+    from loomgraph.operators.nesting import Nesting
+
+    i, want = case["input"], case["expected"]
+    dag = Nesting(map(tuple, i["existing_edges"]))
+    if "error" in want:
+        with pytest.raises(G.CycleError):
+            dag.add(*i["add_edge"])
+    else:
+        dag.add(*i["add_edge"])
+        assert dag.place == want.get("order", dag.place) and sorted(dag.below[i["add_edge"][0]]) == sorted(want.get("children_of_parent", dag.below[i["add_edge"][0]]))
