@@ -2,7 +2,44 @@
 
 from __future__ import annotations
 
+#: Patterns of the secret scan for RE2: either case is written out, since its own flag folds beyond ASCII.
+_either = lambda words: "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words.split("|"))
+_QUOTES = "[\"'']?\\x20*[:=]\\x20*[\"'']?"
+_KINDS = {
+    "assign": f"({_either('password|passwd|secret|token')}|{_either('api')}_?{_either('key')}){_QUOTES}([A-Za-z0-9+/_.=-]+)", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]{16,}",
+    "ident": f"({_either('user|username|login|account')}|{_either('client')}_?{_either('id')}){_QUOTES}([A-Za-z0-9@_.-]{{4,}})", "blob": "[A-Za-z0-9+/]{40,}",
+    "endpoint": "(https?|ftps?|ssh|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\\x20\\x09-\\x0D\"''<>]+",
+}
+_cases = lambda: "[" + ", ".join(f"'{k}'" for k in _KINDS) + "][k + 1]"
+_MATCHES = " UNION ALL ".join(f"SELECT r, {k} AS k, regexp_extract_all(t, '{p}') AS h, string_split_regex(t, '{p}') AS g FROM d" for k, p in enumerate(_KINDS.values()))
+
 ORACLES = {
+    # Base32 of a SHA-1: five hexadecimal digits are four letters.
+    "op1_warc_writer": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), s AS (SELECT page_id, html, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS owner FROM p)
+        SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to FROM s
+    """,
+    # All strings of 100 bytes as hexadecimal digits, by their MD5; doc_ids differ.
+    "op7_run_length_index": """
+        WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        s AS (SELECT r, i, md5_number(substr(x, 2 * i + 1, 200)) AS w FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 99)) AS i FROM d)),
+        f AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY w ORDER BY r, i) AS k FROM s) WHERE k > 1),
+        g AS (SELECT r, i, CASE WHEN i - lag(i) OVER w <= 100 THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY r ORDER BY i)),
+        u AS (SELECT r, n, min(i) AS a, max(i) + 100 AS z FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS n FROM g) GROUP BY r, n),
+        v AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS y FROM u),
+        k AS (SELECT d.r, any_value(doc_id) AS doc_id, any_value(x) AS x, count(a) AS n_spans, coalesce(sum(z - a), 0) AS n_removed, coalesce(max(z), 0) AS last, coalesce(string_agg(substr(x, (2 * y + 1)::BIGINT, (2 * (a - y))::BIGINT), '' ORDER BY a), '') AS kept FROM d LEFT JOIN v ON v.r = d.r GROUP BY d.r)
+        SELECT doc_id, length(x) // 2 AS n_bytes, n_removed::BIGINT AS n_removed, n_spans, sha256(unhex(kept || substr(x, (2 * last + 1)::BIGINT))) AS kept_sha256 FROM k
+    """,
+    "op9_credential_linking": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), a AS ({_MATCHES}), m AS (SELECT r, k, h, g, unnest(range(len(h))) AS i FROM a WHERE len(h) > 0),
+        p AS (SELECT r, k, h[i + 1] AS hit, list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i], lambda x: length(x))), 0) AS s FROM m),
+        q AS (SELECT r, k, s::BIGINT AS s, (s + length(hit))::BIGINT AS e, {_cases()} AS kind, CASE WHEN k IN (0, 2, 4) THEN 'secret' WHEN k IN (1, 3) THEN 'identifier' ELSE 'endpoint' END AS c FROM p
+              WHERE CASE k WHEN 0 THEN length(regexp_extract(hit, '{_KINDS['assign']}', 2)) >= 12 WHEN 1 THEN length(hit) >= 18 WHEN 4 THEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') ELSE true END),
+        x AS (SELECT * FROM q WHERE k < 3 OR EXISTS (SELECT 1 FROM q o WHERE o.r = q.r AND o.s <= q.e + 200 AND o.e >= q.s - 200 AND (o.c = 'secret') <> (q.c = 'secret'))),
+        y AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM x GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN y USING (r)
+    """,
     # Blocks of 512 turns; those of over 1024 rows or 16 MiB by turn, and each turn by ranges of the hash that orders its messages.
     "op2_perspective_rotation": r"""
         WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, coalesce(floor(turn / 512.0)::BIGINT::VARCHAR, 'none') AS block FROM conversations),
