@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters are words, word beginnings, a small fixed lexicon and patterns. Words and beginnings are proposed by a distributed count over a bounded, deduplicated sample of labelled rows
-(SAMPLE_ROWS, a parameter) and a likelihood-ratio test; the fixed voters need no label. A generative label model (expectation maximisation over latent classes)
+Voters are lexicons and patterns that need no label, and words and word beginnings. Words and beginnings are proposed by a distributed count over a bounded, deduplicated sample of labelled rows
+(SAMPLE_ROWS, a parameter) and a likelihood-ratio test; each other voter is fixed. A generative label model (expectation maximisation over latent classes)
 estimates each voter's accuracies, discounts voters by the correlation of their residuals, and treats an observed label, where there is one, as
 one more voter. A linear (logistic) classifier is trained on the posterior labels and scores every whole text. Without labels the fixed voters alone
 supervise. Only counts, chosen terms and the sample's vote lists reach the driver; the scan of all documents is one map without shuffle.
@@ -27,8 +27,20 @@ from .common import map_arrow, written
 
 #: Labelled rows that the model is fitted on, about; terms proposed at most; the test's least statistic and least rows.
 SAMPLE_ROWS, TERMS, LEAST_G, LEAST_ROWS = 20_000, 512, 25.0, 4
-LEXICON = {"idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "dumb", "clown"}
-PATTERNS = {"shout": re.compile(r"!{3,}"), "you are": re.compile(r"\byou(?:'re| are) (?:an? |so |such )", re.I)}
+#: Lexicons, each a voter that needs no label, in the four languages of the corpora this is meant for.
+LEXICONS = {
+    "insult": "idiot idiots moron morons stupid dumb loser losers clown fool fools imbecile idiota idiotas estúpido imbécil tonto idiote stupide crétin trottel dummkopf blödmann idioten",
+    "contempt": "scum trash pathetic worthless disgusting vermin garbage filth basura asqueroso patético ordure dégoûtant minable abschaum müll erbärmlich widerlich",
+    "profanity": "fuck fucking shit bullshit asshole bastard bitch crap damn mierda puta cabrón merde putain salaud scheisse scheiße arschloch",
+    "threat": "kill murder destroy hurt beat strangle matar destruir tuer détruire umbringen töten vernichten",
+}
+_THEME = {w: name for name, words in LEXICONS.items() for w in words.split()}
+#: Patterns, likewise; each is tried only where its needle stands in the text, in lower case.
+PATTERNS = {
+    "shout": ("!!!", re.compile(r"!{3,}")), "you are": ("you", re.compile(r"\byou(?:'re| are) (?:an? |so |such )", re.I)), "shut up": ("shut up", re.compile(r"\bshut up\b", re.I)), "get lost": ("get lost", re.compile(r"\bget lost\b", re.I)),
+    "hate you": ("hate", re.compile(r"\b(?:hate|despise) (?:you|them|those)\b", re.I)), "go away": ("go ", re.compile(r"\bgo (?:to hell|away|die)\b", re.I)),
+}
+FIXED = [*(f"f:{name}" for name in LEXICONS), *(f"f:{name}" for name in PATTERNS)]
 THRESHOLD = 0.7
 _WORDS = re.compile(r"[^\W\d_]+").findall
 BEGINNINGS = (4, 5, 6)
@@ -40,10 +52,15 @@ def terms(text: str) -> set[str]:
     for w in set(_WORDS(text.lower())):
         found.update(f"b:{w[:k]}" for k in BEGINNINGS if len(w) > k)
         found.add(f"w:{w}")
-        if w in LEXICON:
-            found.add("f:lexicon")
-    found.update(f"f:{name}" for name, p in PATTERNS.items() if p.search(text))
-    return found
+        if w in _THEME:
+            found.add(f"f:{_THEME[w]}")
+    return found | set(fired(text))
+
+
+def fired(text: str) -> list[str]:
+    """The patterns that a text has."""
+    low = text.lower()
+    return [f"f:{name}" for name, (needle, p) in PATTERNS.items() if needle in low and p.search(text)]
 
 
 @dataclass
@@ -67,7 +84,7 @@ class Model:
         for w in set(_WORDS(text.lower())):
             found = known.get(w)
             if found is None:
-                own = [f"b:{w[:k]}" for k in BEGINNINGS if len(w) > k] + [f"w:{w}"] + ["f:lexicon"] * (w in LEXICON)
+                own = [f"b:{w[:k]}" for k in BEGINNINGS if len(w) > k] + [f"w:{w}"] + ([f"f:{_THEME[w]}"] if w in _THEME else [])
                 found = tuple(at[t] for t in own if t in at)
                 if len(known) >= 300_000:
                     known.clear()
@@ -75,7 +92,7 @@ class Model:
                     known[w] = found
             if found:
                 out.update(found)
-        out.update(at[f"f:{name}"] for name, p in PATTERNS.items() if f"f:{name}" in at and p.search(text))
+        out.update(at[name] for name in fired(text) if name in at)
         return sorted(out)
 
     def score(self, hits: list[int]) -> float:
@@ -111,12 +128,13 @@ def label_model(votes: np.ndarray, gold: np.ndarray, start: np.ndarray, rounds:
         prior = float(np.clip(one / n, 0.005, 0.5))
         if seen.any():
             right = (float(np.clip(post[seen] @ y[seen] / (post[seen].sum() + 1e-9), 0.6, 0.98)), float(np.clip((1 - post[seen]) @ y[seen] / ((1 - post[seen]).sum() + 1e-9), 0.002, 0.4)))
-        # Residuals of voters that go together: their evidence is shared among them.
+        # Voters whose residuals go together beyond chance (three standard errors) depend on one another: their evidence is shared among them.
         rest = votes - np.outer(post, a) - np.outer(1 - post, b)
         spread = np.sqrt((rest**2).mean(axis=0)) + 1e-6
         together = np.abs(rest.T @ rest / n / np.outer(spread, spread))
         np.fill_diagonal(together, 0)
-        discount = 1 / (1 + np.where(together > 0.3, together, 0).sum(axis=1))
+        together = np.where(together > max(0.1, 3 / np.sqrt(n)), together, 0)
+        discount = 1 / (1 + together.sum(axis=1))
     return post
 
 
@@ -135,7 +153,6 @@ def linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 15)
 
 def fit(docs: DataFrame, labels: DataFrame | None, sample_rows: int = SAMPLE_ROWS) -> Model:
     """docs (doc_id, text) and the labels (doc_id, toxic) that may be learned from."""
-    fixed = ["f:lexicon", *(f"f:{p}" for p in PATTERNS)]
     n = 0
     if labels is not None:
         by_doc = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("y"))
@@ -178,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, sample_rows: int = SAMPLE_ROW
         g = 2 * (F.col("one") * F.log(F.col("one") / (of * share)) + F.when(F.col("zero") > 0, F.col("zero") * F.log(F.col("zero") / (of * (1 - share)))).otherwise(0.0))
         strong = sums.where((F.col("one") >= LEAST_ROWS) & (F.col("one") / of > min(0.5, 4 * share))).withColumn("g", g).where(F.col("g") >= LEAST_G)
         found = strong.orderBy(F.desc("g"), "term").limit(TERMS).collect()
-    names = fixed + [r["term"] for r in found]
+    names = FIXED + [r["term"] for r in found]
     probe = Model(dict.fromkeys(names, 0.0), 0.0)
 
     def voted(batches):
@@ -192,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, sample_rows: int = SAMPLE_ROW
         votes[i, r["hits"]] = 1
     gold = np.array([np.nan if r["y"] is None else float(r["y"] > 0.5) for r in got])
     if not len(got):
-        return Model({"f:lexicon": 4.0}, -3.0)
-    start = np.array([20.0 if t == "f:lexicon" else 2.0 if t[0] == "f" else 10.0 for t in names])
+        return Model({f"f:{name}": 4.0 for name in LEXICONS}, -3.0)
+    start = np.array([20.0 if t[2:] in LEXICONS else 2.0 if t[0] == "f" else 10.0 for t in names])
     w, base = linear(votes, label_model(votes, gold, start))
     return Model({t: float(x) for t, x in zip(names, w, strict=True)}, base)
 
