@@ -32,6 +32,24 @@ def left_fold(order: Column, dim: Column) -> Column:
     return F.when(last.isNull(), "relational").when(last != "structural", last).when(before == "causal", "causal").otherwise("structural")
 
 
+def dimension(c: Column) -> Column:
+    """c, or an error where it names no dimension."""
+    return F.when(is_dimension(c), c).otherwise(F.raise_error(F.concat(F.lit("unknown dimension "), F.coalesce(c, F.lit("null")))))
+
+
+def fold_path(path: Column) -> Column:
+    """An array of (dimension, weight), in order, to one: the fold of the dimensions, and the product of the weights (1 where missing) multiplied in that order. Empty paths, unknown dimensions and weights outside 0 and 1 are errors."""
+    start = F.struct(F.lit("relational").alias("dimension"), F.lit(1.0).alias("weight"))
+    step = lambda s, x: F.struct(compose(s["dimension"], dimension(x["dimension"])).alias("dimension"), (s["weight"] * guarded(F.coalesce(x["weight"], F.lit(1.0)), "a weight", 0.0, 1.0)).alias("weight"))
+    return F.when(F.size(path) > 0, F.aggregate(path, start, step)).otherwise(F.raise_error(F.lit("an empty path has no fold")))
+
+
+def ingest_window(as_of: Column, now: Column, seconds: float) -> Column:
+    """Of a view that is stale for an ingest: its age, and whether it may still be served (up to and at the end of the window). An error without as_of."""
+    age = now - F.when(as_of.isNotNull(), as_of).otherwise(F.raise_error(F.lit("a view has no as_of")))
+    return F.struct(age.alias("age"), (age <= seconds).alias("servable"))
+
+
 def product(weight: Column) -> Column:
     """Aggregate: the product of weights at six decimals, from partial products, so no group is held in one place."""
     return round6(F.product(F.coalesce(weight, F.lit(1.0))))

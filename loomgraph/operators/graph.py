@@ -31,25 +31,27 @@ def settled(df: DataFrame) -> DataFrame:
 
 def container_position(members: DataFrame, by: str) -> DataFrame:
     """members with a point (five doubles) to the fixed-point mean of each container: partial integer sums, so the order of rows cannot change it."""
-    sums = members.groupBy(by).agg(F.count("*").alias("n"), *(F.sum(A.to_fixed(F.col(d))).alias(d) for d in A.DIMENSIONS))
+    sums = members.groupBy(by).agg(F.count("*").alias("n"), *(F.sum(A.to_fixed(A.guarded(F.col(d), "a member's point", float("-inf")))).alias(d) for d in A.DIMENSIONS))
     return sums.select(by, *(A.fixed_mean(F.col(d), F.col("n")).alias(d) for d in A.DIMENSIONS))
 
 
 def trimmed_top_k(members: DataFrame, by: str, claim: str, weight: str, k: int = 5, n_min: int = 3, salt: str = "") -> DataFrame:
     """The members that count in each container: all when fewer than n_min, else the k heaviest; ties by salted hash. Only the best max(k, n_min - 1) of a container in each task are shuffled."""
-    order = Window.partitionBy(by).orderBy(F.desc(weight), A.tiebreak_key(F.col(claim).cast("string"), salt))
+    if not all(isinstance(x, int) and not isinstance(x, bool) and x > 0 for x in (k, n_min)):
+        raise ValueError("k and n_min are positive whole numbers")
+    order = Window.partitionBy(by).orderBy(F.desc(A.guarded(F.col(weight), "a weight", float("-inf"))), A.tiebreak_key(F.col(claim).cast("string"), salt))
     best = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, n_min - 1))
     if k >= n_min - 1:
         return best
-    sizes = members.groupBy(by).agg(F.count("*").alias("n"))
-    return best.join(sizes, by).where((F.col("n") < n_min) | (F.col("rank") <= k)).drop("n")
+    sizes = members.groupBy(by).agg(F.count("*").alias("_n"))
+    return best.join(sizes, by).where((F.col("_n") < n_min) | (F.col("rank") <= k)).drop("_n")
 
 
 def trimmed_match(members: DataFrame, by: str, claim: str, weight: str, k: int = 5, n_min: int = 3, salt: str = "") -> DataFrame:
     """By container: the fixed-point mean of the points of the members that count, and their claims by rank."""
     chosen = trimmed_top_k(members, by, claim, weight, k, n_min, salt)
-    sums = chosen.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", claim))).alias("c"), *(F.sum(A.to_fixed(F.col(d))).alias(d) for d in A.DIMENSIONS))
-    return sums.select(by, F.transform("c", lambda x: x[claim]).alias("claims"), *(A.fixed_mean(F.col(d), F.col("n")).alias(d) for d in A.DIMENSIONS))
+    sums = chosen.groupBy(by).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("rank", claim))).alias("_claims"), *(F.sum(A.to_fixed(F.col(d))).alias(d) for d in A.DIMENSIONS))
+    return sums.select(by, F.transform("_claims", lambda x: x[claim]).alias("claims"), *(A.fixed_mean(F.col(d), F.col("_n")).alias(d) for d in A.DIMENSIONS))
 
 
 def trimmed_match_from_profile(members: DataFrame, by: str, claim: str, weight: str, profile: dict) -> DataFrame:
@@ -60,16 +62,16 @@ def trimmed_match_from_profile(members: DataFrame, by: str, claim: str, weight:
 def quantiles(members: DataFrame, by: str, value: str, buckets: int = 1024) -> DataFrame:
     """members with quantile: the share of the other members of their container that are below them, 0 for a single one. Equal values are counted first; a container's values are accumulated
     by ranges of its span, so neither a hot container nor a hot value lies in one task."""
-    counts = members.groupBy(by, value).agg(F.count("*").alias("c"))
-    span = counts.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("c").alias("n"))
+    counts = members.groupBy(by, value).agg(F.count("*").alias("_c"))
+    span = counts.groupBy(by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_c").alias("_n"))
     v = F.col(value).cast("double")
-    bucket = F.when(F.col("high") == F.col("low"), 0).otherwise(F.floor((v - F.col("low")) / (F.col("high") - F.col("low")) * buckets))
-    placed = counts.join(span, by).withColumn("bucket", bucket.cast("long"))
-    sums = placed.groupBy(by, "bucket").agg(F.sum("c").alias("s"))
-    sums = sums.select(by, "bucket", (F.sum("s").over(Window.partitionBy(by).orderBy("bucket")) - F.col("s")).alias("above"))
-    inside = F.sum("c").over(Window.partitionBy(by, "bucket").orderBy(value)) - F.col("c")
-    below = placed.withColumn("inside", inside).join(sums, [by, "bucket"]).withColumn("below", F.col("above") + F.col("inside"))
-    share = F.when(F.col("n") > 1, F.col("below") / (F.col("n") - 1)).otherwise(0.0)
+    bucket = F.when(F.col("_high") == F.col("_low"), 0).otherwise(F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * buckets))
+    placed = counts.join(span, by).withColumn("_bucket", bucket.cast("long"))
+    sums = placed.groupBy(by, "_bucket").agg(F.sum("_c").alias("_s"))
+    sums = sums.select(by, "_bucket", (F.sum("_s").over(Window.partitionBy(by).orderBy("_bucket")) - F.col("_s")).alias("_above"))
+    inside = F.sum("_c").over(Window.partitionBy(by, "_bucket").orderBy(value)) - F.col("_c")
+    below = placed.withColumn("_inside", inside).join(sums, [by, "_bucket"]).withColumn("_below", F.col("_above") + F.col("_inside"))
+    share = F.when(F.col("_n") > 1, F.col("_below") / (F.col("_n") - 1)).otherwise(0.0)
     return members.join(below.select(by, value, share.alias("quantile")), [by, value])
 
 
@@ -95,12 +97,14 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def within_hops(links: DataFrame, r: int) -> DataFrame:
     """links (src, dst) to (node, signal): distinct predecessors within r hops, the node itself excluded."""
+    if isinstance(r, bool) or not isinstance(r, int) or r < 0:
+        raise ValueError(f"hops are 0 or more, got {r!r}")
     first = links.select(F.col("dst").alias("node"), F.col("src").alias("near")).distinct()
     found = front = first
     for _ in range(r - 1):
         front = front.join(first.select(F.col("node").alias("near"), F.col("near").alias("far")), "near").select("node", F.col("far").alias("near")).distinct()
         found = found.union(front).distinct()
-    return found.where("node <> near").groupBy("node").agg(F.count("*").alias("signal"))
+    return found.where("node <> near" if r else "false").groupBy("node").agg(F.count("*").alias("signal"))
 
 
 def link_signal(links: DataFrame, kind: str, r: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import algebra as A
 from loomgraph.operators import graph as G
 from loomgraph.operators.graph import CycleError
+from loomgraph.profile import resolve_profile
 
 #: Rules that may pair with every entity at most.
 MOST_RULES = 10_000
@@ -55,6 +56,24 @@ def nesting_position(edges: DataFrame, r: int = 2) -> DataFrame:
     return up.join(down, "node", "full").select("node", (a / (a + d)).alias("position"))
 
 
+def conceptual_depth(nodes: DataFrame, links: DataFrame, edges: DataFrame, r: int = 2, link_scale: float = 5.0, anchor_scale: float = 2.0, link_weight: float = 0.5, nesting_weight: float = 0.5) -> DataFrame:
+    """nodes (node), links (src, dst, kind: concept or anchor), edges (parent, child) to (node, depth): how deep a node lies, from those that link to it within r hops, from its anchors, which make it shallow, and
+    from its place between what holds it and what it holds."""
+    if min(link_scale, anchor_scale) <= 0 or min(link_weight, nesting_weight) < 0 or link_weight + nesting_weight <= 0:
+        raise ValueError("scales are positive, weights 0 or more with a positive sum")
+    signals = [G.link_signal(links, k, r).withColumnRenamed("signal", k) for k in ("concept", "anchor")]
+    rows = nodes.select("node")
+    for found in (*signals, nesting_position(edges, r)):
+        rows = rows.join(found, "node", "left")
+    rows = rows.na.fill(0)
+    return rows.select("node", A.depth_blend(F.col("concept").cast("double"), F.col("anchor").cast("double"), F.col("position"), link_scale, anchor_scale, link_weight, nesting_weight).alias("depth"))
+
+
+def conceptual_depth_from_profile(nodes: DataFrame, links: DataFrame, edges: DataFrame, profile: dict) -> DataFrame:
+    p = resolve_profile(profile)
+    return conceptual_depth(nodes, links, edges, p["r"], p["link_saturation"], p["anchor_saturation"], p["d_blend_weights"]["links"], p["d_blend_weights"]["nesting"])
+
+
 def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     """edges with new ones (parent, child), each once; CycleError, and nothing is added, if one of them closes a cycle. Rounds take off nodes that nothing leads to, so a cycle is
     what is left when no round takes one more; each round is one join."""

@@ -16,7 +16,7 @@ from loomgraph.functions import text as X
 from loomgraph.grammars import interplay, penalty, requirement
 from loomgraph.operators import evaluation as E
 from loomgraph.operators import rules as R
-from loomgraph.plans.registry import _t
+from loomgraph.plans.registry import _CASE, _t
 
 _D = A.DIMENSIONS
 URI, DATE = "urn:event", "2026-01-01"
@@ -57,6 +57,10 @@ HEADED = "CHAPTER II\n\nArticle {n}\n\ntext {e}\n\nSection {p}\n\nmore"
 REFERRED = ["Article {n}(2) of this Regulation applies.", "The Data Act {y} applies, and section 4 of that Act binds user {u}.", "Articles {p} to 12 apply.", "Pursuant to Article {n} of Regulation (EU) {y}/{n}, point (b) applies."]
 
 
+QUESTIONS = ["What is gear {e} for?", "why does user {u} stall", "How is it built, {e}", "when was {e} made", "Is {e} similar to {u}", "Steel {e} and tin", " what happened first {u} ", "reason so that {e} holds"]
+NAMES = ["Part of {e}", "CAUSES {u}", "aims_at {e}", " precedes {e} ", "similar to {u}", "depends causally {e}", "shipped {e}", "then causes {u}"]
+
+
 def _events(spark, sf_dir, text: str):
     return _t(spark, sf_dir, "events").select("event_id", "user_id", F.expr(text.replace("VARCHAR(20)", "STRING")).alias("text"))
 
@@ -209,6 +213,21 @@ def _documents(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def dim_classify_query(spark, sf_dir):
+    return _events(spark, sf_dir, _pick("event_id % 8", QUESTIONS)).select("event_id", X.classify_query(F.col("text")).alias("dimension"))
+
+
+def dim_classify_predicate(spark, sf_dir):
+    return _events(spark, sf_dir, _pick("event_id % 8", NAMES)).select("event_id", X.classify_predicate(F.col("text")).alias("dimension"))
+
+
+def path_fold_statements(spark, sf_dir):
+    """Paths of eight events each, in order."""
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 8).alias("run"), F.expr(_CASE).alias("dimension"), ((F.col("event_id") % 10 + 90) / F.lit(100.0)).alias("weight"))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "dimension", "weight"))), lambda x: F.struct(x["dimension"].alias("dimension"), x["weight"].alias("weight")))
+    return e.groupBy("run").agg(path.alias("p")).withColumn("f", A.fold_path(F.col("p"))).select("run", "f.dimension", "f.weight")
+
+
 def dim_classify_documents(spark, sf_dir):
     d = _documents(spark, sf_dir)
     return d.select("doc_id", X.classify_query(F.col("text")).alias("question"), X.classify_predicate(F.col("text")).alias("predicate"))
@@ -276,6 +295,10 @@ ORACLES = {
         SELECT a, b, (CASE WHEN coalesce(m.t, 0) + coalesce(n.t, 0) - coalesce(c, 0) > 0 THEN coalesce(c, 0)::HUGEINT * 1000000 // (coalesce(m.t, 0) + coalesce(n.t, 0) - coalesce(c, 0)) ELSE 0 END)::BIGINT AS overlap FROM p LEFT JOIN t m ON m.k = a LEFT JOIN t n ON n.k = b LEFT JOIN c USING (a)""",
     "evaluation_signatures": f"""WITH e AS (SELECT DISTINCT src::VARCHAR AS src, dst::VARCHAR AS dst, dimension FROM {_LINKS}), s AS (SELECT src AS node, dimension || '|' || dst AS element FROM e UNION SELECT x.src, x.dimension || '|' || x.dst || '|' || y.dimension || '|' || y.dst FROM e x JOIN e y ON x.dst = y.src)
         SELECT node, count(*) AS elements FROM s GROUP BY node""",
+    "dim_classify_query": rf"""SELECT event_id, CASE WHEN regexp_matches(q, '\bwhat\b.{{0,40}}\bfor\b\s*\??\s*$|for what purpose') THEN 'intentional' ELSE {_first_of("(' ' || q || ' ')", X.QUERY_CUES, "")} END AS dimension FROM (SELECT event_id, trim(lower({_pick("event_id % 8", QUESTIONS)})) AS q FROM events)""",
+    "dim_classify_predicate": f"""SELECT event_id, {_first_of("translate(q, ' _', '--')", X.KEYWORDS, "ELSE 'relational'")} AS dimension FROM (SELECT event_id, trim(lower({_pick("event_id % 8", NAMES)})) AS q FROM events)""",
+    "path_fold_statements": f"""WITH p AS (SELECT event_id // 8 AS run, list({_CASE} ORDER BY event_id) AS d, list((event_id % 10 + 90) / 100.0::DOUBLE ORDER BY event_id) AS w FROM events GROUP BY 1)
+        SELECT run, list_reduce(list_prepend('relational', d), lambda a, b: CASE WHEN b = 'relational' THEN a WHEN a = 'causal' AND b = 'structural' THEN 'causal' ELSE b END) AS dimension, list_reduce(list_prepend(1.0::DOUBLE, w), lambda a, b: a * b) AS weight FROM p""",
     "dim_classify_documents": rf"""WITH d AS (SELECT doc_id, trim(lower(text), chr(32) || chr(9) || chr(10) || chr(13)) AS q FROM documents)
         SELECT doc_id, CASE WHEN q IS NULL THEN NULL WHEN regexp_matches(q, '\bwhat\b.{{0,40}}\bfor\b\s*\??\s*$|for what purpose') THEN 'intentional' ELSE {_first_of("(' ' || q || ' ')", X.QUERY_CUES, "")} END AS question, {_first_of("translate(coalesce(q, ''), ' _', '--')", X.KEYWORDS, "ELSE 'relational'")} AS predicate FROM d""",
 }

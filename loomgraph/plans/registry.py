@@ -129,13 +129,8 @@ def _links(spark, sf_dir):
 
 
 def depth_conceptual(spark, sf_dir):
-    l = _links(spark, sf_dir)
-    links, anchors = (G.link_signal(l, k, 2).withColumnRenamed("signal", k) for k in ("concept", "anchor"))
-    nesting = R.nesting_position(_embeds(spark, sf_dir)).where("node LIKE 'c%'")
     every = _t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
-    s = every.join(links, "node", "left").join(anchors, "node", "left").join(nesting, "node", "left").na.fill(0)
-    d = A.depth_blend(F.col("concept").cast("double"), F.col("anchor").cast("double"), F.col("position"))
-    return s.select("node", F.round(d * 1e4).cast("long").alias("depth"))
+    return R.conceptual_depth(every, _links(spark, sf_dir), _embeds(spark, sf_dir)).select("node", F.round(F.col("depth") * 1e4).cast("long").alias("depth"))
 
 
 def depth_quantiles(spark, sf_dir):

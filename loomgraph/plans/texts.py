@@ -12,20 +12,6 @@ from loomgraph.plans.registry import _CASE, _events, _t
 
 _D = A.DIMENSIONS
 DOMAIN = "loomgraph:content:1"
-#: Questions and predicates that the rows of part take in turn.
-QUESTIONS = ["What is the gear for?", "why does it stall", "How is it built", "when was it made", "Is it similar to steel", "Steel and tin", " what happened first ", "reason so that it holds"]
-NAMES = ["Part of", "CAUSES", "aims_at", " precedes ", "similar to", "depends causally", "shipped", "then causes"]
-
-#: Sentences with what each says in the five dimensions, relational before it gives way.
-SENTENCES = [
-    ("Where needed, within 3 days after the period referred to in paragraph 2", (1, 1, 0, 3, 0)), ("‘consent’ of the data subject means any risk due to IF", (1, 3, 0, 0, 1)), ("automated means within the Union", (0, 0, 0, 0, 0)),
-    ("The controller and the processor share an obligation", (0, 0, 0, 0, 3)), ("in order to protect the right to appeal", (0, 0, 1, 0, 1)), ("It seeks to ensure safety before Chapter IV", (1, 0, 1, 1, 0)),
-]
-
-
-def _turn(values: list[str], key: str):
-    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
-
 
 def _docs(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,19 +26,6 @@ def dim_composition_laws(spark, sf_dir):
     return abc.select("a", "b", "c", *laws)
 
 
-def dim_classify_query(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", T.classify_query(_turn(QUESTIONS, "p_partkey")).alias("dimension"))
-
-
-def dim_classify_predicate(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", T.classify_predicate(_turn(NAMES, "p_partkey")).alias("dimension"))
-
-
-def text_cue_contributions(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").select("p_partkey", _turn([t for t, _ in SENTENCES], "p_partkey").alias("t"))
-    return C.cue_counts(p, "t").select("p_partkey", *C.contributions()).select("p_partkey", *(A.to_fixed(F.col(d)).alias(d) for d in _D))
-
-
 def text_cue_documents(spark, sf_dir):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # texts may be of any length
     return C.cue_counts(_docs(spark, sf_dir), "text").select("doc_id", *C.contributions()).select("doc_id", *(A.to_fixed(F.col(d)).alias(d) for d in _D))
@@ -152,10 +125,6 @@ def _list(values):
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def _cues(text, table):
-    return " ".join(f"WHEN len(list_filter({_list(words)}, lambda w: contains({text}, w))) > 0 THEN '{d}'" for d, words in table.items())
-
-
 _COMPOSE = "CASE WHEN {b} = 'relational' THEN {a} WHEN {a} = 'causal' AND {b} = 'structural' THEN 'causal' ELSE {b} END"
 _DIMS = "(VALUES " + ", ".join(f"('{d}')" for d in _D) + ")"
 _WORDS = f"SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]{{2,}}'), lambda w: lower(w)), lambda w: NOT list_contains({_list(T.STOPWORDS)}, w)) AS w FROM documents"
@@ -168,9 +137,6 @@ _FIX = "trunc({} * 1e6::DOUBLE + 0.5)::BIGINT"
 
 ORACLES = {
     "dim_composition_laws": f"SELECT a, b, c, {_AB} = {_BA} AS commutes, {_COMPOSE.format(a=f'({_AB})', b='c')} = {_COMPOSE.format(a='a', b=f'({_BC})')} AS associates, true AS right_identity, true AS closed FROM {_DIMS} x(a), {_DIMS} y(b), {_DIMS} z(c)",
-    "dim_classify_query": rf"SELECT p_partkey, CASE WHEN regexp_matches(q, '\bwhat\b.{{0,40}}\bfor\b\s*\??\s*$|for what purpose') THEN 'intentional' {_cues("(' ' || q || ' ')", T.QUERY_CUES)} END AS dimension FROM (SELECT p_partkey, trim(lower({_list(QUESTIONS)}[p_partkey % {len(QUESTIONS)} + 1])) AS q FROM part)",
-    "dim_classify_predicate": f"SELECT p_partkey, CASE {_cues('q', T.KEYWORDS)} ELSE 'relational' END AS dimension FROM (SELECT p_partkey, translate(trim(lower({_list(NAMES)}[p_partkey % {len(NAMES)} + 1])), ' _', '--') AS q FROM part)",
-    "text_cue_contributions": "SELECT p_partkey, " + ", ".join(f"{[n[i] * 1000000 if i < 4 else round(n[4] * 1e6 / (1 + sum(n[:4]))) for _, n in SENTENCES]}[p_partkey % {len(SENTENCES)} + 1]::BIGINT AS {d}" for i, d in enumerate(_D)) + " FROM part",
     "term_document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM ({_WORDS})) GROUP BY term",
     "term_bm25": f"WITH {_BM25} SELECT doc_id, term, round(weight * 1e4)::BIGINT AS weight FROM v WHERE weight > 0",
     "term_claims": f"WITH {_BM25} SELECT doc_id, term, round(round_even(weight / max(weight) OVER (PARTITION BY doc_id), 6) * 1e4)::BIGINT AS weight FROM v WHERE weight > 0",
