@@ -11,7 +11,7 @@ equal strings have equal anchors. The strings with one anchor are consecutive; t
 3. The bytes of the contexts that agree with another on a side are fetched from the documents and come together by that side. For blocks of whole groups, in order of occurrence, the run-compressed BWT is
    built: run heads, run starts, the LF image of each run's start, and text positions sampled at the ends of runs and of classes (stretches of suffixes that share N bytes), of which
    the smallest is the class's first occurrence. The suffix array is dropped. The contexts are then streamed from right to left through the LF mapping of the runs, all in step, which gives
-   for each place the stretch of the index that matches N bytes and so its earliest occurrence; places that are not their own earliest occurrence are marked.
+   for each place the stretch of the index that matches N bytes and so its earliest occurrence; places that are not their own earliest occurrence are marked. A side that over HOT_SIDE different contexts share would make too large an index: their strings are compared by hash instead, each by itself.
 4. Marked ranges come together by document, are merged, and cut out.
 
 Only hashes and places are shuffled for all of the text; bytes only for contexts that an index must tell apart, and once to cut. A common passage is reduced in each task
@@ -23,6 +23,8 @@ text) are one document and get the same result; rows of one doc_id with differen
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +37,8 @@ N, K = 100, 16
 SIDE = (N - K + 1) // 2
 #: Contexts that a map task holds before it passes them on, bytes that it hashes at once, bytes in one index, and different contexts of an anchor that one task compares.
 HELD, PIECE, INDEX_BYTES, HOT = 400_000, 1 << 18, 64 << 10, 500_000
+#: Contexts that share a side, above which they are not indexed but taken apart into strings.
+HOT_SIDE = 10_000
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LAST = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -353,6 +357,24 @@ def to_tell(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind") == TELL).select("g", "d", "h", "s", "n").unionByName(hot.join(many, "g", "left_semi"))
 
 
+def strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The way of sides that very many contexts share: their strings of N bytes each by its own hash (128 bits), the first place of each by partial minima, and every later place as a range (d, h, a, z). The join's
+    frequent strings are split by AQE, since each has one first place."""
+    by_doc = wanted.groupBy("d", "h").agg(F.collect_set(F.struct("s", "n")).alias("w"))
+
+    def run(batches):
+        for b in batches:
+            for d, h, t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                raw = t.as_buffer().to_pybytes()
+                at = [s for x in w for s in range(x["s"], x["s"] + x["n"])]
+                keys = [hashlib.blake2b(raw[s : s + N], digest_size=16).digest() for s in at]
+                yield _table([keys, [d] * len(at), [h] * len(at), at], ["key", "d", "h", "s"], [pa.binary(), pa.int64(), pa.int32(), pa.int32()])
+
+    found = written(map_arrow(docs.join(by_doc, ["d", "h"]).select("d", "h", F.col("t").cast("binary").alias("t"), "w"), run, "key binary, d long, h int, s int"), "strings")
+    first = found.groupBy("key").agg(F.min(F.struct("d", "h", "s")).alias("first"))
+    return found.join(first, "key").where(F.struct("d", "h", "s") > F.col("first")).select("d", "h", F.col("s").alias("a"), (F.col("s") + N).alias("z"))
+
+
 def told_apart(spelled: DataFrame) -> DataFrame:
     """spelled (g, d, h, s, raw) to ranges (d, h, a, z) of bytes that go."""
 
@@ -398,13 +420,18 @@ def spell(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(joined, run, "g long, d long, h int, s int, raw binary")
 
 
-def remove_repeats(docs: DataFrame, most: int = HELD, hot_from: int = HOT, piece: int = PIECE) -> DataFrame:
+def remove_repeats(docs: DataFrame, most: int = HELD, hot_from: int = HOT, piece: int = PIECE, side_from: int = HOT_SIDE) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end: the maximal runs of bytes that go) and kept (the remaining bytes) for every row."""
     t = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("d"), F.hash(t).alias("h"), t.alias("t"))
     found = written(find(keyed, most, hot_from, piece), "contexts")
     gone = found.where(F.col("kind") == GONE).select("d", "h", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("z"))
-    told = told_apart(spell(keyed.select("d", "h", "t"), to_tell(found)))
+    tell, texts = to_tell(found), keyed.select("d", "h", "t")
+    crowded = written(tell.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > side_from).select("g"), "crowded")
+    if crowded.isEmpty():
+        told = told_apart(spell(texts, tell))
+    else:
+        told = told_apart(spell(texts, tell.join(crowded, "g", "left_anti"))).unionByName(strings(texts, tell.join(crowded, "g", "left_semi")))
     ranges = written(gone.unionByName(told).groupBy("d", "h").agg(F.collect_list(F.struct("a", "z")).alias("r")), "ranges")
 
     def cut(batches):

@@ -83,12 +83,12 @@ def test_run_index_spells_and_orders(seed):
             seen.add(t[k : k + 8])
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_small_bounds_change_nothing(spark, parts):
-    """Anchors of many contexts, texts in many pieces, and flushes after few contexts take other ways to the same result."""
+@pytest.mark.parametrize(("parts", "side"), [(1, 10_000), (5, 10_000), (3, 1)])
+def test_small_bounds_change_nothing(spark, parts, side):
+    """Anchors of many contexts, texts in many pieces, flushes after few contexts and crowded sides take other ways to the same result."""
     rows = corpus(7)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-    found = {r.doc_id: (r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.remove_repeats(df, most=60, hot_from=2, piece=130).collect()}
+    found = {r.doc_id: (r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.remove_repeats(df, most=60, hot_from=2, piece=130, side_from=side).collect()}
     want = brute(rows)
     assert {k: (found[k][:3], want[k][:3]) for k in want if found[k] != want[k]} == {} and len(found) == len(want)
 
