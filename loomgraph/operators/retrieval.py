@@ -103,3 +103,41 @@ def resolve_references(refs: DataFrame, entries: DataFrame) -> DataFrame:
         wrong = wrong | F.coalesce(F.col("expected_digest") != F.col("digest"), F.lit(False))
     status = F.when(F.col("ref").isNull(), "malformed").when(F.col("known").isNull(), "unknown").when(F.coalesce(wrong, F.lit(True)), "span_mismatch").otherwise("ok")
     return refs.join(known, "ref", "left").select("ref_id", "ref", status.alias("status"), "text")
+
+
+class SpanReferenceError(ValueError):
+    """A reference to a span that can't be followed."""
+
+
+class MalformedReferenceError(SpanReferenceError):
+    """It has none of the known forms."""
+
+
+class ResolutionError(SpanReferenceError):
+    """It has a known form, but leads nowhere."""
+
+
+class MissingStoreError(ResolutionError):
+    """There are no entries to look it up in."""
+
+
+class UnknownReferenceError(ResolutionError):
+    """No entry has its source and span."""
+
+
+class SpanMismatchError(ResolutionError):
+    """The entry's text is not that of the span."""
+
+
+STATUS_ERRORS = {"malformed": MalformedReferenceError, "unknown": UnknownReferenceError, "span_mismatch": SpanMismatchError}
+
+
+def resolved_or_raise(refs: DataFrame, entries: DataFrame | None) -> DataFrame:
+    """resolve_references where every reference must lead to its span: the worst status found is raised, with one reference that has it. Only one row reaches the driver."""
+    if entries is None:
+        raise MissingStoreError("no entries")
+    found = settled(resolve_references(refs, entries))
+    worst = found.where("status <> 'ok'").orderBy("status", "ref_id").limit(1).collect()
+    if worst:
+        raise STATUS_ERRORS[worst[0]["status"]](f"{worst[0]['ref_id']}: {worst[0]['ref']}")
+    return found

@@ -533,3 +533,19 @@ def test_golden_nesting(case):
     else:
         dag.add(*i["add_edge"])
         assert dag.place == want.get("order", dag.place) and sorted(dag.below[i["add_edge"][0]]) == sorted(want.get("children_of_parent", dag.below[i["add_edge"][0]]))
+
+
+def test_references_that_must_resolve(spark):
+    from loomgraph.operators import retrieval as Q
+
+    refs = lambda *rows: spark.createDataFrame(list(rows), "ref_id int, ref string, source_text string")
+    entries = spark.createDataFrame([("u#2-5", "cde"), ("u#0-2", "xy")], "ref string, text string")
+    assert [r.text for r in Q.resolved_or_raise(refs((1, "u#2-5", "abcdefg")), entries).collect()] == ["cde"]
+    for row, error in (((1, None, None), Q.MalformedReferenceError), ((1, "u#2-6", None), Q.UnknownReferenceError), ((1, "u#0-2", "abc"), Q.SpanMismatchError)):
+        with pytest.raises(error):
+            Q.resolved_or_raise(refs(row), entries)
+    with pytest.raises(Q.MissingStoreError):
+        Q.resolved_or_raise(refs((1, "u#2-5", None)), None)
+    tampered = spark.createDataFrame([("u#2-5", "cde", "x")], "ref string, text string, digest string")
+    asked = spark.createDataFrame([(1, "u#2-5", "y")], "ref_id int, ref string, expected_digest string")
+    assert Q.resolve_references(asked, tampered).first().status == "span_mismatch"
