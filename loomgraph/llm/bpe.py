@@ -14,7 +14,6 @@ import hashlib
 import json
 import re
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -25,7 +24,7 @@ from pyspark.sql import types as T
 from .common import map_arrow
 
 #: Pre-tokens whose ids a worker remembers, and their length in characters at most.
-CACHE, CACHE_CHARS = 300_000, 48
+CACHE, CACHE_CHARS = 700_000, 48
 #: The byte-level pre-tokenizer's pattern, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
@@ -110,17 +109,18 @@ class ByteLevelBPE:
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)} | {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.any_word, self.cache, self.older = regex.compile(PATTERN).findall, {}, {}
-        self.known = {t: self.piece([i]) for t, i in self.special.items()}
+        self.known = {t: str(i) for t, i in self.special.items()}
 
-    def piece(self, ids: list[int]) -> tuple[list[int], str, bytes]:
-        """ids, the same in decimals, and the bytes that they decode to."""
-        return ids, ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def word(self, w: str) -> tuple[list[int], str, bytes]:
-        """Not in the younger half of the cache: from the older half, or merged. When the younger half is full it becomes the older."""
+    def word(self, w: str) -> str:
+        """The ids of a pre-token, in decimals, that is not in the younger half of the cache: from the older half, or merged, and decoded again to see that they spell it. When the younger half is full it
+        becomes the older."""
         found = self.older.get(w)
         if found is None:
-            found = self.piece(merge(list(map(self.bytes_ids.__getitem__, w.encode())), self.ranks, self.merged))
+            raw = w.encode()
+            ids = merge(list(map(self.bytes_ids.__getitem__, raw)), self.ranks, self.merged)
+            if b"".join(map(self.bytes_of.__getitem__, ids)) != raw:
+                raise ValueError(f"the vocabulary doesn't spell {w!r}")
+            found = ",".join(map(str, ids))
         if len(w) <= CACHE_CHARS:
             self.cache[w] = found
             if len(self.cache) >= CACHE // 2:
@@ -131,22 +131,24 @@ class ByteLevelBPE:
         """Pre-tokens. In ASCII the pattern's classes are spelled out for the faster engine; its white space is the same there."""
         return _ASCII_WORDS(text) if text.isascii() else self.any_word(text)
 
-    def pieces(self, text: str) -> list[tuple[list[int], str, bytes]]:
-        """The pieces of a text: one for each pre-token and special token."""
-        out = []
+    def pieces(self, text: str) -> tuple[list[str], list[str]]:
+        """The pieces of a text, pre-tokens and special tokens, each as it decodes, and their ids in decimals."""
+        said, out = [], []
         for part in self.split(text) if self.special else [text]:
             if part in self.known:
+                said.append(part)
                 out.append(self.known[part])
                 continue
             words = self.words(part)
             found = list(map(self.cache.get, words))
             if None in found:
                 found = [x or self.cache.get(w) or self.word(w) for w, x in zip(words, found, strict=True)]
+            said += words
             out += found
-        return out
+        return said, out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(x[0] for x in self.pieces(text)))
+        return [int(x) for piece in self.pieces(text)[1] for x in piece.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -180,11 +182,11 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             n, sha, back = [], [], []
             for x in b.column(1):
-                found = bpe.pieces(x.as_py() or "")
-                n.append(sum([len(p[0]) for p in found]))
-                sha.append(hashlib.sha256(",".join([p[1] for p in found]).encode()).hexdigest())
-                # What the ids of each piece decode to, joined; broken sequences are replaced in the whole, as decoding all ids does.
-                back.append(hashlib.sha256(b"".join([p[2] for p in found]).decode("utf-8", "replace").encode()).hexdigest())
+                said, found = bpe.pieces(x.as_py() or "")
+                ids = ",".join(found)
+                n.append(ids.count(",") + 1 if ids else 0)
+                sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                back.append(hashlib.sha256("".join(said).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
