@@ -549,3 +549,12 @@ def test_references_that_must_resolve(spark):
     tampered = spark.createDataFrame([("u#2-5", "cde", "x")], "ref string, text string, digest string")
     asked = spark.createDataFrame([(1, "u#2-5", "y")], "ref_id int, ref string, expected_digest string")
     assert Q.resolve_references(asked, tampered).first().status == "span_mismatch"
+
+
+def test_references_of_whole_documents(spark, tmp_path):
+    r = random.Random(12)
+    rows = [(i, r.choice([None, "", "Article 5 applies. ", "See Directive 95/46/EC, Article 3 thereof and § 4 Abs. 2. ", "plain words " * 300]) and "Article 5 applies. " * r.randrange(1, 9)) for i in range(30)] + [(None, "Annex IV"), (3, "Schedule 2"), (3, "Schedule 2")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = sorted(repr((x.doc_id, x.kind, x.instrument, x.pinpoints, x.start)) for x in law.documents_references(spark, f"file://{tmp_path}").collect())
+    want = [(i, x["kind"], x["external_instrument"], ", ".join(t["pinpoint"] for t in x["targets"]) or x.get("external_target"), x["literal_start"]) for i, t in rows if t for x in X.resolve(t)]
+    assert found == sorted(map(repr, want)) and len(found) > 50
