@@ -157,7 +157,7 @@ def _article_paragraph(literal: str, family: str) -> list[str]:
 def _annex(literal: str, family: str) -> list[str]:
     words = re.split(W, literal.replace(",", "").strip())
     out = [f"Annex {words[1]}"]
-    for w, after in zip(words[2:], [*words[3:], ""], strict=True):
+    for w, after in zip(words[2:], [*words[3:], ""], strict=False):
         if w.lower() in ("section", "point"):
             out.append(f"{'Section' if w.lower() == 'section' else 'point'} {after}")
         elif after.lower().endswith("indent"):
