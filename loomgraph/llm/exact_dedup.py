@@ -1,7 +1,7 @@
 """Exact deduplication by Patricia-trie owners.
 
 Texts are equal when identical after lower-casing A-Z. Each map task first inserts its texts into a compressed radix trie
-of its own (bounded in memory, emitted whole and begun anew when full), so that a text held by a third of all rows leaves a task
+of its own (bounded in memory; when full, its heaviest subtrees are spilled until it is half empty), so that a text held by a third of all rows leaves a task
 once and not once per row. The surviving strings go to partitions by length and content hash, sorted by both: the top of the
 final trie branches on (length, hash), and the strings of a stretch of that order are one subtree, a trie bounded in memory (labels and nodes), which is
 read out and dropped when full, between two hashes, so that no copy of its strings comes later. What has yet to be inserted is
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, map_arrow
 
-#: Memory of a trie, about, before it is emitted: bytes of labels and NODE_BYTES for each node.
+#: Memory of a trie, about, before it spills: bytes of labels and NODE_BYTES for each node.
 TRIE_BYTES, NODE_BYTES = 64 << 20, 450
 
 
@@ -43,6 +43,7 @@ class PatriciaTrie:
     def __init__(self, keep: str = "min"):
         self.root, self.size, self.n = _Node(b""), 0, 0
         self.better = min if keep == "min" else max
+        self.weights: dict[int, int] = {}  # memory of the subtree under each first byte
 
     def insert(self, key: bytes, owner, count: int = 1) -> None:
         node, at, better = self.root, 0, self.better
@@ -59,22 +60,37 @@ class PatriciaTrie:
             child = node.below.get(key[at])
             if child is None:
                 node.below[key[at]] = _Node(key[at:], (owner, count))
-                self.size, self.n = self.size + len(key) - at + NODE_BYTES, self.n + 1
+                self.n += 1
+                self._grow(key[0], len(key) - at + NODE_BYTES)
                 return
             if key.startswith(child.label, at):
                 node, at = child, at + len(child.label)
                 continue
             shared = len(commonprefix([child.label, key[at : at + len(child.label)]]))
-            self.size += NODE_BYTES
+            self._grow(key[0], NODE_BYTES)
             split = _Node(child.label[:shared])
             child.label = child.label[shared:]
             split.below = {child.label[0]: child}
             node.below[key[at]] = split
             node, at = split, at + shared
 
-    def items(self):
-        """(key, owner, count) of every terminal, depth first without recursion."""
-        stack = [(self.root, b"")]
+    def _grow(self, first: int, size: int) -> None:
+        self.size += size
+        self.weights[first] = self.weights.get(first, 0) + size
+
+    def spill(self, down_to: int):
+        """Gives out and drops the heaviest subtrees until no more than so much memory is left; the others go on collecting."""
+        while self.size > down_to and self.weights:
+            first = max(self.weights, key=self.weights.get)
+            self.size -= self.weights.pop(first)
+            gone = self.root.below.pop(first)
+            for x in self.items(gone):
+                self.n -= 1
+                yield x
+
+    def items(self, top: _Node | None = None):
+        """(key, owner, count) of every terminal, or of those of a subtree of the root, depth first without recursion."""
+        stack = [(top or self.root, b"")]
         while stack:
             node, above = stack.pop()
             key = above + node.label
@@ -126,8 +142,7 @@ def owners(docs: DataFrame, keep: str = "min", parts: int | None = None) -> Data
             for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 trie.insert(text.as_buffer().to_pybytes(), i)
                 if trie.size > TRIE_BYTES:
-                    yield from _cut(trie.items())
-                    trie = PatriciaTrie(keep)
+                    yield from _cut(trie.spill(TRIE_BYTES // 2))
         yield from _cut(trie.items())
 
     def decide(batches):

@@ -225,3 +225,24 @@ def test_long_items_are_cut_and_blocks_are_scanned_in_turn(spark, monkeypatch):
         got = decontaminate.decontaminate(d, spark.createDataFrame(items, "item_id long, text string"), block_bytes=size)
         assert sorted((x.doc_id, x.n_words, x.n_hit, x["items"]) for x in got.collect()) == want
     assert decontaminate.decontaminate(d.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_trie_spills_by_subtree():
+    r, trie, want, got = random.Random(8), exact_dedup.PatriciaTrie("min"), {}, {}
+    limit = 40 * exact_dedup.NODE_BYTES
+
+    def take(items):
+        for k, o, c in items:
+            a, b = got.get(k, (o, 0))
+            got[k] = (min(a, o), b + c)
+
+    for i in range(4000):
+        key = bytes(r.choice(b"abcd") for _ in range(r.randrange(7)))
+        trie.insert(key, i)
+        o, c = want.get(key, (i, 0))
+        want[key] = (min(o, i), c + 1)
+        if trie.size > limit:
+            take(trie.spill(limit // 2))
+            assert trie.size <= limit // 2 and trie.n == len(list(trie.items())) and trie.size == sum(trie.weights.values())
+    take(trie.items())
+    assert got == want
