@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import algebra as A
+from loomgraph.operators import folds as O
 from loomgraph.operators import graph as G
 from loomgraph.operators import rules as R
 
@@ -101,9 +102,7 @@ def container_trimmed_top_k(spark, sf_dir):
 
 
 def container_member_digest(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.col("o_orderkey").cast("string"))).alias("m"))
-    text = F.concat(F.lit('{"members":["'), F.array_join("m", '","'), F.lit('"],"version":1}'))
-    return o.select("o_custkey", F.sha2(text.cast("binary"), 256).alias("digest"))
+    return O.member_digests(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 1)
 
 
 def dag_reverse_index(spark, sf_dir):
@@ -157,9 +156,9 @@ def statement_raw_contributions(spark, sf_dir):
 
 
 def views_position_digest(spark, sf_dir):
-    e = _events(spark, sf_dir).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("event_id").cast("string"))), '","').alias("c"))
-    text = F.concat(F.lit('{"claims":["'), F.col("c"), F.lit('"],"embeds":[],"profile_digest":"p"}'))
-    return e.select("user_id", F.sha2(text.cast("binary"), 256).alias("digest"))
+    e = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("member"))
+    held = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("member"))
+    return O.position_digests(e, held, "user_id", "member", "p")
 
 
 def views_stale_ancestors(spark, sf_dir):
@@ -168,8 +167,8 @@ def views_stale_ancestors(spark, sf_dir):
 
 
 def views_debounce(spark, sf_dir):
-    e = _events(spark, sf_dir).groupBy("user_id").agg(F.collect_list((F.unix_timestamp(F.col("ts").cast("timestamp"))).cast("double")).alias("t"))
-    return e.select("user_id", A.debounce(F.col("t"), 86400.0, 5).cast("long").alias("flushes"))
+    e = _events(spark, sf_dir).select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
+    return O.debounced(e, "user_id", "t", 86400.0, 5)
 
 
 def relation_key(spark, sf_dir):
@@ -225,7 +224,8 @@ ORACLES = {
         b AS (SELECT node, dimension, max(weight) AS weight FROM p GROUP BY node, dimension)
         SELECT node, dimension, weight, min(hops)::INTEGER AS hops FROM b JOIN p USING (node, dimension, weight) GROUP BY node, dimension, weight""",
     "statement_raw_contributions": f"SELECT entry, {', '.join(f"count(*) FILTER (dim = '{d}') AS {d}" for d in _D)} FROM (SELECT unnest(list_distinct([user_id, event_id % 50])) AS entry, dim FROM ({_EV})) GROUP BY entry",
-    "views_position_digest": """SELECT user_id, sha256('{"claims":["' || string_agg(event_id::VARCHAR, '","' ORDER BY event_id::VARCHAR) || '"],"embeds":[],"profile_digest":"p"}') AS digest FROM events GROUP BY user_id""",
+    "views_position_digest": """WITH c AS (SELECT user_id, string_agg('"' || event_id || '"', ',' ORDER BY event_id::VARCHAR) AS c FROM events GROUP BY user_id), h AS (SELECT o_custkey AS user_id, string_agg('"' || o_orderkey || '"', ',' ORDER BY o_orderkey::VARCHAR) AS h FROM orders GROUP BY 1)
+        SELECT user_id, sha256('{"claims":[' || coalesce(c, '') || '],"embeds":[' || coalesce(h, '') || '],"profile_digest":"p"}') AS digest FROM c FULL JOIN h USING (user_id)""",
     "views_stale_ancestors": f"WITH RECURSIVE e AS ({_EMB}), r(node, level) AS (SELECT 'o' || o_orderkey, 0 FROM orders WHERE o_orderstatus = 'P' UNION SELECT parent, level + 1 FROM r JOIN e ON r.node = e.child) SELECT node, max(level)::BIGINT AS level FROM r GROUP BY node",
     "views_debounce": f"""WITH s AS (SELECT user_id, list(floor(epoch(ts))::DOUBLE ORDER BY floor(epoch(ts))) AS t FROM events GROUP BY user_id),
         f AS (SELECT user_id, list_reduce(list_prepend({{'at': 0.0::DOUBLE, 'n': 0, 'out': 0}}, list_transform(t, lambda x: {{'at': x, 'n': 0, 'out': 0}})), lambda s, x: CASE WHEN s.n > 0 AND x.at - s.at <= 86400 THEN (CASE WHEN s.n + 1 >= 5 THEN {{'at': s.at, 'n': 0, 'out': s.out + 1}} ELSE {{'at': s.at, 'n': s.n + 1, 'out': s.out}} END) ELSE {{'at': x.at, 'n': 1, 'out': s.out + CASE WHEN s.n > 0 THEN 1 ELSE 0 END}} END) AS z FROM s)

@@ -492,7 +492,25 @@ def test_citation_signals_against_pairs(spark):
     assert {(x.a, x.b): (x.direct, x.cocitation, x.coupling) for x in found} == {(a, b): (((a, b) in edges) + ((b, a) in edges), len(dst(a) & dst(b)), len(src(a) & src(b))) for a, b in pairs}
 
 
-# Nesting, one edge at a time
+# Folds and nesting
+
+
+def test_digests_stream_groups(spark):
+    from loomgraph.operators import folds
+
+    r = random.Random(15)
+    rows = [(r.choice([None, "a", "hot"]), r.choice(["x", "é", 'q"', "y1", "y10", "y2"])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, m string").repartition(4)
+    of = lambda g: [m for h, m in rows if h == g]
+    assert {x.g: x.digest for x in folds.member_digests(df, "g", "m", 3).collect()} == {g: D.member_digest(set(of(g)), 3) for g in (None, "a", "hot")}
+    held = spark.createDataFrame([("hot", "n"), ("other", "k")], "g string, m string")
+    found = {x.g: x.digest for x in folds.position_digests(df, held, "g", "m", "p").collect()}
+    assert found["hot"] == D.position_digest(of("hot"), ["n"], "p") and found["other"] == D.position_digest([], ["k"], "p") and found[None] == D.position_digest(of(None), [], "p")
+    times = spark.createDataFrame([("a", float(t)) for t in (0, 1, 2, 3, 4, 100)] + [("b", 5.0)], "n string, t double")
+    assert {x.n: x.flushes for x in folds.debounced(times, "n", "t", 10.0, 5).collect()} == {"a": 2, "b": 1}
+    assert folds.debounced(times.limit(0), "n", "t", 10.0, 5).count() == 0
+    with pytest.raises(ValueError):
+        folds.debounced(times, "n", "t", 1.0, 0)
 
 
 def test_nesting_against_plain_search():
