@@ -88,7 +88,8 @@ def contributions(text: str, scale: float = 1, **how) -> dict:
     """Cues of the five dimensions; citations add to the structural one, and the relational one gives way to the other four."""
     if not isinstance(text, str):
         raise ValueError("a clause is a text")
-    out = {d: cues.runs(text, cues.COMPILED[d]) for d in DIMENSIONS}
+    found = cues.counts(text)
+    out = {d: found[d] for d in DIMENSIONS}
     out["structural"] += len(cited(text, **how))
     out["relational"] = relational_effective(out["relational"], sum(out[d] for d in DIMENSIONS[:4]), scale)
     return out

@@ -41,6 +41,20 @@ CUES = {
 }
 
 
+
+
+def needle(pattern: str) -> str:
+    """The longest stretch of letters that every match of a pattern holds, in lower case."""
+    best = now = ""
+    for op, value in [*re._parser.parse(pattern), (None, None)]:
+        now = now + chr(value) if op is re._constants.LITERAL else ""
+        best = max(best, now, key=len)
+    return best.lower()
+
+
+NEEDLES = {d: [needle(p) for p in found] for d, found in CUES.items()}
+#: Letters that match i or s where case counts for nothing, and that lower() leaves apart.
+_FOLD = {0x130: "i", 0x131: "i", 0x17F: "s"}
 COMPILED = {d: [re.compile(p, re.IGNORECASE) for p in found] for d, found in CUES.items()}
 
 
@@ -51,9 +65,15 @@ def runs(text: str, patterns: list[re.Pattern]) -> int:
     return sum(start >= r for (start, _), r in zip(spans, reach, strict=False))
 
 
+def counts(text: str) -> dict[str, int]:
+    """The cues of each dimension. A pattern is tried only where its letters stand in the text."""
+    low = text.translate(_FOLD).lower()
+    return {d: runs(text, [p for p, n in zip(found, NEEDLES[d], strict=True) if n in low]) for d, found in COMPILED.items()}
+
+
 @F.pandas_udf(StructType([StructField(d, LongType()) for d in A.DIMENSIONS]))
 def cue_hits(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([{d: runs(t, COMPILED[d]) for d in A.DIMENSIONS} for t in texts.fillna("")], columns=A.DIMENSIONS)
+    return pd.DataFrame([counts(t) for t in texts.fillna("")], columns=A.DIMENSIONS)
 
 
 def cue_counts(texts: DataFrame, text: str) -> DataFrame:

@@ -203,7 +203,13 @@ def test_cue_runs_equal_a_mask():
                 starts.add(a)
                 mask[a:z] = [1] * (z - a)
             gaps = sum(1 for k in range(len(t)) if mask[k] and (k == 0 or not mask[k - 1]))
-            assert cues.runs(t, patterns) == gaps, (t, d)
+            assert cues.runs(t, patterns) == gaps == cues.counts(t)[d], (t, d)
+
+
+def test_cue_letters_are_what_a_match_must_hold():
+    for t in ("İF", "ıf", "cauſe", "CAUSED", "RIſK", "Where", "K", "Straße if", "within 3 DAYS", "‘x’ MEANS"):
+        assert cues.counts(t) == {d: cues.runs(t, p) for d, p in cues.COMPILED.items()}, t
+    assert all(n for found in cues.NEEDLES.values() for n in found)
 
 
 @pytest.mark.parametrize("case", golden("assertoric-lowering"))
