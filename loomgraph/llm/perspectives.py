@@ -4,12 +4,12 @@ For every speaker of a conversation the dialogue is rendered with that speaker a
 stay what they are in every perspective and are nobody's. A message is `<|im_start|>role[ name=speaker]\ncontent<|im_end|>\n`; the mask holds the spans (code
 points of the rendered text, end exclusive) of content and end mark of the assistant's messages, the only ones to train on.
 
-A dialogue is rendered in parts, to be concatenated in order: blocks of BLOCK_TURNS turns, so a usual conversation is one part. A block of over CELL_ROWS rows or CELL_BYTES bytes
-is divided by turn, and a turn by ranges of the hash that orders its messages, after repeated rows are counted; so no group holds a whole conversation, however hot, and nothing is left out.
-Texts are shuffled once, to their part: the pairs of part and speaker come from keys alone, salted, and meet the texts where these are.
+A dialogue is rendered in parts, to be concatenated in order. One law holds at every size: a message weighs its bytes and MESSAGE_WEIGHT, and its part is the weight of the messages before it in the conversation over PART_WEIGHT, rounded
+down; so a part holds some 1,024 messages or 16 MiB, beside the last one, and a usual conversation is one part. Weights are summed by conversation, block of turns, turn and leading digits of the hash that orders a turn's messages, so no
+conversation is ordered in one task, however hot; those of one part need no sums but their total. Texts are shuffled once, to their part: the pairs of part and speaker come from keys alone, salted, and meet the texts where these are.
 
 Messages are ordered by turn, MD5 of the text, and speaker (null first). Defined cases: a null text is empty; a null speaker is a participant of its own, rendered
-without a name; a null turn forms a part of its own, named "none"; a null conv_id is a conversation; repeated rows (same conversation, turn, speaker and text) are one message, and counted in
+without a name; a null turn comes before all others; a null conv_id is a conversation; repeated rows (same conversation, turn, speaker and text) are one message, and counted in
 n_rows; a conversation that has context alone has no participants and so no rows; texts are kept
 as they are, even where they hold the marks <|im_start|> or <|im_end|>, and the mask is counted from lengths, so it is right then too (neutralise them before tokenizing, if the tokenizer reads them as marks); the result has a
 row for each participant and part, and so grows with messages times participants, which is what is asked for; an empty table gives an empty one; further columns are ignored.
@@ -17,48 +17,60 @@ row for each participant and part, and so grows with messages times participants
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_TURNS = 512
-CELL_ROWS = 1024
-CELL_BYTES = 16 << 20
+PART_WEIGHT, MESSAGE_WEIGHT = 16 << 20, 16 << 10
+#: Turns whose weights are summed together first.
+BLOCK_TURNS = 4096
 SALTS = 16
 CONTEXT = ("system",)
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
+def _before(sums: DataFrame, within: list[str], order: list[str], name: str) -> DataFrame:
+    """sums with the weight of what stands before each row within its group."""
+    return sums.withColumn(name, F.sum("w").over(Window.partitionBy(*within).orderBy(*order)) - F.col("w"))
+
+
+def _parts(messages: DataFrame) -> DataFrame:
+    """Distinct messages (ck, turn, h, role, mk, weight) to (ck, mk, part)."""
+    m = messages.select("ck", F.floor(F.col("turn") / BLOCK_TURNS).alias("block"), "turn", F.substring("h", 1, 3).alias("lead"), "h", "role", "mk", F.col("weight").alias("w"))
+    # Null turns have keys of their own for the joins.
+    m = m.withColumns({"bk": F.coalesce(F.col("block").cast("string"), F.lit("none")), "tk": F.coalesce(F.col("turn").cast("string"), F.lit("none"))})
+    by_lead = m.groupBy("ck", "bk", "block", "tk", "turn", "lead").agg(F.sum("w").alias("w"))
+    by_turn = by_lead.groupBy("ck", "bk", "block", "tk", "turn").agg(F.sum("w").alias("w"))
+    by_block = by_turn.groupBy("ck", "bk", "block").agg(F.sum("w").alias("w"))
+    at = _before(m, ["ck", "tk", "lead"], ["h", "role"], "a")
+    at = at.join(_before(by_lead, ["ck", "tk"], ["lead"], "b").select("ck", "tk", "lead", "b"), ["ck", "tk", "lead"])
+    at = at.join(_before(by_turn, ["ck", "bk"], ["turn"], "c").select("ck", "tk", "c"), ["ck", "tk"])
+    at = at.join(_before(by_block, ["ck"], ["block"], "d").select("ck", "bk", "d"), ["ck", "bk"])
+    return at.select("ck", "mk", F.floor((F.col("a") + F.col("b") + F.col("c") + F.col("d")) / PART_WEIGHT).alias("part"))
+
+
 def _placed(conversations: DataFrame) -> DataFrame:
     """One row per message, or copy of it: conv_id, ck (the conversation, never null), turn, h, role, text, copies, part."""
-    turn = F.col("turn").cast("long")
-    text = F.coalesce("text", F.lit(""))
-    block = F.coalesce(F.floor(turn / BLOCK_TURNS).cast("string"), F.lit("none"))
+    turn, text = F.col("turn").cast("long"), F.coalesce("text", F.lit(""))
     ck = F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n"))
-    rows = conversations.select("conv_id", ck.alias("ck"), turn.alias("turn"), F.md5(text.cast("binary")).alias("h"), "role", text.alias("text"), F.lit(1).cast("long").alias("copies"), block.alias("part"))
-    cells = rows.groupBy("ck", "part").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("b"))
-    crowded = cells.where((F.col("n") > CELL_ROWS) | (F.col("b") > CELL_BYTES)).select("ck", "part")
-    if crowded.isEmpty():
-        return rows
-    usual = rows.join(crowded, ["ck", "part"], "left_anti")
+    rows = conversations.select("conv_id", ck.alias("ck"), turn.alias("turn"), F.md5(text.cast("binary")).alias("h"), "role", text.alias("text"), (F.octet_length(text).cast("long") + MESSAGE_WEIGHT).alias("weight"), F.lit(1).cast("long").alias("copies"))
+    large = rows.groupBy("ck").agg(F.sum("weight").alias("w")).where(F.col("w") > PART_WEIGHT).select("ck")
+    first = F.lit(0).cast("long").alias("part")
+    columns = ["conv_id", "ck", "turn", "h", "role", "text", "copies"]
+    if large.isEmpty():
+        return rows.select(*columns, first)
     # Repeated rows are counted before any of them is shuffled to a part.
-    message = ["conv_id", "ck", "turn", "h", "role", "text", "part"]
-    inside = rows.join(crowded, ["ck", "part"], "left_semi").groupBy(*message).agg(F.sum("copies").alias("copies"))
-    # Each turn into as many ranges of its hash as its size asks for.
-    turn_key = F.coalesce(F.col("turn").cast("string"), F.lit("none"))
-    inside = inside.withColumn("tk", turn_key).withColumn("salt", F.pmod(F.hash("h"), F.lit(SALTS)))
-    turns = inside.groupBy("ck", "tk").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("b"))
-    ranges = F.greatest(F.ceil(F.col("n") * 2 / CELL_ROWS), F.ceil(F.col("b") * 2 / CELL_BYTES), F.lit(1))
-    turns = turns.select("ck", "tk", ranges.alias("ranges"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    lead = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
-    sub = F.floor(lead * F.col("ranges") / F.lit(float(1 << 32))).cast("string")
-    inside = inside.join(turns, ["ck", "tk", "salt"]).withColumn("part", F.concat_ws(".", "part", "tk", sub))
-    return usual.select(*message, "copies").unionByName(inside.select(*message, "copies"))
+    message = ["conv_id", "ck", "turn", "h", "role", "text", "weight"]
+    inside = rows.join(large, "ck", "left_semi").groupBy(*message).agg(F.sum("copies").alias("copies"))
+    mk = F.md5(F.concat_ws("|", F.coalesce(F.col("turn").cast("string"), F.lit("none")), "h", F.coalesce(F.concat(F.lit("v"), "role"), F.lit("n"))).cast("binary"))
+    inside = inside.withColumn("mk", mk)
+    placed = inside.join(_parts(inside.select("ck", "turn", "h", "role", "mk", "weight")), ["ck", "mk"])
+    return rows.join(large, "ck", "left_anti").select(*columns, first).unionByName(placed.select(*columns, "part"))
 
 
 def perspectives(conversations: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
     """conv_id, perspective (the speaker), part, n_rows, messages (array of role, name, content, train), text, mask (array of start, end)."""
     placed = _placed(conversations)
-    key = F.concat_ws("|", "part", "ck")
+    key = F.concat_ws("|", F.col("part").cast("string"), "ck")
     own_words = ~F.coalesce(F.col("role").isin(*context), F.lit(False))
     # Part and speaker, from keys alone.
     salt = F.pmod(F.hash("part"), F.lit(SALTS))

@@ -40,15 +40,12 @@ ORACLES = {
         y AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM x GROUP BY r)
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN y USING (r)
     """,
-    # Blocks of 512 turns; those of over 1024 rows or 16 MiB by turn, and each turn by ranges of the hash that orders its messages.
+    # A message's part is the weight (bytes and 16 KiB each) of those before it over 16 MiB.
     "op2_perspective_rotation": r"""
-        WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, coalesce(floor(turn / 512.0)::BIGINT::VARCHAR, 'none') AS block FROM conversations),
-        cells AS (SELECT conv_id, block, count(*) > 1024 OR sum(octet_length(encode(t))) > 16777216 AS crowded FROM r GROUP BY ALL),
-        u AS (SELECT r.*, crowded, count(*) AS copies FROM r JOIN cells ON r.block = cells.block AND r.conv_id IS NOT DISTINCT FROM cells.conv_id GROUP BY ALL),
-        n AS (SELECT *, greatest(ceil(count(*) OVER w * 2 / 1024.0), ceil(sum(octet_length(encode(t))) OVER w * 2 / 16777216.0), 1) AS ranges FROM u WINDOW w AS (PARTITION BY conv_id, block, turn)),
-        m AS (SELECT conv_id, turn, role, t, copies, coalesce(role = 'system', false) AS aside, CASE WHEN crowded THEN concat_ws('.', block, coalesce(turn::VARCHAR, 'none'), floor(('0x' || substr(md5(t), 1, 8))::BIGINT * ranges / 4294967296.0)::BIGINT) ELSE block END AS part FROM n),
+        WITH u AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, count(*) AS copies FROM conversations GROUP BY ALL), w AS (SELECT *, octet_length(encode(t)) + 16384 AS w FROM u),
+        m AS (SELECT conv_id, turn, role, t, copies, coalesce(role = 'system', false) AS aside, ((sum(w) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(t), role NULLS FIRST ROWS UNBOUNDED PRECEDING) - w) // 16777216)::BIGINT AS part FROM w),
         p AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE NOT aside),
-        v AS (SELECT m.*, perspective, NOT aside AND role IS NOT DISTINCT FROM perspective AS own, row_number() OVER (PARTITION BY m.conv_id, perspective, part ORDER BY turn, md5(t), role NULLS FIRST) AS i FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+        v AS (SELECT m.*, perspective, NOT aside AND role IS NOT DISTINCT FROM perspective AS own, row_number() OVER (PARTITION BY m.conv_id, perspective, part ORDER BY turn NULLS FIRST, md5(t), role NULLS FIRST) AS i FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
         h AS (SELECT *, '<|im_start|>' || CASE WHEN aside THEN role WHEN own THEN 'assistant' ELSE 'user' || coalesce(' name=' || regexp_replace(role, '[\x00-\x1F\x7F]', ' ', 'g'), '') END || chr(10) AS head FROM v),
         c AS (SELECT *, head || t || '<|im_end|>' || chr(10) AS piece FROM h),
         s AS (SELECT *, (sum(length(piece)) OVER (PARTITION BY conv_id, perspective, part ORDER BY i))::BIGINT - 1 AS stop FROM c)

@@ -34,14 +34,10 @@ def brute(rows):
     return found
 
 
-def number(part):
-    return tuple(-1 if x == "none" else int(x) for x in part.split("."))
-
-
 def together(df):
     """The parts of each dialogue in order."""
     found = {}
-    for r in sorted(df.collect(), key=lambda r: number(r.part)):
+    for r in sorted(df.collect(), key=lambda r: r.part):
         text, trained, n = found.get((r.conv_id, r.perspective), ("", [], 0))
         found[r.conv_id, r.perspective] = text + r.text, trained + [r.text[s.start : s.end] for s in r["mask"]], n + r.n_rows
     return found
@@ -61,26 +57,35 @@ def test_equals_brute_force(spark):
 
 
 def test_names_and_masks(spark):
-    row = next(r for r in P.perspectives(spark.createDataFrame(ROWS, SCHEMA)).collect() if (r.conv_id, r.perspective, r.part) == (1, "ann", "0"))
+    row = next(r for r in P.perspectives(spark.createDataFrame(ROWS, SCHEMA)).collect() if (r.conv_id, r.perspective, r.part) == (1, "ann", 0))
     assert [(m.role, m.name, m.train) for m in row.messages[:4]] == [("system", None, False), ("assistant", None, True), ("user", "bob", False), ("user", "cy", False)]
-    assert row.n_rows == 7 and len(row.messages) == 6
+    assert row.n_rows == 8 and len(row.messages) == 7
 
 
-def test_crowded_blocks(spark, monkeypatch):
-    monkeypatch.setattr(P, "CELL_ROWS", 8)
-    hot = [(7, t, ("ann", "bob", None)[i % 3], f"{t} {i}") for t in (0, 1, 5) for i in range(60)]
-    hot += [(7, 3, "ann", "the same")] * 200 + [(None, None, "ann", f"n{i}") for i in range(50)] + ROWS
-    df = P.perspectives(spark.createDataFrame(hot, SCHEMA))
-    assert together(df) == brute(hot)
-    assert max(len(r.messages) for r in df.collect()) <= 16
+def parts_by_hand(rows):
+    """(conv, turn, text, role) of distinct messages to parts, one conversation after another."""
+    found = {}
+    for conv in {r[0] for r in rows}:
+        own = {(r[1], r[2], r[3] or "") for r in rows if r[0] == conv}
+        before = 0
+        for turn, role, text in sorted(own, key=lambda m: (m[0] is not None, m[0] or 0, hashlib.md5(m[2].encode()).hexdigest(), m[1] is not None, m[1] or "")):
+            found[conv, turn, role, text] = before // P.PART_WEIGHT
+            before += len(text.encode()) + P.MESSAGE_WEIGHT
+    return found
 
 
-def test_long_texts_are_divided_too(spark, monkeypatch):
-    monkeypatch.setattr(P, "CELL_BYTES", 1000)
-    rows = [(1, i, ("ann", "bob")[i % 2], chr(97 + i) * 600) for i in range(8)]
-    df = P.perspectives(spark.createDataFrame(rows, SCHEMA))
-    assert together(df) == brute(rows)
-    assert {len(r.messages) for r in df.collect()} == {1}
+@pytest.mark.parametrize("block", [4096, 2])
+def test_large_conversations_are_cut_by_weight(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "PART_WEIGHT", 8 * P.MESSAGE_WEIGHT)
+    monkeypatch.setattr(P, "BLOCK_TURNS", block)
+    hot = [(7, t, ("ann", "bob", None)[i % 3], f"{t} {i}") for t in (0, 1, 5) for i in range(60)]
+    hot += [(7, 3, "ann", "the same")] * 200 + [(None, None, "ann", f"n{i}") for i in range(50)] + [(9, i, "cy", "x" * 50_000 * i) for i in range(6)] + ROWS
+    df = P.perspectives(spark.createDataFrame(hot, SCHEMA).repartition(3))
+    assert together(df) == brute(hot)
+    want = parts_by_hand(hot)
+    rows = P._placed(spark.createDataFrame(hot, SCHEMA)).select("conv_id", "turn", "role", "text", "part").collect()
+    assert {(r.conv_id, r.turn, r.role, r.text): r.part for r in rows} == want
+    assert max(len(r.messages) for r in df.collect()) <= 9 and max(want.values()) > 10
 
 
 def test_marks_inside_texts_forge_no_spans(spark):
@@ -91,7 +96,7 @@ def test_marks_inside_texts_forge_no_spans(spark):
 
 @pytest.mark.parametrize("crowded", [False, True])
 def test_equals_sql(spark, tmp_path, crowded):
-    """Over the usual table, and over one with a block of over 1024 rows and one of over 16 MiB."""
+    """Over the usual table, and over one with conversations of over 1024 messages and of over 16 MiB."""
     d = D
     if crowded:
         rows = ROWS + [(7, 3, ("ann", "bob", None)[i % 3], f"n {i}") for i in range(1500)] + [(7, 4, "ann", "same")] * 40 + [(8, i, "cy", chr(97 + i) * 6_000_000) for i in range(4)] + [(None, None, "ann", f"{i}") for i in range(1100)]
@@ -103,7 +108,7 @@ def test_equals_sql(spark, tmp_path, crowded):
     con.sql(f"CREATE VIEW conversations AS FROM '{f'{tmp_path}/conversations.parquet/*.parquet' if crowded else f'{D}/conversations.parquet'}'")
     df = queries.op2_perspective_rotation(spark, d)
     if crowded:
-        assert df.where("part LIKE '%.%'").select("conv_id").distinct().count() == 3
+        assert df.where("part > 0").select("conv_id").distinct().count() == 3
     rel = con.sql(sql.ORACLES["op2_perspective_rotation"])
     assert rel.columns == df.columns
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, rel.fetchall()))
