@@ -357,22 +357,11 @@ def to_tell(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind") == TELL).select("g", "d", "h", "s", "n").unionByName(hot.join(many, "g", "left_semi"))
 
 
-def strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The way of sides that very many contexts share: their strings of N bytes each by its own hash (128 bits), the first place of each by partial minima, and every later place as a range (d, h, a, z). The join's
-    frequent strings are split by AQE, since each has one first place."""
-    by_doc = wanted.groupBy("d", "h").agg(F.collect_set(F.struct("s", "n")).alias("w"))
-
-    def run(batches):
-        for b in batches:
-            for d, h, t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                raw = t.as_buffer().to_pybytes()
-                at = [s for x in w for s in range(x["s"], x["s"] + x["n"])]
-                keys = [hashlib.blake2b(raw[s : s + N], digest_size=16).digest() for s in at]
-                yield _table([keys, [d] * len(at), [h] * len(at), at], ["key", "d", "h", "s"], [pa.binary(), pa.int64(), pa.int32(), pa.int32()])
-
-    found = written(map_arrow(docs.join(by_doc, ["d", "h"]).select("d", "h", F.col("t").cast("binary").alias("t"), "w"), run, "key binary, d long, h int, s int"), "strings")
-    first = found.groupBy("key").agg(F.min(F.struct("d", "h", "s")).alias("first"))
-    return found.join(first, "key").where(F.struct("d", "h", "s") > F.col("first")).select("d", "h", F.col("s").alias("a"), (F.col("s") + N).alias("z"))
+def later_strings(spelled: DataFrame) -> DataFrame:
+    """The way of sides that very many contexts share. spelled (d, h, s, raw: the hash of a string of N bytes, 128 bits) to ranges (d, h, a, z): the first place of each string by partial minima, and every later place.
+    The join's frequent strings are split by AQE, since each has one first place."""
+    first = spelled.groupBy("raw").agg(F.min(F.struct("d", "h", "s")).alias("first"))
+    return spelled.join(first, "raw").where(F.struct("d", "h", "s") > F.col("first")).select("d", "h", F.col("s").alias("a"), (F.col("s") + N).alias("z"))
 
 
 def told_apart(spelled: DataFrame) -> DataFrame:
@@ -402,22 +391,26 @@ def told_apart(spelled: DataFrame) -> DataFrame:
         if rows:
             yield from index()
 
-    dealt = spelled.repartition("g").sortWithinPartitions("g", "d", "h", "s")
+    dealt = spelled.select("g", "d", "h", "s", "raw").repartition("g").sortWithinPartitions("g", "d", "h", "s")
     return map_arrow(dealt, run, "d long, h int, a int, z int")
 
 
 def spell(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of wanted contexts (g, d, h, s, n), with one fetch of each document that has any."""
-    by_doc = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("g", "s", "n")).alias("w"))
+    """The bytes of wanted contexts (g, d, h, s, n, crowded), with one fetch of each document that has any; of crowded ones the hash of each string."""
+    by_doc = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("g", "s", "n", "crowded")).alias("w"))
 
     def run(batches):
         for b in batches:
             for d, h, t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 raw = t.as_buffer().to_pybytes()
-                yield _table([[x["g"] for x in w], [d] * len(w), [h] * len(w), [x["s"] for x in w], [raw[x["s"] : x["s"] + x["n"] + N - 1] for x in w]], ["g", "d", "h", "s", "raw"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])
+                rows = [(x["g"], x["s"], raw[x["s"] : x["s"] + x["n"] + N - 1], False) for x in w if not x["crowded"]]
+                for s in sorted({s for x in w if x["crowded"] for s in range(x["s"], x["s"] + x["n"])}):
+                    rows.append((None, s, hashlib.blake2b(raw[s : s + N], digest_size=16).digest(), True))
+                g, s, cut, crowded = zip(*rows, strict=True)
+                yield _table([g, [d] * len(s), [h] * len(s), s, cut, crowded], ["g", "d", "h", "s", "raw", "crowded"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()])
 
     joined = docs.join(by_doc, ["d", "h"]).select("d", "h", F.col("t").cast("binary").alias("t"), "w")
-    return map_arrow(joined, run, "g long, d long, h int, s int, raw binary")
+    return map_arrow(joined, run, "g long, d long, h int, s int, raw binary, crowded boolean")
 
 
 def remove_repeats(docs: DataFrame, most: int = HELD, hot_from: int = HOT, piece: int = PIECE, side_from: int = HOT_SIDE) -> DataFrame:
@@ -429,9 +422,11 @@ def remove_repeats(docs: DataFrame, most: int = HELD, hot_from: int = HOT, piece
     tell, texts = to_tell(found), keyed.select("d", "h", "t")
     crowded = written(tell.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > side_from).select("g"), "crowded")
     if crowded.isEmpty():
-        told = told_apart(spell(texts, tell))
+        told = told_apart(spell(texts, tell.withColumn("crowded", F.lit(False))))
     else:
-        told = told_apart(spell(texts, tell.join(crowded, "g", "left_anti"))).unionByName(strings(texts, tell.join(crowded, "g", "left_semi")))
+        marked = tell.join(crowded.withColumn("crowded", F.lit(True)), "g", "left").withColumn("crowded", F.col("crowded").isNotNull())
+        spelled = written(spell(texts, marked), "spelled")
+        told = told_apart(spelled.where(~F.col("crowded"))).unionByName(later_strings(spelled.where("crowded")))
     ranges = written(gone.unionByName(told).groupBy("d", "h").agg(F.collect_list(F.struct("a", "z")).alias("r")), "ranges")
 
     def cut(batches):
