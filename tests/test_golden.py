@@ -279,3 +279,66 @@ def test_guards(spark):
     assert one(spark, {"t": 1.0, "s": 0.0}, [A.combine_scores_from_profile(F.col("t"), F.col("s"), p).alias("c")]).c == 0.7
     assert G.trimmed_match_from_profile(members(spark, [("c", "m", 1.0, 0.1, 0.2, 0.3, 0.4, 0.5)], c="string", m="string", w="double"), "c", "m", "w", p).first().claims == ["m"]
     assert G.product_graph_states(nodes).first().states == 5
+
+
+# Texts
+
+
+def _how(i):
+    names = {"self_article_number": "own_article", "host_instrument_number": "own_number", "xref_resolver": "resolver", "relational_suppression_scale": "scale"}
+    wide = {"enclosing_unit": "unit", "numbering_family": "family", "host_instrument_name": "host_name", "whole_host_unit": "whole", "preceding_text": "before", "enclosing_units": "units", "host_title_instrument": "title", "host_section_numbers": "sections"}
+    how = {v: i[k] for k, v in names.items() if i.get(k) is not None}
+    return how | ({v: i[k] for k, v in wide.items() if k in i} if how.get("resolver") == "shared-v2" else {})
+
+
+@pytest.mark.parametrize("case", [c for c in cases("clause-cues") if "references" not in c.values[0]["expected"]])
+def test_clauses(case):
+    i, how = case["input"], _how(case["input"])
+    for key, want in case["expected"].items():
+        found = {
+            "raw": lambda: C.contributions(i["text"], **how), "cross_reference_targets": lambda: C.targets(i["text"], i.get("self_article_number"), i.get("host_instrument_number")), "combined": lambda: C.combined(i["text"], i.get("base_fact"), **how),
+            "point": lambda: C.clause_point(i["text"], i.get("base_fact"), **how), "links": lambda: C.links(i["text"], i["source_id"], **{k: v for k, v in how.items() if k != "scale"}),
+            "enclosing_unit": lambda: C.enclosing_unit(i["source_text"], i["offset"], i.get("numbering_family", "eu")), "enclosing_units": lambda: C.enclosing_units(i["source_text"], i["offset"], i.get("numbering_family", "eu")),
+        }[key]()
+        assert found == want, key
+
+
+ARTICLE_22 = {"ruleset_id": "example", "rules": [{"obligation_id": "GDPR:Art22(3)", "citation": "GDPR Article 22(3)", "trigger_concepts": ["automated_decision_making"], "required_concepts": ["human_intervention", "right_to_express_view", "right_to_contest"]}]}
+
+
+@pytest.mark.parametrize("case", cases("requirement-grammar"))
+def test_obligations(case):
+    from loomgraph.grammars import requirement
+
+    i, want = case["input"], case["expected"]
+    if "violations" in want:
+        assert bool(requirement.ruleset_violations(i["ruleset"])) == bool(want["violations"])
+        return
+    found = requirement.check(i["obligation_id"], i["texts"], ARTICLE_22)
+    assert {k: v for k, v in found.items() if k != "ruleset_digest"} == {k: v for k, v in want.items() if k != "ruleset_digest"}
+
+
+@pytest.mark.parametrize("case", [c for c in cases("interplay-grammar") if c.values[0]["kind"] in ("citations", "authority_shape", "triple_rejected")])
+def test_interplay(case):
+    from loomgraph.grammars import interplay
+
+    i, want = case["input"], case["expected"]
+    if case["kind"] == "citations":
+        assert [list(c) for c in interplay.citations(i["text"])] == want["citations"]
+    elif case["kind"] == "triple_rejected":
+        with pytest.raises(ValueError):
+            interplay.triple(i["record"])
+    else:
+        found = interplay.authority_violations(i.get("doc", i.get("record")))
+        assert (not found) == (want["valid"] if "valid" in want else not want.get("violations"))
+
+
+@pytest.mark.parametrize("case", [*cases("is-ought"), *cases("actor-role"), *cases("compose-table")])
+def test_closed_sets(spark, case):
+    i, want = case["input"], case["expected"]
+    if "link" in i and "valid" in want:
+        assert D.is_valid("link", i["link"]) == want["valid"]
+    elif "value" in i:
+        assert D.is_actor(i["value"]) == want.get("valid", want.get("known"))
+    elif "a" in i and "result" in want:
+        assert spark.range(1).select(A.compose(F.lit(i["a"]), F.lit(i["b"]))).first()[0] == want["result"]
