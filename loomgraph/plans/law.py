@@ -17,6 +17,7 @@ from loomgraph.grammars import interplay, penalty, requirement
 from loomgraph.operators import evaluation as E
 from loomgraph.operators import rules as R
 from loomgraph.plans.registry import _CASE, _t
+from loomgraph.sources.tables import spread
 
 _D = A.DIMENSIONS
 URI, DATE = "urn:event", "2026-01-01"
@@ -62,7 +63,7 @@ NAMES = ["Part of {e}", "CAUSES {u}", "aims_at {e}", " precedes {e} ", "similar
 
 
 def _events(spark, sf_dir, text: str):
-    return _t(spark, sf_dir, "events").select("event_id", "user_id", F.expr(text.replace("VARCHAR(20)", "STRING")).alias("text"))
+    return spread(_t(spark, sf_dir, "events").select("event_id", "user_id", F.expr(text.replace("VARCHAR(20)", "STRING")).alias("text")))
 
 
 @F.arrow_udf(T.StructType([T.StructField(d, T.DoubleType()) for d in _D]))
@@ -210,7 +211,7 @@ def evaluation_span_scores(spark, sf_dir):
 
 def _documents(spark, sf_dir):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # texts may be of any length
-    return _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def dim_classify_query(spark, sf_dir):

@@ -9,17 +9,19 @@ from loomgraph.functions import cues as C
 from loomgraph.functions import text as T
 from loomgraph.operators import retrieval as R
 from loomgraph.plans.registry import _CASE, _events, _t
+from loomgraph.sources.tables import spread
 
 _D = A.DIMENSIONS
 DOMAIN = "loomgraph:content:1"
 
 def _docs(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def dim_composition_laws(spark, sf_dir):
-    d = spark.createDataFrame([(x,) for x in _D], "a string")
-    abc = d.crossJoin(d.withColumnRenamed("a", "b")).crossJoin(d.withColumnRenamed("a", "c"))  # 125 rows
+    names = F.array(*map(F.lit, _D))
+    at = lambda k: F.element_at(names, (F.floor(F.col("id") / 5**k) % 5 + 1).cast("int"))
+    abc = spark.range(0, 125, 1, 1).select(at(0).alias("a"), at(1).alias("b"), at(2).alias("c"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     abc = abc.withColumns({"ab": A.compose(a, b), "ba": A.compose(b, a), "bc": A.compose(b, c)})
     laws = [(F.col("ab") == F.col("ba")).alias("commutes"), (A.compose(F.col("ab"), c) == A.compose(a, F.col("bc"))).alias("associates"), (A.compose(a, F.lit("relational")) == a).alias("right_identity"), A.is_dimension(F.col("ab")).alias("closed")]
