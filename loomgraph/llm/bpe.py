@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.sources.tables import spread
+
 from .common import map_arrow
 
 #: Pre-tokens whose ids a worker remembers, and their length in characters at most.
@@ -189,4 +191,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 back.append(hashlib.sha256("".join(said).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(spread(docs.select(F.col("doc_id").cast("long"), "text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.sources.tables import spread
+
 from .common import ascii_lower, map_arrow, written
 
 #: Bytes that one broadcast set takes, about: 20 for each word, and WORD_BYTES and its text for each distinct one. Words of an item in one piece.
@@ -108,7 +110,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_byte
             break
         blocks *= 2
     own = [c for c in docs.columns if c.lower() not in RESULTS]
-    rows = docs.select(*own).withColumns({"n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<start:int,end:int>>)"), "items": F.expr("cast(array() as array<string>)")})
+    rows = spread(docs.select(*own)).withColumns({"n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<start:int,end:int>>)"), "items": F.expr("cast(array() as array<string>)")})
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
     for k in range(blocks):
         block = cut.where(F.pmod("deal", F.lit(blocks)) == k) if blocks > 1 else cut

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.tables import spread
+
 from .common import ascii_lower, map_arrow
 
 #: Memory of a trie, about, before it spills: bytes of labels and NODE_BYTES for each node.
@@ -163,7 +165,7 @@ def owners(docs: DataFrame, keep: str = "min", parts: int | None = None) -> Data
             yield batch()
 
     rows = docs.select(F.col("doc_id").cast("long"), ascii_lower(F.coalesce("text", F.lit(""))).cast("binary").alias("key"))
-    local = map_arrow(rows, combine, "n_bytes long, sha string, key binary, owner long, n long")
+    local = map_arrow(spread(rows), combine, "n_bytes long, sha string, key binary, owner long, n long")
     dealt = local.repartition(*[parts] * bool(parts), "n_bytes", "sha").sortWithinPartitions("n_bytes", "sha")
     return map_arrow(dealt, decide, "n_bytes long, sha string, owner long, n long")
 

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.tables import spread
+
 from .common import map_arrow, written
 
 N, K = 100, 16
@@ -342,7 +344,7 @@ def find(docs: DataFrame, most: int = HELD, hot_from: int = HOT, piece: int = PI
         if kept:
             yield from settle([np.concatenate(x) for x in zip(*kept, strict=True)])
 
-    found = map_arrow(docs.select("d", "h", F.col("t").cast("binary")), run, CONTEXTS)
+    found = map_arrow(spread(docs.select("d", "h", F.col("t").cast("binary"))), run, CONTEXTS)
     dealt = found.repartition("anchor").sortWithinPartitions("anchor", "context", "lr", "d", "h", "p")
     return map_arrow(dealt, meet, FOUND)
 

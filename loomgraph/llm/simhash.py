@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.tables import spread
+
 from .common import map_arrow, written
 from .components import connected_components
 
@@ -59,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, carry: tuple
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array((fps * np.uint64(MIX)).view(np.int64)), *b.columns[2:]], ["doc_id", "fp", "node", *carry])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *carry)
-    return map_arrow(rows, run, ", ".join(["doc_id long, fp long, node long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)]))
+    return map_arrow(spread(rows), run, ", ".join(["doc_id long, fp long, node long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 class BKTree:

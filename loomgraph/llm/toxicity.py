@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.sources.tables import spread
+
 from .common import map_arrow, written
 
 #: Labelled rows that the model is fitted on, about; terms proposed at most; the test's least statistic and least rows.
@@ -227,7 +229,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [*b.schema.names, "score", "predicted"])
 
     schema = T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return map_arrow(own, run, schema)
+    return map_arrow(spread(own), run, schema)
 
 
 def held_out(doc_id):
