@@ -26,7 +26,7 @@ from loomgraph.sources.tables import spread
 from .common import map_arrow
 
 #: Pre-tokens whose ids a worker remembers, and their length in characters at most.
-CACHE, CACHE_CHARS = 500_000, 48
+CACHE, CACHE_CHARS = 400_000, 48
 #: The byte-level pre-tokenizer's pattern, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII).findall

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: An Arrow batch holds at most so many bytes, whatever the length of the texts.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _WRITTEN: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

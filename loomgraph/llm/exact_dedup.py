@@ -27,7 +27,7 @@ from loomgraph.sources.tables import spread
 from .common import ascii_lower, map_arrow
 
 #: Memory of a trie, about, before it spills: bytes of labels and NODE_BYTES for each node.
-TRIE_BYTES, NODE_BYTES = 64 << 20, 450
+TRIE_BYTES, NODE_BYTES = 48 << 20, 450
 
 
 class _Node:

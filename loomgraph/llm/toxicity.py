@@ -88,7 +88,7 @@ class Model:
             if found is None:
                 own = [f"b:{w[:k]}" for k in BEGINNINGS if len(w) > k] + [f"w:{w}"] + ([f"f:{_THEME[w]}"] if w in _THEME else [])
                 found = tuple(at[t] for t in own if t in at)
-                if len(known) >= 300_000:
+                if len(known) >= 150_000:
                     known.clear()
                 if len(w) <= 64:
                     known[w] = found
