@@ -6,7 +6,7 @@ cycle is refused, and nothing has changed then.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from loomgraph.operators.graph import CycleError
 
@@ -59,16 +59,17 @@ class Nesting:
     def _reorder(self, parent: str, child: str, high: int, low: int) -> None:
         """Puts what leads to the parent before what the child leads to, in the places that both have between the two."""
         place = self.place
-        after = _reach(child, self.below, lambda n: place[n] <= high)
+        after = _between(child, self.below, place, low, high)
         if parent in after:
             raise CycleError(f"{child!r} holds {parent!r} already")
-        before = _reach(parent, self.above, lambda n: place[n] >= low)
-        moved = sorted(before, key=place.__getitem__) + sorted(after, key=place.__getitem__)
-        place.update(zip(moved, sorted(place[n] for n in moved), strict=True))
+        before = _between(parent, self.above, place, low, high)
+        at = place.__getitem__
+        moved = sorted(before, key=at) + sorted(after, key=at)
+        place.update(zip(moved, sorted(map(at, moved)), strict=True))
 
     def reachable(self, node: str) -> set[str]:
         """What a node holds, at any depth, and itself."""
-        return _reach(node, self.below, lambda _: True)
+        return _between(node, self.below, self.place, self.first, self.last)
 
     def would_cycle(self, parent: str, child: str) -> bool:
         return parent == child or parent in self.reachable(child)
@@ -78,11 +79,12 @@ class Nesting:
         return {n: set(v) for n, v in self.above.items()}
 
 
-def _reach(start: str, links: dict[str, set[str]], within: Callable[[str], bool]) -> set[str]:
+def _between(start: str, links: dict[str, set[str]], place: dict[str, int], low: int, high: int) -> set[str]:
+    """The start and what its links lead to by way of nodes placed from low to high."""
     seen, stack = {start}, [start]
     while stack:
         for n in links.get(stack.pop(), ()):
-            if n not in seen and within(n):
+            if n not in seen and low <= place[n] <= high:
                 seen.add(n)
                 stack.append(n)
     return seen
