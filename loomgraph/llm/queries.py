@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, interleave, perspectives, repeats, secrets, simhash, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, interleave, perspectives, ranked_search, repeats, resample, secrets, simhash, token_orc, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -71,6 +71,20 @@ def op10_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+def op12_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_orc.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return token_orc.checksums(token_orc.read(spark, folder))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"), percent=5)
+
+
 QUERIES = {
     "op1_warc_writer": op1_warc_writer,
     "op2_perspective_rotation": op2_perspective_rotation,
@@ -82,4 +96,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_credential_linking": op9_credential_linking,
     "op10_simhash_bk_tree": op10_simhash_bk_tree,
+    "op11_tput_search": op11_tput_search,
+    "op12_orc_tokens": op12_orc_tokens,
+    "op13_importance_resampling": op13_importance_resampling,
 }

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 #: Patterns of the secret scan for RE2: either case is written out, since its own flag folds beyond ASCII.
 _either = lambda words: "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words.split("|"))
-_QUOTES = "[\"'']?\\x20*[:=]\\x20*[\"'']?"
+_QUOTES = "[\"'']?\x20*[:=]\x20*[\"'']?"
 _KINDS = {
     "assign": f"({_either('password|passwd|secret|token')}|{_either('api')}_?{_either('key')}){_QUOTES}([A-Za-z0-9+/_.=-]+)", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]{16,}",
     "ident": f"({_either('user|username|login|account')}|{_either('client')}_?{_either('id')}){_QUOTES}([A-Za-z0-9@_.-]{{4,}})", "blob": "[A-Za-z0-9+/]{40,}",
-    "endpoint": "(https?|ftps?|ssh|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\\x20\\x09-\\x0D\"''<>]+",
+    "endpoint": "(https?|ftps?|ssh|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"''<>]+",
 }
 _cases = lambda: "[" + ", ".join(f"'{k}'" for k in _KINDS) + "][k + 1]"
 _MATCHES = " UNION ALL ".join(f"SELECT r, {k} AS k, regexp_extract_all(t, '{p}') AS h, string_split_regex(t, '{p}') AS g FROM d" for k, p in enumerate(_KINDS.values()))
@@ -84,4 +84,40 @@ ORACLES = {
         SELECT doc_id, size, text_crc32, 'rows' AS law, (CASE WHEN pos < r * (q + 1) THEN pos // (q + 1) ELSE r + (pos - r * (q + 1)) // greatest(q, 1) END)::INTEGER AS shard,
                (CASE WHEN pos < r * (q + 1) THEN pos % (q + 1) ELSE (pos - r * (q + 1)) % greatest(q, 1) END)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM q
     """,
+    # Scores in integers; weights are floors of doubles.
+    "op11_tput_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS l FROM d),
+        t AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(w) AS term FROM i) GROUP BY q, term),
+        p AS (SELECT r, n, term, count(*) AS tf FROM (SELECT r, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN t USING (term) GROUP BY r, n, term),
+        f AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY term),
+        g AS (SELECT r, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // l)))) AS gain FROM p JOIN f USING (term), s),
+        c AS (SELECT q, r, sum(times * gain)::BIGINT AS score FROM t JOIN g USING (term) GROUP BY q, r),
+        k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM c JOIN d USING (r) WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k JOIN i USING (q) WHERE rank <= 10
+    """,
+    # CRC-32 is linear: that of a string is the XOR of what each byte gives, carried over the bytes that follow it (z).
+    "op13_importance_resampling": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        u AS MATERIALIZED (SELECT row_number() OVER () AS id, w FROM (SELECT DISTINCT w FROM (SELECT w FROM d UNION ALL SELECT w FROM i))),
+        pos AS (SELECT id, unnest(w) AS one, unnest(w[2:]) AS two, unnest(w[3:]) AS three FROM u),
+        held AS MATERIALIZED (SELECT id, f, count(*) AS n FROM (SELECT id, unnest([one, one || ' ' || two, one || ' ' || two || ' ' || three]) AS f FROM pos) WHERE f IS NOT NULL GROUP BY id, f),
+        raw AS MATERIALIZED (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM held)),
+        tab AS MATERIALIZED (SELECT x, list_reduce(list_prepend(x, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS y FROM (SELECT unnest(range(256)) AS x)),
+        one AS (SELECT x, xor(xor(16777215, y), 4294967295) AS v FROM (SELECT 255 - x AS x, y FROM tab)),
+        steps(n, x, v) AS (SELECT 0::BIGINT, x, v FROM one UNION ALL SELECT n + 1, steps.x, xor(v >> 8, y) FROM steps JOIN tab ON tab.x = v & 255 WHERE n < (SELECT max(length(h)) // 2 FROM raw)),
+        z AS MATERIALIZED (SELECT n, printf('%02X', x) AS x, v FROM steps),
+        b AS (SELECT f, bit_xor(v) % 10000 AS bucket FROM (SELECT f, h, unnest(range(length(h) // 2)) AS k FROM raw) r JOIN z ON z.n = length(h) // 2 - 1 - k AND z.x = substr(h, 2 * k + 1, 2) GROUP BY f),
+        v AS MATERIALIZED (SELECT id, bucket, sum(n)::BIGINT AS n FROM held JOIN b USING (f) GROUP BY id, bucket),
+        e AS MATERIALIZED (SELECT doc_id, id, len(w) AS n_words FROM d JOIN u USING (w)), j AS (SELECT id FROM i JOIN u USING (w)),
+        s AS (SELECT bucket, sum(n)::BIGINT AS s FROM e JOIN v USING (id) GROUP BY bucket), m AS (SELECT bucket, sum(n)::BIGINT AS t FROM j JOIN v USING (id) GROUP BY bucket),
+        a AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS sn, coalesce((SELECT sum(t) FROM m), 0)::DOUBLE AS tn),
+        g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (sn + 10000) / ((s + 1.0::DOUBLE) * (tn + 10000))))::BIGINT AS gain FROM s LEFT JOIN m USING (bucket), a),
+        ws AS (SELECT id, sum(n * gain)::BIGINT AS weight, sum(n)::BIGINT AS n_features FROM v JOIN g USING (bucket) GROUP BY id),
+        o AS (SELECT doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM e LEFT JOIN ws USING (id)),
+        k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM o)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM k
+    """,
 }
