@@ -18,3 +18,17 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "number", par
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # as many rows as ranges
     placed = rows.withColumn("_range", F.shiftrightunsigned("_at", 33)).join(F.broadcast(before), "_range")
     return placed.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
+#: Rows of a chunk in a running maximum.
+CHUNK = 4096
+
+
+def running_max(df: DataFrame, order: list[Column | str], value: Column | str, name: str, before: bool = False) -> DataFrame:
+    """df with the largest `value` of all rows up to each along `order` (before: without the row itself; null where there is none). Rows are numbered, a maximum runs inside each chunk of them, and one over the chunks' maxima: as many rows as chunks."""
+    rows = numbered(df, order, "_n").withColumn("_v", value if isinstance(value, Column) else F.col(value)).withColumn("_chunk", F.floor(F.col("_n") / CHUNK))
+    inside = Window.partitionBy("_chunk").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    chunks = rows.groupBy("_chunk").agg(F.max("_v").alias("_most"))
+    chunks = chunks.select("_chunk", F.max("_most").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))
+    found = rows.withColumn("_inside", F.max("_v").over(inside)).join(chunks, "_chunk")
+    return found.select(*df.columns, F.greatest("_above", "_inside").alias(name))

@@ -5,12 +5,12 @@ import pytest
 
 from loomgraph.functions import algebra as A
 from loomgraph.operators import graph as G
-from loomgraph.plans import law, registry, rules, texts
+from loomgraph.plans import law, maintained, registry, rules, texts
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
-QUERIES, ORACLES = registry.QUERIES | texts.QUERIES | rules.QUERIES | law.QUERIES, registry.ORACLES | texts.ORACLES | rules.ORACLES | law.ORACLES
+QUERIES, ORACLES = registry.QUERIES | texts.QUERIES | rules.QUERIES | maintained.QUERIES | law.QUERIES, registry.ORACLES | texts.ORACLES | rules.ORACLES | maintained.ORACLES | law.ORACLES
 
 
 @pytest.fixture(scope="module")
