@@ -3,8 +3,8 @@
 Documents are tokenised once; what they hold of the queries' terms is written as a forward table (a row for each document) and as postings (term, impact, document), dealt by ranges of term, impact and document, so that each list lies in order
 and a list of any length spreads over as many files as it needs. Then, for all queries at once:
 
-1. the heads of all lists (their k highest impacts) give partial sums; a query's k-th highest is a lower bound of its k-th score;
-2. this bound over the query's number of lists is one threshold for all of its lists: a document that reaches the bound reaches the threshold in some list. All postings from there on are fetched, the bound is raised, and what
+1. the heads of all lists (their k highest impacts) give documents, whose scores are looked up: a query's k-th highest is a lower bound of its k-th score, and a list's first posting is the most that it can give;
+2. one threshold for all lists of a query follows from both: a document that reaches the bound reaches the threshold in some list. All postings from there on are fetched, their sums raise the bound, and what
    a document may still hold below the threshold gives an upper bound; documents whose upper bound is lower than the raised bound go;
 3. the exact scores of those left are looked up in the forward table.
 
@@ -96,33 +96,47 @@ def _block(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     weights = postings.groupBy("tid").agg(F.count("*").alias("df"), F.max("impact").alias("top")).select("tid", "top", weight.alias("w")).where("w > 0 AND top > 0")
     lists = written(lists.join(weights, "tid").select("qid", "tid", (F.col("times") * F.col("w")).alias("w"), "top"), "lists")
 
-    # 1: heads, and the k-th highest partial sum of each query.
+    # 1: heads; the exact scores of their documents, and of these the k-th highest of each query.
     of_list = Window.partitionBy("tid").orderBy(F.desc("impact"), "row")
     heads = postings.withColumn("at", F.row_number().over(of_list)).where(F.col("at") <= k).drop("at")
-    heads = heads.join(lists, "tid").groupBy("qid", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("sum"))
-    threshold = F.greatest(F.lit(1), F.ceil(F.coalesce("bound", F.lit(0)) / F.col("n_lists"))).cast("long")
-    bounds = lists.groupBy("qid").agg(F.count("*").alias("n_lists")).join(_kth(heads, k), "qid", "left").select("qid", threshold.alias("threshold"))
-    # A list's lowest impact that is fetched; the most that a document may hold of it unseen.
-    least = F.call_function("div", F.col("threshold") + F.col("w") - 1, F.col("w"))
-    unseen = F.least(F.col("w") * F.col("top"), F.col("threshold") - 1)
-    lists = written(lists.join(bounds, "qid").select("qid", "tid", "w", least.alias("least"), unseen.alias("unseen")), "thresholds")
+    heads = heads.join(lists, "tid").select("qid", "row").distinct()
+    lists = written(_thresholds(lists, _kth(_scores(heads, docs, m, lists), k)), "thresholds")
 
     # 2: all postings from the thresholds on; postings that no query wants go first.
     wanted = postings.join(lists.groupBy("tid").agg(F.min("least").alias("lowest")), "tid").where("impact >= lowest").select("tid", "impact", "row")
-    seen = wanted.join(lists, "tid").where("impact >= least").groupBy("qid", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("sum"), F.sum("unseen").alias("not_unseen"))
+    seen = wanted.join(lists, "tid").where("impact >= least").groupBy("qid", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("score"), F.sum("unseen").alias("not_unseen"))
     seen = written(seen, "partial-sums")
-    most = lists.groupBy("qid").agg(F.sum("unseen").alias("unseen")).join(_kth(seen, k), "qid", "left")
-    left = seen.join(most, "qid").where("sum + unseen - not_unseen >= coalesce(bound, 0)").select("qid", "row")
+    most = lists.groupBy("qid").agg(F.sum("unseen").alias("unseen"), F.max("bound").alias("first")).join(_kth(seen, k), "qid", "left")
+    left = seen.join(most, "qid").where("score + unseen - not_unseen >= greatest(first, coalesce(bound, 0))").select("qid", "row")
 
     # 3: exact scores of those left.
-    full = left.join(docs, "row").select("qid", "row", "doc_id", m.alias("m"), F.explode(F.arrays_zip("tids", "tfs")).alias("p"))
-    full = full.select("qid", "row", "doc_id", F.col("p.tids").alias("tid"), impact(F.col("p.tfs"), F.col("m")).alias("impact")).join(lists.select("qid", "tid", "w"), ["qid", "tid"])
-    scores = full.groupBy("qid", "row", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score")).where("score > 0")
+    scores = _scores(left, docs, m, lists).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "row"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "doc_id", "score")
 
 
-def _kth(sums: DataFrame, k: int) -> DataFrame:
-    """qid and its k-th highest sum, of queries that have as many."""
-    ranked = sums.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sum")))).where(F.col("at") <= k)
-    return ranked.groupBy("qid").agg(F.min("sum").alias("bound"), F.count("*").alias("n")).where(F.col("n") == k).select("qid", "bound")
+def _scores(pairs: DataFrame, docs: DataFrame, m: Column, lists: DataFrame) -> DataFrame:
+    """pairs (qid, row) with doc_id and the exact score, looked up in the forward table."""
+    full = pairs.join(docs, "row").select("qid", "row", "doc_id", m.alias("m"), F.explode(F.arrays_zip("tids", "tfs")).alias("p"))
+    full = full.select("qid", "row", "doc_id", F.col("p.tids").alias("tid"), impact(F.col("p.tfs"), F.col("m")).alias("impact")).join(lists.select("qid", "tid", "w"), ["qid", "tid"])
+    return full.groupBy("qid", "row", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+
+
+def _thresholds(lists: DataFrame, bounds: DataFrame) -> DataFrame:
+    """lists (qid, tid, w, top) with `bound`, `least`, the lowest impact that is fetched, and `unseen`, the most that a document may hold of a list below that. A query's threshold is the highest for which a document that stays below it in every list, and within each
+    list's maximum, stays below the query's bound: lists of small maxima, such as those of very common words, count by these and leave more to the others."""
+    most = F.col("w") * F.col("top")
+    by_most = Window.partitionBy("qid").orderBy("most", "tid")
+    rows = lists.withColumn("most", most).join(bounds, "qid", "left").withColumns({"i": F.row_number().over(by_most), "n": F.count("*").over(Window.partitionBy("qid")), "below": F.sum("most").over(by_most) - most})
+    rest = F.call_function("div", F.col("bound") - 1 - F.col("below"), F.col("n") - F.col("i") + 1)
+    fits = rows.withColumn("rest", rest).where("rest <= most").groupBy("qid").agg(F.min_by("rest", "i").alias("below"))
+    below = F.greatest(F.coalesce("below", F.lit(0)), F.lit(0))
+    least = F.call_function("div", F.col("below") + F.col("w"), F.col("w"))
+    found = lists.join(fits, "qid", "left").join(bounds, "qid", "left")
+    return found.select("qid", "tid", "w", F.coalesce("bound", F.lit(0)).alias("bound"), least.alias("least"), F.least(most, below).alias("unseen"))
+
+
+def _kth(scores: DataFrame, k: int) -> DataFrame:
+    """qid and its k-th highest score, of queries that have as many."""
+    ranked = scores.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("at") <= k)
+    return ranked.groupBy("qid").agg(F.min("score").alias("bound"), F.count("*").alias("n")).where(F.col("n") == k).select("qid", "bound")
