@@ -4,7 +4,7 @@ Rows (doc_id, start, n_tokens, ids) are dealt by ranges of doc_id and sorted, th
 without which nothing is read, has how many ids the files before hold. So no pass over all tokens is needed to place one, files are written and read independently, and a reader of some doc_ids skips files, stripes and row groups by their
 least and greatest ids and by the Bloom filters.
 
-The tokenizers library encodes pieces between spaces and line feeds, which no token of such a vocabulary crosses; a worker remembers the ids of the latest pieces, within a bound of bytes.
+The tokenizers library encodes pieces between spaces and line feeds, which no token of such a vocabulary crosses; a worker remembers the ids of the latest pieces and words, each within a bound of bytes.
 
 Defined cases: a null text is empty and has the end id alone; texts of any length are encoded whole; rows without doc_id come first; rows of one doc_id are ordered by a hash of their texts and may lie in several files; repeated rows each get
 their place; an empty table gives no rows; further columns are ignored.
@@ -13,7 +13,9 @@ their place; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,18 +23,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_chars
 from .common import map_arrow
 
-#: Text bytes of a file, about, while there are enough files for all cores; bytes of the pieces that a worker remembers; a piece longer than so many characters isn't remembered.
-FILE_BYTES, CACHE_BYTES, CACHE_CHARS = 128 << 20, 160 << 20, 64
+#: Text bytes of a file, about, while there are enough files for all cores; bytes of the pieces, and of the words, that a worker remembers; what is longer than so many characters isn't remembered.
+FILE_BYTES, PIECE_BYTES, WORD_BYTES, CACHE_CHARS = 128 << 20, 64 << 20, 192 << 20, 64
 #: What a remembered piece takes besides its characters and ids.
-ENTRY_BYTES = 260
+ENTRY_BYTES = 200
 OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
 SCHEMA = "doc_id long, start long, n_tokens long, ids array<int>"
 
 
+class Memory:
+    """A dictionary of the latest entries, within `most` bytes: when its younger half is full, that becomes the older half, and what the older one had is forgotten."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def put(self, key: str, found: bytes) -> None:
+        if len(key) <= CACHE_CHARS:
+            self.young[key] = found
+            self.bytes += ENTRY_BYTES + len(key) + len(found)
+            if self.bytes > self.most // 2:
+                self.old, self.young, self.bytes = self.young, {}, 0
+
+
 class Encoder:
-    """Texts to ids as little-endian 32-bit integers, piece by piece."""
+    """Texts to ids as little-endian 32-bit integers. What is ASCII and Latin-1 letters, whose normal form is its lower case, is cut to words, which the library's model merges; any other text is cut at spaces and line feeds, and the pieces that are not so plain go
+    through the whole library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,29 +65,54 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.young, self.old, self.bytes = {}, {}, 0
+        self.model = self.library.model
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.chars = {b: c for b, c in enumerate(byte_chars()) if chr(b) != c}
+        self.pieces, self.words = Memory(PIECE_BYTES), Memory(WORD_BYTES)
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.young.get(word) or self.words.old.get(word)
+        if found is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.chars)
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        self.words.put(word, found)
+        return found
+
+    def _plainly(self, text: str) -> bytes:
+        words = _words(text.lower())
+        found = list(map(self.words.young.get, words))
+        if None in found:
+            word = self._word
+            found = [x if x is not None else word(w) for w, x in zip(words, found, strict=True)]
+        return b"".join(found)
 
     def _piece(self, piece: str) -> bytes:
-        """The ids of a piece that isn't in the younger half of the memory; when that is full, it becomes the older half."""
-        found = self.old.get(piece)
+        found = self.pieces.old.get(piece)
         if found is None:
-            found = np.asarray(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= CACHE_CHARS:
-            self.young[piece] = found
-            self.bytes += ENTRY_BYTES + len(piece) + len(found)
-            if self.bytes > CACHE_BYTES // 2:
-                self.old, self.young, self.bytes = self.young, {}, 0
+            if _plain(piece) and not any(t in piece for t in self.special):
+                found = self._plainly(piece)
+            else:
+                found = array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+        self.pieces.put(piece, found)
         return found
 
     def encode(self, text: str) -> bytes:
+        if _plain(text) and not any(t in text for t in self.special):
+            return self._plainly(text)
         pieces = text.replace("\n", " ").split(" ")
-        found = list(map(self.young.get, pieces))
+        found = list(map(self.pieces.young.get, pieces))
         if None in found:
-            young = self.young.get
-            found = [x if x is not None else young(p) or self._piece(p) for p, x in zip(pieces, found, strict=True)]
+            piece = self._piece
+            found = [x if x is not None else piece(p) for p, x in zip(pieces, found, strict=True)]
         return b"".join(found)
 
 
+#: ASCII without control characters but white space, and the letters of Latin-1 with a diacritic: composed already, and lower-cased one by one.
+_plain = re.compile("[ -~\t-\r\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+#: PATTERN for such text in lower case.
+_words = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+
+
 def _drops_white_space(spec: dict) -> bool:
     """Whether text may be cut at spaces and line feeds: white space is all one, a pattern that matches none of it keeps its matches alone, and nothing is added before, after or between."""
     steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
