@@ -191,7 +191,7 @@ def resolved(built: list[Built], counts: Counter | None = None) -> list[Built]:
 _PRIORITY = ["addressed_to", "performs", "competence_of", "requires", "except_when"]
 _STOP = re.compile(r"[.]\s*")
 _HEADING = re.compile(r"^(?:Article|Chapter|Section|Annex|Title)\s+\d+\b", re.I)
-_SCRAP = re.compile(rf"^(?:\d{{1,4}}|\d{{1,2}}\s+{R._MONTH}(?:\s+\d{{4}})?)$", re.I)
+_SCRAP = re.compile(rf"^(?:\d{{1,4}}|\d{{1,2}}\s+{R.MONTHS}(?:\s+\d{{4}})?)$", re.I)
 _SHALL = r"(?:shall|must|may(?!\s+\d))"
 _SECOND_ACT = re.compile(rf"\b(?:and|or)\s+(?P<modal>{_SHALL})\b", re.I)
 _CONDITION = re.compile(r"\b(?:unless|except\s+where|except|save\s+where|if|where)\b", re.I)
