@@ -1,5 +1,5 @@
 """Folds over the ordered rows of each group that hold one state and not the group: rows are dealt by group, sorted by Spark (on disk where need be) and read once, so a group of any size costs its length and no memory. For what is
-sequential by nature: digests over sorted members, windows anchored at their first event."""
+sequential by nature: digests over sorted members."""
 
 from __future__ import annotations
 
@@ -91,27 +91,3 @@ def position_digests(claims: DataFrame, embeds: DataFrame, by: str, member: str,
     """The digest of each position: its claims and its embeds, repeats included, and the profile."""
     part = lambda df, k: df.select(by, F.lit(k).alias("section"), F.col(member).cast("string").alias("member"))
     return digests(part(claims, 0).unionByName(part(embeds, 1)), by, ["claims", "embeds"], f'"profile_digest":{json.dumps(profile_digest)}')
-
-
-class _Windows:
-    def __init__(self, seconds: float, threshold: int):
-        self.seconds, self.threshold, self.start, self.n, self.out = seconds, threshold, 0.0, 0, 0
-
-    def add(self, t: float) -> None:
-        if self.n and t - self.start <= self.seconds:
-            self.n += 1
-        else:
-            self.out += self.n > 0
-            self.start, self.n = t, 1
-        if self.n >= self.threshold:
-            self.out, self.n = self.out + 1, 0
-
-    def done(self) -> tuple:
-        return (self.out + (self.n > 0),)
-
-
-def debounced(events: DataFrame, by: str, seconds: str, window: float, threshold: int) -> DataFrame:
-    """events (by, seconds) to (by, flushes): windows anchored at their first event, flushed at `threshold` events, by a gap or at the end."""
-    if threshold <= 0:
-        raise ValueError(f"threshold must be positive, got {threshold!r}")
-    return folded(events.select(by, F.col(seconds).cast("double").alias(seconds)), by, [seconds], [seconds], lambda: _Windows(window, threshold), [T.StructField("flushes", T.LongType())])

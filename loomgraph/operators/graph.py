@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import algebra as A
+from loomgraph.operators.bitmaps import neighbourhoods
+from loomgraph.operators.paths import typed_path_search  # noqa: F401
 from loomgraph.profile import resolve_profile
 
 
@@ -97,14 +99,7 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def within_hops(links: DataFrame, r: int) -> DataFrame:
     """links (src, dst) to (node, signal): distinct predecessors within r hops, the node itself excluded."""
-    if isinstance(r, bool) or not isinstance(r, int) or r < 0:
-        raise ValueError(f"hops are 0 or more, got {r!r}")
-    first = links.select(F.col("dst").alias("node"), F.col("src").alias("near")).distinct()
-    found = front = first
-    for _ in range(r - 1):
-        front = front.join(first.select(F.col("node").alias("near"), F.col("near").alias("far")), "near").select("node", F.col("far").alias("near")).distinct()
-        found = found.union(front).distinct()
-    return found.where("node <> near" if r else "false").groupBy("node").agg(F.count("*").alias("signal"))
+    return neighbourhoods(links, r)
 
 
 def link_signal(links: DataFrame, kind: str, r: int = 2) -> DataFrame:
@@ -125,28 +120,6 @@ def would_cycle(edges: DataFrame, parent: str, child: str) -> bool:
     return not reachable(edges, start).where(F.col("node") == parent).isEmpty()
 
 
-def typed_path_search(edges: DataFrame, start: str, floor: float | None = None) -> DataFrame:
-    """A weight outside 0 and 1 is an error, since a cycle of larger ones would never settle. edges (source, target, dimension, weight) to the best product of weights for each (node, composed dimension) from start, with the least hops among equals. Rounds of
-    relaxation: one join, one partial maximum; ends when nothing improves."""
-    spark = edges.sparkSession
-    if not edges.where("weight IS NULL OR NOT (weight >= 0 AND weight <= 1)").isEmpty():
-        raise ValueError("weights are within 0 and 1")
-    best = settled(spark.createDataFrame([(start, "relational", 1.0, 0)], "node string, dimension string, weight double, hops int"))
-    front = best
-    while True:
-        f, e = front.alias("f"), edges.alias("e")
-        step = f.join(e, F.col("f.node") == F.col("e.source")).select(F.col("e.target").alias("node"), A.compose(F.col("f.dimension"), F.col("e.dimension")).alias("dimension"), (F.col("f.weight") * F.col("e.weight")).alias("weight"), (F.col("f.hops") + 1).alias("hops"))
-        if floor is not None:
-            step = step.where(F.col("weight") >= floor)
-        step = step.groupBy("node", "dimension").agg(F.max(F.struct("weight", (-F.col("hops")).alias("back"))).alias("b")).select("node", "dimension", F.col("b.weight").alias("weight"), (-F.col("b.back")).alias("hops"))
-        old = best.select("node", "dimension", F.col("weight").alias("w"), F.col("hops").alias("h"))
-        front = settled(step.join(old, ["node", "dimension"], "left").where("w IS NULL OR weight > w OR (weight = w AND hops < h)").select("node", "dimension", "weight", "hops"))
-        if front.isEmpty():
-            return best
-        rest = best.join(front, ["node", "dimension"], "left_anti")
-        best = settled(rest.unionByName(front))
-
-
 def stale_ancestors(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """edges (parent, child), changed (node) to (node, level): the changed nodes and every container above one, each once, with its longest distance from a changed node. Nodes of a level don't depend on each
     other, and all that a node depends on is at lower levels. A cycle above a changed node is a CycleError."""

@@ -9,6 +9,7 @@ from loomgraph.functions import algebra as A
 from loomgraph.operators import folds as O
 from loomgraph.operators import graph as G
 from loomgraph.operators import rules as R
+from loomgraph.operators import windows as W
 
 _D = A.DIMENSIONS
 _CASE = "CASE event_type WHEN 'view' THEN 'structural' WHEN 'error' THEN 'causal' WHEN 'purchase' THEN 'intentional' WHEN 'click' THEN 'temporal' ELSE 'relational' END"
@@ -145,10 +146,15 @@ def container_trimmed_match(spark, sf_dir):
 
 
 def path_typed_search(spark, sf_dir):
-    d = F.element_at(F.array(*map(F.lit, _D)), (F.col("k") % 5 + 1).cast("int"))
-    n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"))
-    edges = n.select(F.col("k").cast("string").alias("source"), F.explode(F.array(((F.col("k") * 2 + 1) % 25).cast("string"), ((F.col("k") + 7) % 25).cast("string"))).alias("target"), d.alias("dimension"), ((F.col("k") % 4 + 5) / F.lit(10.0)).alias("weight"))
-    return G.typed_path_search(edges, "0", 0.02)
+    """Nations lead to their customers, and these to others by their orders, whose numbers give the weight."""
+    n, c = (_t(spark, sf_dir, x) for x in ("nation", "customer"))
+    every = c.agg(F.count("*").alias("n"))  # one row
+    name = lambda p, k: F.concat(F.lit(p), k.cast("string"))
+    d = F.element_at(F.array(*map(F.lit, _D)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    o = _t(spark, sf_dir, "orders").crossJoin(F.broadcast(every)).select(name("c", F.col("o_custkey")).alias("source"), name("c", F.col("o_orderkey") % F.col("n")).alias("target"), d.alias("dimension"), ((F.col("o_orderkey") % 7 + 2) / F.lit(10.0)).alias("weight"))
+    down = c.select(name("n", F.col("c_nationkey")), name("c", F.col("c_custkey")), F.lit("structural"), F.lit(0.9))
+    top = n.select(F.lit("r"), name("n", F.col("n_nationkey")), F.lit("causal"), F.lit(1.0))
+    return G.typed_path_search(o.union(down).union(top), "r", 0.25)
 
 
 def statement_raw_contributions(spark, sf_dir):
@@ -169,7 +175,7 @@ def views_stale_ancestors(spark, sf_dir):
 
 def views_debounce(spark, sf_dir):
     e = _events(spark, sf_dir).select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
-    return O.debounced(e, "user_id", "t", 86400.0, 5)
+    return W.debounced(e, "user_id", "t", 86400.0, 5)
 
 
 def relation_key(spark, sf_dir):
@@ -220,8 +226,9 @@ ORACLES = {
         s AS (SELECT 'c' || c_custkey AS node, coalesce(k, 0) AS k, coalesce(a, 0) AS a, coalesce(up, 0) AS up, coalesce(down, 0) AS down FROM customer LEFT JOIN k ON k.node = 'c' || c_custkey LEFT JOIN a ON a.node = 'c' || c_custkey LEFT JOIN u ON u.node = 'c' || c_custkey LEFT JOIN w ON w.node = 'c' || c_custkey)
         SELECT node, round(round_even(least(greatest((0.5::DOUBLE * (k / (k + 5.0::DOUBLE)) * (1 - a / (a + 2.0::DOUBLE)) + 0.5::DOUBLE * CASE WHEN up + down > 0 THEN up / (up + down) ELSE 0 END) / 1.0, 0.0), 1.0), 6) * 1e4)::BIGINT AS depth FROM s""",
     "depth_quantiles": "SELECT c_custkey, round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) * 1e4)::BIGINT AS quantile FROM customer",
-    "path_typed_search": f"""WITH RECURSIVE e AS (SELECT n_nationkey::VARCHAR AS source, unnest([(n_nationkey * 2 + 1) % 25, (n_nationkey + 7) % 25])::VARCHAR AS target, [{', '.join(f"'{d}'" for d in _D)}][(n_nationkey % 5 + 1)::BIGINT] AS dimension, (n_nationkey % 4 + 5) / 10.0::DOUBLE AS weight FROM nation),
-        p(node, dimension, weight, hops) AS (SELECT '0', 'relational', 1.0::DOUBLE, 0 UNION SELECT e.target, {_COMPOSE.format(a='p.dimension', b='e.dimension')}, p.weight * e.weight, p.hops + 1 FROM p JOIN e ON p.node = e.source WHERE p.weight * e.weight >= 0.02),
+    "path_typed_search": f"""WITH RECURSIVE e AS (SELECT 'c' || o_custkey AS source, 'c' || (o_orderkey % (SELECT count(*) FROM customer)) AS target, [{', '.join(f"'{d}'" for d in _D)}][(o_orderkey % 5 + 1)::BIGINT] AS dimension, (o_orderkey % 7 + 2) / 10.0::DOUBLE AS weight FROM orders
+            UNION SELECT 'n' || c_nationkey, 'c' || c_custkey, 'structural', 0.9::DOUBLE FROM customer UNION SELECT 'r', 'n' || n_nationkey, 'causal', 1.0::DOUBLE FROM nation),
+        p(node, dimension, weight, hops) AS (SELECT 'r', 'relational', 1.0::DOUBLE, 0 UNION SELECT e.target, {_COMPOSE.format(a='p.dimension', b='e.dimension')}, p.weight * e.weight, p.hops + 1 FROM p JOIN e ON p.node = e.source WHERE p.weight * e.weight >= 0.25),
         b AS (SELECT node, dimension, max(weight) AS weight FROM p GROUP BY node, dimension)
         SELECT node, dimension, weight, min(hops)::INTEGER AS hops FROM b JOIN p USING (node, dimension, weight) GROUP BY node, dimension, weight""",
     "statement_raw_contributions": f"SELECT entry, {', '.join(f"count(*) FILTER (dim = '{d}') AS {d}" for d in _D)} FROM (SELECT unnest(list_distinct([user_id, event_id % 50])) AS entry, dim FROM ({_EV})) GROUP BY entry",

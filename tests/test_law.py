@@ -502,7 +502,7 @@ def test_citation_signals_against_pairs(spark):
 
 
 def test_digests_stream_groups(spark):
-    from loomgraph.operators import folds
+    from loomgraph.operators import folds, windows
 
     r = random.Random(15)
     rows = [(r.choice([None, "a", "hot"]), r.choice(["x", "é", 'q"', "y1", "y10", "y2"])) for _ in range(500)]
@@ -513,10 +513,10 @@ def test_digests_stream_groups(spark):
     found = {x.g: x.digest for x in folds.position_digests(df, held, "g", "m", "p").collect()}
     assert found["hot"] == D.position_digest(of("hot"), ["n"], "p") and found["other"] == D.position_digest([], ["k"], "p") and found[None] == D.position_digest(of(None), [], "p")
     times = spark.createDataFrame([("a", float(t)) for t in (0, 1, 2, 3, 4, 100)] + [("b", 5.0)], "n string, t double")
-    assert {x.n: x.flushes for x in folds.debounced(times, "n", "t", 10.0, 5).collect()} == {"a": 2, "b": 1}
-    assert folds.debounced(times.limit(0), "n", "t", 10.0, 5).count() == 0
+    assert {x.n: x.flushes for x in windows.debounced(times, "n", "t", 10.0, 5).collect()} == {"a": 2, "b": 1}
+    assert windows.debounced(times.limit(0), "n", "t", 10.0, 5).count() == 0
     with pytest.raises(ValueError):
-        folds.debounced(times, "n", "t", 1.0, 0)
+        windows.debounced(times, "n", "t", 1.0, 0)
 
 
 def test_nesting_against_plain_search():
