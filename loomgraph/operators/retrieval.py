@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from loomgraph.functions import algebra as A
 from loomgraph.functions import text as T
 from loomgraph.operators.graph import settled
+from loomgraph.sources.tables import stored
 
 K1, B = 1.5, 0.75
-#: Parts that the rows of one frequent term are dealt to where they meet its document frequency.
-SALTS = 8
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -31,17 +30,16 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, weight: one row per document and term of a positive weight. Documents are read once for their terms; frequencies and lengths follow from the counts. Only two totals reach the driver."""
-    tf = settled(term_counts(docs, key, text))
+    """key, term, weight: one row per document and term of a positive weight. Documents are read once for their terms, which are stored; frequencies and lengths follow from these. Only two totals reach the driver. A term that very many documents hold is
+    a hot key of the join, which adaptive execution splits."""
+    tf = stored(term_counts(docs, key, text), "terms")
     n, words = docs.count(), tf.agg(F.sum("f")).first()[0] or 0
     mean = float(Decimal(words / n if n else 0).quantize(Decimal("0.000001"), ROUND_HALF_EVEN))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(0.0), F.ln((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
-    idf = df.select("term", idf.alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    tf = tf.withColumn("salt", F.pmod(F.hash(key), F.lit(SALTS)))
+    idf = F.greatest(F.lit(0.0), F.ln((F.lit(float(n)) - F.count("*") + 0.5) / (F.count("*") + 0.5) + 1.0))
+    rare = tf.groupBy("term").agg(idf.alias("idf")).where("idf > 0")
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean or 1.0))
     weight = A.round6(F.col("idf") * F.col("f") * F.lit(K1 + 1) / (F.col("f") + norm))
-    return tf.join(idf, ["term", "salt"]).select(key, "term", weight.alias("weight")).where("weight > 0")
+    return tf.join(rare, "term").select(key, "term", weight.alias("weight")).where("weight > 0")
 
 
 def term_claims(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -52,7 +50,8 @@ def term_claims(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def sparse_cosine(vectors: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     """pairs (a, b) to (a, b, cosine), zero where no term is shared. Joins are by document and term."""
-    vectors = settled(vectors)  # three readers
+    of = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
+    vectors = stored(vectors.join(of, key, "left_semi"), "vectors")  # three readers
     norms = vectors.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     left = pairs.join(vectors.select(F.col(key).alias("a"), "term", F.col("weight").alias("x")), "a")
     dots = left.join(vectors.select(F.col(key).alias("b"), "term", F.col("weight").alias("y")), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))

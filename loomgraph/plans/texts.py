@@ -130,10 +130,11 @@ def _list(values):
 _COMPOSE = "CASE WHEN {b} = 'relational' THEN {a} WHEN {a} = 'causal' AND {b} = 'structural' THEN 'causal' ELSE {b} END"
 _DIMS = "(VALUES " + ", ".join(f"('{d}')" for d in _D) + ")"
 _WORDS = f"SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]{{2,}}'), lambda w: lower(w)), lambda w: NOT list_contains({_list(T.STOPWORDS)}, w)) AS w FROM documents"
-_BM25 = f"""w AS ({_WORDS}), s AS (SELECT count(*)::DOUBLE AS n, round_even(avg(len(w)), 6) AS mean FROM w),
-    f AS (SELECT doc_id, term, count(*) AS f, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY doc_id, term),
+_BM25 = f"""toks AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{{2,}}')) AS term FROM documents), stop AS (SELECT unnest({_list(T.STOPWORDS)}) AS term),
+    f AS MATERIALIZED (SELECT doc_id, term, count(*) AS f FROM toks ANTI JOIN stop USING (term) GROUP BY doc_id, term), l AS (SELECT doc_id, sum(f)::BIGINT AS dl FROM f GROUP BY doc_id),
+    s AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, round_even((SELECT sum(f) FROM f)::DOUBLE / (SELECT count(*) FROM documents), 6) AS mean),
     d AS (SELECT term, greatest(0.0::DOUBLE, ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1.0::DOUBLE)) AS idf FROM f, s GROUP BY term, n),
-    v AS (SELECT doc_id, term, round_even(idf * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean)), 6) AS weight FROM f JOIN d USING (term), s)"""
+    v AS MATERIALIZED (SELECT doc_id, term, round_even(idf * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean)), 6) AS weight FROM f JOIN d USING (term) JOIN l USING (doc_id), s)"""
 _AB, _BC, _BA = (_COMPOSE.format(a=x, b=y) for x, y in (("a", "b"), ("b", "c"), ("b", "a")))
 _FIX = "trunc({} * 1e6::DOUBLE + 0.5)::BIGINT"
 
