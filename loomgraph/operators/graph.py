@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
-import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, Window
@@ -12,25 +10,16 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import algebra as A
 from loomgraph.operators.bitmaps import neighbourhoods
+from loomgraph.operators.order import running_sum
 from loomgraph.operators.paths import typed_path_search  # noqa: F401
 from loomgraph.profile import resolve_profile
+from loomgraph.sources.tables import stored
 
 
 class CycleError(ValueError):
     """An edge closes a cycle."""
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared checkpoint folder, or by a temporary one where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and (not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='loomgraph-')}/{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def container_position(members: DataFrame, by: str) -> DataFrame:
     """members with a point (five doubles) to the fixed-point mean of each container: partial integer sums, so the order of rows cannot change it."""
     sums = members.groupBy(by).agg(F.count("*").alias("n"), *(F.sum(A.to_fixed(A.guarded(F.col(d), "a member's point", float("-inf")))).alias(d) for d in A.DIMENSIONS))
@@ -61,20 +50,14 @@ def trimmed_match_from_profile(members: DataFrame, by: str, claim: str, weight:
     return trimmed_match(members, by, claim, weight, p["k"], p["n_min"], p["tiebreak_salt"])
 
 
-def quantiles(members: DataFrame, by: str, value: str, buckets: int = 1024) -> DataFrame:
-    """members with quantile: the share of the other members of their container that are below them, 0 for a single one. Equal values are counted first; a container's values are accumulated
-    by ranges of its span, so neither a hot container nor a hot value lies in one task."""
-    counts = members.groupBy(by, value).agg(F.count("*").alias("_c"))
-    span = counts.groupBy(by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_c").alias("_n"))
-    v = F.col(value).cast("double")
-    bucket = F.when(F.col("_high") == F.col("_low"), 0).otherwise(F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * buckets))
-    placed = counts.join(span, by).withColumn("_bucket", bucket.cast("long"))
-    sums = placed.groupBy(by, "_bucket").agg(F.sum("_c").alias("_s"))
-    sums = sums.select(by, "_bucket", (F.sum("_s").over(Window.partitionBy(by).orderBy("_bucket")) - F.col("_s")).alias("_above"))
-    inside = F.sum("_c").over(Window.partitionBy(by, "_bucket").orderBy(value)) - F.col("_c")
-    below = placed.withColumn("_inside", inside).join(sums, [by, "_bucket"]).withColumn("_below", F.col("_above") + F.col("_inside"))
-    share = F.when(F.col("_n") > 1, F.col("_below") / (F.col("_n") - 1)).otherwise(0.0)
-    return members.join(below.select(by, value, share.alias("quantile")), [by, value])
+def quantiles(members: DataFrame, by: str, value: str) -> DataFrame:
+    """members with quantile: the share of the other members of their container that are below them, 0 for a single one. Equal values are counted first, and one running sum over all containers in a row tells how many stand before each value, so neither a hot
+    container nor a hot value lies in one task, however the values are spread. Members without a container or value have no quantile and are left out."""
+    counts = members.where(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    placed = stored(running_sum(counts, [by, value], "_c", "_to", "long"), "values")
+    spans = placed.groupBy(by).agg(F.min(F.col("_to") - F.col("_c")).alias("_from"), F.sum("_c").alias("_n"))
+    share = F.when(F.col("_n") > 1, (F.col("_to") - F.col("_c") - F.col("_from")) / (F.col("_n") - 1)).otherwise(0.0)
+    return members.join(placed.join(spans, by).select(by, value, share.alias("quantile")), [by, value])
 
 
 def reverse_index(edges: DataFrame) -> DataFrame:
@@ -85,16 +68,16 @@ def reverse_index(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """starts (start) to (start, node, hops) for all nodes below, the start itself at 0 hops. One join a level; a level holds new pairs only."""
-    seen = settled(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
-    front, hops = seen, 0
+    """starts (start) to (start, node, hops) for all nodes below, the start itself at 0 hops. One join a level; a level holds new pairs only, and is stored once."""
+    front = stored(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct(), "level")
+    seen, hops = front, 0
     while True:
         hops += 1
         step = front.join(edges, front.node == edges.parent).select("start", F.col("child").alias("node")).distinct()
-        front = settled(step.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        front = stored(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)), "level")
         if front.isEmpty():
             return seen
-        seen = settled(seen.unionByName(front))
+        seen = seen.union(front)
 
 
 def within_hops(links: DataFrame, r: int) -> DataFrame:
@@ -122,31 +105,13 @@ def would_cycle(edges: DataFrame, parent: str, child: str) -> bool:
 
 def stale_ancestors(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """edges (parent, child), changed (node) to (node, level): the changed nodes and every container above one, each once, with its longest distance from a changed node. Nodes of a level don't depend on each
-    other, and all that a node depends on is at lower levels. A cycle above a changed node is a CycleError."""
-    starts = changed.select("node").distinct()
-    up = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
-    affected = settled(_closure(up, starts))
-    bound, level = affected.count(), settled(starts.withColumn("level", F.lit(0)))
-    front, k = level, 0
-    while True:
-        k += 1
-        front = settled(front.join(edges, front.node == edges.child).select(F.col("parent").alias("node")).distinct().withColumn("level", F.lit(k)))
-        if front.isEmpty():
-            return level.groupBy("node").agg(F.max("level").alias("level"))
-        if k >= bound:
-            raise CycleError("the containers of a changed node form a cycle")
-        level = settled(level.unionByName(front).groupBy("node").agg(F.max("level").alias("level")))
+    other, and all that a node depends on is at lower levels. A cycle above a changed node is a CycleError. The affected part is cut out once; it is then peeled from below, and every level is stored once."""
+    from loomgraph.operators.topology import closure, levels
 
-
-def _closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """The nodes that edges (parent, child) lead to from starts (node), these included; ends on cycles too."""
-    seen = front = settled(starts.select("node").distinct())
-    while True:
-        step = front.join(edges, front.node == edges.parent).select(F.col("child").alias("node")).distinct()
-        front = settled(step.join(seen, "node", "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = settled(seen.unionByName(front))
+    up = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    affected = closure(up, changed.select("node"))
+    inner = up.join(affected.withColumnRenamed("node", "parent"), "parent", "left_semi")
+    return affected.join(levels(inner), "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
 
 
 def propagation_order(parents: Mapping[str, Iterable[str]], changed: Iterable[str]) -> list[str]:

@@ -32,3 +32,12 @@ def running_max(df: DataFrame, order: list[Column | str], value: Column | str, n
     chunks = chunks.select("_chunk", F.max("_most").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))
     found = rows.withColumn("_inside", F.max("_v").over(inside)).join(chunks, "_chunk")
     return found.select(*df.columns, F.greatest("_above", "_inside").alias(name))
+
+
+def running_sum(df: DataFrame, order: list[Column | str], value: Column | str, name: str, kind: str = "decimal(38,0)") -> DataFrame:
+    """df with the sum of `value` over all rows up to each along `order`, itself included: inside each chunk, and over the chunks' sums."""
+    rows = numbered(df, order, "_n").withColumn("_v", (value if isinstance(value, Column) else F.col(value)).cast(kind)).withColumn("_chunk", F.floor(F.col("_n") / CHUNK))
+    chunks = rows.groupBy("_chunk").agg(F.sum("_v").cast(kind).alias("_all"))
+    chunks = chunks.select("_chunk", F.coalesce(F.sum("_all").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast(kind).alias("_above"))
+    inside = F.coalesce(F.sum("_v").over(Window.partitionBy("_chunk").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return rows.withColumn("_inside", inside).join(chunks, "_chunk").select(*df.columns, (F.col("_above") + F.col("_inside")).cast(kind).alias(name))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import algebra as A
 from loomgraph.functions import text as T
-from loomgraph.operators.graph import settled
 from loomgraph.sources.tables import stored
 
 K1, B = 1.5, 0.75
@@ -138,7 +137,7 @@ def resolved_or_raise(refs: DataFrame, entries: DataFrame | None) -> DataFrame:
     """resolve_references where every reference must lead to its span: the worst status found is raised, with one reference that has it. Only one row reaches the driver."""
     if entries is None:
         raise MissingStoreError("no entries")
-    found = settled(resolve_references(refs, entries))
+    found = stored(resolve_references(refs, entries), "resolved")
     worst = found.where("status <> 'ok'").orderBy("status", "ref_id").limit(1).collect()
     if worst:
         raise STATUS_ERRORS[worst[0]["status"]](f"{worst[0]['ref_id']}: {worst[0]['ref']}")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import algebra as A
 from loomgraph.operators import graph as G
-from loomgraph.operators.graph import CycleError
+from loomgraph.operators.graph import CycleError  # noqa: F401
+from loomgraph.operators.topology import levels
 from loomgraph.profile import resolve_profile
+from loomgraph.sources.tables import stored
 
-#: Rules that may pair with every entity at most.
-MOST_RULES = 10_000
+#: Bytes of the rules that pair with every entity at most: they go to all tasks.
+MOST_RULE_BYTES = 16 << 20
 
 
 def concept_states(tags: DataFrame, entity: str) -> DataFrame:
@@ -22,8 +24,9 @@ def concept_states(tags: DataFrame, entity: str) -> DataFrame:
 def check_requirements(entities: DataFrame, entity: str, states: DataFrame, rules: DataFrame) -> DataFrame:
     """Every entity with every rule (obligation_id, trigger_concepts, required_concepts): triggered, trigger_uncertain, present, uncertain, missing, all_present (NULL unless
     triggered), needs_review. Rules are a small document and pair with each row; an entity's concepts come from a closed vocabulary, so their map is small."""
-    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} rules: check them in parts")
+    size = rules.agg(F.sum(F.octet_length("obligation_id") + F.octet_length(F.concat_ws(",", "trigger_concepts", "required_concepts")) + 64)).first()[0] or 0
+    if size > MOST_RULE_BYTES:
+        raise ValueError(f"the rules take over {MOST_RULE_BYTES} bytes: check them in parts")
     rules = F.broadcast(rules)
     held = states.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct("concept", "state"))).alias("of"))
     rows = entities.select(entity).join(held, entity, "left").withColumn("of", F.coalesce("of", F.expr("cast(map() as map<string,string>)")))
@@ -75,18 +78,9 @@ def conceptual_depth_from_profile(nodes: DataFrame, links: DataFrame, edges: Dat
 
 
 def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """edges with new ones (parent, child), each once; CycleError, and nothing is added, if one of them closes a cycle. Rounds take off nodes that nothing leads to, so a cycle is
-    what is left when no round takes one more; each round is one join."""
-    together = G.settled(edges.select("parent", "child").union(new.select("parent", "child")).distinct())
-    left = together
-    n = left.count()
-    while n:
-        tops = left.select("parent").distinct().join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti")
-        left = G.settled(left.join(tops, "parent", "left_anti"))
-        rest = left.count()
-        if rest == n:
-            raise CycleError("the edges would close a cycle")
-        n = rest
+    """edges with new ones (parent, child), each once; CycleError, and nothing is added, if one of them closes a cycle. The whole graph is peeled; where its order is kept beside it, topology.insert looks at the affected part alone."""
+    together = stored(edges.select("parent", "child").union(new.select("parent", "child")).distinct(), "edges")
+    levels(together)
     return together
 
 

@@ -88,6 +88,29 @@ def insert(edges: DataFrame, places: DataFrame, new: DataFrame) -> tuple[DataFra
     return together, places.join(dealt, "node", "left").select("node", F.coalesce("_new", "place").alias("place"))
 
 
+def would_cycle(edges: DataFrame, places: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidates (parent, child) with `cycle`: whether the edge, put in alone, would close a cycle. One join by places answers for those that go with the order, and for new nodes; what the children of the others lead to is searched for all of them at once,
+    no further than the candidate's own parent stands in the order."""
+    asked = stored(candidates.select("parent", "child").distinct(), "candidates")
+    p, c = places.select(F.col("node").alias("parent"), F.col("place").alias("high")), places.select(F.col("node").alias("child"), F.col("place").alias("low"))
+    back = stored(asked.join(p, "parent").join(c, "child").where("high > low"), "backward-candidates")
+    found = asked.where("parent = child").select("parent", "child")
+    if not back.isEmpty():
+        to = edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).join(places.select(F.col("node").alias("next"), "place"), "next")
+        # A search is known by its start and the place that it goes up to; starts that differ in that alone are one search, as far as the furthest.
+        reach = back.groupBy("child").agg(F.max("high").alias("until"))
+        front = stored(reach.select(F.col("child").alias("start"), F.col("child").alias("node"), "until"), "front")
+        seen = front
+        while True:
+            step = front.join(to, "node").where("place <= until").select("start", F.col("next").alias("node"), "until").distinct()
+            front = stored(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "front")
+            if front.isEmpty():
+                break
+            seen = seen.union(front)
+        found = found.union(back.join(seen.select(F.col("start").alias("child"), F.col("node").alias("parent")), ["child", "parent"], "left_semi").select("parent", "child"))
+    return candidates.join(found.distinct().withColumn("_yes", F.lit(True)), ["parent", "child"], "left").select(*candidates.columns, F.col("_yes").isNotNull().alias("cycle"))
+
+
 def _with_new_nodes(places: DataFrame, new: DataFrame) -> DataFrame:
     """places with nodes that have none yet: before all others if nothing in the batch leads to them, else behind all others, by level among themselves, and by name."""
     named = new.select(F.col("parent").alias("node"), F.lit(False).alias("held")).union(new.select("child", F.lit(True)))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loomgraph.functions import algebra as A
-from loomgraph.operators import scan, topology
+from loomgraph.operators import evaluation, scan, topology
 from loomgraph.plans.registry import _CASE, _EMB, _embeds, _events, _t
 from loomgraph.sources.tables import shared_folder, stored
 from loomgraph.streaming.views import View, deltas, identical
@@ -65,6 +65,27 @@ def views_erasure(spark, sf_dir):
     return view.sums().join(served, "entry", "left").select("entry", F.coalesce("served", F.lit(False)).alias("served"), "n", *_D, F.lit(proved).alias("identical"))
 
 
+def nesting_would_cycle(spark, sf_dir):
+    """Candidates that cover every node: each order as the holder of its customer, of another customer and of a nation; each customer as that of an order and of another customer."""
+    edges = stored(_embeds(spark, sf_dir), "edges")
+    o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    n = c.agg(F.max("c_custkey").alias("n"))  # one row
+    order, customer = _name("o", F.col("o_orderkey")), _name("c", F.col("o_custkey"))
+    o = o.crossJoin(F.broadcast(n)).select("o_orderkey", "o_custkey", (F.col("o_orderkey") % F.col("n") + 1).alias("k"))
+    some = o.select(order.alias("parent"), customer.alias("child"))
+    for p, q in ((order, _name("c", F.col("k"))), (order, _name("n", F.col("k") % 25)), (_name("c", F.col("k")), order), (customer, _name("c", F.col("k")))):
+        some = some.union(o.select(p, q))
+    return topology.would_cycle(edges, topology.placed(edges), some.distinct())
+
+
+def evaluation_sign_flip(spark, sf_dir):
+    """Pairs are the months of the year: orders that are filled against those that are open, in hundreds of the currency."""
+    o = _t(spark, sf_dir, "orders")
+    price = F.floor(F.col("o_totalprice").cast("double") / 100).cast("long")
+    months = o.groupBy(F.month("o_orderdate").alias("m")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", price).when(F.col("o_orderstatus") == "O", -price).otherwise(0)).alias("d"))
+    return evaluation.sign_flip_test(months, "d")
+
+
 _EV = f"SELECT event_id, user_id, ts, {_CASE} AS dim FROM events"
 ORACLES = {
     # The first order by level and name; intervals, what is reached in them both ways, the core by levels, places dealt anew.
@@ -96,6 +117,18 @@ ORACLES = {
         l AS (SELECT event_id, path, last_value(CASE WHEN dim <> 'relational' THEN dim END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN dim NOT IN ('relational', 'structural') THEN dim END IGNORE NULLS) OVER w AS b FROM e WINDOW w AS (PARTITION BY path ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
         SELECT event_id, path, CASE WHEN a IS NULL THEN 'relational' WHEN a <> 'structural' THEN a WHEN b = 'causal' THEN 'causal' ELSE 'structural' END AS dimension FROM l
     """,
+    "nesting_would_cycle": f"""
+        WITH RECURSIVE e AS ({_EMB}), n AS (SELECT max(c_custkey) AS n FROM customer), o AS (SELECT o_orderkey, o_custkey, o_orderkey % n + 1 AS k FROM orders, n),
+        s AS (SELECT 'o' || o_orderkey AS parent, 'c' || o_custkey AS child FROM o UNION SELECT 'o' || o_orderkey, 'c' || k FROM o UNION SELECT 'o' || o_orderkey, 'n' || (k % 25) FROM o UNION SELECT 'c' || k, 'o' || o_orderkey FROM o UNION SELECT 'c' || o_custkey, 'c' || k FROM o),
+        r(node, up) AS (SELECT child, parent FROM e UNION SELECT r.node, e.parent FROM r JOIN e ON e.child = r.up)
+        SELECT s.parent, s.child, s.parent = s.child OR r.node IS NOT NULL AS cycle FROM s LEFT JOIN r ON r.node = s.parent AND r.up = s.child
+    """,
+    # All sign choices, one by one.
+    "evaluation_sign_flip": """
+        WITH d AS (SELECT row_number() OVER (ORDER BY m) - 1 AS i, d FROM (SELECT month(o_orderdate) AS m, sum(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END * floor(o_totalprice::DOUBLE / 100)::BIGINT)::BIGINT AS d FROM orders GROUP BY 1)),
+        c AS (SELECT unnest(range(1 << (SELECT count(*) FROM d)::INTEGER)) AS c), t AS (SELECT c, sum(CASE WHEN (c >> i) & 1 = 1 THEN -d ELSE d END) AS s FROM c, d GROUP BY c)
+        SELECT count(*) FILTER (s >= (SELECT sum(d) FROM d)) AS at_least, count(*) AS total FROM t
+    """,
     "views_erasure": f"""
         SELECT user_id::VARCHAR AS entry, user_id NOT IN (SELECT user_id FROM events WHERE event_id % 100 = 3) AS served, count(*) AS n, {', '.join(f"count(*) FILTER (dim = '{d}') AS {d}" for d in _D)}, true AS identical
         FROM ({_EV}) WHERE event_id % 10 <> 3 GROUP BY user_id

@@ -465,11 +465,12 @@ def test_span_scores_equal_greedy_matching(spark):
     assert (row.matched, row.found, row.gold) == (matched, len(found), len(gold)) and row.f1 == round(2e6 * matched / (len(found) + len(gold)))
 
 
-@pytest.mark.parametrize("buckets", [4, 1024])
-def test_quantiles_in_buckets(spark, buckets):
+@pytest.mark.parametrize("chunk", [4, 4096])
+def test_quantiles_over_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr("loomgraph.operators.order.CHUNK", chunk)
     r = random.Random(7)
     rows = [(g, i, float(r.choice([1, 2, 2.5, 9, r.random() * 50]))) for i in range(300) for g in [r.choice(["hot", "hot", "b"])]] + [("single", 999, 3.0)]
-    found = {x.i: x.quantile for x in G.quantiles(spark.createDataFrame(rows, "g string, i int, v double"), "g", "v", buckets).collect()}
+    found = {x.i: x.quantile for x in G.quantiles(spark.createDataFrame(rows, "g string, i int, v double"), "g", "v").collect()}
     for g, i, v in rows:
         others = [w for h, _, w in rows if h == g]
         want = sum(w < v for w in others) / (len(others) - 1) if len(others) > 1 else 0.0
