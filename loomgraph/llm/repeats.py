@@ -18,7 +18,7 @@ Only hashes and places are shuffled for all of the text; bytes only for contexts
 before it is shuffled. Contexts count as equal when 160 bits of hashes are (64 of all their bytes, 64 of the two sides, 32 of the anchor); bytes aren't compared for that.
 
 Defined cases: a null text counts as empty; texts shorter than N lose nothing; texts of any length are read in pieces, so a task's memory does not grow with them but for the text itself; repeated rows (same doc_id and
-text) are one document and get the same result; rows of one doc_id with different texts are ordered by a hash of the text; a null doc_id comes before all others; an empty table gives an empty one; further columns are ignored.
+text) are one document and get the same result; rows of one doc_id with different texts are ordered by a hash of the text; a null doc_id comes before all others (doc_ids are above -2**62), and rows without one are told apart by 126 bits of hashes; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -201,8 +201,8 @@ def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 _LOW = -(1 << 63)
-CONTEXTS = "anchor int, context long, lr long, d long, h int, p long"
-FOUND = "kind int, g long, lr long, d long, h int, s int, n int"
+CONTEXTS = "anchor int, context long, lr long, d long, h long, p long"
+FOUND = "kind int, g long, lr long, d long, h long, s int, n int"
 #: Kinds of found rows: a range that goes (n: its bytes), a context for an index (n: its strings), one of an anchor with over HOT contexts.
 GONE, TELL, OPEN = 0, 1, 2
 
@@ -212,11 +212,11 @@ def _table(cols, names, kinds):
 
 
 def _context_rows(*cols):
-    return _table(cols, ["anchor", "context", "lr", "d", "h", "p"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()])
+    return _table(cols, ["anchor", "context", "lr", "d", "h", "p"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()])
 
 
 def _found_rows(*cols):
-    return _table(cols, ["kind", "g", "lr", "d", "h", "s", "n"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()])
+    return _table(cols, ["kind", "g", "lr", "d", "h", "s", "n"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
 
 def _equal(x):
@@ -380,7 +380,7 @@ def told_apart(spelled: DataFrame) -> DataFrame:
             out = [(d, h, s + a, s + z - 1 + N) for (d, h, s, _), mask in zip(rows, RunIndex(texts).stream(texts), strict=True) for a, z in _ranges(mask)]
             rows.clear()
             if out:
-                yield _table(list(zip(*out, strict=True)), ["d", "h", "a", "z"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()])
+                yield _table(list(zip(*out, strict=True)), ["d", "h", "a", "z"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
         for b in batches:
             for g, d, h, s, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
@@ -394,7 +394,7 @@ def told_apart(spelled: DataFrame) -> DataFrame:
             yield from index()
 
     dealt = spelled.select("g", "d", "h", "s", "raw").repartition("g").sortWithinPartitions("g", "d", "h", "s")
-    return map_arrow(dealt, run, "d long, h int, a int, z int")
+    return map_arrow(dealt, run, "d long, h long, a int, z int")
 
 
 def spell(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -409,16 +409,18 @@ def spell(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for s in sorted({s for x in w if x["crowded"] for s in range(x["s"], x["s"] + x["n"])}):
                     rows.append((None, s, hashlib.blake2b(raw[s : s + N], digest_size=16).digest(), True))
                 g, s, cut, crowded = zip(*rows, strict=True)
-                yield _table([g, [d] * len(s), [h] * len(s), s, cut, crowded], ["g", "d", "h", "s", "raw", "crowded"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()])
+                yield _table([g, [d] * len(s), [h] * len(s), s, cut, crowded], ["g", "d", "h", "s", "raw", "crowded"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()])
 
     joined = docs.join(by_doc, ["d", "h"]).select("d", "h", F.col("t").cast("binary").alias("t"), "w")
-    return map_arrow(joined, run, "g long, d long, h int, s int, raw binary, crowded boolean")
+    return map_arrow(joined, run, "g long, d long, h long, s int, raw binary, crowded boolean")
 
 
 def remove_repeats(docs: DataFrame, most: int = HELD, hot_from: int = HOT, piece: int = PIECE, side_from: int = HOT_SIDE) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end: the maximal runs of bytes that go) and kept (the remaining bytes) for every row."""
     t = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("d"), F.hash(t).alias("h"), t.alias("t"))
+    # A document is a doc_id and 64 bits of its text; without doc_id, 62 further bits stand in its place, below all doc_ids.
+    none = F.lit(_LOW) + F.shiftrightunsigned(F.xxhash64(F.lit("none"), t), 2)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), none).alias("d"), F.xxhash64(t).alias("h"), t.alias("t"))
     found = written(find(keyed, most, hot_from, piece), "contexts")
     gone = found.where(F.col("kind") == GONE).select("d", "h", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("z"))
     tell, texts = to_tell(found), keyed.select("d", "h", "t")

@@ -102,3 +102,15 @@ def test_very_long_runs_and_a_hot_passage(spark):
     assert found[1] == 1_999_999 and found[2] == 300_000  # all but the first letter: the string at 1 is the string at 0
     want = brute(rows[2:])
     assert {i: n for i, n in found.items() if i > 2} == {i: w[1] for i, w in want.items()}
+
+
+def test_documents_without_id_are_told_apart(spark):
+    """Rows without doc_id are documents of their own: what the third repeats of the others goes, wherever they stand in the order."""
+    r = random.Random(21)
+    a, b, mid = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (300, 400, 50))
+    rows = [(None, a), (None, b), (None, b + mid + a), (None, a), (5, b), (-(2**61), a)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = {(x.doc_id, x.n_bytes): sum(y.end - y.start for y in x.spans) for x in got}
+    assert gone[5, 400] == 400 and gone[-(2**61), 300] == 300
+    own = sum(n for (i, _), n in gone.items() if i is None)
+    assert own == 700 and len(got) == 6  # of both strings one copy stays, and repeated rows are one document
