@@ -8,6 +8,8 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomgraph import documents as D
 from loomgraph import session
 from loomgraph.extract import build as B
@@ -510,6 +512,10 @@ def test_digests_stream_groups(spark):
     df = spark.createDataFrame(rows, "g string, m string").repartition(4)
     of = lambda g: [m for h, m in rows if h == g]
     assert {x.g: x.digest for x in folds.member_digests(df, "g", "m", 3).collect()} == {g: D.member_digest(set(of(g)), 3) for g in (None, "a", "hot")}
+    plain = spark.createDataFrame([(g, m) for g, m in rows if m.isascii() and '"' not in m], "g string, m string")
+    for few in (0, 3, 4096):  # streamed, some of each, as arrays
+        got = folds.digests(plain.select("g", F.lit(0).alias("section"), F.col("m").alias("member")).distinct(), "g", ["members"], '"version":3', few)
+        assert {x.g: x.digest for x in got.collect()} == {g: D.member_digest({m for m in of(g) if m.isascii() and '"' not in m}, 3) for g in (None, "a", "hot")}
     held = spark.createDataFrame([("hot", "n"), ("other", "k")], "g string, m string")
     found = {x.g: x.digest for x in folds.position_digests(df, held, "g", "m", "p").collect()}
     assert found["hot"] == D.position_digest(of("hot"), ["n"], "p") and found["other"] == D.position_digest([], ["k"], "p") and found[None] == D.position_digest(of(None), [], "p")
