@@ -50,7 +50,7 @@ def test_running_maximum_over_chunks(spark, monkeypatch, before):
         assert r.m == max(seen, default=None)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_batches_keep_an_order_or_are_refused(spark, seed):
     rnd = random.Random(seed)
     names = [f"n{i}" for i in range(40)]
@@ -75,14 +75,14 @@ def test_batches_keep_an_order_or_are_refused(spark, seed):
 
 
 def test_only_what_lies_between_is_dealt_anew(spark):
-    """A chain of 30 and a backward edge near its end: the nodes before keep their places, and the rounds follow from the region."""
-    chain = [(f"a{i:02}", f"a{i + 1:02}") for i in range(30)]
-    table = edges(spark, [*chain, ("a28", "x"), ("a28", "y")])
+    """A chain of 12 and a backward edge near its end: the nodes before keep their places."""
+    chain = [(f"a{i:02}", f"a{i + 1:02}") for i in range(12)]
+    table = edges(spark, [*chain, ("a10", "x"), ("a10", "y")])
     old = {r.node: r.place for r in topology.placed(table).collect()}
-    _, places = topology.insert(table, topology.placed(table), edges(spark, [("y", "x"), ("a29", "x")]))
+    _, places = topology.insert(table, topology.placed(table), edges(spark, [("y", "x"), ("a11", "x")]))
     new = {r.node: r.place for r in places.collect()}
-    assert all(new[f"a{i:02}"] == old[f"a{i:02}"] for i in range(29))
-    assert new["y"] < new["x"] and new["a29"] < new["x"] and sorted(new.values()) == sorted(old.values())
+    assert all(new[f"a{i:02}"] == old[f"a{i:02}"] for i in range(11))
+    assert new["y"] < new["x"] and new["a11"] < new["x"] and sorted(new.values()) == sorted(old.values())
 
 
 @pytest.mark.parametrize("bad", [[("d", "a")], [("c", "c")], [("b", "e"), ("e", "a")], [("f", "g"), ("g", "f")], [("d", "x"), ("x", "a")]])
