@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a segment tree over adjacent pair ranks.
 
-Over the parts of a pre-token lies a segment tree whose leaves are the ranks of adjacent pairs and whose nodes have up to FAN children; the root is the lowest rank, and going down to
-the leftmost child that holds it finds its leftmost pair. A merge changes three leaves, each in logarithmic time, until the root holds no rank. So a run of any length without white space costs n log n.
+Over the parts of a pre-token lies a segment tree whose leaves are the ranks of adjacent pairs; the root is the lowest rank, and going down to the left child where that holds it finds its leftmost pair. A merge changes three leaves, each in logarithmic
+time, until the root holds no rank. So a run of any length without white space costs n log n. Every pre-token that a worker doesn't remember goes through a tree.
 Pre-tokens come from the tokenizer file's pattern, special tokens are split out first, as the tokenizers library does. The file is a parameter and is read on the executors.
 
 Defined cases: a null text counts as empty and has no tokens; the digest of no ids is that of the empty string; texts of any length are encoded whole; repeated rows each get their result;
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,13 +26,11 @@ from loomgraph.sources.tables import spread
 
 from .common import map_arrow
 
-#: Pre-tokens whose ids a worker remembers, and their length in characters at most.
-CACHE, CACHE_CHARS = 400_000, 48
+#: Bytes of the pre-tokens, with their ids, that a worker remembers, and their length in characters at most; what an entry takes besides both.
+CACHE_BYTES, CACHE_CHARS, ENTRY_BYTES = 224 << 20, 48, 200
 #: The byte-level pre-tokenizer's pattern, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
-#: Children of a node of the tree.
-FAN = 32
 NONE = 1 << 62
 
 
@@ -43,30 +42,27 @@ def byte_chars() -> list[str]:
 
 
 def merge(ids: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
-    """ids after all merges; ranks: a pair, as one number, to its rank; merged: the id that the pair of each rank becomes. A leaf is the rank of the pair that begins at its place; a
-    node is the least of its FAN children. A pre-token of few parts is a tree of one node, which is read anew after each merge; its dead leaves are taken out."""
-    get = ranks.get
-    if len(ids) <= FAN:
-        leaves = [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
-        while leaves and (low := min(leaves)) != NONE:
-            i = leaves.index(low)
-            ids[i] = now = merged[low]
-            del ids[i + 1], leaves[i]
-            if i < len(leaves):
-                leaves[i] = get(now << 32 | ids[i + 1], NONE)
-            if i:
-                leaves[i - 1] = get(ids[i - 1] << 32 | now, NONE)
-        return ids
+    """ids after all merges; ranks: a pair, as one number, to its rank; merged: the id that the pair of each rank becomes. The tree is one array: node k has the children 2 k and 2 k + 1, leaf i is the rank of the pair that begins at part i, and a
+    node is the least of both children."""
     n = len(ids)
-    levels = [[get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]]
-    while len(levels[-1]) > 1:
-        below = levels[-1]
-        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+    if n < 2:
+        return ids
+    get = ranks.get
+    size = 1 << (n - 2).bit_length()
+    tree = [NONE] * size
+    tree += [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+    tree += [NONE] * (2 * size - len(tree))
+    for k in range(size - 1, 0, -1):
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (low := levels[-1][0]) != NONE:
-        i = 0
-        for level in reversed(levels[:-1]):  # down to the leftmost child that holds the root's rank
-            i = level.index(low, i * FAN)
+    while (low := tree[1]) != NONE:
+        k = 1
+        while k < size:  # down to the leftmost leaf that holds the root's rank
+            k *= 2
+            if tree[k] != low:
+                k += 1
+        i = k - size
         j = after[i]
         ids[i] = now = merged[low]
         ids[j] = -1
@@ -79,15 +75,14 @@ def merge(ids: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]
             changed.append((i, NONE))
         if (h := before[i]) >= 0:
             changed.append((h, get(ids[h] << 32 | now, NONE)))
-        for at, key in changed:
-            for level, above in zip(levels, levels[1:], strict=False):
-                if level[at] == key:
-                    break
-                level[at] = key
-                at //= FAN
-                key = min(level[at * FAN : at * FAN + FAN])
-            else:
-                levels[-1][0] = key
+        for at, least in changed:
+            k = size + at
+            while k and tree[k] != least:
+                tree[k] = least
+                k >>= 1
+                if k:
+                    a, b = tree[2 * k], tree[2 * k + 1]
+                    least = a if a < b else b
     return [x for x in ids if x >= 0]
 
 
@@ -108,49 +103,43 @@ class ByteLevelBPE:
         self.merged = [vocab[a + b] for a, b in pairs]
         back = {c: b for b, c in enumerate(chars)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)} | {i: t.encode() for t, i in self.special.items()}
+        spelled = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)} | {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
+        self.decimals = list(map(str, range(len(self.bytes_of))))
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.any_word, self.cache, self.older = regex.compile(PATTERN).findall, {}, {}
-        self.known = {t: str(i) for t, i in self.special.items()}
+        self.known = {t: array("I", [i]).tobytes() for t, i in self.special.items()}
+        self.bytes = 0
 
-    def word(self, w: str) -> str:
-        """The ids of a pre-token, in decimals, that is not in the younger half of the cache: from the older half, or merged, and decoded again to see that they spell it. When the younger half is full it
-        becomes the older."""
+    def word(self, w: str) -> bytes:
+        """The ids of a pre-token that is not in the younger half of the memory: from the older half, or merged. When the younger half is full it becomes the older."""
         found = self.older.get(w)
         if found is None:
-            raw = w.encode()
-            ids = merge(list(map(self.bytes_ids.__getitem__, raw)), self.ranks, self.merged)
-            if b"".join(map(self.bytes_of.__getitem__, ids)) != raw:
-                raise ValueError(f"the vocabulary doesn't spell {w!r}")
-            found = ",".join(map(str, ids))
+            found = array("I", merge(list(map(self.bytes_ids.__getitem__, w.encode())), self.ranks, self.merged)).tobytes()
         if len(w) <= CACHE_CHARS:
             self.cache[w] = found
-            if len(self.cache) >= CACHE // 2:
-                self.older, self.cache = self.cache, {}
+            self.bytes += ENTRY_BYTES + 2 * len(w) + len(found)
+            if self.bytes > CACHE_BYTES // 2:
+                self.older, self.cache, self.bytes = self.cache, {}, 0
         return found
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens. In ASCII the pattern's classes are spelled out for the faster engine; its white space is the same there."""
         return _ASCII_WORDS(text) if text.isascii() else self.any_word(text)
 
-    def pieces(self, text: str) -> tuple[list[str], list[str]]:
-        """The pieces of a text, pre-tokens and special tokens, each as it decodes, and their ids in decimals."""
-        said, out = [], []
+    def encode(self, text: str) -> list[int]:
+        out = []
         for part in self.split(text) if self.special else [text]:
             if part in self.known:
-                said.append(part)
                 out.append(self.known[part])
                 continue
             words = self.words(part)
             found = list(map(self.cache.get, words))
             if None in found:
-                found = [x or self.cache.get(w) or self.word(w) for w, x in zip(words, found, strict=True)]
-            said += words
+                word = self.word
+                found = [x if x is not None else self.cache.get(w) or word(w) for w, x in zip(words, found, strict=True)]
             out += found
-        return said, out
-
-    def encode(self, text: str) -> list[int]:
-        return [int(x) for piece in self.pieces(text)[1] for x in piece.split(",")]
+        return array("I", b"".join(out)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -177,18 +166,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, then decoded again from the ids."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, then the ids are decoded to a text again, whatever the text was."""
 
     def run(batches):
         bpe = tokenizer(path)
         for b in batches:
             n, sha, back = [], [], []
             for x in b.column(1):
-                said, found = bpe.pieces(x.as_py() or "")
-                ids = ",".join(found)
-                n.append(ids.count(",") + 1 if ids else 0)
-                sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                back.append(hashlib.sha256("".join(said).encode()).hexdigest())
+                ids = bpe.encode(x.as_py() or "")
+                n.append(len(ids))
+                sha.append(hashlib.sha256(",".join(map(bpe.decimals.__getitem__, ids)).encode()).hexdigest())
+                back.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(spread(docs.select(F.col("doc_id").cast("long"), "text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -88,6 +88,37 @@ def test_bpe_digests(spark):
     assert bpe.encode(spark.createDataFrame(rows, "doc_id long, text string, ids int"), PATH).where("doc_id = 1").first()["ids"] == library.encode("a").ids
 
 
+def test_bpe_merges_by_trees_and_decodes_what_it_encoded(spark, monkeypatch):
+    """Every pre-token that isn't remembered goes through a tree, short or long; what is hashed as decoded comes from the ids."""
+    import pyarrow.parquet as pq
+
+    library, own = tokenizers.Tokenizer.from_file(PATH), bpe.ByteLevelBPE(PATH)
+    trees, merge = [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda ids, *rest: trees.append(len(ids)) or merge(ids, *rest))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()]
+    words = {w for t in texts for part in own.split(t) if part not in own.known for w in own.words(part)}
+    for t in texts:
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+    assert len(trees) >= len(words) and min(trees) == 1
+    rnd = random.Random(12)
+    for n in (2, 3, 31, 32, 33, 64, 65, 1000):
+        t = "".join(rnd.choice("abeinrst") for _ in range(n))
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+    long = "ab" * 20_000 + "ß" * 5_000
+    assert own.encode(long) == library.encode(long, add_special_tokens=False).ids and own.decode(own.encode(long)) == long
+    monkeypatch.setattr(bpe.ByteLevelBPE, "encode", lambda self, text: [64, 65, 40])
+    assert bpe.ByteLevelBPE.decode(own, [64, 65, 40]) == library.decode([64, 65, 40], skip_special_tokens=False)
+
+
+def test_bpe_memory_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 30_000)
+    library, own = tokenizers.Tokenizer.from_file(PATH), bpe.ByteLevelBPE(PATH)
+    for i in range(400):
+        t = f"word{i * 7} again {'x' * (i % 60)} {i}"
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+        assert own.bytes <= 15_000 and len(own.older) + len(own.cache) < 160
+
+
 def brute_base(t):
     found = []
     for m in re.finditer(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
