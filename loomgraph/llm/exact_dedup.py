@@ -10,7 +10,8 @@ Decisions return to the rows by an equi-join on the SHA-256 of the normalised te
 
 Defined cases: a null text counts as empty, and empty texts are one class; a null doc_id never owns a class with other ids
 (it sorts below every id when the largest is kept, above when the smallest is); repeated rows count each and share one owner, and the
-row that stays is then each row with that id; further columns of the input are ignored.
+row that stays is then each row with that id; further columns of the input are
+kept, and those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import ascii_lower, map_arrow
 
 #: Memory of a trie, about, before it spills: bytes of labels and NODE_BYTES for each node.
 TRIE_BYTES, NODE_BYTES = 48 << 20, 450
+RESULTS = {"text_sha256", "keep_id", "group_size", "kept"}
 
 
 class _Node:
@@ -173,5 +175,6 @@ def owners(docs: DataFrame, keep: str = "min", parts: int | None = None) -> Data
 def exact_dedup(docs: DataFrame, keep: str = "min") -> DataFrame:
     """docs with text_sha256, keep_id, group_size and kept for every row, dropped ones too."""
     by_text = owners(docs, keep).select(F.col("sha").alias("text_sha256"), F.col("owner").alias("keep_id"), F.col("n").alias("group_size"))
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in RESULTS))
     keyed = docs.withColumn("text_sha256", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256))
     return keyed.join(by_text, "text_sha256", "left").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
