@@ -1,11 +1,13 @@
-"""Near-duplicates by Jaccard similarity of word shingles: SimHash BK-trees in shards named by min-hashes, and an exact check.
+"""Near-duplicates by Jaccard similarity of word shingles: shards named by min-hashes, prefixes of shingles where those are crowded, and an exact check.
 
-The fingerprints of two texts of similarity 0.8 differ in some 8 of 64 bits, too many to name shards by bits. So a text goes to one shard for each of TABLES independent min-hashes of its distinct
-shingles: texts of similarity s miss each other with probability (1 - s) ** TABLES (3 in 10,000 at 0.8). In a shard a BK-tree over the fingerprints is grown; each text follows only edges within
-RADIUS bits and is compared exactly, shingle set against shingle set, with the texts found there that its component does not hold already. A shard returns a spanning forest and not its pairs.
+A text goes to one shard for each of TABLES independent min-hashes of its distinct shingles: texts of similarity s miss each other with probability (1 - s) ** TABLES (3 in 10,000 at 0.8). In a shard each text is compared with
+all before it that its component does not hold already: first by sizes and by parities of SKETCH bits, whose differences are never more than those of the sets, so that nothing alike is passed over; then exactly, shingle set
+against shingle set. A shard returns a spanning forest and not its pairs.
 
-A min-hash that over HOT texts share (that of a passage common to many) is no shard: its texts are dealt by that min-hash and each other one, which similar texts share again, and by a third where that is hot too.
-Shingles are compared by hashes of 32 bits. What is missed is what differs in all min-hashes, or in over RADIUS bits: measured recall is in the README.
+A min-hash that over HOT texts share (that of a passage common to many) is no shard. All texts that have one meet by prefixes instead, which is exact: in any one order of all shingles, sets of n shingles that are alike share one of
+their first n - ceil(s * n) + 1. Common shingles come last in this order, so a passage alone makes no candidates; shingles of the same texts are one shard. A shingle that is in over HOT prefixes all the same is dealt out as
+pairs of blocks of its texts, so no task holds them all and no pair is lost.
+Shingles are compared by hashes of 32 bits. What is missed is what differs in all min-hashes: measured recall is in the README.
 
 Defined cases: a null text counts as empty; texts without words are like one another alone; a text of fewer words than a shingle is one shingle; texts of any length are read whole; repeated rows are linked;
 an empty table gives an empty one; further columns are ignored.
@@ -13,6 +15,8 @@ an empty table gives an empty one; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,9 +27,10 @@ from loomgraph.sources.tables import spread
 
 from .common import map_arrow, written
 from .components import connected_components
-from .simhash import BKTree
 
-TABLES, RADIUS, HOT = 5, 18, 4_000
+TABLES, HOT, SKETCH = 5, 4_000, 1024
+#: Bytes of sets in a batch of a text's copies for its shards.
+_COPIES = 8 << 20
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -48,14 +53,6 @@ def _mixed(hashes: np.ndarray, seed: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """The bits that over half of the distinct shingles have, signed."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        counts += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
-
-
 def minima(hashes: np.ndarray) -> list[int]:
     """TABLES min-hashes of distinct shingles, signed; zeros without shingles."""
     return [int(_mixed(hashes, s).min().view(np.int64)) if len(hashes) else 0 for s in _SEEDS]
@@ -70,47 +67,74 @@ def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
-def forest(rows: list[tuple[int, int, np.ndarray]], similarity: float, radius: int) -> list[tuple[int, int]]:
-    """Links (row, row) of a shard's rows (row, fp, shingles): each with the first of its component."""
-    tree, members = BKTree(radius), {}
-    up = list(range(len(rows)))
-
-    def top(i):
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    for i, (_, fp, own) in enumerate(rows):
-        for node in tree.within(fp):
-            for j in members[tree.values[node]]:
-                if top(i) != top(j) and _alike(own, rows[j][2], similarity):
-                    up[max(top(i), top(j))] = min(top(i), top(j))
-        if fp not in members:
-            tree.insert(fp)
-        members.setdefault(fp, []).append(i)
-    return [(rows[i][0], rows[top(i)][0]) for i in range(len(rows)) if top(i) != i]
-
-
-def _shards(sketches: DataFrame, hot: int) -> DataFrame:
-    """sketches (row, m: array of min-hashes) to (key, row): the shards of each row that hold others; hot keys are refined by up to two further min-hashes."""
-    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(i), F.element_at("m", i + 1)).alias("key")) for i in range(TABLES)))
-    keys = sketches.select("row", "m", F.explode(pairs).alias("x")).select("row", "m", F.array("x.i").alias("used"), "x.key")
-    out = None
-    for level in range(3):
-        counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        of = written(keys.join(counts, "key").select("row", "key", "used", "n", *["m"] * (level < 2)), "shards")
-        last = level == 2
-        done = (of if last else of.where(F.col("n") <= hot)).select("key", "row")
-        out = done if out is None else out.unionByName(done)
-        more = None if last else of.where(F.col("n") > hot)
-        if last or more.isEmpty():
-            return out
-        both = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.xxhash64("key", F.lit(i), F.element_at("m", i + 1)).alias("key")) for i in range(TABLES))), lambda x: ~F.array_contains(F.col("used"), x["i"]))
-        keys = more.select("row", "m", "used", F.explode(both).alias("x")).select("row", "m", F.array_append("used", F.col("x.i")).alias("used"), F.col("x.key").alias("key"))
-    return out
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+def _parities(own: np.ndarray) -> np.ndarray:
+    """For each of SKETCH classes of shingles, whether the set holds an odd number of it: two sets differ in as many shingles as these bits at least."""
+    return np.packbits(np.bincount(own & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).view(np.uint64)
+
+
+def forest(rows: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """Links (row, row) of a shard's rows (row, shingles): each with the first of its component."""
+    sizes = np.array([len(own) for _, own in rows])
+    sketches = np.stack([_parities(own) for _, own in rows])
+    first, part = np.arange(len(rows)), (1 - similarity) / (1 + similarity)
+    for i in range(1, len(rows)):
+        n, of = sizes[i], sizes[:i]
+        near = np.flatnonzero((np.minimum(of, n) >= similarity * np.maximum(of, n) - 1e-6) & (first[:i] != first[i]))
+        near = near[np.bitwise_count(sketches[near] ^ sketches[i]).sum(axis=1, dtype=np.int64) <= part * (of[near] + n) + 1e-6]
+        for j in near.tolist():
+            a, b = first[i], first[j]
+            if a != b and _alike(rows[i][1], rows[j][1], similarity):
+                first[: i + 1][first[: i + 1] == max(a, b)] = min(a, b)
+    return [(rows[i][0], rows[first[i]][0]) for i in range(len(rows)) if first[i] != i]
+
+
+def _shards(sketches: DataFrame) -> DataFrame:
+    """sketches (row, m: array of min-hashes) to (key, row, n): the shards of each row that hold others, and how many rows they hold."""
+    keys = sketches.select("row", F.explode(F.array(*(F.xxhash64(F.lit(i), F.element_at("m", i + 1)) for i in range(TABLES)))).alias("key"))
+    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return written(keys.join(counts, "key").select("key", "row", "n"), "shards")
+
+
+def _by_prefixes(rows: DataFrame, crowded: DataFrame, words: int, similarity: float, hot: int) -> DataFrame:
+    """(key, row): shards of the crowded rows in which all that are alike meet."""
+    texts, step = rows.join(crowded, "row", "left_semi"), max(1, hot // 500)
+
+    def every(batches):
+        for b in batches:
+            for x in b.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_buffer().to_pybytes(), words).view(np.int64))], ["element"])
+
+    # Any order of the shingles is right; one text of `step` tells which of them are better last.
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0)
+    last = map_arrow(some, every, "element long").groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") * step > hot).toArrow()
+    elements, counts = (last.column(c).to_numpy() for c in ("element", "n"))
+    order = np.argsort(elements)
+    common = rows.sparkSession.sparkContext.broadcast((elements[order], counts[order]))  # one of `hot` shingles at most
+
+    def prefixes(batches):
+        values, ranks = common.value
+        for b in batches:
+            for row, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = shingles(x.as_buffer().to_pybytes(), words).view(np.int64)
+                rank = np.zeros(len(own), np.int64)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                    rank = np.where(values[at] == own, ranks[at], 0)
+                n = len(own) - math.ceil(similarity * len(own) - 1e-6) + 1
+                out = own[np.lexsort((own, rank))[:n]] if len(own) else np.zeros(1, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), row, np.int64)), pa.array(out)], ["row", "element"])
+
+    elements = written(map_arrow(texts, prefixes, "row long, element long"), "prefixes")
+    # Shingles that stand in the same rows' prefixes are one shard.
+    sets = elements.groupBy("element").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b")).where("n > 1")
+    met = elements.join(sets.groupBy("n", "a", "b").agg(F.min("element").alias("element")), "element")
+    few = met.where(F.col("n") <= hot).select(F.xxhash64(F.lit("prefix"), "element").alias("key"), "row")
+    blocks = F.ceil(F.col("n") * 2 / hot).cast("int")
+    many = met.where(F.col("n") > hot).select("row", "element", F.pmod(F.xxhash64("row", F.lit(2)), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).where("own <> other")
+    return few.unionByName(many.select(F.xxhash64(F.lit("blocks"), "element", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "row"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
     """docs (row: a unique long, text) to (row, label) for every row: equal labels for a component of texts that are alike."""
     rows = docs.select("row", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
@@ -120,34 +144,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "m"])
 
     sketches = written(map_arrow(spread(rows), sketched, "row long, m array<long>"), "sketches")
-    shards = _shards(sketches, hot).groupBy("row").agg(F.collect_set("key").alias("keys"))  # a few for each row
+    met = _shards(sketches)
+    shards, crowded = met.where(F.col("n") <= hot).select("key", "row"), met.where(F.col("n") > hot).select("row")
+    if not crowded.isEmpty():
+        shards = shards.unionByName(_by_prefixes(rows, crowded.distinct(), words, similarity, hot))
+    shards = shards.groupBy("row").agg(F.collect_set("key").alias("keys"))  # as many as a prefix has shingles, at most, and those of blocks
 
     def spelled(batches):
         for b in batches:
             for row, text, keys in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 own = shingles(text.as_buffer().to_pybytes(), words)
-                fp, raw = fingerprint(own), np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([row] * len(keys), pa.int64()), pa.array([fp] * len(keys), pa.int64()), pa.array([raw] * len(keys), pa.binary())], ["key", "row", "fp", "set"])
+                raw = np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes()
+                size = _COPIES // (len(raw) + 1) + 1
+                for at in range(0, len(keys), size):
+                    some = keys[at : at + size]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([row] * len(some), pa.int64()), pa.array([raw] * len(some), pa.binary())], ["key", "row", "set"])
 
     def linked(batches):
         held, at = [], None
 
         def close():
-            found = forest(held, similarity, radius) if len(held) > 1 else []
+            found = forest(held, similarity) if len(held) > 1 else []
             held.clear()
             if found:
                 a, z = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
         for b in batches:
-            for key, row, fp, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            for key, row, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if key != at:
                     yield from close()
                     at = key
-                held.append((row, fp & ((1 << 64) - 1), np.frombuffer(raw.as_buffer(), np.uint32)))
+                held.append((row, np.frombuffer(raw.as_buffer(), np.uint32)))
         yield from close()
 
-    dealt = map_arrow(rows.join(shards, "row"), spelled, "key long, row long, fp long, set binary").repartition("key").sortWithinPartitions("key", "row")
+    dealt = map_arrow(rows.join(shards, "row"), spelled, "key long, row long, set binary").repartition("key").sortWithinPartitions("key", "row")
     links = map_arrow(dealt, linked, "a long, b long")
     # The contraction wants well-mixed nodes: a hash of the row.
     labels = connected_components(links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))

@@ -73,3 +73,20 @@ def test_crowded_min_hashes_keep_their_recall(spark):
         label = {r.row: r.label for r in near_duplicates.near_duplicates(df, hot=hot).collect()}
         assert sum(label[i] == label[j] for i, j in alike) >= least * len(alike) and len(alike) > 150
         assert len(set(label.values())) >= 250  # a shared passage alone links nothing
+
+
+def test_crowded_min_hashes_lose_no_link(spark):
+    """Pairs whose shared min-hashes are all crowded: found by prefixes, also where a prefix is crowded itself."""
+    rnd = random.Random(8)
+    word = lambda: f"v{rnd.randrange(4000)}"
+    passage, rows = [word() for _ in range(100)], []
+    for _ in range(300):
+        base = passage + [word() for _ in range(rnd.randrange(40, 80))]
+        rows += [" ".join(base), " ".join(word() if rnd.random() < 0.018 else w for w in base)]
+    rows += [" ".join(passage + [word() for _ in range(5)]) for _ in range(30)]  # all alike
+    sets = [set(near_duplicates.shingles(t.encode(), 5).tolist()) for t in rows]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(rows)), "row long, text string")
+    label = {r.row: r.label for r in near_duplicates.near_duplicates(df, hot=10).collect()}
+    assert len(alike) > 600 and all(label[i] == label[j] for i, j in alike)
+    assert len(set(label.values())) >= 300
