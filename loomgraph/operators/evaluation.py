@@ -39,7 +39,10 @@ def two_hop_signatures(edges: DataFrame) -> DataFrame:
     one = e.select(F.col("src").alias("node"), F.concat_ws("|", "dimension", "dst").alias("element"))
     x, y = e.alias("x"), e.alias("y")
     two = x.join(y, F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("node"), F.concat_ws("|", "x.dimension", "x.dst", "y.dimension", "y.dst").alias("element"))
-    return one.union(two).distinct()
+    found = one.union(two)
+    # Of different links the elements differ, unless a part is missing or holds the sign between parts.
+    odd = e.where(F.col("dimension").isNull() | F.col("dst").isNull() | F.contains(F.col("dimension").cast("string"), F.lit("|")) | F.contains(F.col("dst").cast("string"), F.lit("|")))
+    return found if odd.isEmpty() else found.distinct()
 
 
 def rarity_overlap(sets: DataFrame, pairs: DataFrame, key: str, element: str) -> DataFrame:

@@ -92,3 +92,17 @@ def test_cycles_of_many_candidates(spark):
     got = topology.would_cycle(df(edges), topology.placed(df(edges)), df(candidates)).collect()
     assert {(r.parent, r.child): r.cycle for r in got} == {(a, b): a == b or a in below.get(b, ()) for a, b in candidates}
     assert topology.would_cycle(df(edges), topology.placed(df(edges)), df([])).collect() == []
+
+
+def test_two_hop_signatures_are_distinct_without_a_sort_of_all_paths(spark):
+    from loomgraph.operators import evaluation as E
+
+    plain = [("a", "b", "x"), ("a", "b", "x"), ("b", "c", "y"), ("b", "d", "x")]
+    odd = [("a", "b", "x"), ("a", "b|y|c", "x"), ("b", "c", "y"), ("a", None, "x"), ("a", "x", None)]
+    for rows in (plain, odd):
+        found = E.two_hop_signatures(spark.createDataFrame(rows, "src string, dst string, dimension string"))
+        got, e = [tuple(r) for r in found.collect()], set(rows)
+        say = lambda *x: "|".join(v for v in x if v is not None)
+        want = {(s, say(d, t)) for s, t, d in e} | {(s, say(d, t, d2, t2)) for s, t, d in e for s2, t2, d2 in e if t is not None and t == s2}
+        assert set(got) == want and len(got) == len(want)
+        assert ("Aggregate [node" in found._jdf.queryExecution().optimizedPlan().toString()) == (rows is odd)
