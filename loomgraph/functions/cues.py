@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import accumulate
 
 import pandas as pd
@@ -43,6 +43,7 @@ CUES = {
 
 
 
+@lru_cache(1024)
 def needle(pattern: str) -> str:
     """The longest stretch of letters that every match of a pattern holds, in lower case."""
     best = now = ""
@@ -58,6 +59,11 @@ _FOLD = {0x130: "i", 0x131: "i", 0x17F: "s"}
 COMPILED = {d: [re.compile(p, re.IGNORECASE) for p in found] for d, found in CUES.items()}
 
 
+def folded(text: str) -> str:
+    """A text in lower case, in which a needle stands wherever its pattern matches."""
+    return text.lower() if text.isascii() else text.translate(_FOLD).lower()
+
+
 def runs(text: str, patterns: list[re.Pattern]) -> int:
     """Separate stretches of text that the matches of all patterns cover together: those spans that begin where no earlier one still reaches."""
     spans = sorted(m.span() for p in patterns for m in p.finditer(text))
@@ -67,8 +73,8 @@ def runs(text: str, patterns: list[re.Pattern]) -> int:
 
 def counts(text: str) -> dict[str, int]:
     """The cues of each dimension. A pattern is tried only where its letters stand in the text."""
-    low = text.translate(_FOLD).lower()
-    return {d: runs(text, [p for p, n in zip(found, NEEDLES[d], strict=True) if n in low]) for d, found in COMPILED.items()}
+    low = folded(text)
+    return {d: runs(text, tried) if (tried := [p for p, n in zip(found, NEEDLES[d], strict=True) if n in low]) else 0 for d, found in COMPILED.items()}
 
 
 @F.pandas_udf(StructType([StructField(d, LongType()) for d in A.DIMENSIONS]))
