@@ -17,7 +17,7 @@ from loomgraph.grammars import interplay, penalty, requirement
 from loomgraph.operators import evaluation as E
 from loomgraph.operators import rules as R
 from loomgraph.plans.registry import _CASE, _t
-from loomgraph.sources.tables import spread
+from loomgraph.sources.tables import dealt
 
 _D = A.DIMENSIONS
 URI, DATE = "urn:event", "2026-01-01"
@@ -63,12 +63,14 @@ NAMES = ["Part of {e}", "CAUSES {u}", "aims_at {e}", " precedes {e} ", "similar
 
 
 def _events(spark, sf_dir, text: str):
-    return spread(_t(spark, sf_dir, "events").select("event_id", "user_id", F.expr(text.replace("VARCHAR(20)", "STRING")).alias("text")))
+    return dealt(_t(spark, sf_dir, "events").select("event_id", "user_id"), "event_id", "user_id").select("event_id", "user_id", F.expr(text.replace("VARCHAR(20)", "STRING")).alias("text"))
 
 
 @F.arrow_udf(T.StructType([T.StructField(d, T.DoubleType()) for d in _D]))
 def clause_contributions_of(text: pa.Array) -> pa.Array:
-    return pa.array([{d: float(x) for d, x in C.contributions(t).items()} if t else dict.fromkeys(_D, 0.0) for t in text.to_pylist()], pa.struct([(d, pa.float64()) for d in _D]))
+    once = text.dictionary_encode()  # a clause that a batch holds again is read once
+    found = pa.array([{d: float(x) for d, x in C.contributions(t).items()} if t else dict.fromkeys(_D, 0.0) for t in [*once.dictionary.to_pylist(), None]], pa.struct([(d, pa.float64()) for d in _D]))
+    return found.take(once.indices.fill_null(len(found) - 1))
 
 
 def clause_contributions(spark, sf_dir):
@@ -109,8 +111,7 @@ def requirement_obligations(spark, sf_dir):
 @F.arrow_udf(T.ArrayType(T.StructType([*(T.StructField(n, T.StringType()) for n in ("kind", "instrument", "pinpoints")), T.StructField("start", T.IntegerType())])))
 def referred(text: pa.Array, unit: pa.Array) -> pa.Array:
     out = []
-    for t, u in zip(text.to_pylist(), unit.to_pylist(), strict=True):
-        found = references.resolve(t, unit=u) if t else []
+    for found in references.resolved((t or "" for t in text.to_pylist()), unit.to_pylist()):
         out.append([{"kind": r["kind"], "instrument": r["external_instrument"], "pinpoints": ", ".join(x["pinpoint"] for x in r["targets"]) or r.get("external_target"), "start": r["literal_start"]} for r in found])
     return pa.array(out, pa.list_(pa.struct([*((n, pa.string()) for n in ("kind", "instrument", "pinpoints")), ("start", pa.int32())])))
 
@@ -138,9 +139,15 @@ def interplay_relations(spark, sf_dir):
 def penalty_triples(spark, sf_dir):
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("s", T.StringType()), T.StructField("o", T.StringType()), T.StructField("euro", T.LongType()), T.StructField("percent", T.DoubleType()), *(T.StructField(n, T.StringType()) for n in ("basis", "bound", "combination"))])))
     def found(article: pa.Array, text: pa.Array) -> pa.Array:
-        out = []
-        for a, t in zip(article.to_pylist(), text.to_pylist(), strict=True):
-            triples = penalty.all_triples(penalty.penalties([{"instrument_id": "own", "article_id": a, "text": t}], PENALTY))
+        out, texts = [], text.to_pylist()
+        read: dict[str, list] = {t: [] for t in texts}  # a text that a batch holds again is read once
+        for k, t in enumerate(read):
+            read[t] = [str(k), []]
+        numbered = {k: found for k, found in read.values()}
+        for r in penalty.penalties([{"instrument_id": "own", "article_id": k, "text": t} for t, (k, _) in read.items()], PENALTY):
+            numbered[r["source_article"]].append(r)
+        for a, t in zip(article.to_pylist(), texts, strict=True):
+            triples = penalty.all_triples([r | {"source_article": a} for r in read[t][1]])
             out.append([{"s": x["s"], "o": x["o"], "euro": (p := x["provenance"])["fixed_amount_eur"], "percent": p["turnover_percentage"], "basis": p["turnover_basis"], "bound": p["bound_type"], "combination": p["combination_rule"]} for x in triples])
         return pa.array(out, pa.list_(pa.struct([("s", pa.string()), ("o", pa.string()), ("euro", pa.int64()), ("percent", pa.float64()), *((n, pa.string()) for n in ("basis", "bound", "combination"))])))
 
@@ -211,7 +218,7 @@ def evaluation_span_scores(spark, sf_dir):
 
 def _documents(spark, sf_dir):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # texts may be of any length
-    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dealt(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 def dim_classify_query(spark, sf_dir):

@@ -589,3 +589,42 @@ def test_references_of_whole_documents(spark, tmp_path):
     found = sorted(repr((x.doc_id, x.kind, x.instrument, x.pinpoints, x.start)) for x in law.documents_references(spark, f"file://{tmp_path}").collect())
     want = [(i, x["kind"], x["external_instrument"], ", ".join(t["pinpoint"] for t in x["targets"]) or x.get("external_target"), x["literal_start"]) for i, t in rows if t for x in X.resolve(t)]
     assert found == sorted(map(repr, want)) and len(found) > 50
+
+
+def test_python_work_is_dealt_by_rows_not_by_pieces_of_a_scan(spark, tmp_path):
+    from loomgraph.sources.tables import dealt
+
+    for k, n in enumerate((2000, 1, 1, 1, 1, 1)):  # six pieces, of which one has nearly all rows
+        spark.range(10_000 * k, 10_000 * k + n, 1, 1).write.mode("append").parquet(str(tmp_path / "t"))
+    df = dealt(spark.read.parquet(str(tmp_path / "t")), "id")
+    sizes = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 2005 and max(sizes) < 2 * 2005 / len(sizes) and len(sizes) >= spark.sparkContext.defaultParallelism
+
+
+def test_lazy_subjects_are_tried_only_before_their_core():
+    import time
+
+    from loomgraph.extract import rules
+
+    text = "word " * 20_000 + "shall be. " + "The unit is part of the group unless the user objects to it."
+    for _, cues in rules.FAMILIES:
+        for cue in cues:
+            sample = text[-400:]
+            assert [m.span() for m in rules._matches(cue, sample)] == [m.span() for m in cue.pattern.finditer(sample)]
+    cue = next(c for _, cues in rules.FAMILIES for c in cues if c.rule.endswith("except_when-unless"))
+    started = time.perf_counter()
+    fast = [m.span() for m in rules._matches(cue, text)]
+    middle = time.perf_counter()
+    assert fast == [m.span() for m in cue.pattern.finditer(text)]
+    assert (middle - started) * 5 < time.perf_counter() - middle
+
+
+def test_sentences_that_come_again_are_read_once_unless_their_unit_counts(monkeypatch):
+    from loomgraph.extract import references
+
+    texts = ["Article 5(2) of this Regulation applies.", "point (b) applies."] * 20
+    units = [f"Article {k}" for k in range(40)]
+    want, reads = [references.resolve(t, unit=u) for t, u in zip(texts, units, strict=True)], []
+    read = references._Reader.read
+    monkeypatch.setattr(references._Reader, "read", lambda self: reads.append(1) or read(self))
+    assert references.resolved(texts, units) == want and len(reads) == 21
