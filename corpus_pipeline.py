@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies one row stays: the one with the smallest doc_id, without doc_id only if no other has one; of several, that with the least hash.
 
     Two passes, the second on what the first leaves. First the op10 contract: SimHash components of 4-word shingles at 4 bits, whatever the size of a group; then the components of texts whose 5-word shingles have a Jaccard
-    similarity of 0.8 or more, found by BK-trees in min-hash shards and checked exactly. Null and empty texts are one group; decisions are made by row, so null and repeated doc_ids are safe; an empty table gives an empty one."""
+    similarity of 0.8 or more, found in min-hash shards, or by prefixes of shingles where those are crowded, and checked exactly. Null and empty texts are one group; decisions are made by row, so null and repeated doc_ids are safe; an empty table gives an empty one."""
     own, back = _aside(docs)
     rows = written(own.withColumn("row", F.monotonically_increasing_id()), "rows")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "tie", "row")
