@@ -104,7 +104,8 @@ def _block(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
     # 2: all postings from the thresholds on; postings that no query wants go first.
     wanted = postings.join(lists.groupBy("tid").agg(F.min("least").alias("lowest")), "tid").where("impact >= lowest").select("tid", "impact", "row")
-    seen = wanted.join(lists, "tid").where("impact >= least").groupBy("qid", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("score"), F.sum("unseen").alias("not_unseen"))
+    # Dealt by row while they are postings, before each meets every query of its list: the pairs of query and row are then summed where they arise.
+    seen = wanted.repartition("row").join(lists, "tid").where("impact >= least").groupBy("qid", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("score"), F.sum("unseen").alias("not_unseen"))
     seen = written(seen, "partial-sums")
     most = lists.groupBy("qid").agg(F.sum("unseen").alias("unseen"), F.max("bound").alias("first")).join(_kth(seen, k), "qid", "left")
     left = seen.join(most, "qid").where("score + unseen - not_unseen >= greatest(first, coalesce(bound, 0))").select("qid", "row")
