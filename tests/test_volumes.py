@@ -1,10 +1,14 @@
 """What queries shuffle and store: rows, as Spark's own counters have them, on small tables that tell a step's growth."""
 
+import math
 import random
+import re
+from collections import Counter, defaultdict
 
 import pytest
 
 from loomgraph.llm import ranked_search
+from loomgraph.operators import retrieval
 
 
 def moved(spark, run) -> tuple[int, int]:
@@ -44,3 +48,39 @@ def test_op11_pairs_of_query_and_near_copy_are_summed_where_they_arise(spark, ma
     shuffled, _ = moved(spark, lambda: found.extend(ranked_search.search(*tables).collect()))
     assert sorted((r.item_id, r["rank"], r.doc_id) for r in found) == [(i, k + 1, k) for i in range(40) for k in range(10)]
     assert shuffled < 60_000  # 12,000 pairs of up to twelve terms each; 138,974 rows when each term's range of postings sent its own sums
+
+
+def test_terms_travel_by_chunk_and_not_by_document(spark, many_tasks):
+    rnd = random.Random(6)
+    common = [f"{a}{b}word" for a in "abcdefgh" for b in "abcdefgh"]
+    docs = spark.createDataFrame([(i, " ".join([*rnd.sample(common, 50), "own" + chr(97 + i % 26)])) for i in range(400)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(399)], "a long, b long")
+    for query in (lambda: retrieval.sparse_cosine(retrieval.bm25_vectors(docs), pairs), lambda: retrieval.term_claims(retrieval.bm25_vectors(docs))):
+        shuffled, stored = moved(spark, lambda query=query: query().collect())
+        assert shuffled < 6_000 and stored < 600  # 20,400 pairs of document and term, each stored and shuffled once or more before
+
+
+def test_vectors_by_row_and_by_term_give_the_same(spark):
+    rnd = random.Random(7)
+    docs = [(rnd.randrange(20), " ".join(rnd.choice("Alpha beta THE gamma\u212a delta eps \u0131x shall zeta".split()) for _ in range(rnd.randrange(9)))) for _ in range(30)] + [(50, None), (51, "the of"), (None, "alpha beta")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows, vectors = retrieval.bm25(table), retrieval.bm25_vectors(table)
+    plain = [(k, [t.lower() for t in re.findall("[a-zA-Z]{2,}", x or "")]) for k, x in docs]
+    plain = [(k, [t for t in ts if t not in ("the", "of", "shall")]) for k, ts in plain]
+    n, df = len(docs), Counter(t for _, ts in plain for t in set(ts))
+    mean = round(sum(len(ts) for _, ts in plain) / n, 6)
+    want = [(k, t, math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(ts) / mean))) for k, ts in plain for t, f in Counter(ts).items()]
+    key = lambda x: (repr(x[0]), x[1], x[2])
+    got = sorted(((r.doc_id, r.term, r.weight) for r in rows.collect()), key=key)
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want, key=key)] and all(abs(g[2] - w[2]) < 1e-6 for g, w in zip(got, sorted(want, key=key), strict=True))
+    assert sorted(map(repr, retrieval.term_claims(rows).collect())) == sorted(map(repr, retrieval.term_claims(vectors).collect()))
+    pairs = spark.createDataFrame([(a, b) for a in (*range(20), 50, None) for b in (0, 3, 50, 51, 99)] + [(1, 3), (1, 3)], "a long, b long")
+    cosines = lambda v: Counter((r.a, r.b, r.cosine) for r in retrieval.sparse_cosine(v, pairs).collect())
+    assert cosines(rows) == cosines(vectors) and cosines(rows).total() == pairs.count()
+    sums, squares = defaultdict(lambda: defaultdict(float), {k: defaultdict(float) for k, _ in docs}), Counter()
+    for k, t, w in got:
+        sums[k][t] += w
+        squares[k] += w * w
+    for a, b, c in cosines(rows):
+        norms = math.sqrt(squares[a] * squares[b]) if a is not None else 0
+        assert abs(c - (sum(w * sums[b][t] for t, w in sums[a].items()) / norms if norms else 0)) < 2e-6
