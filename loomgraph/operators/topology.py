@@ -16,24 +16,28 @@ from loomgraph.sources.tables import stored
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """edges (parent, child) to (node, level): the longest way to a node from any that nothing leads to. A round for each level takes off the nodes that nothing leads to any more; CycleError if none can be."""
-    spark = edges.sparkSession
+    """edges (parent, child) to (node, level): the longest way to a node from any that nothing leads to. A round for each level takes off the edges that leave it; of the nodes that these led to, those that no other edge leads to are the next level. What a round moves
+    goes by the edges that it takes off, but for one reading of those that are left; CycleError if there are any and none can be taken off."""
     left = stored(edges.select("parent", "child").distinct(), "unpeeled")
-    rest, level, peeled = left.count(), 0, None
-    whole = left
+    rest = left.count()
+    if not rest:
+        return edges.sparkSession.createDataFrame([], "node string, level int")
+    tops = left.select(F.col("parent").alias("node")).distinct().join(left.select(F.col("child").alias("node")), "node", "left_anti")
+    front = stored(tops.withColumn("level", F.lit(0)), "level")
+    peeled, level = front, 0
     while rest:
-        tops = left.select(F.col("parent").alias("node")).distinct().join(left.select(F.col("child").alias("node")), "node", "left_anti")
-        tops = stored(tops.withColumn("level", F.lit(level)), "level")
-        left = stored(left.join(tops, left.parent == tops.node, "left_anti"), "unpeeled")
+        at = front.select(F.col("node").alias("parent"))
+        met = stored(left.join(at, "parent", "left_semi").select(F.col("child").alias("node")).distinct(), "met")
+        left = stored(left.join(at, "parent", "left_anti").select("parent", "child"), "unpeeled")
         found = left.count()  # from the files' footers
         if found == rest:
             raise CycleError("the edges form a cycle")
         rest, level = found, level + 1
-        peeled = tops if peeled is None else peeled.union(tops)
-    if peeled is None:
-        return spark.createDataFrame([], "node string, level int")
-    ends = whole.join(peeled, whole.parent == peeled.node).groupBy(F.col("child").alias("node")).agg((F.max("level") + 1).alias("level"))
-    return peeled.union(ends.join(peeled.select("node"), "node", "left_anti").select("node", F.col("level").cast("int")))
+        held = left.select(F.col("child").alias("node")).join(met, "node", "left_semi").distinct() if rest else None
+        front = met if held is None else met.join(held, "node", "left_anti")
+        front = front.withColumn("level", F.lit(level)) if held is None else stored(front.withColumn("level", F.lit(level)), "level")
+        peeled = peeled.union(front)
+    return peeled
 
 
 def placed(edges: DataFrame) -> DataFrame:
@@ -89,26 +93,29 @@ def insert(edges: DataFrame, places: DataFrame, new: DataFrame) -> tuple[DataFra
 
 
 def would_cycle(edges: DataFrame, places: DataFrame, candidates: DataFrame) -> DataFrame:
-    """candidates (parent, child) with `cycle`: whether the edge, put in alone, would close a cycle. One join by places answers for those that go with the order, and for new nodes; what the children of the others lead to is searched for all of them at once,
-    no further than the candidate's own parent stands in the order."""
-    asked = stored(candidates.select("parent", "child").distinct(), "candidates")
-    p, c = places.select(F.col("node").alias("parent"), F.col("place").alias("high")), places.select(F.col("node").alias("child"), F.col("place").alias("low"))
-    back = stored(asked.join(p, "parent").join(c, "child").where("high > low"), "backward-candidates")
-    found = asked.where("parent = child").select("parent", "child")
-    if not back.isEmpty():
-        to = edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).join(places.select(F.col("node").alias("next"), "place"), "next")
-        # A search is known by its start and the place that it goes up to; starts that differ in that alone are one search, as far as the furthest.
-        reach = back.groupBy("child").agg(F.max("high").alias("until"))
-        front = stored(reach.select(F.col("child").alias("start"), F.col("child").alias("node"), "until"), "front")
-        seen = front
-        while True:
-            step = front.join(to, "node").where("place <= until").select("start", F.col("next").alias("node"), "until").distinct()
-            front = stored(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "front")
-            if front.isEmpty():
-                break
-            seen = seen.union(front)
-        found = found.union(back.join(seen.select(F.col("start").alias("child"), F.col("node").alias("parent")), ["child", "parent"], "left_semi").select("parent", "child"))
-    return candidates.join(found.distinct().withColumn("_yes", F.lit(True)), ["parent", "child"], "left").select(*candidates.columns, F.col("_yes").isNotNull().alias("cycle"))
+    """candidates (parent, child) with `cycle`: whether the edge, put in alone, would close a cycle. Candidates are stored once beside the places of their ends; these answer for those that go with the order, and for new nodes. What the children of the others lead to is
+    searched for all of them at once, no further than the candidate's own parent stands in the order, and only these candidates meet what was found."""
+    p, c = places.select(F.col("node").alias("parent"), F.col("place").alias("_high")), places.select(F.col("node").alias("child"), F.col("place").alias("_low"))
+    asked = stored(candidates.join(p, "parent", "left").join(c, "child", "left").select(*candidates.columns, "_high", "_low"), "candidates")
+    against = F.coalesce(F.col("_high") > F.col("_low"), F.lit(False))
+    # A search is known by its start and the place that it goes up to; starts that differ in that alone are one search, as far as the furthest.
+    reach = asked.where(against).groupBy("child").agg(F.max("_high").alias("until"))
+    front = stored(reach.select(F.col("child").alias("start"), F.col("child").alias("node"), "until"), "front")
+    answered = asked.where(~against).select(*candidates.columns, F.coalesce(F.col("parent") == F.col("child"), F.lit(False)).alias("cycle"))
+    if front.isEmpty():
+        return answered
+    to = edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).join(places.select(F.col("node").alias("next"), "place"), "next")
+    to = stored(to.select("node", "next", "place"), "placed-edges")  # a reader for each round
+    seen = front
+    while True:
+        step = front.join(to, "node").where("place <= until").select("start", F.col("next").alias("node"), "until").distinct()
+        front = stored(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    met = seen.select(F.col("start").alias("child"), F.col("node").alias("parent"), F.lit(True).alias("_yes"))
+    searched = asked.where(against).join(met, ["child", "parent"], "left").select(*candidates.columns, F.col("_yes").isNotNull().alias("cycle"))
+    return answered.union(searched)
 
 
 def _with_new_nodes(places: DataFrame, new: DataFrame) -> DataFrame:

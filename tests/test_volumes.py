@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import pytest
 
 from loomgraph.llm import ranked_search
-from loomgraph.operators import retrieval
+from loomgraph.operators import bitmaps, retrieval, topology
+from loomgraph.operators.graph import CycleError
 
 
 def moved(spark, run) -> tuple[int, int]:
@@ -84,3 +85,33 @@ def test_vectors_by_row_and_by_term_give_the_same(spark):
     for a, b, c in cosines(rows):
         norms = math.sqrt(squares[a] * squares[b]) if a is not None else 0
         assert abs(c - (sum(w * sums[b][t] for t, w in sums[a].items()) / norms if norms else 0)) < 2e-6
+
+
+def test_candidates_are_stored_once_and_only_those_against_the_order_meet_the_search(spark, many_tasks):
+    edges = spark.createDataFrame([("r", f"a{i}") for i in range(10)] + [(f"a{i % 10}", f"b{i}") for i in range(100)], "parent string, child string")
+    places = topology.placed(edges)
+    with_order = [(f"a{i}", f"b{j}", k) for i in range(10) for j in range(100) for k in range(3)]
+    asked = [*with_order, ("b7", "a7", 0), ("b7", "a8", 0), ("b7", "a7", 1), ("b7", "r", 0), ("a1", "a1", 0), ("new", "r", 0), ("r", "new", 0), (None, "r", 0), (None, None, 0)]
+    candidates, found = spark.createDataFrame(asked, "parent string, child string, k int"), []
+    shuffled, stored = moved(spark, lambda: found.extend(topology.would_cycle(edges, places, candidates).collect()))
+    cycles = {("b7", "a7", 0), ("b7", "a7", 1), ("b7", "r", 0), ("a1", "a1", 0)}
+    assert Counter((r.parent, r.child, r.k, r.cycle) for r in found) == Counter((*x, x in cycles) for x in asked)
+    assert shuffled < 600  # 1,139 rows when all candidates were made distinct and met what was found
+
+
+def test_levels_of_a_deep_and_wide_graph(spark):
+    deep = [(f"d{i}", f"d{i + 1}") for i in range(4)]
+    wide = [("d4", f"w{i}") for i in range(40)] + [(f"w{i % 40}", f"x{i}") for i in range(300)] + [("d0", "x7"), ("d0", "y"), ("d0", "y")]
+    edges = spark.createDataFrame([*deep, *wide], "parent string, child string")
+    want = {f"d{i}": i for i in range(5)} | {f"w{i}": 5 for i in range(40)} | {f"x{i}": 6 for i in range(300)} | {"y": 1}
+    assert sorted(map(tuple, topology.levels(edges).collect())) == sorted(want.items())
+    with pytest.raises(CycleError):
+        topology.levels(edges.union(spark.createDataFrame([("x7", "w7")], edges.schema)))
+
+
+def test_pairs_of_the_last_hop_are_not_stored(spark, many_tasks):
+    links = spark.createDataFrame([(f"s{i}", f"m{i % 20}") for i in range(400)] + [(f"m{i}", f"t{j}") for i in range(20) for j in range(20)], "src string, dst string")
+    found = {}
+    _, stored = moved(spark, lambda: found.update(bitmaps.neighbourhoods(links, 2).collect()))
+    assert found == {f"m{i}": 20 for i in range(20)} | {f"t{j}": 420 for j in range(20)}
+    assert stored < 6_000  # 8,400 pairs of the second hop are counted as they come; 11,280 rows when they were stored
