@@ -34,11 +34,16 @@ def neighbourhoods(links: DataFrame, r: int, dense: int = DENSE) -> DataFrame:
         return nodes.select("node", F.lit(0).cast("long").alias("signal")).limit(0)
     by = lambda name, id_: nodes.select(F.col("node").alias(name), F.col("id").alias(id_))
     first = stored(links.join(by("src", "u"), "src").join(by("dst", "v"), "dst").select("v", "u").distinct(), "links")
-    pairs, blocks = _split(first.select("v", F.col("u").alias("x")), None, dense)
-    for _ in range(r - 1):
+    pairs, blocks = first.select("v", F.col("u").alias("x")), None
+    if r > 1:
+        pairs, blocks = _split(pairs, None, dense)
+    for left in range(r - 2, -1, -1):
         more = first.join(pairs.select(F.col("v").alias("u"), "x"), "u").select("v", "x").union(pairs).distinct()
         ors = None if blocks is None else first.join(blocks.select(F.col("v").alias("u"), "block", "bits"), "u").select("v", "block", "bits").union(blocks)
-        pairs, blocks = _split(more, ors, dense)
+        if not left and ors is None:  # nothing goes on from the last round: its pairs are counted as they come
+            pairs = more
+        else:
+            pairs, blocks = _split(more, ors, dense)
     signal = pairs.where("x <> v").groupBy("v").agg(F.count("*").alias("n"))
     if blocks is not None:
         own = (F.bitmap_bucket_number("v") == F.col("block")) & _holds(F.col("bits"), F.col("v"))
