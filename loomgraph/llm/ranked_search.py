@@ -8,7 +8,8 @@ and a list of any length spreads over as many files as it needs. Then, for all q
    a document may still hold below the threshold gives an upper bound; documents whose upper bound is lower than the raised bound go;
 3. the exact scores of those left are looked up in the forward table.
 
-The terms of the queries go to all tasks as a dictionary whose bytes are counted first; queries with more terms than that are searched in blocks.
+The terms of the queries go to all tasks as a dictionary, and which query asks for which term as a table; the bytes of both are counted first, and queries with more than that are searched in blocks. So postings and documents meet the queries where they lie,
+and what each posting gives to each query is summed there, whatever Spark makes of the sizes of either side.
 
 Defined cases: null and empty texts have no terms and don't count as documents; texts of any length are read whole; every row is a document, so repeated rows are ranked one by one; equal scores go by ascending doc_id, a null doc_id
 first; items without terms have no result, repeated items one each; an empty table on either side gives an empty result; further columns are ignored.
@@ -29,8 +30,8 @@ from loomgraph.sources.tables import spread
 from .common import ascii_lower, map_arrow, written
 from .decontaminate import words
 
-#: Bytes of terms, and of what a dictionary takes for each, that go to all tasks at once.
-BLOCK_BYTES, TERM_BYTES = 64 << 20, 130
+#: Bytes of terms, of what a dictionary takes for each, and of pairs of query and term, that go to all tasks at once.
+BLOCK_BYTES, TERM_BYTES, PAIR_BYTES = 64 << 20, 130, 64
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -67,12 +68,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block_bytes: int = BL
     queries = items.select("item_id", found.alias("w")).where("size(w) > 0")
     queries = written(queries.withColumn("qid", F.monotonically_increasing_id()), "queries")
     asked = queries.select("qid", F.explode("w").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    cost = F.sum(F.octet_length("term") + TERM_BYTES)
-    total = asked.select("term").distinct().agg(cost).first()[0] or 0
+    cost = F.sum(F.octet_length("term") + TERM_BYTES + F.col("pairs") * PAIR_BYTES)
+    total = asked.groupBy("term").agg(F.count("*").alias("pairs")).agg(cost).first()[0] or 0
     blocks, count = -(-total // block_bytes) or 1, queries.count()
     block = lambda: F.pmod(F.xxhash64("qid"), F.lit(blocks))
     while 1 < blocks < 2 * count:  # the largest block is checked, and all are made smaller until it fits; a single item is one block at least
-        largest = asked.select(block().alias("b"), "term").distinct().groupBy("b").agg(cost.alias("c")).agg(F.max("c")).first()[0]
+        largest = asked.groupBy(block().alias("b"), "term").agg(F.count("*").alias("pairs")).groupBy("b").agg(cost.alias("c")).agg(F.max("c")).first()[0]
         if largest <= block_bytes:
             break
         blocks *= 2
@@ -99,16 +100,16 @@ def _block(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     # 1: heads; the exact scores of their documents, and of these the k-th highest of each query.
     of_list = Window.partitionBy("tid").orderBy(F.desc("impact"), "row")
     heads = postings.withColumn("at", F.row_number().over(of_list)).where(F.col("at") <= k).drop("at")
-    heads = heads.join(lists, "tid").select("qid", "row").distinct()
+    heads = heads.join(F.broadcast(lists), "tid").select("qid", "row").distinct()
     lists = written(_thresholds(lists, _kth(_scores(heads, docs, m, lists), k)), "thresholds")
 
     # 2: all postings from the thresholds on; postings that no query wants go first.
-    wanted = postings.join(lists.groupBy("tid").agg(F.min("least").alias("lowest")), "tid").where("impact >= lowest").select("tid", "impact", "row")
+    wanted = postings.join(F.broadcast(lists.groupBy("tid").agg(F.min("least").alias("lowest"))), "tid").where("impact >= lowest").select("tid", "impact", "row")
     # Dealt by row while they are postings, before each meets every query of its list: the pairs of query and row are then summed where they arise.
-    seen = wanted.repartition("row").join(lists, "tid").where("impact >= least").groupBy("qid", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("score"), F.sum("unseen").alias("not_unseen"))
+    seen = wanted.repartition("row").join(F.broadcast(lists), "tid").where("impact >= least").groupBy("qid", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("score"), F.sum("unseen").alias("not_unseen"))
     seen = written(seen, "partial-sums")
     most = lists.groupBy("qid").agg(F.sum("unseen").alias("unseen"), F.max("bound").alias("first")).join(_kth(seen, k), "qid", "left")
-    left = seen.join(most, "qid").where("score + unseen - not_unseen >= greatest(first, coalesce(bound, 0))").select("qid", "row")
+    left = seen.join(F.broadcast(most), "qid").where("score + unseen - not_unseen >= greatest(first, coalesce(bound, 0))").select("qid", "row")
 
     # 3: exact scores of those left.
     scores = _scores(left, docs, m, lists).where("score > 0")
@@ -119,7 +120,7 @@ def _block(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 def _scores(pairs: DataFrame, docs: DataFrame, m: Column, lists: DataFrame) -> DataFrame:
     """pairs (qid, row) with doc_id and the exact score, looked up in the forward table."""
     full = pairs.join(docs, "row").select("qid", "row", "doc_id", m.alias("m"), F.explode(F.arrays_zip("tids", "tfs")).alias("p"))
-    full = full.select("qid", "row", "doc_id", F.col("p.tids").alias("tid"), impact(F.col("p.tfs"), F.col("m")).alias("impact")).join(lists.select("qid", "tid", "w"), ["qid", "tid"])
+    full = full.select("qid", "row", "doc_id", F.col("p.tids").alias("tid"), impact(F.col("p.tfs"), F.col("m")).alias("impact")).join(F.broadcast(lists.select("qid", "tid", "w")), ["qid", "tid"])
     return full.groupBy("qid", "row", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
 
 

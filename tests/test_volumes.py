@@ -51,6 +51,21 @@ def test_op11_pairs_of_query_and_near_copy_are_summed_where_they_arise(spark, ma
     assert shuffled < 60_000  # 12,000 pairs of up to twelve terms each; 138,974 rows when each term's range of postings sent its own sums
 
 
+def test_op11_pairs_of_query_and_document_are_not_dealt_out_whatever_sizes_spark_sees(spark, many_tasks):
+    rnd = random.Random(5)
+    common = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join([*common, f"own{i}"])) for i in range(300)] + [(1_000 + i, f"x{i} y{i}") for i in range(900)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(rnd.sample(common, 12))) for i in range(40)], "item_id long, text string")
+    found, threshold = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where a table's many files look large
+    try:
+        shuffled, _ = moved(spark, lambda: found.extend(ranked_search.search(docs, items).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted((r.item_id, r["rank"], r.doc_id) for r in found) == [(i, k + 1, k) for i in range(40) for k in range(10)]
+    assert shuffled < 60_000  # 665,800 rows when postings went to the tasks of their terms, met the queries there and left as pairs
+
+
 def test_terms_travel_by_chunk_and_not_by_document(spark, many_tasks):
     rnd = random.Random(6)
     common = [f"{a}{b}word" for a in "abcdefgh" for b in "abcdefgh"]
