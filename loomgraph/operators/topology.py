@@ -17,13 +17,14 @@ from loomgraph.sources.tables import stored
 
 def levels(edges: DataFrame) -> DataFrame:
     """edges (parent, child) to (node, level): the longest way to a node from any that nothing leads to. A round for each level takes off the edges that leave it; of the nodes that these led to, those that no other edge leads to are the next level. What a round moves
-    goes by the edges that it takes off, but for one reading of those that are left; CycleError if there are any and none can be taken off."""
-    left = stored(edges.select("parent", "child").distinct(), "unpeeled")
+    goes by the edges that it takes off, but for one reading of those that are left; CycleError if there are any and none can be taken off. Edges to nodes that hold nothing, mostly the bulk, stay out of the rounds: these nodes follow from the levels of their holders, in one join."""
+    holders = stored(edges.select(F.col("parent").alias("node")).distinct(), "holders")
+    held = holders.select(F.col("node").alias("child"), F.lit(True).alias("_holds"))
+    deep = F.col("_holds").isNotNull() | F.col("parent").isNull()  # an edge from no node can't be taken off
+    marked = stored(edges.select("parent", "child").join(held, "child", "left").select("parent", "child", deep.alias("deep")), "marked-edges")
+    left = marked.where("deep").select("parent", "child")
     rest = left.count()
-    if not rest:
-        return edges.sparkSession.createDataFrame([], "node string, level int")
-    tops = left.select(F.col("parent").alias("node")).distinct().join(left.select(F.col("child").alias("node")), "node", "left_anti")
-    front = stored(tops.withColumn("level", F.lit(0)), "level")
+    front = stored(holders.join(left.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)), "level")
     peeled, level = front, 0
     while rest:
         at = front.select(F.col("node").alias("parent"))
@@ -37,7 +38,8 @@ def levels(edges: DataFrame) -> DataFrame:
         front = met if held is None else met.join(held, "node", "left_anti")
         front = front.withColumn("level", F.lit(level)) if held is None else stored(front.withColumn("level", F.lit(level)), "level")
         peeled = peeled.union(front)
-    return peeled
+    ends = marked.where("NOT deep").join(peeled.select(F.col("node").alias("parent"), "level"), "parent")
+    return peeled.union(ends.groupBy(F.col("child").alias("node")).agg((F.max("level") + 1).alias("level")))
 
 
 def placed(edges: DataFrame) -> DataFrame:
@@ -66,18 +68,24 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def insert(edges: DataFrame, places: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """edges and places with a batch of new edges (parent, child), each once; CycleError if they would close a cycle, and then both tables are as they were, since none is changed in place. Callers store the places now and then, as the result reads
     the old ones."""
-    new = stored(new.select("parent", "child").distinct().join(edges.select("parent", "child"), ["parent", "child"], "left_anti"), "new-edges")
+    new = stored(new.select("parent", "child").distinct(), "new-edges")
     if not new.where("parent = child").isEmpty():
         raise CycleError("a node can't hold itself")
-    together = edges.select("parent", "child").union(new)
-    places = _with_new_nodes(places, new)
-    p, c = places.select(F.col("node").alias("parent"), F.col("place").alias("high")), places.select(F.col("node").alias("child"), F.col("place").alias("low"))
-    back = stored(new.join(p, "parent").join(c, "child").where("high > low"), "backward-edges")
+    places, named = _with_new_nodes(places, new)
+    p, c = (named.select(F.col("node").alias(end), F.col("place").alias(at), F.col("old").alias(f"_old_{end}")) for end, at in (("parent", "high"), ("child", "low")))
+    new = stored(new.join(p, "parent", "left").join(c, "child", "left"), "placed-batch")
+    # What edges has already goes with the order, between nodes that had places.
+    known = new.where("high < low AND _old_parent AND _old_child").select("parent", "child")
+    if not known.isEmpty():
+        new = new.join(stored(edges.select("parent", "child").join(known, ["parent", "child"], "left_semi"), "known-edges"), ["parent", "child"], "left_anti")
+    together = edges.select("parent", "child").union(new.select("parent", "child"))
+    back = stored(new.where("high > low").select("parent", "child", "high", "low"), "backward-edges")
     if back.isEmpty():
         return together, places
     region = _region(places, back)
     at = lambda end: region.select(F.col("node").alias(end), F.col("span").alias(f"_{end}"))
-    inner = stored(together.join(at("parent"), "parent").join(at("child"), "child").where("_parent = _child").select("parent", "child"), "inner-edges")
+    # By the child first: a container may hold very many, a member is in few, so few edges are left to meet the region by their parent.
+    inner = stored(together.join(at("child"), "child").join(at("parent"), "parent").where("_parent = _child").select("parent", "child"), "inner-edges")
     led = closure(inner, back.select(F.col("child").alias("node"))).withColumn("led", F.lit(True))
     leading = closure(inner.select(F.col("child").alias("parent"), F.col("parent").alias("child")), back.select(F.col("parent").alias("node"))).withColumn("leading", F.lit(True))
     moved = stored(led.join(leading, "node", "full").join(region, "node").select("node", "place", "span", F.col("led").isNotNull().alias("led"), F.col("leading").isNotNull().alias("leading")), "moved")
@@ -118,18 +126,21 @@ def would_cycle(edges: DataFrame, places: DataFrame, candidates: DataFrame) -> D
     return answered.union(searched)
 
 
-def _with_new_nodes(places: DataFrame, new: DataFrame) -> DataFrame:
-    """places with nodes that have none yet: before all others if nothing in the batch leads to them, else behind all others, by level among themselves, and by name."""
+def _with_new_nodes(places: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """places with nodes that have none yet: before all others if nothing in the batch leads to them, else behind all others, by level among themselves, and by name. Beside it the places of the batch's own nodes, with `old`: whether they had one;
+    all places are read once for these."""
     named = new.select(F.col("parent").alias("node"), F.lit(False).alias("held")).union(new.select("child", F.lit(True)))
-    fresh = stored(named.groupBy("node").agg(F.max("held").alias("held")).join(places, "node", "left_anti"), "new-nodes")
+    named = stored(named.groupBy("node").agg(F.max("held").alias("held")).join(places, "node", "left").select("node", "held", "place"), "batch-nodes")
+    fresh, known = named.where("place IS NULL").select("node", "held"), named.where("place IS NOT NULL").select("node", "place", F.lit(True).alias("old"))
     if fresh.isEmpty():
-        return places
+        return places, known
     first, last = places.agg(F.coalesce(F.min("place"), F.lit(0)), F.coalesce(F.max("place"), F.lit(-1))).first()
     heads = numbered(fresh.where("NOT held").select("node"), ["node"], "k").select("node", (first - 1 - F.col("k")).alias("place"))
     behind = fresh.where("held").select("node")
     among = new.join(behind.withColumnRenamed("node", "parent"), "parent", "left_semi").join(behind.withColumnRenamed("node", "child"), "child", "left_semi")
     tails = numbered(behind.join(levels(among), "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level")), ["level", "node"], "k").select("node", (last + 1 + F.col("k")).alias("place"))
-    return places.union(heads).union(tails)
+    added = heads.union(tails)
+    return places.union(added), known.union(added.withColumn("old", F.lit(False)))
 
 
 def _region(places: DataFrame, back: DataFrame) -> DataFrame:

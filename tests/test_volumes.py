@@ -124,6 +124,19 @@ def test_levels_of_a_deep_and_wide_graph(spark):
         topology.levels(edges.union(spark.createDataFrame([("x7", "w7")], edges.schema)))
 
 
+def test_edges_to_nodes_that_hold_nothing_are_stored_once_and_not_for_each_level(spark, many_tasks):
+    deep = [(f"d{i}", f"d{i + 1}") for i in range(6)]
+    edges = spark.createDataFrame([*deep, *((f"d{5 + i % 2}", f"x{i}") for i in range(400)), ("d0", "x1"), ("d6", "x2"), ("d6", "x2")], "parent string, child string")
+    found = []
+    _, stored = moved(spark, lambda: found.extend(topology.levels(edges).collect()))
+    assert sorted(map(tuple, found)) == sorted([(f"d{i}", i) for i in range(7)] + [(f"x{i}", 7 if i % 2 or i == 2 else 6) for i in range(400)])
+    assert stored < 700  # 3,243 rows when each level wrote all edges that were left
+    assert topology.levels(edges.where("false")).collect() == []
+    for parent, child in (("d6", "d2"), (None, "x1")):
+        with pytest.raises(CycleError):
+            topology.levels(edges.union(spark.createDataFrame([(parent, child)], edges.schema)))
+
+
 def test_pairs_of_the_last_hop_are_not_stored(spark, many_tasks):
     links = spark.createDataFrame([(f"s{i}", f"m{i % 20}") for i in range(400)] + [(f"m{i}", f"t{j}") for i in range(20) for j in range(20)], "src string, dst string")
     found = {}
