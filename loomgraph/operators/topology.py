@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import CycleError
 from loomgraph.operators.order import numbered, running_max
-from loomgraph.sources.tables import stored
+from loomgraph.sources.tables import joined, stored
 
 
 def levels(edges: DataFrame) -> DataFrame:
@@ -21,24 +21,24 @@ def levels(edges: DataFrame) -> DataFrame:
     holders = stored(edges.select(F.col("parent").alias("node")).distinct(), "holders")
     held = holders.select(F.col("node").alias("child"), F.lit(True).alias("_holds"))
     deep = F.col("_holds").isNotNull() | F.col("parent").isNull()  # an edge from no node can't be taken off
-    marked = stored(edges.select("parent", "child").join(held, "child", "left").select("parent", "child", deep.alias("deep")), "marked-edges")
+    marked = stored(joined(edges.select("parent", "child"), held, "child", "left").select("parent", "child", deep.alias("deep")), "marked-edges")
     left = marked.where("deep").select("parent", "child")
     rest = left.count()
-    front = stored(holders.join(left.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)), "level")
+    front = stored(joined(holders, left.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)), "level")
     peeled, level = front, 0
     while rest:
         at = front.select(F.col("node").alias("parent"))
-        met = stored(left.join(at, "parent", "left_semi").select(F.col("child").alias("node")).distinct(), "met")
-        left = stored(left.join(at, "parent", "left_anti").select("parent", "child"), "unpeeled")
+        met = stored(joined(left, at, "parent", "left_semi").select(F.col("child").alias("node")).distinct(), "met")
+        left = stored(joined(left, at, "parent", "left_anti").select("parent", "child"), "unpeeled")
         found = left.count()  # from the files' footers
         if found == rest:
             raise CycleError("the edges form a cycle")
         rest, level = found, level + 1
-        held = left.select(F.col("child").alias("node")).join(met, "node", "left_semi").distinct() if rest else None
-        front = met if held is None else met.join(held, "node", "left_anti")
+        held = joined(left.select(F.col("child").alias("node")), met, "node", "left_semi").distinct() if rest else None
+        front = met if held is None else joined(met, held, "node", "left_anti")
         front = front.withColumn("level", F.lit(level)) if held is None else stored(front.withColumn("level", F.lit(level)), "level")
         peeled = peeled.union(front)
-    ends = marked.where("NOT deep").join(peeled.select(F.col("node").alias("parent"), "level"), "parent")
+    ends = joined(marked.where("NOT deep"), peeled.select(F.col("node").alias("parent"), "level"), "parent")
     return peeled.union(ends.groupBy(F.col("child").alias("node")).agg((F.max("level") + 1).alias("level")))
 
 
@@ -50,7 +50,7 @@ def placed(edges: DataFrame) -> DataFrame:
 def disordered(edges: DataFrame, places: DataFrame) -> DataFrame:
     """The edges that places don't hold for: none, unless the two tables don't belong together."""
     p, c = places.select(F.col("node").alias("parent"), F.col("place").alias("_p")), places.select(F.col("node").alias("child"), F.col("place").alias("_c"))
-    return edges.join(p, "parent", "left").join(c, "child", "left").where("_p IS NULL OR _c IS NULL OR _p >= _c").select("parent", "child")
+    return joined(joined(edges, p, "parent", "left"), c, "child", "left").where("_p IS NULL OR _c IS NULL OR _p >= _c").select("parent", "child")
 
 
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -58,8 +58,8 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     front = stored(starts.select("node").distinct(), "front")
     seen = front
     while True:
-        step = front.join(edges, front.node == edges.parent).select(F.col("child").alias("node")).distinct()
-        front = stored(step.join(seen, "node", "left_anti"), "front")
+        step = joined(front.withColumnRenamed("node", "parent"), edges, "parent").select(F.col("child").alias("node")).distinct()
+        front = stored(joined(step, seen, "node", "left_anti"), "front")
         if front.isEmpty():
             return seen
         seen = seen.union(front)
@@ -73,11 +73,11 @@ def insert(edges: DataFrame, places: DataFrame, new: DataFrame) -> tuple[DataFra
         raise CycleError("a node can't hold itself")
     places, named = _with_new_nodes(places, new)
     p, c = (named.select(F.col("node").alias(end), F.col("place").alias(at), F.col("old").alias(f"_old_{end}")) for end, at in (("parent", "high"), ("child", "low")))
-    new = stored(new.join(p, "parent", "left").join(c, "child", "left"), "placed-batch")
+    new = stored(joined(joined(new, p, "parent", "left"), c, "child", "left"), "placed-batch")
     # What edges has already goes with the order, between nodes that had places.
     known = new.where("high < low AND _old_parent AND _old_child").select("parent", "child")
     if not known.isEmpty():
-        new = new.join(stored(edges.select("parent", "child").join(known, ["parent", "child"], "left_semi"), "known-edges"), ["parent", "child"], "left_anti")
+        new = joined(new, stored(joined(edges.select("parent", "child"), known, ["parent", "child"], "left_semi"), "known-edges"), ["parent", "child"], "left_anti")
     together = edges.select("parent", "child").union(new.select("parent", "child"))
     back = stored(new.where("high > low").select("parent", "child", "high", "low"), "backward-edges")
     if back.isEmpty():
@@ -85,19 +85,19 @@ def insert(edges: DataFrame, places: DataFrame, new: DataFrame) -> tuple[DataFra
     region = _region(places, back)
     at = lambda end: region.select(F.col("node").alias(end), F.col("span").alias(f"_{end}"))
     # By the child first: a container may hold very many, a member is in few, so few edges are left to meet the region by their parent.
-    inner = stored(together.join(at("child"), "child").join(at("parent"), "parent").where("_parent = _child").select("parent", "child"), "inner-edges")
+    inner = stored(joined(joined(together, at("child"), "child"), at("parent"), "parent").where("_parent = _child").select("parent", "child"), "inner-edges")
     led = closure(inner, back.select(F.col("child").alias("node"))).withColumn("led", F.lit(True))
     leading = closure(inner.select(F.col("child").alias("parent"), F.col("parent").alias("child")), back.select(F.col("parent").alias("node"))).withColumn("leading", F.lit(True))
-    moved = stored(led.join(leading, "node", "full").join(region, "node").select("node", "place", "span", F.col("led").isNotNull().alias("led"), F.col("leading").isNotNull().alias("leading")), "moved")
+    moved = stored(joined(led.join(leading, "node", "full"), region, "node").select("node", "place", "span", F.col("led").isNotNull().alias("led"), F.col("leading").isNotNull().alias("leading")), "moved")
     core = moved.where("led AND leading").select("node")
-    among = inner.join(core.withColumnRenamed("node", "parent"), "parent", "left_semi").join(core.withColumnRenamed("node", "child"), "child", "left_semi")
+    among = joined(joined(inner, core.withColumnRenamed("node", "parent"), "parent", "left_semi"), core.withColumnRenamed("node", "child"), "child", "left_semi")
     side = F.when(~F.col("led"), 0).when(F.col("leading"), 1).otherwise(2)
-    ordered = moved.join(levels(among), "node", "left").select("node", "place", "span", side.alias("side"), F.coalesce("level", F.lit(0)).alias("level"))
+    ordered = joined(moved, levels(among), "node", "left").select("node", "place", "span", side.alias("side"), F.coalesce("level", F.lit(0)).alias("level"))
     # Both orders run through the spans alike, so the k-th node of the one gets the k-th place of the other.
     nodes = numbered(ordered, ["span", "side", "level", "place"], "k").select("node", "k")
     pool = numbered(moved.select("place"), ["place"], "k")
-    dealt = stored(nodes.join(pool, "k").select("node", F.col("place").alias("_new")), "dealt")
-    return together, places.join(dealt, "node", "left").select("node", F.coalesce("_new", "place").alias("place"))
+    dealt = stored(joined(nodes, pool, "k").select("node", F.col("place").alias("_new")), "dealt")
+    return together, joined(places, dealt, "node", "left").select("node", F.coalesce("_new", "place").alias("place"))
 
 
 def would_cycle(edges: DataFrame, places: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -130,15 +130,15 @@ def _with_new_nodes(places: DataFrame, new: DataFrame) -> tuple[DataFrame, DataF
     """places with nodes that have none yet: before all others if nothing in the batch leads to them, else behind all others, by level among themselves, and by name. Beside it the places of the batch's own nodes, with `old`: whether they had one;
     all places are read once for these."""
     named = new.select(F.col("parent").alias("node"), F.lit(False).alias("held")).union(new.select("child", F.lit(True)))
-    named = stored(named.groupBy("node").agg(F.max("held").alias("held")).join(places, "node", "left").select("node", "held", "place"), "batch-nodes")
+    named = stored(joined(named.groupBy("node").agg(F.max("held").alias("held")), places, "node", "left").select("node", "held", "place"), "batch-nodes")
     fresh, known = named.where("place IS NULL").select("node", "held"), named.where("place IS NOT NULL").select("node", "place", F.lit(True).alias("old"))
     if fresh.isEmpty():
         return places, known
     first, last = places.agg(F.coalesce(F.min("place"), F.lit(0)), F.coalesce(F.max("place"), F.lit(-1))).first()
     heads = numbered(fresh.where("NOT held").select("node"), ["node"], "k").select("node", (first - 1 - F.col("k")).alias("place"))
     behind = fresh.where("held").select("node")
-    among = new.join(behind.withColumnRenamed("node", "parent"), "parent", "left_semi").join(behind.withColumnRenamed("node", "child"), "child", "left_semi")
-    tails = numbered(behind.join(levels(among), "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level")), ["level", "node"], "k").select("node", (last + 1 + F.col("k")).alias("place"))
+    among = joined(joined(new, behind.withColumnRenamed("node", "parent"), "parent", "left_semi"), behind.withColumnRenamed("node", "child"), "child", "left_semi")
+    tails = numbered(joined(behind, levels(among), "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level")), ["level", "node"], "k").select("node", (last + 1 + F.col("k")).alias("place"))
     added = heads.union(tails)
     return places.union(added), known.union(added.withColumn("old", F.lit(False)))
 
@@ -152,4 +152,4 @@ def _region(places: DataFrame, back: DataFrame) -> DataFrame:
     inside = places.where(F.col("place").between(low, high))  # reaches the scan, which skips files by their places
     marked = inside.select("node", "place", F.lit(None).cast("long").alias("start")).union(spans.select(F.lit(None).cast("string"), "span", "span"))
     found = running_max(marked, ["place", F.col("start").asc_nulls_last()], "start", "span").where("node IS NOT NULL")
-    return stored(found.join(spans, "span").where("place <= until").select("node", "place", "span"), "region")
+    return stored(joined(found, spans, "span").where("place <= until").select("node", "place", "span"), "region")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import algebra as A
 from loomgraph.operators import evaluation, scan, topology
 from loomgraph.plans.registry import _CASE, _EMB, _embeds, _events, _t
-from loomgraph.sources.tables import shared_folder, stored
+from loomgraph.sources.tables import joined, shared_folder, stored
 from loomgraph.streaming.views import View, deltas, identical
 
 _D = A.DIMENSIONS
@@ -27,11 +27,11 @@ def _name(letter: str, k):
 def _batch(spark, sf_dir):
     """New edges: chains of ten customers each, against the order of their names or with it; suppliers and their parts below nations; one node above all regions."""
     c, s, p, r = (_t(spark, sf_dir, x) for x in ("customer", "supplier", "part", "region"))
-    chains = c.where("c_custkey % 10 <> 0").select(_name("c", F.col("c_custkey")).alias("parent"), _name("c", F.col("c_custkey") - 1).alias("child"))
-    chains = chains.join(c.select(_name("c", F.col("c_custkey")).alias("child")), "child", "left_semi").select("parent", "child")
+    chains = joined(c.where("c_custkey % 10 <> 0").select("c_custkey", (F.col("c_custkey") - 1).alias("k")), c.select(F.col("c_custkey").alias("k")), "k", "left_semi")
+    chains = chains.select(_name("c", F.col("c_custkey")).alias("parent"), _name("c", F.col("k")).alias("child"))
     n = s.agg(F.max("s_suppkey").alias("n"))  # one row
-    parts = p.crossJoin(F.broadcast(n)).select(_name("s", F.col("p_partkey") % F.col("n") + 1), _name("p", F.col("p_partkey")))
-    parts = parts.toDF("parent", "child").join(s.select(_name("s", F.col("s_suppkey")).alias("parent")), "parent", "left_semi").select("parent", "child")
+    parts = joined(p.crossJoin(F.broadcast(n)).select("p_partkey", (F.col("p_partkey") % F.col("n") + 1).alias("s_suppkey")), s.select("s_suppkey"), "s_suppkey", "left_semi")
+    parts = parts.select(_name("s", F.col("s_suppkey")), _name("p", F.col("p_partkey")))
     return chains.union(s.select(_name("n", F.col("s_nationkey")), _name("s", F.col("s_suppkey")))).union(parts).union(r.select(F.lit("w"), _name("r", F.col("r_regionkey"))))
 
 
@@ -42,7 +42,7 @@ def nesting_incremental_order(spark, sf_dir):
     after = stored(after, "places")
     wrong = topology.disordered(together, after).agg(F.count("*").alias("n_disordered"))  # one row
     old = before.select("node", F.col("place").alias("old"))
-    return after.join(old, "node", "left").crossJoin(F.broadcast(wrong)).select("node", "place", F.col("old").isNull().alias("fresh"), (F.col("old") != F.col("place")).alias("moved"), "n_disordered")
+    return joined(after, old, "node", "left").crossJoin(F.broadcast(wrong)).select("node", "place", F.col("old").isNull().alias("fresh"), (F.col("old") != F.col("place")).alias("moved"), "n_disordered")
 
 
 def path_running_fold(spark, sf_dir):

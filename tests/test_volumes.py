@@ -10,6 +10,8 @@ import pytest
 from loomgraph.llm import ranked_search
 from loomgraph.operators import bitmaps, retrieval, topology
 from loomgraph.operators.graph import CycleError
+from loomgraph.plans import maintained
+from loomgraph.sources import tables
 
 
 def moved(spark, run) -> tuple[int, int]:
@@ -143,3 +145,30 @@ def test_pairs_of_the_last_hop_are_not_stored(spark, many_tasks):
     _, stored = moved(spark, lambda: found.update(bitmaps.neighbourhoods(links, 2).collect()))
     assert found == {f"m{i}": 20 for i in range(20)} | {f"t{j}": 420 for j in range(20)}
     assert stored < 6_000  # 8,400 pairs of the second hop are counted as they come; 11,280 rows when they were stored
+
+
+def test_names_that_are_small_in_files_alone_are_not_sent_to_all_tasks(spark, tmp_path, monkeypatch):
+    """The driver builds what is sent to all tasks; only numbers of ranges and maxima of chunks (`_range`, `_chunk`) and tables of one row may be, where everything counts as large."""
+    monkeypatch.setattr(tables, "SENT", 0, raising=False)
+    chosen, store = [], topology.stored
+    sent = lambda df: re.findall(r"BroadcastHashJoin \[(\w+)#", df._jdf.queryExecution().executedPlan().toString())
+    for module in (topology, maintained):
+        monkeypatch.setattr(module, "stored", lambda df, what: chosen.extend((what, key) for key in sent(df)) or store(df, what))
+    for name, columns in {
+        "nation": "id AS n_nationkey, id % 5 AS n_regionkey", "customer": "id AS c_custkey, id % 25 AS c_nationkey", "orders": "id AS o_orderkey, id % 100 AS o_custkey",
+        "supplier": "id AS s_suppkey, id % 25 AS s_nationkey", "part": "id AS p_partkey", "region": "id AS r_regionkey",
+    }.items():
+        spark.range({"nation": 25, "region": 5}.get(name, 100)).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = maintained.nesting_incremental_order(spark, str(tmp_path))
+    chosen.extend(("result", key) for key in sent(found))
+    assert [x for x in chosen if x[1] not in ("_range", "_chunk")] == []
+    assert found.count() == found.select("place").distinct().count() == 431 and found.where("n_disordered <> 0").isEmpty()
+
+
+def test_customers_of_a_small_file_are_not_sent_to_all_tasks(spark, tmp_path):
+    """200,000 keys of a file of 0.8 MB: less than Spark would send by itself."""
+    tables_of = {"customer": "id AS c_custkey", "supplier": "id AS s_suppkey, id % 25 AS s_nationkey", "part": "id AS p_partkey", "region": "id AS r_regionkey"}
+    for name, columns in tables_of.items():
+        spark.range(5 if name == "region" else 200_000).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = maintained._batch(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
